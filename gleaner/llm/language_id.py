@@ -153,12 +153,12 @@ def train_languages(docs: DataFrame, folds: int = 4, held_fold: int = 2, fit_row
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
-    """lang_pred, score and rejected for each row of `docs` (text), beside the columns `keep` (all by default).
+    """lang_pred, score and rejected for each row of `docs` (text), beside the columns `keep` (all by default) but for those of these names.
 
     rejected: no letter in the text, or a calibrated probability below the model's limit. Null and empty
     texts are `und` with score 0. The model, a row of floats for each of 2^14 buckets, is broadcast.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "rejected")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
     schema = ", ".join([*[f"_{i} {inner.schema[f'_{i}'].dataType.simpleString()}" for i in range(len(keep))], "_lang string, _score double, _rejected boolean"])
@@ -174,6 +174,18 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
 
 
+def known_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of `docs` (text and others) that the model doesn't reject."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [shared.value.predict(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != "und" and score >= shared.value.reject_below for lang, score in said], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language; learned outside the fold crc32 mod 4 = 2."""
     docs = table(spark, sf_dir, "documents")

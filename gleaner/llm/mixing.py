@@ -83,22 +83,22 @@ def mixed_documents(docs: DataFrame, **recipe) -> DataFrame:
     up to its last taken word, with n_chars to match. Documents of which nothing is taken go.
     Where rows share a doc_id, they share what is taken by size.
     """
-    d = docs.withColumn("_words", n_words(F.col("text")))
-    taken = mix(d.select("doc_id", "source", F.col("_words").alias("size")), **recipe)
-    # Rows that agree in all that the order looks at are alike but for the one at the cut: count them off.
-    same = ["doc_id", "source", "size"]
-    ranked = taken.withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("taken"))))
-    ranked = ranked.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "taken", F.col("_nth").alias("_m"))
-    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_words") == F.col("_z")) & (F.col("_nth") == F.col("_m"))
-    met = d.join(ranked, on).filter(F.col("taken") > 0)
-    whole = F.floor(F.col("taken") / F.col("_words")).cast("int")
-    part = F.col("taken") - whole * F.col("_words")
-    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    out = met.withColumn("_part", F.explode(copies)).withColumn("text", F.when(F.col("_part") > 0, first_words(F.col("text"), F.col("_part"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_part") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))  # so that no column of theirs can clash
+    d = whole.select("doc", F.col("doc.doc_id").alias("d"), F.col("doc.source").alias("s"), n_words(F.col("doc.text")).alias("z"))
+    taken = mix(d.select(F.col("d").alias("doc_id"), F.col("s").alias("source"), F.col("z").alias("size")), **recipe)
+    # Rows alike in all that the mix looks at are told apart by counting them off.
+    nth = lambda keys, order: F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    taken = taken.select(F.col("doc_id").alias("d2"), F.col("source").alias("s2"), F.col("size").alias("z2"), "taken", nth(("doc_id", "source", "size"), F.desc("taken")).alias("m2"))
+    d = d.withColumn("m", nth(("d", "s", "z"), F.xxhash64("doc.text")))
+    on = F.col("d").eqNullSafe(F.col("d2")) & F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2")) & (F.col("m") == F.col("m2"))
+    met = d.join(taken.filter(F.col("taken") > 0), on)
+    times = F.floor(F.col("taken") / F.col("z")).cast("int")
+    part = F.col("taken") - times * F.col("z")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), times), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    out = met.select("doc", F.explode(copies).alias("part"))
+    cut_text = F.when(F.col("part") > 0, first_words(F.col("doc.text"), F.col("part"))).otherwise(F.col("doc.text"))
+    changed = {"text": cut_text, "n_chars": F.when(F.col("part") > 0, F.length(cut_text).cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[(changed[c] if c in changed else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,53 +17,52 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes from the columns of text_stats: BAD, ABSTAIN or GOOD."""
-    words, lines, letters = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "n_lines", "n_letters"))
+    """Votes from the columns of text_stats: BAD, ABSTAIN or GOOD.
+
+    A rule that finds a fault says BAD, else it abstains: to be without one fault is no sign of quality. What
+    speaks for a text are the looks of prose and a varied wording.
+    """
+    words, lines, letters, chars, in_words = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "n_lines", "n_letters", "n_chars", "word_chars"))
     length, symbols, again = F.col("word_chars") / words, F.col("n_symbols") / words, F.col("n_repeat_words") / words
-    upper, distinct = F.col("n_upper") / letters, F.col("n_distinct_words") / words
-    marks, same = (F.col("n_bangs") + F.col("n_pipes")) / words, F.col("n_same_next") / words
-    dup = F.col("n_dup_lines") / lines
+    same, distinct, dup = F.col("n_same_next") / words, F.col("n_distinct_words") / words, F.col("n_dup_lines") / lines
+    upper, bangs, digits = F.col("n_upper") / letters, F.col("n_bangs") / words, F.col("n_digits") / chars
+    lettered, stops = F.col("n_letters") / in_words, F.col("n_punctuation") / words
     enough = F.col("n_words") >= 20
+    never = F.lit(False)
     return {
-        "word_length": _vote((length < 2) | (length > 25), (length >= 3) & (length <= 12)),
-        "symbols": _vote(symbols > 0.25, symbols < 0.02),
-        "dup_lines": _vote(dup > 0.3, (dup == 0) & (F.col("n_lines") > 2)),
-        "repeat_words": _vote(again > 0.2, (again < 0.05) & enough),
-        "upper": _vote(upper > 0.4, upper < 0.15),
-        "distinct_words": _vote(enough & (distinct < 0.2), enough & (distinct > 0.35)),
-        "marks": _vote(marks > 0.25, marks < 0.05),
-        "same_next": _vote(same > 0.15, enough & (same < 0.03)),
+        "word_length": _vote((length < 2) | (length > 25), never),
+        "symbols": _vote(symbols > 0.25, never),
+        "repetition": _vote((again > 0.25) | (same > 0.15) | (dup > 0.5) | (enough & (distinct < 0.1)), never),
+        "shouting": _vote((upper > 0.4) | (bangs > 0.25), never),
+        "digits": _vote(digits > 0.3, never),
+        "prose": _vote(enough & (lettered < 0.7), enough & (lettered > 0.9) & (upper < 0.25) & (stops > 0.005) & (stops < 0.5)),
+        "varied": _vote(never, enough & (again < 0.15) & (same < 0.05) & (symbols < 0.1) & (upper < 0.4)),
     }
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
-    """The share of good documents, and the probability of each vote by rule and class (bad, good).
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, start: float = 0.9, least: float = 0.6, rounds: int = 200) -> tuple[float, np.ndarray]:
+    """The share of good documents and each rule's accuracy: the chance that its vote, if it casts one, is right.
 
-    `patterns`: vote patterns, a row each; `counts`: how many documents show them. A start from "bad if
-    any rule says so" and the demand that a vote is no likelier in the other class keep the classes in place.
+    `patterns`: vote patterns, a row each; `counts`: how many documents show them. Expectation-maximisation
+    from accuracies of `start`, which also weighs as ten documents; rules are held to be better than a
+    coin (`least`) and never sure (0.99), and good documents to be half of all at least.
     """
-    n_rules = patterns.shape[1]
-    good = np.where((patterns == BAD).any(axis=1), 0.2, 0.95)
+    accuracy, share = np.full(patterns.shape[1], start), 0.7
     for _ in range(rounds):
-        share = float(np.clip((good @ counts + 1) / (counts.sum() + 2), 0.02, 0.98))
-        table = np.empty((n_rules, 2, 3))
-        for j, v in itertools.product(range(n_rules), range(3)):
-            hit = (patterns[:, j] == v) * counts
-            table[j, 0, v] = (hit @ (1 - good) + 0.5) / (counts @ (1 - good) + 1.5)
-            table[j, 1, v] = (hit @ good + 0.5) / (counts @ good + 1.5)
-        table[:, 0, BAD] = np.maximum(table[:, 0, BAD], table[:, 1, BAD])
-        table[:, 1, GOOD] = np.maximum(table[:, 1, GOOD], table[:, 0, GOOD])
-        new = posterior(patterns, share, table)
-        if np.abs(new - good).max(initial=0) < 1e-9:
+        good = posterior(patterns, share, accuracy)
+        share = float(np.clip((good @ counts + 1) / (counts.sum() + 2), 0.5, 0.98))
+        right = counts @ ((patterns == GOOD) * good[:, None] + (patterns == BAD) * (1 - good)[:, None])
+        new = np.clip((right + 10 * start) / (counts @ (patterns != ABSTAIN) + 10), least, 0.99)
+        done, accuracy = np.abs(new - accuracy).max(initial=0) < 1e-9, new
+        if done:
             break
-        good = new
-    return share, table
+    return share, accuracy
 
 
-def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
+def posterior(patterns: np.ndarray, share: float, accuracy: np.ndarray) -> np.ndarray:
     """The probability that a document with these votes is good."""
-    odds = np.log(share / (1 - share)) + sum(np.log(table[j, 1, patterns[:, j]] / table[j, 0, patterns[:, j]]) for j in range(patterns.shape[1]))
-    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    weight = np.log(accuracy / (1 - accuracy))
+    return 1 / (1 + np.exp(-(np.log(share / (1 - share)) + (patterns - ABSTAIN) @ weight)))
 
 
 def judge(docs: DataFrame, min_quality: float = 0.5) -> DataFrame:
@@ -82,13 +79,12 @@ def judge(docs: DataFrame, min_quality: float = 0.5) -> DataFrame:
     stats = cut(with_counts(docs))
     code = sum((c * 3**k for k, c in enumerate(votes.values())), F.lit(0))
     stats = stats.withColumn("_votes", code.cast("int"))
-    seen = np.array([tuple(r) for r in stats.groupBy("_votes").count().orderBy("_votes").collect()], np.int64).reshape(-1, 2)  # at most 3 ** 8 rows
+    seen = np.array([tuple(r) for r in stats.groupBy("_votes").count().orderBy("_votes").collect()], np.int64).reshape(-1, 2)  # at most 3 to the number of rules
     patterns = seen[:, :1] // 3 ** np.arange(len(votes)) % 3
-    share, table = fit_votes(patterns, seen[:, 1].astype(np.float64))
+    share, accuracy = fit_votes(patterns, seen[:, 1].astype(np.float64))
     quality = F.lit(float(np.log(share / (1 - share))))
-    for j, c in enumerate(votes.values()):
-        odds = np.log(table[j, 1] / table[j, 0])
-        quality = quality + F.when(c == BAD, float(odds[BAD])).when(c == GOOD, float(odds[GOOD])).otherwise(float(odds[ABSTAIN]))
+    for weight, vote in zip(np.log(accuracy / (1 - accuracy)), votes.values(), strict=True):
+        quality = quality + (vote - ABSTAIN) * float(weight)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     judged = stats.drop("_votes").withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-quality)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= min_quality))

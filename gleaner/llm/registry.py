@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import language_id, line_dedup, mixing, privacy, quality_rules, quality_trees, simhash, token_files, warc
+from gleaner.llm import decontamination, language_id, line_dedup, mixing, privacy, quality_rules, quality_trees, simhash, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality_trees.op4_quality,
     "op5_language": language_id.op5_language,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_token_output": token_files.op7_token_output,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,

@@ -46,15 +46,16 @@ def fingerprint(text: str | None, words_in_shingle: int = 4) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words_in_shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for each row of `docs` (doc_id, text)."""
+def fingerprints(docs: DataFrame, words_in_shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """fp beside the integer columns `keep` for each row of `docs` (text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = pa.array([fingerprint(t.as_py(), words_in_shingle) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
+            fp = pa.array([fingerprint(t.as_py(), words_in_shingle) for t in batch.column("_text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], fp], [*keep, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id bigint, fp bigint")
+    whole = docs.select(*[F.col(c).cast("long").alias(c) for c in keep], F.col("text").alias("_text"))
+    return whole.mapInArrow(of, ", ".join(f"{c} bigint" for c in (*keep, "fp")))
 
 
 def segment_counts(fp: Column) -> Column:
@@ -153,19 +154,33 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, bands: int | None
     return cells.select("cell", "fp").mapInArrow(link, "a bigint, b bigint")
 
 
-def simhash_components(docs: DataFrame, max_bits: int = 4, words_in_shingle: int = 4, bands: int | None = None) -> DataFrame:
-    """A row for each row of `docs` (doc_id, text): doc_id, fp, component_id.
+def simhash_components(docs: DataFrame, max_bits: int = 4, words_in_shingle: int = 4, bands: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row for each row of `docs` (doc_id, text): the integer columns `keep` with doc_id, fp, component_id, root.
 
     component_id is the smallest doc_id that links reach, its own included; null ids are passed over
-    (null where a component has no other). Null texts and texts without a word have fingerprint
+    (null where a component has no other); root is the component's least fingerprint. Null texts and texts without a word have fingerprint
     zero and are linked like any other. Repeated rows are linked as copies. Other columns are ignored.
     """
-    d = cut(fingerprints(docs, words_in_shingle))
+    d = cut(fingerprints(docs, words_in_shingle, keep))
     classes = cut(d.groupBy("fp").agg(F.min("doc_id").alias("_least")))
     roots = connected_components(fingerprint_links(classes.select("fp"), max_bits, bands))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return d.join(rooted.join(least, "_root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return d.join(rooted.join(least, "_root").select("fp", "component_id", F.col("_root").alias("root")), "fp").select(*keep, "fp", "component_id", "root")
+
+
+def without_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` (doc_id, text and others) that stand first in their component: one of each.
+
+    First is the smallest doc_id, null ids last; among rows that share it, the least hash of id and text; of wholly
+    repeated rows any one.
+    """
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))  # so that no column of theirs can clash
+    d = whole.withColumn("_row", F.xxhash64("doc.doc_id", "doc.text"))
+    parts = simhash_components(d.select("doc.doc_id", "doc.text", "_row"), keep=("doc_id", "_row"), **options)
+    first = parts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first"))
+    first = first.select(F.col("_first._row").alias("_row")).distinct()
+    return d.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select("doc.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
