@@ -40,36 +40,36 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, start: float = 0.9, least: float = 0.6, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """The share of good documents and each rule's accuracy: the chance that its vote, if it casts one, is right.
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.5, start: float = 0.9, least: float = 0.6, rounds: int = 200) -> np.ndarray:
+    """Each rule's accuracy: the chance that its vote, if it casts one, is right.
 
     `patterns`: vote patterns, a row each; `counts`: how many documents show them. Expectation-maximisation
     from accuracies of `start`, which also weighs as ten documents; rules are held to be better than a
-    coin (`least`) and never sure (0.99), and good documents to be half of all at least.
+    coin (`least`) and never sure (0.99). The share of good documents is given (`prior`), not fitted: most
+    documents are good, and a fitted share would outvote any single rule.
     """
-    accuracy, share = np.full(patterns.shape[1], start), 0.7
+    accuracy = np.full(patterns.shape[1], start)
     for _ in range(rounds):
-        good = posterior(patterns, share, accuracy)
-        share = float(np.clip((good @ counts + 1) / (counts.sum() + 2), 0.5, 0.98))
+        good = posterior(patterns, prior, accuracy)
         right = counts @ ((patterns == GOOD) * good[:, None] + (patterns == BAD) * (1 - good)[:, None])
         new = np.clip((right + 10 * start) / (counts @ (patterns != ABSTAIN) + 10), least, 0.99)
         done, accuracy = np.abs(new - accuracy).max(initial=0) < 1e-9, new
         if done:
             break
-    return share, accuracy
+    return accuracy
 
 
-def posterior(patterns: np.ndarray, share: float, accuracy: np.ndarray) -> np.ndarray:
+def posterior(patterns: np.ndarray, prior: float, accuracy: np.ndarray) -> np.ndarray:
     """The probability that a document with these votes is good."""
     weight = np.log(accuracy / (1 - accuracy))
-    return 1 / (1 + np.exp(-(np.log(share / (1 - share)) + (patterns - ABSTAIN) @ weight)))
+    return 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + (patterns - ABSTAIN) @ weight)))
 
 
-def judge(docs: DataFrame, min_quality: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, min_quality: float = 0.5, prior: float = 0.5) -> DataFrame:
     """A row for each row of `docs` (doc_id, text): doc_id, the counts of text_stats, base_failed, quality, kept.
 
     base_failed: under 20 words, or over 30% of the words in repeated windows. quality is the posterior of
-    the rules' votes; kept asks for `min_quality` and not base_failed. Null and empty texts have counts
+    the rules' votes, `prior` where all abstain; kept asks for `min_quality` and not base_failed. Null and empty texts have counts
     of zero (and one line) and fail. Repeated rows count each. Other columns are ignored. An empty
     table gives an empty one.
 
@@ -81,8 +81,8 @@ def judge(docs: DataFrame, min_quality: float = 0.5) -> DataFrame:
     stats = stats.withColumn("_votes", code.cast("int"))
     seen = np.array([tuple(r) for r in stats.groupBy("_votes").count().orderBy("_votes").collect()], np.int64).reshape(-1, 2)  # at most 3 to the number of rules
     patterns = seen[:, :1] // 3 ** np.arange(len(votes)) % 3
-    share, accuracy = fit_votes(patterns, seen[:, 1].astype(np.float64))
-    quality = F.lit(float(np.log(share / (1 - share))))
+    accuracy = fit_votes(patterns, seen[:, 1].astype(np.float64), prior)
+    quality = F.lit(float(np.log(prior / (1 - prior))))
     for weight, vote in zip(np.log(accuracy / (1 - accuracy)), votes.values(), strict=True):
         quality = quality + (vote - ABSTAIN) * float(weight)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -305,9 +305,9 @@ def test_votes_are_weighed():
     right = [0.95, 0.9, 0.7]
     votes = np.stack([np.where(r.random(5000) < 0.3, 1, np.where((r.random(5000) < a) == good, 2, 0)) for a in right], axis=1)
     patterns, n = np.unique(votes, axis=0, return_counts=True)
-    share, accuracy = quality_rules.fit_votes(patterns, n.astype(float))
-    assert abs(share - 0.8) < 0.05 and np.abs(accuracy - right).max() < 0.06
-    assert ((quality_rules.posterior(votes, share, accuracy) > 0.5) == good).mean() > 0.9
+    accuracy = quality_rules.fit_votes(patterns, n.astype(float), prior=0.8)
+    assert np.abs(accuracy - right).max() < 0.06
+    assert ((quality_rules.posterior(votes, 0.8, accuracy) > 0.5) == good).mean() > 0.9
 
 
 def test_language(spark, odd, none):
