@@ -30,9 +30,9 @@ def any_of(text: Column, patterns: list[str]) -> Column:
     return text.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
 
 
-def auth_status(text: Column, given: Column | None = None) -> Column:
+def auth_status(text: Column, given: Column | None = None, private: list[str] = PRIVATE, public: list[str] = PUBLIC) -> Column:
     """PUBLIC beats PRIVATE; a given status other than UNKNOWN stays."""
-    found = F.when(any_of(text, PUBLIC), "PUBLIC").when(any_of(text, PRIVATE), "PRIVATE").otherwise("UNKNOWN")
+    found = F.when(any_of(text, public), "PUBLIC").when(any_of(text, private), "PRIVATE").otherwise("UNKNOWN")
     return found if given is None else F.when(given != "UNKNOWN", given).otherwise(found)
 
 
@@ -41,8 +41,8 @@ def base_score(text: Column, groups: dict[str, list[str]] = SENSITIVE, points: d
     return sum((F.when(any_of(text, [p]), points[c]).otherwise(0) for c, ps in groups.items() for p in ps), F.lit(0))
 
 
-def risk_score(text: Column, method: Column, auth: Column) -> Column:
-    score = base_score(text) + F.when(method.isin("DELETE", "PUT", "PATCH"), 1).otherwise(0) + F.when(auth == "UNKNOWN", 1).otherwise(0)
+def risk_score(text: Column, method: Column, auth: Column, groups: dict[str, list[str]] = SENSITIVE, points: dict[str, int] = POINTS) -> Column:
+    score = base_score(text, groups, points) + F.when(method.isin("DELETE", "PUT", "PATCH"), 1).otherwise(0) + F.when(auth == "UNKNOWN", 1).otherwise(0)
     return score + F.when((auth == "PUBLIC") & (score > 2), 2).otherwise(0)
 
 
@@ -50,10 +50,10 @@ def risk_level(score: Column) -> Column:
     return F.when(score >= 8, "CRITICAL").when(score >= 5, "HIGH").when(score >= 3, "MEDIUM").when(score >= 1, "LOW").otherwise("INFO")
 
 
-def risk_reasons(text: Column, method: Column, auth: Column) -> Column:
-    found = [F.when(any_of(text, [p]), F.lit(f"{c}: {p}")) for c, ps in SENSITIVE.items() for p in ps]
+def risk_reasons(text: Column, method: Column, auth: Column, groups: dict[str, list[str]] = SENSITIVE, points: dict[str, int] = POINTS) -> Column:
+    found = [F.when(any_of(text, [p]), F.lit(f"{c}: {p}")) for c, ps in groups.items() for p in ps]
     mutation = F.when(method.isin("DELETE", "PUT", "PATCH"), F.concat(F.lit("Mutation: "), method))
-    before = base_score(text) + F.when(method.isin("DELETE", "PUT", "PATCH"), 1).otherwise(0)
+    before = base_score(text, groups, points) + F.when(method.isin("DELETE", "PUT", "PATCH"), 1).otherwise(0)
     return F.array_compact(F.array(*found, mutation, F.when(auth == "UNKNOWN", "Shadow API"), F.when((auth == "PUBLIC") & (before > 2), "Sensitive PUBLIC")))
 
 

@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from gleaner.functions import scoring
-from gleaner.operators.matching import PREFIXED, language_of, match_all, match_prefixed
+from gleaner.operators.matching import PREFIXED, language_of, match_all, match_heuristics, match_prefixed
 
 
 def first_per(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
@@ -30,13 +31,15 @@ def deduplicate(endpoints: DataFrame) -> DataFrame:
     return first_per(endpoints, ["path", "line", F.when(route == "", "/").otherwise(route), "method"], ["pattern", "match", "framework"])
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """Endpoints of `files` (path, content): patterns and prefix joins, scored and deduplicated.
+def scan(files: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """Endpoints of `files` (path, content): patterns, heuristics and prefix joins, scored and deduplicated.
 
-    Contents don't cross a shuffle: only what is extracted does.
+    `languages` says which files to look at, all by default. Contents don't cross a shuffle: only what is extracted does.
     """
     routed = files.withColumn("_l", language_of(F.col("path")))
-    parts = [match_all(files), *[match_prefixed(routed.filter(F.col("_l") == k), k) for k in PREFIXED]]
+    parts = [match_all(files, languages), *[match_prefixed(routed.filter(F.col("_l") == k), k) for k in PREFIXED if languages is None or k in languages]]
+    if languages is None or "python" in languages:
+        parts.append(match_heuristics(files))
     return deduplicate(enrich(reduce(DataFrame.unionByName, parts)))
 
 
@@ -107,10 +110,43 @@ def changed_files(now: DataFrame, baseline: DataFrame) -> DataFrame:
     return now.join(b, now["path"] == F.col("_p"), "left").filter(~F.col("md5").eqNullSafe(F.col("_m"))).drop("_p", "_m")
 
 
-def batches(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
-    """`batch`: the number of the row's chunk of at most `size` rows within its group, from 0."""
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("batch", F.floor((n - 1) / max(1, size)).cast("long"))
+def unchanged_files(now: DataFrame, baseline: DataFrame) -> DataFrame:
+    """The files of `now` (path, md5) that `baseline` has as they are."""
+    b = baseline.select(F.col("path").alias("_p"), F.col("md5").alias("_m"))
+    return now.join(b, (now["path"] == F.col("_p")) & (F.col("md5") == F.col("_m")), "left_semi")
+
+
+def gate(endpoints: DataFrame, broken: DataFrame) -> DataFrame:
+    """One row, critical_found and policy_broken: whether a scan should fail its caller."""
+    risky = endpoints.agg(F.coalesce(F.bool_or(F.col("risk_level") == "CRITICAL"), F.lit(False)).alias("critical_found"))
+    return risky.join(F.broadcast(broken.agg(F.coalesce(F.bool_or(F.col("severity") == "CRITICAL"), F.lit(False)).alias("policy_broken"))))  # a row each
+
+
+def set_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys of two tables with side: added, removed or unchanged."""
+    met = before.select(*keys, F.lit(True).alias("_b")).distinct().join(after.select(*keys, F.lit(True).alias("_a")).distinct(), keys, "full_outer")
+    return met.select(*keys, F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").otherwise("unchanged").alias("side"))
+
+
+def batches(df: DataFrame, group: list[str], order: list[str], size: int, parts: int = 64) -> DataFrame:
+    """`batch`: the number of the row's chunk of at most `size` rows within its group, from 0.
+
+    Groups may be few and huge: where the first column of `order` is a number, groups are cut at `parts` approximate
+    quantiles of it, rows are numbered within a cut, and counts of the cuts before are added. The numbers are
+    exact wherever the cuts fall.
+    """
+    size, first = max(1, size), order[0]
+    if not isinstance(df.schema[first].dataType, NumericType):
+        n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        return df.withColumn("batch", F.floor((n - 1) / size).cast("long"))
+    cuts = df.agg(F.percentile_approx(first, [k / parts for k in range(1, parts)]).alias("_cuts"))  # one row
+    cut = df.join(F.broadcast(cuts)).withColumn("_cut", F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < F.col(first)))).drop("_cuts")
+    counts = cut.groupBy(*group, "_cut").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_cut").alias("_c"), before.alias("_before"))
+    met = cut.join(counts, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_cut") == F.col("_c")])
+    n = F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_cut").orderBy(*order))
+    return met.withColumn("batch", F.floor((n - 1) / size).cast("long")).select(*df.columns, "batch")
 
 
 def cache_lookup(wanted: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:

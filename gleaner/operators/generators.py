@@ -57,3 +57,19 @@ def with_templates(endpoints: DataFrame, templates: DataFrame, per_category: int
     first = templates.withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy("ordinal"))).filter(F.col("_n") <= per_category)
     packed = first.agg(F.array_sort(F.collect_list(F.struct("category", F.col("_n").alias("n"), "payload"))).alias("_t"))
     return endpoints.join(packed).select(*endpoints.columns, F.inline("_t")).withColumn("name", F.concat_ws("_", "category", "n"))
+
+
+def ownership_violations(fields: DataFrame) -> DataFrame:
+    """Rows with another owner's id and with id 0, for fields with idor_risk whose signals speak of ownership; expected holds the status codes that are due."""
+    told = F.arrays_overlap("signals", F.array(F.lit("ownership_pattern"), F.lit("path_param_id"))) & F.col("idor_risk")
+    codes = lambda *cs: F.array(*[F.lit(c) for c in cs])
+    rows = F.array(
+        F.struct(F.lit("other_owner").alias("violation"), F.lit("<OTHER_USER_ID>").alias("value"), codes(403, 404).alias("expected")),
+        F.struct(F.lit("zero_id").alias("violation"), F.lit("0").alias("value"), codes(400, 403, 404).alias("expected")),
+    )
+    return fields.filter(told).select("*", F.inline(rows))
+
+
+def confident(rows: DataFrame, least: float = 0.4) -> DataFrame:
+    """The rows (confidence) that are sure enough to be tried."""
+    return rows.filter(F.col("confidence") >= least)

@@ -178,3 +178,91 @@ def robust_json(text):
     clean = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_extract(c, r"(?s)(\{.*\}|\[.*\])", 1), r"(?m)(^|\s)//[^\n]*", "$1"), r",\s*([}\]])", "$1")
     missing = lambda c: F.regexp_replace(clean(c), r"([\"\d}\]el])\s*\n(\s*\")", "$1,\n$2")
     return F.coalesce(valid(text), valid(fenced), valid(clean(F.coalesce(fenced, text))), valid(missing(F.coalesce(fenced, text))))
+
+
+#: JSON type and format of C# types, by name in lower case.
+CSHARP_TYPES = {
+    "int": ("integer", "int32"), "int32": ("integer", "int32"), "short": ("integer", "int32"), "int16": ("integer", "int32"), "byte": ("integer", "int32"), "long": ("integer", "int64"), "int64": ("integer", "int64"),
+    "float": ("number", "float"), "single": ("number", "float"), "double": ("number", "double"), "decimal": ("number", "double"), "bool": ("boolean", None), "boolean": ("boolean", None), "string": ("string", None),
+    "guid": ("string", "uuid"), "datetime": ("string", "date-time"), "datetimeoffset": ("string", "date-time"), "timespan": ("string", "duration"),
+}
+_SIMPLE = {*CSHARP_TYPES, "char", "uint", "uint32", "uint64", "object", "dynamic"}
+_LIST = re.compile(r"^(?:I?List|IEnumerable|ICollection|HashSet|Array)<(.+)>$|^(.+)\[\]$", re.I)
+
+
+def csharp_schema(name: str) -> tuple[str, str | None, bool, str | None]:
+    """(JSON type, format, nullable, class referred to) of a C# type; lists refer to the class of their items."""
+    bare = name.replace("?", "")
+    if m := _LIST.match(bare):
+        return "array", None, "?" in name, csharp_schema(m.group(1) or m.group(2))[3]
+    if bare.lower() in CSHARP_TYPES:
+        return *CSHARP_TYPES[bare.lower()], "?" in name, None
+    if re.match(r"^I?Dictionary<", bare):
+        return "object", None, "?" in name, None
+    return "object", None, "?" in name, bare.split(".")[-1]
+
+
+def _is_complex(name: str) -> bool:
+    bare = name.replace("?", "")
+    m = _LIST.match(bare)
+    return _is_complex(m.group(1) or m.group(2)) if m else bare.lower() not in _SIMPLE
+
+
+def _split_top(text: str) -> list[str]:
+    """The parts between commas outside of angle brackets."""
+    depth, parts = 0, [""]
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        if c == "," and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return [p.strip() for p in parts if p.strip()]
+
+
+def _per_file(files: DataFrame, extension: str, schema: str, rows) -> DataFrame:
+    """Rows that a function finds in the text of each file of an extension."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(p, *r) for p, t in zip(pdf["path"], pdf["content"], strict=True) if t for r in rows(t)], columns=[x.split()[0] for x in schema.split(", ")])
+
+    return files.select("path", "content").filter(F.endswith("path", F.lit(extension))).mapInPandas(run, schema)
+
+
+def _actions(text: str) -> Iterator[tuple]:
+    for m in re.finditer(r"\[Http\w+(?:\([^)]*\))?\]\s*(?:\[[^\]]*\]\s*)*(?:public|private|protected)\s+[^(;{]*?(\w+)\s*\(((?:[^()]|\([^()]*\))*)\)", text):
+        for k, p in enumerate(_split_top(m.group(2))):
+            source = (re.findall(r"\[From(Body|Query|Route|Uri|Header)\b", p, re.I) or [""])[0].lower()
+            if q := re.match(r"^([\w<>,\[\]?.]+)\s+(\w+)(?:\s*=\s*(.+))?$", re.sub(r"\[[^\]]+\]\s*", "", p).strip()):
+                place = {"uri": "query", "route": "path", "": "body" if _is_complex(q.group(1)) else "query"}.get(source, source)
+                yield m.group(1), k, q.group(2), q.group(1), place, q.group(3) is None, csharp_schema(q.group(1))[0]
+
+
+def action_parameters(files: DataFrame) -> DataFrame:
+    """(path, action, position, name, type, place, required, json_type) for each parameter of C# actions; classes are bodies unless said otherwise."""
+    return _per_file(files, ".cs", "path string, action string, position int, name string, type string, place string, required boolean, json_type string", _actions)
+
+
+def _properties(text: str) -> Iterator[tuple]:
+    for c in re.finditer(r"(?:public|internal)\s+(?:sealed\s+|partial\s+|abstract\s+)*(?:class|record|struct)\s+(\w+)(?:\s*<[^>]+>)?(?:\s*:\s*[^{]+)?\s*\{", text):
+        body = text[c.end() : block_end(text, c.end() - 1)]
+        for p in re.finditer(r"((?:\[[^\]]*\]\s*)*)(?:public|internal)\s+(?:virtual\s+|required\s+)?([\w<>,\[\]?.]+)\s+(\w+)\s*\{\s*get;", body):
+            name = (re.findall(r"Json(?:Property|PropertyName)\s*\(\s*\"([^\"]+)\"", p.group(1)) or [p.group(3)])[0]
+            kind, fmt, nullable, ref = csharp_schema(p.group(2))
+            yield c.group(1), name[:1].lower() + name[1:], kind, fmt, nullable, "Required" in p.group(1), ref
+
+
+def dto_properties(files: DataFrame) -> DataFrame:
+    """(path, class, property, json_type, format, nullable, required, ref) for each property of C# classes; `ref` names a class that joins to `class`."""
+    return _per_file(files, ".cs", "path string, class string, property string, json_type string, format string, nullable boolean, required boolean, ref string", _properties)
+
+
+def reachable_classes(properties: DataFrame, wanted: DataFrame, depth: int = 8) -> DataFrame:
+    """(class) of `wanted` and all that they refer to, at most `depth` references away: one join a level, none seen twice."""
+    refs = properties.filter(F.col("ref").isNotNull()).select("class", "ref").distinct()
+    seen = frontier = wanted.select("class").distinct()
+    for _ in range(depth):
+        frontier = refs.join(frontier, "class", "left_semi").select(F.col("ref").alias("class")).distinct().join(seen, "class", "left_anti")
+        seen = seen.union(frontier)
+    return seen

@@ -1,0 +1,260 @@
+"""Queries over small pieces of source code and routes, given as literal rows here and in their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions import responses, routes
+from gleaner.operators import endpoints as ep
+from gleaner.operators import enrichment, matching, parsers
+from gleaner.plans import sinks
+from gleaner.plans.query import query, values
+from gleaner.sources import files
+
+PY = '''from fastapi import FastAPI, APIRouter
+app = FastAPI()
+# @app.get("/old")
+orders = APIRouter()
+app.include_router(orders, prefix="/api/orders/")
+
+@app.get("/users/{user_id}")
+def read_user(user_id: int) -> dict:
+    """Find a user.
+
+    Args:
+        user_id: whose it is
+    """
+    if user_id < 1:
+        raise ValueError("user_id")
+    return {}
+
+@app.delete("/users/{user_id}/token")
+@login_required
+def drop_token(user_id: int, scope: Literal["all", "own"] = "own"):
+    return {}
+
+@orders.post("/new")
+def new_order(size: int = Field(gt=0, le=10)):
+    assert size <= 8
+    return {}, 201
+'''
+JS = """const app = express();
+app.use('/v1', people);
+people.get('/list', (req, res) => {});
+people.post('add', (req, res) => {});
+app.use(`/v2`, people);
+"""
+GO = """package main
+v1 := r.Group("/api/")
+v1.GET("/ping", ping)
+other.GET("/none", none)
+"""
+CS = """[Authorize]
+[Route("api/[controller]")]
+public class OrdersController : ControllerBase {
+    [HttpGet("{id}")]
+    public IActionResult Find(int id) { return Ok(); }
+
+    [HttpPost]
+    public ActionResult<OrderDto> Add([FromBody] OrderDto order, int copies = 1) { if (true) { } return Ok(); }
+}
+public class OrderDto {
+    [Required] public string Name { get; set; }
+    public int? Count { get; set; }
+    [JsonProperty("when")] public DateTime At { get; set; }
+    public List<LineDto> Lines { get; set; }
+}
+"""
+JAVA = """@RestController
+@RequestMapping("/shop")
+public class ShopController {
+    @GetMapping("/items/{id}")
+    public Item find(int id) { return null; }
+    @PostMapping
+    @PreAuthorize("hasRole('A')")
+    public Item add() { return null; }
+}
+"""
+YAML = """openapi: 3.0.0
+paths:
+  /pets:
+    get:
+      summary: all
+    post:
+      summary: new
+  "/pets/{id}":
+    delete:
+      summary: gone
+"""
+JSON = '{"openapi": "3.0.0", "paths": {"/a": {"get": {}, "post": {"x": 1}}, "/b": {"parameters": []}}}'
+SDL = """type Query {
+  users(limit: Int): [User]
+  me: User
+}
+type Mutation {
+  addUser(name: String): User
+}
+type User { id: ID }
+"""
+HANDLER = """class UserHandler(Base):
+    def get(self, key):
+        return call("/api/v2/users/")
+app.register_blueprint(admin, url_prefix="/adm")
+app.register_blueprint(shop)
+"""
+SOURCES = [("app/main.py", PY), ("web/server.js", JS), ("svc/main.go", GO), ("src/Orders.cs", CS), ("src/Shop.java", JAVA), ("spec/pets.yaml", YAML), ("spec/a.json", JSON), ("s/schema.graphql", SDL), ("web/handlers/users.py", HANDLER)]
+ROUTES = [("GET", "/api/v1/users/{id:int}"), ("PUT", "/files/<uuid:key>/parts/<name>"), ("DELETE", "/x/:item_id/:is_ok"), ("POST", "plain/new"), ("PATCH", "/"), ("GET", "/api/v2")]
+
+
+def code(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SOURCES, "path string, content string")
+
+
+def route_rows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ROUTES, "method string, route string")
+
+
+@query(values("path, line, method, route, framework", [
+    ("app/main.py", 23, "POST", "/api/orders/new", "FastAPI"), ("web/server.js", 3, "GET", "/v2/list", "Express"), ("web/server.js", 4, "POST", "/v2/add", "Express"), ("svc/main.go", 3, "GET", "/api/ping", "Gin"),
+]))
+def prefix_join_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes below the prefix of their variable; the last prefix counts."""
+    found = [matching.match_prefixed(code(spark).filter(matching.language_of(F.col("path")) == k), k) for k in ("python", "javascript", "go")]
+    return found[0].union(found[1]).union(found[2]).select("path", "line", "method", "route", "framework")
+
+
+@query(values("path, line, method, route, framework", [
+    ("web/handlers/users.py", 1, "HANDLER", "/handlers.users.UserHandler", "Legacy-Handler"), ("web/handlers/users.py", 2, "GET", "/users", "Legacy-Handler"), ("web/handlers/users.py", 1, "CLASS", "UserHandler", "Custom-Class"),
+    ("web/handlers/users.py", 3, "ANY", "/api/v2/users/", "Dynamic-Route"), ("web/handlers/users.py", 4, "BLUEPRINT", "/adm", "Flask-Blueprint"), ("web/handlers/users.py", 5, "BLUEPRINT", "/shop", "Flask-Blueprint"),
+]))
+def python_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match_heuristics(code(spark)).select("path", "line", "method", "route", "framework")
+
+
+@query(values("path, line, method, route, auth_status", [
+    ("app/main.py", 7, "GET", "/users/{user_id}", "UNKNOWN"), ("app/main.py", 18, "DELETE", "/users/{user_id}/token", "PRIVATE"), ("app/main.py", 23, "POST", "/api/orders/new", "UNKNOWN"),
+]))
+def scan_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan over a Python file: patterns of all frameworks and prefixes, scored, each route once."""
+    return ep.scan(code(spark).filter(F.col("path") == "app/main.py"), ["python"]).filter(F.col("kind") == "ENDPOINT").select("path", "line", "method", "route", "auth_status").filter(F.startswith("route", F.lit("/")))
+
+
+@query(values("path, line, controller, action, method, route, auth_status", [
+    ("src/Orders.cs", 4, "Orders", "Find", "GET", "/api/Orders/{id}", "PRIVATE"), ("src/Orders.cs", 7, "Orders", "Add", "POST", "/api/Orders", "PRIVATE"),
+    ("src/Shop.java", 4, "ShopController", "find", "GET", "/shop/items/{id}", "PRIVATE"), ("src/Shop.java", 6, "ShopController", "add", "POST", "/shop", "PRIVATE"),
+]))
+def controller_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsers.controllers(code(spark))
+
+
+@query(values("path, action, position, name, type, place, required", [
+    ("src/Orders.cs", "Find", 0, "id", "int", "query", True), ("src/Orders.cs", "Add", 0, "order", "OrderDto", "body", True), ("src/Orders.cs", "Add", 1, "copies", "int", "query", False),
+]))
+def action_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsers.action_parameters(code(spark)).select("path", "action", "position", "name", "type", "place", "required")
+
+
+@query(values("class, property, json_type, format, nullable, required, ref", [
+    ("OrderDto", "name", "string", None, False, True, None), ("OrderDto", "count", "integer", "int32", True, False, None), ("OrderDto", "when", "string", "date-time", False, False, None), ("OrderDto", "lines", "array", None, False, False, "LineDto"),
+]))
+def dto_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsers.dto_properties(code(spark)).select("class", "property", "json_type", "format", "nullable", "required", "ref")
+
+
+@query(values("function, line, hints, returns, summary, parameters, constraints", [
+    ("read_user", 8, '{"user_id": "int"}', "dict", "Find a user.", '{"user_id": "whose it is"}', '{"user_id": {"ge": 1, "signals": ["inline_validation"]}}'),
+    ("drop_token", 20, '{"user_id": "int", "scope": "Literal[\'all\', \'own\']"}', None, "", "{}", '{"scope": {"enum": ["all", "own"], "signals": ["literal_type"]}}'),
+    ("new_order", 24, '{"size": "int"}', None, "", "{}", '{"size": {"gt": 0, "le": 8, "signals": ["inline_validation", "pydantic_field_constraint"]}}'),
+]))
+def python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsers.python_functions(code(spark).filter(F.col("path") == "app/main.py")).select("function", "line", "hints", "returns", "summary", "parameters", "constraints")
+
+
+@query(values("function, scheme", [("drop_token", "session")]))
+def auth_decorators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsers.auth_schemes(parsers.python_functions(code(spark))).select("function", "scheme")
+
+
+@query(values("path, line, route, method", [("spec/pets.yaml", 4, "/pets", "GET"), ("spec/pets.yaml", 6, "/pets", "POST"), ("spec/pets.yaml", 9, "/pets/{id}", "DELETE")]))
+def spec_yaml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.spec_lines(code(spark).filter(F.endswith("path", F.lit(".yaml"))))
+
+
+@query(values("path, route, method", [("spec/a.json", "/a", "GET"), ("spec/a.json", "/a", "POST"), ("spec/a.json", "/b", "ANY")]))
+def spec_json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.spec_json(code(spark).filter(F.endswith("path", F.lit(".json"))))
+
+
+@query(values("path, operation, field", [("s/schema.graphql", "query", "users"), ("s/schema.graphql", "query", "me"), ("s/schema.graphql", "mutation", "addUser")]))
+def graphql_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.graphql(code(spark).filter(F.endswith("path", F.lit(".graphql"))))
+
+
+@query(values("route, name, type, format, description", [
+    ("/api/v1/users/{id:int}", "id", "integer", None, "Id identifier"), ("/files/<uuid:key>/parts/<name>", "key", "string", "uuid", "Key"), ("/files/<uuid:key>/parts/<name>", "name", "string", None, "Name"),
+    ("/x/:item_id/:is_ok", "item_id", "integer", None, "Item Id identifier"), ("/x/:item_id/:is_ok", "is_ok", "boolean", None, "Flag indicating is ok"),
+]))
+def route_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = route_rows(spark).select("route", F.explode(routes.params(F.col("route"))).alias("p"))
+    kind = routes.param_type(F.col("p.name"), F.col("p.hint"))
+    return p.select("route", "p.name", kind.alias("type"), routes.param_format(F.col("p.name"), F.col("p.hint")).alias("format"), routes.param_description(F.col("p.name"), kind).alias("description"))
+
+
+_ROUTES_SQL = f"WITH r AS ({values('method, route', ROUTES)}) "
+
+
+@query(_ROUTES_SQL + r"SELECT route, regexp_replace(CASE WHEN route LIKE '/%' THEN route ELSE '/' || route END, ':([a-zA-Z_][a-zA-Z0-9_]*)', '{\1}', 'g') AS normalised FROM r")
+def route_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route_rows(spark).select("route", routes.normalise(F.col("route")).alias("normalised"))
+
+
+@query(_ROUTES_SQL + r"""SELECT method, route, CASE method WHEN 'GET' THEN CASE WHEN regexp_matches(route, '[{<]|/:') THEN 'read' ELSE 'list' END WHEN 'POST' THEN 'create' WHEN 'DELETE' THEN 'delete' ELSE 'update' END AS operation,
+CASE method WHEN 'GET' THEN 'Retrieve ' WHEN 'POST' THEN 'Create new ' WHEN 'PUT' THEN 'Update ' WHEN 'PATCH' THEN 'Partially update ' ELSE 'Delete ' END || CASE route WHEN '/api/v1/users/{id:int}' THEN 'users' WHEN '/files/<uuid:key>/parts/<name>' THEN 'parts' WHEN '/x/:item_id/:is_ok' THEN 'x' WHEN 'plain/new' THEN 'new' ELSE 'resource' END AS description,
+method IN ('POST', 'PUT', 'PATCH') AS has_body FROM r""")
+def crud_op(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, r = F.col("method"), F.col("route")
+    return route_rows(spark).select("method", "route", routes.crud(m, r).alias("operation"), responses.description(m, routes.resource(r)).alias("description"), responses.has_body(m).alias("has_body"))
+
+
+@query(_ROUTES_SQL + "SELECT route, lower(method) || '_' || coalesce(nullif(trim(regexp_replace(route, '[^a-zA-Z0-9]+', '_', 'g'), '_'), ''), 'root') AS operation_id FROM r")
+def operation_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route_rows(spark).select("route", routes.operation_id(F.col("method"), F.col("route")).alias("operation_id"))
+
+
+@query(values("policy, severity, route", [
+    ("no-public-admin", "CRITICAL", "/admin"), ("no-sensitive-public", "CRITICAL", "/Token"), ("no-shadow-mutation", "HIGH", "/items"), ("auth-coverage", "MEDIUM", "/items"), ("no-debug-endpoints", "HIGH", "/swagger"),
+    ("no-shadow-mutation", "HIGH", "/health"),
+]))
+def policies_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("GET", "/admin", "PUBLIC"), ("GET", "/Token", "PUBLIC"), ("POST", "/items", "UNKNOWN"), ("GET", "/swagger", "PRIVATE"), ("PUT", "/health", "UNKNOWN"), ("GET", "/fine", "PRIVATE")]
+    return ep.violations(spark.createDataFrame(rows, "method string, route string, auth_status string")).select("policy", "severity", "route")
+
+
+_CODE = "status_code=201\nreturn x, 404\nResponse(body, status=302)\nHTTP_401_UNAUTHORIZED\nraise HTTPException(status 500)\nreturn y, 404"
+
+
+@query(values("code, found", [(201, True), (302, True), (401, True), (404, True), (500, True), (202, False), (200, False), (400, False), (403, False), (409, False), (422, False), (429, False)]))
+def responses_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status codes of a piece of code, then those that are usual for its method."""
+    d = spark.createDataFrame([(_CODE,)], "code string").select(F.inline(responses.merged(routes.status_codes(F.col("code")), F.lit("POST"))))
+    return d.select("code", "found")
+
+
+@query(values("n, status, error, repaired", [
+    (1, "SUCCESS", None, '{"responses":{"200":{"description":"Success"},"500":{"description":"Internal Server Error"}},"summary":"API endpoint operation"}'),
+    (2, "SUCCESS", None, '{"parameters":[{"name":"a","in":"path"}],"requestBody":{"content":{"application/json":{"schema":{"type":"object"}}}},"responses":{"200":{}},"summary":"s"}'),
+    (3, "FAILED", "parameters", None), (4, "FAILED", "parameters", None), (5, "FAILED", "operation", None), (6, "FAILED", "operation", None),
+]))
+def operations_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "{}"), (2, '{"parameters":[{"name":"a","in":"path"}],"requestBody":{"x":1},"responses":{"200":{}},"summary":"s"}'), (3, '{"parameters":{"a":1}}'), (4, '{"parameters":[{"name":"a","in":"moon"}]}'), (5, "[1]"), (6, None)]
+    return enrichment.repaired_operations(spark.createDataFrame(rows, "n int, operation string")).select("n", "status", "error", "repaired")
+
+
+@query(values("route, method, operation", [
+    ("/users/{id}", "get", '{"operationId":"get_users_id","parameters":[{"name":"id","in":"path","required":true,"schema":{"type":"string"}}],"x-risk-level":"LOW","responses":{"200":{"description":"OK"}}}'),
+    ("/login", "post", '{"operationId":"post_login","parameters":[],"x-risk-level":"HIGH","responses":{"200":{"description":"OK"}}}'),
+]))
+def openapi_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("a.py", 1, "GET", "users/:id", "ENDPOINT", "LOW"), ("b.py", 1, "GET", "/users/{id}", "ENDPOINT", "HIGH"), ("b.py", 2, "MUTATION", "/login", "ENDPOINT", "HIGH"), ("b.py", 3, "ANY", "/", "ENDPOINT", "LOW"), ("b.py", 4, "ANY", "/x", "CONFIG", "LOW")]
+    return sinks.openapi_operations(spark.createDataFrame(rows, "path string, line int, method string, route string, kind string, risk_level string"))

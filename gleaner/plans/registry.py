@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from gleaner.plans import literal_queries, table_queries, text_queries
+from gleaner.plans.query import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "literal_queries", "table_queries", "text_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    """The documents' risk levels and how many have no known authentication."""
+    return text_queries.risk_bucket_counts(spark, sf_dir)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.routes import normalise, operation_id, params, param_type
@@ -71,3 +73,16 @@ def report(endpoints: DataFrame, dimension_counts: DataFrame) -> DataFrame:
     """(section, value): the summary's counts and each endpoint as JSON lines."""
     rows = endpoints.select(F.lit("endpoint").alias("section"), F.to_json(F.struct(*[c for c in endpoints.columns if c != "context"])).alias("value"))
     return dimension_counts.select(F.lit("summary").alias("section"), F.to_json(F.struct("dimension", "value", "n")).alias("value")).unionByName(rows)
+
+
+def audit_lines(scan_id: str, at: Column, completed: DataFrame | None = None, critical: DataFrame | None = None, broken: DataFrame | None = None) -> DataFrame:
+    """(value): a JSON line for each row of a scan's summaries, critical findings and violations, ready to be appended as text."""
+    kinds = [("SCAN_COMPLETED", "summary", completed), ("CRITICAL_FINDING", "endpoint", critical), ("POLICY_VIOLATION", "violation", broken)]
+    line = lambda kind, name, df: df.select(F.to_json(F.struct(F.lit(kind).alias("event_type"), F.lit(scan_id).alias("scan_id"), at.alias("timestamp"), F.struct(*df.columns).alias(name))).alias("value"))
+    return reduce(DataFrame.union, [line(*k) for k in kinds if k[2] is not None])
+
+
+def series(counters: DataFrame, at: Column, tags: list[str], prefix: str = "api_scan") -> DataFrame:
+    """(value): a JSON point for each column of a one-row table of numbers, for services that take series of gauges."""
+    points = F.array(*[F.to_json(F.struct(F.lit(f"{prefix}.{c}").alias("metric"), F.array(F.array(at.cast("double"), F.col(c).cast("double"))).alias("points"), F.array(*[F.lit(t) for t in tags]).alias("tags"), F.lit("gauge").alias("type"))) for c in counters.columns])
+    return counters.select(F.explode(points).alias("value"))
