@@ -11,7 +11,9 @@ A file is, all integers little-endian:
 
 from __future__ import annotations
 
+import os
 import posixpath
+import re
 import struct
 import uuid
 import zlib
@@ -28,7 +30,9 @@ from gleaner.llm.common import new_folder, table
 
 MAGIC = b"GLTOK1\0\0"
 BLOCK_IDS = 1 << 16
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1_000_000
+STOPS = tuple(".,;:!?")
+_BEYOND_LATIN = re.compile("[^\\x00-\\u024f]")
 
 
 def min_bits(vocabulary: int) -> int:
@@ -149,10 +153,12 @@ class WordEncoder:
 
     For tokenizers whose tokens never span a space or a line feed, and that drop these: the ids of a
     text are then those of its pieces in turn. `splits` tells whether the tokenizer at hand is so; else
-    whole texts are encoded. Texts that hold an added token's string are encoded whole as well.
+    whole texts are encoded. Where the tokenizer ignores case, Latin texts are remembered in lower case; where it
+    parts a word from a stop after it (`stops`), the word is remembered once for all stops. Texts that hold an added token's string are encoded whole as well.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -160,7 +166,8 @@ class WordEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         probe = "Ab c,\n \n'd Éf. 12 \n x"
         self.splits = self._ids(probe) == b"".join(self._ids(w) for w in probe.replace("\n", " ").split(" "))
-        self.lower = self._ids("AB Cd") == self._ids("ab cd")
+        self.lower = self._ids("AB Cd ÉÄÑ Ğ") == self._ids("ab cd éäñ ğ")
+        self.stops = self.splits and all(self._ids(w + p) == self._ids(w) + self._ids(p) for w in ("ab", "xyzé", "it's") for p in STOPS)
         self.memo: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
@@ -171,17 +178,22 @@ class WordEncoder:
             return b""
         if not self.splits or any(a in text for a in self.added):
             return self._ids(text)
-        if self.lower and text.isascii():
+        if self.lower and (text.isascii() or not _BEYOND_LATIN.search(text)):
             text = text.lower()
         memo = self.memo
         words = text.replace("\n", " ").split(" ")
         fresh = [w for w in set(words) if w not in memo]
         if fresh:
-            if len(memo) + len(fresh) > MEMO_WORDS:
+            if len(memo) + 2 * len(fresh) > MEMO_WORDS:
                 memo.clear()
                 fresh = list(set(words))
-            for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            stopped = [w for w in fresh if self.stops and w[-1:] in STOPS and w[-2:-1].isalpha()]
+            parts = {w[:-1] for w in stopped} | {w[-1] for w in stopped} | set(fresh).difference(stopped)
+            parts = [w for w in parts if w not in memo]
+            for w, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
                 memo[w] = np.array(e.ids, "<u4").tobytes()
+            for w in stopped:
+                memo[w] = memo[w[:-1]] + memo[w[-1]]
         return b"".join([memo[w] for w in words])
 
 
