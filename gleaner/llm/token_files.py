@@ -30,7 +30,8 @@ from gleaner.llm.common import new_folder, table
 
 MAGIC = b"GLTOK1\0\0"
 BLOCK_IDS = 1 << 16
-MEMO_WORDS = 1_000_000
+#: Words remembered by an encoder, at about 200 bytes each: its tasks share it.
+MEMO_WORDS = 300_000
 STOPS = tuple(".,;:!?")
 _BEYOND_LATIN = re.compile("[^\\x00-\\u024f]")
 
@@ -155,9 +156,13 @@ class WordEncoder:
     text are then those of its pieces in turn. `splits` tells whether the tokenizer at hand is so; else
     whole texts are encoded. Where the tokenizer ignores case, Latin texts are remembered in lower case; where it
     parts a word from a stop after it (`stops`), the word is remembered once for all stops. Texts that hold an added token's string are encoded whole as well.
+
+    Memory: words are remembered in two generations of `memo_words` / 2. When the new one is full, it takes the place
+    of the old one, and those still in use come back from there, so frequent words stay whatever else comes by.
+    Only the words of the text at hand go beyond that.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -168,7 +173,9 @@ class WordEncoder:
         self.splits = self._ids(probe) == b"".join(self._ids(w) for w in probe.replace("\n", " ").split(" "))
         self.lower = self._ids("AB Cd ÉÄÑ Ğ") == self._ids("ab cd éäñ ğ")
         self.stops = self.splits and all(self._ids(w + p) == self._ids(w) + self._ids(p) for w in ("ab", "xyzé", "it's") for p in STOPS)
+        self.memo_words = memo_words
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -180,13 +187,17 @@ class WordEncoder:
             return self._ids(text)
         if self.lower and (text.isascii() or not _BEYOND_LATIN.search(text)):
             text = text.lower()
-        memo = self.memo
+        if len(self.memo) > self.memo_words // 2:
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
         words = text.replace("\n", " ").split(" ")
-        fresh = [w for w in set(words) if w not in memo]
+        fresh = []
+        for w in set(words).difference(memo):
+            if w in old:
+                memo[w] = old[w]
+            else:
+                fresh.append(w)
         if fresh:
-            if len(memo) + 2 * len(fresh) > MEMO_WORDS:
-                memo.clear()
-                fresh = list(set(words))
             stopped = [w for w in fresh if self.stops and w[-1:] in STOPS and w[-2:-1].isalpha()]
             parts = {w[:-1] for w in stopped} | {w[-1] for w in stopped} | set(fresh).difference(stopped)
             parts = [w for w in parts if w not in memo]
