@@ -6,11 +6,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gleaner.functions.routes import surrounding
+from gleaner.operators.endpoints import cache_lookup
 
 
 def with_code(endpoints: DataFrame, files: DataFrame, around: int = 25) -> DataFrame:
@@ -76,3 +77,32 @@ def repaired_operations(operations: DataFrame) -> DataFrame:
     ))
     fixed = F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
     return operations.withColumn("error", error).withColumn("status", F.when(F.col("error").isNull(), "SUCCESS").otherwise("FAILED")).withColumn("repaired", F.when(F.col("error").isNull(), fixed))
+
+
+def cached_batches(wanted: DataFrame, batch: list[str], cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
+    """`wanted` (key, batch columns) with value and `asks`: a batch is asked for as a whole unless all its keys have fresh entries."""
+    met = cache_lookup(wanted, cache, now, ttl_seconds)
+    return met.withColumn("asks", ~F.bool_and("hit").over(Window.partitionBy(*batch)))
+
+
+def _without(key: str) -> Callable[[Column], Column]:
+    return lambda x: F.coalesce(~F.map_contains_key(x, key), F.lit(True))
+
+
+def checked_lists(rows: DataFrame, lists: dict[str, list[str]]) -> DataFrame:
+    """`rows` (answer, JSON) with status, error, defaulted and a column for each of `lists`, its JSON (`[]` where it is missing).
+
+    An answer must be an object, each list an array, and its items objects with the keys that `lists` names for it;
+    else the answer is FAILED and `error` names the part. An answer without any of the lists gets all of them, empty.
+    """
+    whole = F.startswith(F.ltrim("answer"), F.lit("{")) & F.try_parse_json("answer").isNotNull()
+    error, found = F.when(~F.coalesce(whole, F.lit(False)), "answer"), {n: F.get_json_object("answer", f"$.{n}") for n in lists}
+    for n, keys in lists.items():
+        items = F.from_json(found[n], "array<map<string,string>>")
+        bad = ~F.startswith(found[n], F.lit("["))
+        for k in keys:
+            bad = bad | F.coalesce(F.exists(items, _without(k)), F.lit(True))
+        error = error.when(found[n].isNotNull() & bad, n)
+    out = rows.withColumn("error", error).withColumn("status", F.when(F.col("error").isNull(), "SUCCESS").otherwise("FAILED"))
+    out = out.withColumn("defaulted", F.col("error").isNull() & F.coalesce(*found.values()).isNull())
+    return out.select("*", *[F.when(F.col("error").isNull(), F.coalesce(c, F.lit("[]"))).alias(n) for n, c in found.items()])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.routes import lookup
+
 #: Words that give privileges away.
 PRIVILEGES = ["admin", "root", "superuser", "administrator", "staff", "moderator", "manager"]
 
@@ -49,12 +51,14 @@ def missing_required(fields: DataFrame, key: list[str]) -> DataFrame:
     return fields.filter("required").join(others, on).select(*key, F.col("field").alias("missing"), F.array_join(F.array_remove("_all", F.col("field")), ",").alias("sent"))
 
 
-def with_templates(endpoints: DataFrame, templates: DataFrame, per_category: int = 2) -> DataFrame:
-    """Each endpoint with the first `per_category` templates (category, ordinal, payload) of each category.
+def with_templates(endpoints: DataFrame, templates: DataFrame, per_category: int | None = 2) -> DataFrame:
+    """Each endpoint with the first `per_category` templates (category, ordinal, payload) of each category, or with all.
 
     Templates are cut before they meet the endpoints: a table of categories times `per_category` rows, given by the caller.
     """
-    first = templates.withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy("ordinal"))).filter(F.col("_n") <= per_category)
+    first = templates.withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy("ordinal")))
+    if per_category is not None:
+        first = first.filter(F.col("_n") <= per_category)
     packed = first.agg(F.array_sort(F.collect_list(F.struct("category", F.col("_n").alias("n"), "payload"))).alias("_t"))
     return endpoints.join(packed).select(*endpoints.columns, F.inline("_t")).withColumn("name", F.concat_ws("_", "category", "n"))
 
@@ -73,3 +77,36 @@ def ownership_violations(fields: DataFrame) -> DataFrame:
 def confident(rows: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows (confidence) that are sure enough to be tried."""
     return rows.filter(F.col("confidence") >= least)
+
+
+def parameter_tests(endpoints: DataFrame, templates: DataFrame, per_category: int | None = None) -> DataFrame:
+    """Each parameter (name, place) of `endpoints` (parameters, an array of these, and others) with each template.
+
+    Endpoints without parameters are tried with `id` and `search` in the query.
+    """
+    usual = F.array(*[F.struct(F.lit(n).alias("name"), F.lit("query").alias("place")) for n in ("id", "search")])
+    own = F.when(F.size("parameters") > 0, F.col("parameters")).otherwise(usual)
+    met = endpoints.select(*[c for c in endpoints.columns if c != "parameters"], F.inline(own).alias("parameter", "place"))
+    return with_templates(met, templates, per_category)
+
+
+#: What a field of a JSON type holds where nothing is tried, as JSON.
+DEFAULTS = {"string": '"test"', "integer": "1", "number": "1.0", "boolean": "true", "array": "[]", "object": "{}"}
+
+
+def default_value(json_type: Column) -> Column:
+    return lookup(json_type, DEFAULTS, F.lit(DEFAULTS["string"]))
+
+
+def injected_bodies(fields: DataFrame, key: list[str], templates: DataFrame, per_category: int | None = 5) -> DataFrame:
+    """Bodies (JSON) with a template's payload in one string field and defaults in the others.
+
+    `fields` is (key columns, field, json_type), one row for each field of an endpoint's body; a row comes out for each string
+    field and template. Fields stand in order of their names. An endpoint's fields meet in one row, not those of others.
+    """
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    bodies = fields.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("field", "json_type"))).alias("_f"))
+    targets = bodies.select(*key, "_f", F.explode(F.filter("_f", lambda f: f["json_type"] == "string"))).select(*key, "_f", F.col("col.field").alias("field"))
+    tried = with_templates(targets, templates, per_category).withColumn("_p", quoted(F.col("payload")))
+    pair = lambda f: F.concat(quoted(f["field"]), F.lit(":"), F.when(f["field"] == F.col("field"), F.col("_p")).otherwise(default_value(f["json_type"])))
+    return tried.withColumn("body", F.concat(F.lit("{"), F.array_join(F.transform("_f", pair), ","), F.lit("}"))).drop("_f", "_p")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUTES = "path string, line int, controller string, action string, method string, route string, auth_status string"
-FUNCTIONS = "path string, function string, line int, decorators string, hints string, returns string, summary string, parameters string, constraints string"
+FUNCTIONS = "path string, function string, line int, decorators string, hints string, returns string, summary string, parameters string, constraints string, bases string"
 
 
 def block_end(text: str, start: int) -> int:
@@ -140,7 +140,7 @@ def _python(text: str) -> Iterator[tuple]:
             hints = {s.target.id: ast.unparse(s.annotation) for s in n.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name)} if is_class else {a.arg: ast.unparse(a.annotation) for a in n.args.args if a.annotation}
             summary, described = docstring(ast.get_docstring(n))
             returns = None if is_class or n.returns is None else ast.unparse(n.returns)
-            yield n.name, n.lineno, json.dumps([ast.unparse(d) for d in n.decorator_list]), json.dumps(hints), returns, summary, json.dumps(described), json.dumps(_constraints(n), sort_keys=True)
+            yield n.name, n.lineno, json.dumps([ast.unparse(d) for d in n.decorator_list]), json.dumps(hints), returns, summary, json.dumps(described), json.dumps(_constraints(n), sort_keys=True), json.dumps([ast.unparse(b) for b in n.bases]) if is_class else None
 
 
 def python_functions(files: DataFrame) -> DataFrame:
@@ -171,6 +171,27 @@ def auth_schemes(functions: DataFrame) -> DataFrame:
     return d.withColumn("scheme", scheme).filter(F.col("scheme").isNotNull()).drop("_d")
 
 
+def model_classes(functions: DataFrame) -> DataFrame:
+    """(path, class) of `python_functions` for each class right below BaseModel."""
+    return functions.filter(F.array_contains(F.from_json("bases", "array<string>"), "BaseModel")).select("path", F.col("function").alias("class"))
+
+
+#: Names of arguments that take a request's body.
+BODY_NAMES = ["body", "data", "payload", "request", "dto", "model"]
+
+
+def body_types(functions: DataFrame) -> DataFrame:
+    """(path, function, body) of `python_functions`: the type of the first argument that takes a body.
+
+    That is one with such a name, or whose type is a plain name in capitals that isn't generic.
+    """
+    plain = lambda e: e["value"].rlike(r"^\w+$")
+    model = lambda e: e["value"].rlike("^[A-Z]") & ~e["value"].isin("Dict", "List", "Optional", "Union")
+    args = F.filter(F.map_entries(F.from_json("hints", "map<string,string>")), lambda e: plain(e) & (F.lower(e["key"]).isin(BODY_NAMES) | model(e)))
+    found = functions.filter(F.col("bases").isNull()).select("path", "function", F.try_element_at(args, F.lit(1))["value"].alias("body"))
+    return found.filter(F.col("body").isNotNull())
+
+
 def robust_json(text):
     """Valid JSON of a text that holds some: as it is, within a fence, or with comments and final commas left out; else null."""
     valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)

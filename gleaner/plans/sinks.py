@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.detect import real_route
 from gleaner.functions.routes import normalise, operation_id, params, param_type
 
 
@@ -52,7 +53,8 @@ def openapi_operations(endpoints: DataFrame) -> DataFrame:
     """(route, method, operation): one operation for each route and verb, the first in order of path and line, as JSON."""
     from gleaner.operators.endpoints import first_per
 
-    e = endpoints.filter(F.col("kind").isin("ENDPOINT", "TOOL", "RESOURCE", "HANDLER") & ~F.col("route").isin("", "/")).withColumn("route", normalise(F.col("route")))
+    framework = F.col("framework") if "framework" in endpoints.columns else F.lit("")
+    e = endpoints.filter(F.col("kind").isin("ENDPOINT", "TOOL", "RESOURCE", "HANDLER") & real_route(framework, F.col("method"), F.col("route"))).withColumn("route", normalise(F.col("route")))
     verb = F.lower("method")
     e = e.withColumn("verb", F.when(verb.isin("get", "post", "put", "delete", "patch", "options", "head"), verb).when(verb.isin("query", "mutation"), "post").otherwise("get"))
     e = first_per(e, ["route", "verb"], ["path", "line", "method"])
