@@ -31,7 +31,7 @@ from gleaner.llm.common import new_folder, table
 MAGIC = b"GLTOK1\0\0"
 BLOCK_IDS = 1 << 16
 #: Words remembered by an encoder, at about 200 bytes each: its tasks share it.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 1_500_000
 STOPS = tuple(".,;:!?")
 _BEYOND_LATIN = re.compile("[^\\x00-\\u024f]")
 
@@ -146,7 +146,7 @@ class TokenFile:
             k = to
 
 
-_ENCODERS: dict[str, "WordEncoder"] = {}
+_ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 
 
 class WordEncoder:
@@ -208,16 +208,16 @@ class WordEncoder:
         return b"".join([memo[w] for w in words])
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> WordEncoder:
+    if (path, memo_words) not in _ENCODERS:
+        _ENCODERS[path, memo_words] = WordEncoder(path, memo_words)
+    return _ENCODERS[path, memo_words]
 
 
 MANIFEST = "part bigint, file string, n_docs bigint, n_ids bigint"
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, partitions: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, partitions: int | None = None, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Encode `docs` (doc_id, text) into files below `folder`, in ascending doc_id order; returns the manifest.
 
     Manifest rows: part (files in this order hold ascending doc_ids), file, n_docs, n_ids. Null texts are
@@ -226,7 +226,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     task that runs again, or twice at once, leaves the same file. An empty table gives no files.
     """
     spark = docs.sparkSession
-    bits = min_bits(max(encoder(tokenizer_path).vocabulary, end_id + 1))
+    bits = min_bits(max(encoder(tokenizer_path, memo_words).vocabulary, end_id + 1))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     end = np.array([end_id], "<u4").tobytes()
 
@@ -235,7 +235,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         store, place = open_store(folder)
         store.create_dir(place, recursive=True)
         final, passing = posixpath.join(place, f"part-{part:08d}.tok"), posixpath.join(place, f"_{part:08d}-{uuid.uuid4().hex}")
-        writer, codec = None, encoder(tokenizer_path)
+        writer, codec = None, encoder(tokenizer_path, memo_words)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 writer = writer or TokenFileWriter(store.open_output_stream(passing, compression=None), bits)
@@ -276,12 +276,12 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     return files.repartition(n, "part").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Write `docs` as token files (to `folder`, else a new one in the shared folder) and read them back."""
     from gleaner.llm.common import cut
 
     folder = folder or new_folder(docs.sparkSession, "tokens")
-    return read_token_files(cut(write_token_files(docs, folder, tokenizer_path, end_id)), folder)
+    return read_token_files(cut(write_token_files(docs, folder, tokenizer_path, end_id, memo_words=memo_words)), folder)
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
