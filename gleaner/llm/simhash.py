@@ -5,7 +5,8 @@ The Manhattan distance of two such vectors never exceeds the Hamming distance of
 links have vectors within `max_bits`. The segments form `bands`; at most `max_bits` bands can differ,
 hence two linked vectors agree in all other bands. For each choice of bands - max_bits of them, the vectors
 projected on these bands make a grid of unit cells, and two linked vectors share a cell of some grid.
-Within cells, Manhattan distance of the 8 byte counts, then Hamming distance, decide.
+Within cells, Manhattan distance of the 8 byte counts, then Hamming distance, decide. Cells are counted
+before; the fingerprints of those with too many for a task meet at centres instead (`ball_links`), which is exact too.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import cut, table
@@ -26,6 +27,10 @@ SEED = 42
 PAIRS = 0x5555555555555555
 #: Cells with more points than this are searched outwards from a point instead of pair by pair.
 SMALL_CELL = 48
+#: Cells with more points than this are no task's work; their points meet at centres.
+LARGE_CELL = 1 << 16
+#: So many large cells (8 bytes each) are broadcast at most; more are joined by a shuffle.
+BROADCAST_CELLS = 1_000_000
 
 
 def fingerprint(text: str | None, words_in_shingle: int = 4) -> int:
@@ -123,17 +128,55 @@ def link_cells(cells: np.ndarray, points: np.ndarray, max_bits: int) -> tuple[np
     return (np.concatenate(a), np.concatenate(b)) if a else (points[:0], points[:0])
 
 
-def fingerprint_links(distinct: DataFrame, max_bits: int = 4, bands: int | None = None) -> DataFrame:
+def _ball(radius: int) -> np.ndarray:
+    """The 64-bit masks of at most `radius` bits."""
+    bits = [1 << k for k in range(64)]
+    return np.array([sum(x) for r in range(radius + 1) for x in itertools.combinations(bits, r)], np.uint64)
+
+
+def ball_links(points: DataFrame, max_bits: int = 4) -> DataFrame:
+    """Edges (a, b) that join whatever fingerprints of `points` (fp, each once) are within `max_bits` bits.
+
+    Two fingerprints are so if and only if some 64-bit number, a centre, is within half of `max_bits` (rounded down) of one and
+    within the rest of it of the other. At each centre, the points within the rest are linked to the least of those within
+    the half. Each point goes to 2,081 centres (for 4 bits), and no more than that meet at one, however many lie close.
+    """
+    masks = _ball((max_bits + 1) // 2)
+    inner = np.bitwise_count(masks) <= max_bits // 2
+
+    def centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            for k in range(0, len(fp), 64):
+                p = fp[k : k + 64]
+                cols = [np.repeat(p, len(masks)).view(np.int64), (p[:, None] ^ masks).ravel().view(np.int64), np.tile(inner, len(p))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["fp", "centre", "inner"])
+
+    met = points.select("fp").mapInArrow(centres, "fp bigint, centre bigint, inner boolean")
+    least = F.min(F.when(F.col("inner"), F.col("fp"))).over(Window.partitionBy("centre"))
+    return met.withColumn("_least", least).filter(F.col("fp") != F.col("_least")).select(F.col("fp").alias("a"), F.col("_least").alias("b"))
+
+
+def fingerprint_links(distinct: DataFrame, max_bits: int = 4, bands: int | None = None, large_cell: int = LARGE_CELL) -> DataFrame:
     """Edges (a, b) between fingerprints of `distinct` (fp, each once) that join whatever is within `max_bits` bits.
 
     Not every pair: in a cell of many points, enough edges that all linked points are connected. Rows grow as the
     fingerprints do. Copies have one fingerprint and are gone before; a cell holds distinct fingerprints only.
+    Cells of more than `large_cell` points are left to `ball_links`, so no task holds more points than that at once.
     """
     masks = cell_masks(bands or bands_for(distinct.count()), max_bits)
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = segment_counts(F.col("fp"))
     keys = F.array(*[F.xxhash64(F.lit(k), v.bitwiseAND(F.lit(m))) for k, m in enumerate(masks)])
-    cells = distinct.select("fp", F.explode(keys).alias("cell")).repartition(n, "cell").sortWithinPartitions("cell")
+    cells = distinct.select("fp", F.explode(keys).alias("cell"))
+    large = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > large_cell).select("cell"))
+    n_large = large.count()
+    beyond = None
+    if n_large:
+        large = F.broadcast(large) if n_large <= BROADCAST_CELLS else large
+        beyond = ball_links(cells.join(large, "cell", "left_semi").select("fp").distinct(), max_bits)
+        cells = cells.join(large, "cell", "left_anti").select("fp", "cell")
+    cells = cells.repartition(n, "cell").sortWithinPartitions("cell")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_c, held_p = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -151,7 +194,8 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, bands: int | None
                     e = np.unique(np.stack([a, b], axis=1).view(np.int64), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
-    return cells.select("cell", "fp").mapInArrow(link, "a bigint, b bigint")
+    edges = cells.select("cell", "fp").mapInArrow(link, "a bigint, b bigint")
+    return edges if beyond is None else edges.union(beyond)
 
 
 def simhash_components(docs: DataFrame, max_bits: int = 4, words_in_shingle: int = 4, bands: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

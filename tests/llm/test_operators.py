@@ -215,18 +215,19 @@ def test_simhash(odd, none):
     assert kept.columns == odd.columns and kept.count() == len(set(part))
 
 
-@pytest.mark.parametrize("bands", [6, 8, 10])
-def test_links_against_all_pairs(spark, bands):
+@pytest.mark.parametrize("bands, bits, large_cell", [(6, 4, 1 << 16), (8, 4, 1 << 16), (10, 4, 1 << 16), (8, 4, 30), (8, 4, 1), (8, 3, 30)])
+def test_links_against_all_pairs(spark, bands, bits, large_cell):
+    """Cells of more than `large_cell` points are linked by way of centres."""
     r = random.Random(bands)
     centres = [r.getrandbits(64) for _ in range(60)]
     fps = {c for c in centres} | {c ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))) for c in centres[:20] for _ in range(4)}
     fps |= {centres[0] ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20)}  # a cell of many points
     fps = sorted(fps)
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
-    edges = simhash.fingerprint_links(spark.createDataFrame(signed, "fp bigint"), 4, bands)
-    assert all(((a ^ b) % (1 << 64)).bit_count() <= 4 for a, b in edges.collect())
+    edges = simhash.fingerprint_links(spark.createDataFrame(signed, "fp bigint"), bits, bands, large_cell)
+    assert all(((a ^ b) % (1 << 64)).bit_count() <= bits for a, b in edges.collect())
     roots = dict(connected_components(edges).collect())
-    part = components(fps, lambda a, b: (a ^ b).bit_count() <= 4)
+    part = components(fps, lambda a, b: (a ^ b).bit_count() <= bits)
     group = {}
     for (s,), p in zip(signed, part):
         group.setdefault(p, set()).add(roots.get(s, s))
