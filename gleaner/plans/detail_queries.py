@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import detect
-from gleaner.operators import enrichment, generators, parsers
+from gleaner.operators import constraints, enrichment, generators, parsers
 from gleaner.plans.query import query, table, values
 
 _NOW, _TTL = "2024-01-25 00:00:00", 10 * 86400
@@ -124,3 +124,39 @@ def body_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model classes of a Python file, and the functions that take a body."""
     f = parsers.python_functions(spark.createDataFrame([("a.py", _MODELS)], "path string, content string"))
     return parsers.model_classes(f).select(F.col("class").alias("name"), F.lit(None).cast("string").alias("body")).union(parsers.body_types(f).select("function", "body"))
+
+
+_CHECKS = """@validator("email")
+def book(user_id, size: int = Field(gt=0)):
+    '''Book.
+
+    :param size: at least 2 and at most 9
+    :param note: any text
+    :param rate: must be between 0.5 and 3 (positive)
+    '''
+    if current_user.id != user_id:
+        raise ValueError("Username must be known")
+    raise Error("no")
+"""
+
+
+@query(values("field, signal, ge, le, gt", [("email", "pydantic_validator", None, None, None), ("username", "inline_validation", None, None, None), ("size", "docstring_constraint", 2.0, 9.0, None), ("rate", "docstring_constraint", 0.5, 3.0, 0.0)]))
+def code_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a function's text says of its fields."""
+    code = spark.createDataFrame([("a.py", _CHECKS), ("b.py", ""), ("c.py", None)], "path string, code string")
+    return constraints.code_constraints(code).drop("path")
+
+
+@query(values("path, field, signals, ge, gt, idor_risk, required, inferred_positive, confidence", [
+    ("a.py", "email", "pydantic_validator", None, None, False, False, False, 0.4), ("a.py", "username", "inline_validation", None, None, False, False, False, 0.3),
+    ("a.py", "size", "docstring_constraint,pydantic_field_constraint", 2.0, 0.0, False, False, False, 0.7), ("a.py", "rate", "docstring_constraint", 0.5, 0.0, False, False, False, 0.2),
+    ("a.py", "user_id", "ownership_pattern,path_param_id", None, None, True, True, False, 0.5), ("b.py", "owner_id", "path_param_id", None, None, False, True, False, 0.2), ("b.py", "count", "field_name_inference", None, None, False, True, True, 0.1),
+]))
+def field_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs from the text, the syntax tree and the route of each endpoint, by field."""
+    rows = [("a.py", "/book/{user_id:int}", _CHECKS.split("\n", 1)[1]), ("b.py", "/own/:owner_id/:count", "x = 1"), ("c.py", "/{user_id}", " ")]
+    e = spark.createDataFrame(rows, "path string, route string, code string")
+    text = constraints.code_constraints(spark.createDataFrame([("a.py", _CHECKS)], "path string, code string"))
+    tree = constraints.syntax_constraints(parsers.python_functions(e.select("path", F.col("code").alias("content")))).drop("function")
+    out = constraints.field_constraints(text.unionByName(tree), e, ["path"])
+    return out.select("path", "field", F.array_join("signals", ",").alias("signals"), "ge", "gt", "idor_risk", "required", "inferred_positive", "confidence")
