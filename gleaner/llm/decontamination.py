@@ -1,7 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Documents that share a seed with a test item are aligned with it around the seed. Seeds are looked up in
-the benchmark's n-grams, which are broadcast in blocks of a bounded size, so documents aren't shuffled,
+Documents that share a seed with a test item are aligned with it around the seed, unless the words that they share
+are too few for the similarity asked for. No seed is left out for being frequent. Seeds are looked up in the benchmark's n-grams, which are broadcast in blocks of a bounded size, so documents aren't shuffled,
 and a passage that a third of them hold is work for every task alike.
 """
 
@@ -54,19 +54,6 @@ class Items:
         places = np.stack([number, item, offset], axis=1) if keys else np.empty((0, 3), np.int64)
         return Items(ids, words, vocabulary, n, seeds, places[np.lexsort((places[:, 2], places[:, 1], places[:, 0]))], _filter(seeds))
 
-    def rare(self, found_in: np.ndarray, factor: float, at_least: float) -> "Items":
-        """Without the seeds that, in every item that has them, are found in over `factor` times as many documents as that item's rarest seed."""
-        if not len(self.seeds):
-            return self
-        df = found_in[self.places[:, 0]]
-        least = np.full(len(self.ids), np.iinfo(np.int64).max)
-        np.minimum.at(least, self.places[:, 1], df)
-        keep = df <= np.maximum(factor * np.maximum(least[self.places[:, 1]], 1), at_least)
-        used = np.unique(self.places[keep, 0])
-        places = self.places[keep].copy()
-        places[:, 0] = np.searchsorted(used, places[:, 0])
-        return Items(self.ids, self.words, self.vocabulary, self.n, self.seeds[used], places, _filter(self.seeds[used]))
-
     def look_up(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A text's words as numbers (-1: in no item), and positions and numbers of the seeds in it."""
         get = self.vocabulary.get
@@ -122,30 +109,38 @@ def smith_waterman(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return best
 
 
-def align(items: Items, words: np.ndarray, at: np.ndarray, seed: np.ndarray, windows_at_once: int = 256) -> Iterator[tuple[int, float, int]]:
-    """(item number, similarity, word where its window begins) for each item that shares a seed with the document.
+def align(items: Items, words: np.ndarray, at: np.ndarray, seed: np.ndarray, min_similarity: float, windows_at_once: int = 256) -> Iterator[tuple[int, float, int]]:
+    """(item number, similarity, word where its window begins) for each item that shares a seed with the document and reaches `min_similarity`.
 
     Similarity is the score over that of the whole item. Windows reach from where the item would begin
-    and end by any of its seeds, with some words to spare.
+    and end by any of its seeds, with some words to spare. Windows in which too few words are any of the item's to reach
+    `min_similarity` are passed over; they can't.
     """
     first, last = np.searchsorted(items.places[:, 0], seed, "left"), np.searchsorted(items.places[:, 0], seed, "right")
     n = last - first
     place = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     item, begin = items.places[place, 1], np.repeat(at, n) - items.places[place, 2]
     pairs = np.unique(np.stack([item, begin], axis=1), axis=0)
-    for k in np.unique(pairs[:, 0]):
-        whole, starts = items.words[k], pairs[pairs[:, 0] == k, 1]
+    cuts = np.flatnonzero(np.diff(pairs[:, 0])) + 1
+    for k, starts in zip(pairs[np.concatenate([[0], cuts]), 0] if len(pairs) else [], np.split(pairs[:, 1], cuts), strict=True):
+        whole = items.words[k]
         m, spare = len(whole), len(whole) // 3 + items.n
         anchors = starts[np.concatenate([[True], np.diff(starts // max(1, spare)) > 0])]  # one window for starts that lie close
         size, best, where = m + 3 * spare, -1, 0
-        for c in range(0, len(anchors), windows_at_once):
-            low = anchors[c : c + windows_at_once] // max(1, spare) * spare - spare
-            index = low[:, None] + np.arange(size)
+        low = anchors // max(1, spare) * spare - spare
+        a, b = max(0, int(low[0])), min(len(words), int(low[-1]) + size)
+        shared = np.concatenate([[0], np.cumsum(np.isin(words[a:b], whole))])
+        enough = shared[np.clip(low + size - a, 0, b - a)] - shared[np.clip(low - a, 0, b - a)] >= min_similarity * m
+        low = low[enough]
+        for c in range(0, len(low), windows_at_once):
+            here = low[c : c + windows_at_once]
+            index = here[:, None] + np.arange(size)
             inside = (index >= 0) & (index < len(words))
             score = smith_waterman(whole, np.where(inside, words[np.clip(index, 0, len(words) - 1)], -1))
             if score.max() > best:
-                best, where = int(score.max()), max(0, int(low[int(score.argmax())]))
-        yield int(k), best / (MATCH * m), where
+                best, where = int(score.max()), max(0, int(here[int(score.argmax())]))
+        if best >= max(0, min_similarity * MATCH * m):
+            yield int(k), best / (MATCH * m), where
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -157,13 +152,12 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int,
         yield sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.5, n: int = 4, rare_factor: float = 16, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.5, n: int = 4, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each row of `docs` and test item that it holds: the integer columns `keep`, item_id, similarity, word.
 
     similarity is the Smith-Waterman score (match 2, mismatch -1, gap -1, over words in lower case) as a share of
-    what the whole item would score; word is about where the passage begins. Seeds are n-grams of `n` words;
-    those over `rare_factor` times as frequent, by documents, as the rarest of their item are not used (but always those
-    found in fewer than one document of 100,000). An item or text that is null or of under `n` words matches
+    what the whole item would score; word is about where the passage begins. Seeds are all n-grams of `n` words
+    of an item, however frequent. An item or text that is null or of under `n` words matches
     nothing. Repeated documents or items each give their rows. Other columns are ignored.
 
     A benchmark larger than `block_words` words is worked off in blocks, each a pass over the documents.
@@ -173,34 +167,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.
     schema = ", ".join([*[f"{c} bigint" for c in keep], "item_id bigint, similarity double, word bigint"])
     out = None
     for rows in _blocks(benchmark, block_words):
-        items = Items.of(rows, n)
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast(Items.of(rows, n))
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total, seen = np.zeros(len(shared.value.seeds), np.int64), 0
-            for batch in batches:
-                seen += batch.num_rows
-                for t in batch.column("_text"):
-                    total[np.unique(shared.value.look_up(t.as_py())[2])] += 1
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], seen))], ["seed", "n"])
-
-        counted = whole.select("_text").mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # a row for each seed of the block at most
-        found_in = np.zeros(len(items.seeds), np.int64)
-        for seed, k in counted:
-            if seed >= 0:
-                found_in[seed] = k
-        n_docs = next((k for seed, k in counted if seed < 0), 0)
-        rare = spark.sparkContext.broadcast(items.rare(found_in, rare_factor, n_docs / 100_000))
-
-        def leaks(batches: Iterator[pa.RecordBatch], rare=rare) -> Iterator[pa.RecordBatch]:
-            items = rare.value
+        def leaks(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = shared.value
             for batch in batches:
                 at, found = [], []
                 for i, t in enumerate(batch.column("_text")):
                     words, where, seed = items.look_up(t.as_py())
                     if len(seed):
-                        hits = [x for x in align(items, words, where, seed) if x[1] >= min_similarity]
+                        hits = list(align(items, words, where, seed, min_similarity))
                         at += [i] * len(hits)
                         found += hits
                 kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in keep]

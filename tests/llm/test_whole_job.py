@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from gleaner.llm import shingle_join
+from gleaner.llm import decontamination, shingle_join
 from tests.llm.test_operators import DOCS, components
 
 
@@ -40,3 +40,18 @@ def test_similar_against_all_pairs(spark, block, monkeypatch):
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
     got = corpus_pipeline.near_copies(spark, docs, "")
     assert got.columns == docs.columns and sorted(x["doc_id"] for x in got.collect()) == [k for k in range(len(texts)) if part[k] == k]
+
+
+def test_edited_copies_in_many_documents(spark):
+    r = random.Random(12)
+    vocabulary = ["".join(r.choices("abcdefghij", k=5)) for _ in range(2000)]
+    new = lambda n: r.choices(vocabulary, k=n)
+    items = [new(30), new(30)]
+    copies = [[*i[:14], "changed", *i[15:]] for i in items]
+    rows = [(100 * k + d, " ".join(new(40) + c + new(40))) for k, c in enumerate(copies) for d in range(40)]
+    rows += [(300, " ".join(new(20) + items[1] + new(20))), (301, " ".join(new(100))), (302, " ".join(items[0][:5] + new(60)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id bigint, text string")
+    found = sorted((x["doc_id"], x["item_id"]) for x in decontamination.find_leaks(docs, bench).collect())
+    assert found == sorted([(100 * k + d, k) for k in range(2) for d in range(40)] + [(300, 1)])
+    assert sorted(x["doc_id"] for x in decontamination.decontaminate(docs, bench).collect()) == [301, 302]
