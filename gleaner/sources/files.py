@@ -23,14 +23,14 @@ def allowed(relative: Column) -> Column:
 
 def decode(content: Column) -> Column:
     """UTF-8 without what isn't, and with line feeds alone."""
-    text = F.replace(F.call_function("try_validate_utf8", content.cast("string")), F.lit("�"), F.lit(""))
+    text = F.replace(F.call_function("make_valid_utf8", content.cast("string")), F.lit("�"), F.lit(""))
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
 def source_files(spark: SparkSession, root: str, max_bytes: int = 10 << 20) -> DataFrame:
     """(path, content, length, md5) of the files of known extensions below `root`, without folders left out and large files.
 
-    Paths are relative to `root`, so a root below a folder named `tests` is scanned. Bytes that are not UTF-8 make the content null.
+    Paths are relative to `root`, so a root below a folder named `tests` is scanned. Bytes that are not UTF-8 are left out.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= max_bytes)
     base = root.rstrip("/").split("://")[-1]
