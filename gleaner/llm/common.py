@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one, in local mode alone."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_to is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         set_to = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(set_to)
@@ -40,6 +42,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: So many rows are broadcast at most where a table's size isn't known beforehand.
+BROADCAST_ROWS = 500_000
+#: A key with over 1/HOT_PARTS of all rows is hot; there are fewer than HOT_PARTS of them.
+HOT_PARTS = 2_048
+
+
+def sized(df: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
+    """`df` joined with `small`, a checkpointed table: broadcast if it has at most BROADCAST_ROWS rows, else by a shuffle."""
+    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
+def join_hot(df: DataFrame, other: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """The inner join of `df` and `other` (one row for each key), without a task for the rows of a hot key.
+
+    `counts` (key, n; checkpointed) says how many rows of `df` have a key. Rows of hot keys, over 1/HOT_PARTS of all each and so fewer
+    than HOT_PARTS keys, meet their row of `other` by a broadcast; the rest by a shuffle. Null keys match nothing.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = cut(counts.filter(F.col("n") > max(1, total // HOT_PARTS)).select(key))
+    if hot.isEmpty():
+        return df.join(other, key)
+    often = F.broadcast(other.join(F.broadcast(hot), key, "left_semi"))  # fewer than HOT_PARTS rows
+    return df.join(often, key).unionByName(df.join(F.broadcast(hot), key, "left_anti").join(other, key))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, all else as it is; texts that are ASCII alone take the fast way."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
@@ -60,6 +87,7 @@ def crc32_mod(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def hash_share(doc_id: Column, share: float, salt: str) -> Column:
-    """True for about `share` of all ids, the same ones in every run."""
-    return F.pmod(F.xxhash64(F.lit(salt), doc_id), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000)
+def hash_share(doc_id: Column, share: float | Column, salt: str) -> Column:
+    """True for about `share` of all ids, the same ones in every run; all 64 bits of the hash count, so tiny shares hold."""
+    share = F.lit(float(share)) if isinstance(share, (int, float)) else share
+    return (share >= 1) | (F.xxhash64(F.lit(salt), doc_id) / F.lit(2.0**64) + 0.5 < share)

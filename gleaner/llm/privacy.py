@@ -1,21 +1,29 @@
 """PII: patterns find protected entities, corpus co-occurrence finds the terms that give them away.
 
-Information-theoretic sanitisation. An entity e and a term t that appears within a few words of it have
-the pointwise mutual information PMI(e; t) = log2(p(e, t) / (p(e) p(t))), from counts over distinct texts. The most that
-a term can tell of e is IC(e) = -log2 p(e); a term that tells at least `threshold` of it, and is seen with
-it in at least `min_support` distinct texts, discloses e: where it stands beside e it is masked as well.
+Information-theoretic sanitisation. What a term t tells of an entity e is the pointwise mutual information
+PMI(e; t) = log2(p(e, t) / (p(e) p(t))), from counts of documents that hold them, near each other or not. The most that a
+term can tell is IC(e) = -log2 p(e). Entities are exact ones and what they have in common: an address's domain, a number
+without its last digits, a network, a card's issuer; so rare ones count as well. Copies of one passage are no evidence of their
+own: PMI is discounted by (c / (c + 1))^2, c being how many documents with t have a passage around e that no other one speaks for. A term discloses e
+where the discounted PMI reaches `threshold` of IC(e). Words of the name in an e-mail address count as seen with it in
+`OWN_SUPPORT` of them, so a rare surname beside its owner's address is found without a second document.
+In every document that holds e, every occurrence of a disclosing term is a span. `sanitise` removes it, or puts what it tells
+of in its place.
 
 All of it is DataFrame functions. Patterns run as Java regular expressions; the quantifiers that nothing
 after them can shorten are possessive, and starts inside a run that failed already are skipped (the matches are
-those of the plain patterns), so long runs take linear time and no deep stack.
+those of the plain patterns), so long runs take linear time and no deep stack. Only documents with an entity are written
+and shuffled; positions are running sums over rows, so a text with many matches takes linear time, too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import partial, reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import ascii_lower, cut, table
+from gleaner.llm.common import ascii_lower, cut, sized, table
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -27,6 +35,13 @@ PATTERNS = {
 #: A text without this can't match; most texts are done with so.
 _HINT = {"email": "@", "ip": ".", "card": "[0-9][0-9\\x20-]{14}", "phone": "+"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_LETTERS, _OTHERS = "\\p{L}+", "[^\\p{L}]+"
+#: Code points on either side of an entity that tell passages apart.
+AROUND = 40
+#: So many passages speak for a word of the entity's own name.
+OWN_SUPPORT = 3
+#: What stands for a term in a sanitised text, by what it tells of.
+GENERAL = {"email": "affiliation", "ip": "network", "card": "issuer", "phone": "place"}
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -44,114 +59,160 @@ def _might(kind: str, text: Column) -> Column:
     return text.rlike(_HINT[kind]) if kind == "card" else F.contains(text, F.lit(_HINT[kind]))
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """The valid matches of `docs` (_row, doc_id, text): _row, doc_id, kind, start, end (code points), match; a row each.
+def _matches(kind: str, text: Column) -> Column:
+    return F.when(_might(kind, text), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)))
+
+
+def holds_entity(text: Column) -> Column:
+    """Whether a text has a valid match of any kind."""
+    return reduce(lambda a, b: a | b, [F.coalesce(F.exists(_matches(k, text), partial(_valid, k)), F.lit(False)) for k in KINDS])
+
+
+def _with_ends(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`end` beside rows (keys, _i, _gap, _len): the sum of gaps and lengths up to each row."""
+    along = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("end", F.sum(F.col("_gap") + F.col("_len")).over(along).cast("int"))
+
+
+def entities(texts: DataFrame) -> DataFrame:
+    """The valid matches of `texts` (_row, each once, text): _row, kind, start, end (code points), match, passage (a hash of what is around).
 
     Matches alternate with the gaps between them, so a match starts where all before it ends.
     """
-    out = None
-    for kind in KINDS:
-        rx = PATTERNS[kind]
-        hit = docs.filter(_might(kind, F.col("text")))
-        hit = hit.select("_row", "doc_id", F.split("text", rx, -1).alias("_gaps"), F.regexp_extract_all("text", F.lit(rx), F.lit(0)).alias("_found")).filter(F.size("_found") > 0)
-        steps = F.zip_with(F.slice("_gaps", F.lit(1), F.size("_found")), "_found", lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
-        ends = F.aggregate(
-            steps,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-            lambda acc, x: F.struct((acc["at"] + x["g"] + x["m"]).alias("at"), F.array_append(acc["ends"], acc["at"] + x["g"] + x["m"]).alias("ends")),
-        )["ends"]
-        rows = hit.select("_row", "doc_id", F.explode(F.arrays_zip(ends.alias("e"), F.col("_found").alias("m"))).alias("_x"))
-        rows = rows.select("_row", "doc_id", F.lit(kind).alias("kind"), (F.col("_x.e") - F.length("_x.m")).alias("start"), F.col("_x.e").alias("end"), F.col("_x.m").alias("match")).filter(_valid(kind, F.col("match")))
-        out = rows if out is None else out.union(rows)
-    return out
-
-
-def contexts(found: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """Words of letters up to `window` words before or after an entity: _row, doc_id, copy, entity, term, start, end.
-
-    A term is a run of letters, in lower case; copy is a hash of the text, alike for copies.
-    Words that reach over 40 * window code points from the entity are left out.
-    """
-    reach = 40 * window
-    d = docs.select(F.col("_row").alias("_r"), "text")
-    met = found.join(d, found["_row"] == d["_r"])
-    met = met.select(
-        "_row", "doc_id", F.xxhash64("text").alias("copy"), F.concat("kind", F.lit(":"), ascii_lower(F.col("match"))).alias("entity"),
-        F.greatest(F.lit(0), F.col("start") - reach).alias("_from"), F.col("start"), F.col("end"),
-        F.col("text"),
-    )
-    before = F.substring(F.col("text"), F.col("_from") + 1, F.col("start") - F.col("_from"))
-    after = F.substring(F.col("text"), F.col("end") + 1, F.lit(reach))
-    sides = met.select("_row", "doc_id", "copy", "entity", F.inline(F.array(
-        F.struct(F.col("_from").alias("_at"), before.alias("_side"), F.lit(True).alias("_left")), F.struct(F.col("end").alias("_at"), after.alias("_side"), F.lit(False).alias("_left")))))
-    rx = "\\p{L}+"
-    gaps, words = F.split("_side", rx, -1), F.regexp_extract_all("_side", F.lit(rx), F.lit(0))
-    sides = sides.select("*", gaps.alias("_gaps"), words.alias("_words")).filter(F.size("_words") > 0)
-    ends = F.aggregate(
-        F.zip_with(F.slice("_gaps", F.lit(1), F.size("_words")), "_words", lambda g, m: F.length(g) + F.length(m)),
-        F.array().cast("array<int>"),
-        lambda acc, x: F.array_append(acc, x + F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, F.size(acc))), F.lit(0))),
-    )
-    rows = sides.select("_row", "doc_id", "copy", "entity", "_at", "_left", F.size("_words").alias("_n"), F.posexplode(F.arrays_zip(ends.alias("e"), F.col("_words").alias("w"))).alias("_i", "_x"))
-    near = F.when(F.col("_left"), F.col("_n") - F.col("_i")).otherwise(F.col("_i") + 1) <= window
-    return rows.filter(near).select(
-        "_row", "doc_id", "copy", "entity", F.lower("_x.w").alias("term"), (F.col("_at") + F.col("_x.e") - F.length("_x.w")).alias("start"), (F.col("_at") + F.col("_x.e")).alias("end"),
-    )
-
-
-def disclosing_terms(near: DataFrame, docs: DataFrame, threshold: float, min_support: int) -> DataFrame:
-    """(entity, term) pairs whose disclosure reaches `threshold` with `min_support` distinct texts.
-
-    Document frequencies of the terms in question are counted over all distinct texts of `docs`.
+    text = F.col("text")
+    kinds = [F.struct(F.lit(k).alias("kind"), F.split(text, PATTERNS[k], -1).alias("_g"), _matches(k, text).alias("_m")) for k in KINDS]
+    found = texts.select("_row", F.inline(F.array(*[F.when(_might(k, text), s) for k, s in zip(KINDS, kinds, strict=True)]))).filter(F.size("_m") > 0)
+    after = F.slice("_g", F.lit(2), F.size("_m"))
+    rows = found.select("_row", "kind", F.posexplode(F.arrays_zip(F.col("_g").alias("g"), F.col("_m").alias("m"), after.alias("a"))).alias("_i", "_x")).filter(F.col("_x.m").isNotNull())
+    passage = F.xxhash64(F.right("_x.g", F.lit(AROUND)), F.left("_x.a", F.lit(AROUND)))
+    rows = _with_ends(rows.select("_row", "kind", "_i", F.length("_x.g").alias("_gap"), F.length("_x.m").alias("_len"), F.col("_x.m").alias("match"), passage.alias("passage")), ["_row", "kind"])
+    valid = reduce(lambda c, k: c.when(F.col("kind") == k, _valid(k, F.col("match"))), KINDS, F.when(F.lit(False), F.lit(False)))
+    return rows.filter(valid).select("_row", "kind", (F.col("end") - F.col("_len")).alias("start"), "end", "match", "passage")
+
+
+def entity_keys(found: DataFrame) -> DataFrame:
+    """_row, key, general and passage: each entity, and the group that it belongs to. general is null for the entity itself."""
+    low, digits = ascii_lower(F.col("match")), F.regexp_replace("match", "[^0-9]", "")
+    kind = F.col("kind")
+    exact = F.when(kind.isin("email", "ip"), low).otherwise(digits)
+    group = F.when(kind == "email", F.substring_index(low, "@", -1)).when(kind == "ip", F.substring_index(low, ".", 3)).when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.left(digits, F.length(digits) - 4))
+    general = reduce(lambda c, k: c.when(kind == k, GENERAL[k]), KINDS, F.when(F.lit(False), F.lit("")))
+    level = F.array(F.struct(F.concat_ws(":", kind, exact).alias("key"), F.lit(None).cast("string").alias("general")), F.struct(F.concat_ws(":", F.lit("group"), kind, group).alias("key"), general.alias("general")))
+    return found.select("_row", "passage", F.inline(level))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(text), _OTHERS))
+
+
+def _least_support(threshold: float) -> int:
+    c = 1
+    while (c / (c + 1)) ** 2 < threshold:
+        c += 1
+    return c
+
+
+def _tells(n_et: Column, n_e: Column, n_t: Column, n: Column, passages: Column, threshold: float) -> Column:
+    discount = F.pow(passages / (passages + 1), F.lit(2.0))
+    return (n > n_e) & (discount * F.log2(n_et * n / (n_e * n_t)) >= threshold * F.log2(n / n_e))
+
+
+def disclosing_terms(keyed: DataFrame, hits: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(_row, term, general) for the terms that disclose an entity of document _row; general is null where the term tells of one entity.
+
+    `keyed` is of `entity_keys`; `hits` (_row, each once, text) has the documents with an entity, `docs` (text) all.
+    Only keys with enough different passages to reach the threshold meet the terms of their documents. How many documents hold
+    a term is counted over all of `docs`, for the terms in question.
     """
-    pairs = near.select("entity", "term", "copy").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_support)
-    pairs = cut(pairs)
-    of_entity = near.select("entity", "copy").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    texts = docs.select(F.xxhash64("text").alias("copy"), "text")
-    n = texts.agg(F.count_distinct("copy").alias("n"))
-    wanted = pairs.select("term").distinct()
-    words = texts.select("copy", F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("term")).join(wanted, "term", "left_semi")
-    of_term = words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    told = pairs.join(of_entity, "entity").join(of_term, "term").crossJoin(F.broadcast(n))  # n is one row
-    pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
-    return told.filter(pmi >= threshold * F.log2(F.col("n") / F.col("n_e"))).filter(F.col("n") > F.col("n_e")).select("entity", "term")
-
-
-def find_private(docs: DataFrame, threshold: float = 0.9, min_support: int = 3, window: int = 10) -> DataFrame:
-    """A row for each row of `docs` (doc_id, text): doc_id, text and found, an array of (rank, kind, start, end).
+    least = _least_support(threshold)
+    # A passage speaks through one document, and a document once, however many passages are in it.
+    speaks = keyed.groupBy("key", "passage").agg(F.min("_row").alias("_row")).select("key", "_row", F.lit(1).alias("_p")).distinct()
+    here = cut(keyed.select("_row", "key", "general").distinct().join(speaks, ["_row", "key"], "left").withColumn("_p", F.coalesce("_p", F.lit(0))))
+    per_key = cut(here.groupBy("key").agg(F.count("*").alias("n_e"), F.sum("_p").alias("_c")).filter(F.col("_c") >= least).select("key", "n_e"))
+    here = sized(here, per_key.select("key"), "key", "left_semi").select("_row", F.struct("key", "general", F.col("_p").alias("p")).alias("_k"))
+    met = hits.join(here.groupBy("_row").agg(F.collect_list("_k").alias("_ks")), "_row")
+    met = met.select("_ks", F.explode(_terms(F.col("text"))).alias("term")).filter(F.col("term") != "").select("term", F.inline("_ks"))
+    pairs = met.groupBy("key", "term").agg(F.count("*").alias("n_et"), F.sum("p").alias("c"), F.first("general").alias("general")).filter(F.col("c") >= least)
+    pairs = cut(sized(pairs, per_key, "key", "inner"))
+    own = cut(_own_names(hits))
+    wanted = cut(pairs.select("term").union(own.select("term")).distinct())
+    texts = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
+    counts = sized(texts, wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    n = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
+    counts = cut(counts.join(n))
+    told = pairs.join(counts, "term").filter(_tells(F.col("n_et"), F.col("n_e"), F.col("n_t"), F.col("n"), F.col("c"), threshold)).select("key", "term", "general")
+    told = sized(keyed.select("_row", "key").distinct(), cut(told), "key", "inner").select("_row", "term", "general")
+    one = F.lit(1)
+    names = own.join(counts, "term").filter(_tells(one, one, F.col("n_t"), F.col("n"), F.lit(OWN_SUPPORT), threshold)).select("_row", "term", F.lit("name").alias("general"))
+    strict = F.min(F.struct(F.col("general").isNotNull().alias("_o"), F.col("general")))
+    return told.union(names).groupBy("_row", "term").agg(strict.alias("_s")).select("_row", "term", "_s.general")
+
+
+def _own_names(hits: DataFrame) -> DataFrame:
+    """(_row, term): words of three letters or more of the names in e-mail addresses that the text has elsewhere, too."""
+    text, rx = F.col("text"), PATTERNS["email"]
+    mail = hits.filter(_might("email", text)).select("_row", F.split(text, rx, -1).alias("_g"), F.regexp_extract_all(text, F.lit(rx), F.lit(0)).alias("_m")).filter(F.size("_m") > 0)
+    names = F.flatten(F.transform("_m", lambda m: F.split(F.lower(F.substring_index(m, "@", 1)), _OTHERS)))
+    elsewhere = F.flatten(F.transform("_g", lambda g: F.split(F.lower(g), _OTHERS)))
+    return mail.select("_row", F.explode(F.array_intersect(F.filter(names, lambda w: F.length(w) >= 3), elsewhere)).alias("term"))
+
+
+def term_spans(told: DataFrame, hits: DataFrame, found: DataFrame) -> DataFrame:
+    """_row, start, end, general: where the terms of `told` (_row, term, general) stand in their texts, outside of entities."""
+    some = hits.join(told.select("_row").distinct(), "_row", "left_semi")
+    words = some.select("_row", F.posexplode(F.arrays_zip(F.split("text", _LETTERS, -1).alias("g"), F.regexp_extract_all("text", F.lit(_LETTERS), F.lit(0)).alias("w"))).alias("_i", "_x")).filter(F.col("_x.w").isNotNull())
+    words = _with_ends(words.select("_row", "_i", F.length("_x.g").alias("_gap"), F.length("_x.w").alias("_len"), F.lower("_x.w").alias("term")), ["_row"])
+    at = words.join(told, ["_row", "term"]).select("_row", (F.col("end") - F.col("_len")).alias("start"), "end", "general", F.lit(True).alias("_term"))
+    entity = found.select("_row", "start", "end", F.lit(None).cast("string").alias("general"), F.lit(False).alias("_term"))
+    both = at.union(entity.join(told.select("_row").distinct(), "_row", "left_semi"))
+    order = Window.partitionBy("_row").orderBy("start", "end", "_term")
+    reach = F.max(F.when(~F.col("_term"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    next_ = F.min(F.when(~F.col("_term"), F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    clear = both.withColumn("_r", reach).withColumn("_n", next_).filter("_term").filter((F.coalesce("_r", F.lit(0)) <= F.col("start")) & (F.coalesce("_n", F.col("end")) >= F.col("end")))
+    return clear.select("_row", "start", "end", "general")
+
+
+def find_private(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """A row for each row of `docs` (doc_id, text): doc_id, text and found, an array of (rank, start, end, kind, general).
 
     found holds the valid matches of the four kinds and then the disclosing terms (kind `term`), each
-    sorted by start; starts and ends are in code points, ends exclusive. Null texts are empty ones. Rows that repeat a doc_id
-    each get their own spans; other columns are ignored. Distinct texts are counted by a hash of 64 bits.
+    sorted by start; starts and ends are in code points, ends exclusive; general says what a term tells of (null: of one entity).
+    Terms are runs of letters, in lower case. Null texts are empty ones. Rows that repeat a doc_id
+    each get their own spans; wholly repeated rows count once where an entity is looked at. Other columns are ignored.
+    An empty table gives an empty one.
     """
     d = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     d = d.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = cut(entities(d).distinct())
-    near = cut(contexts(found, d.select("_row", "text").join(found.select("_row").distinct(), "_row", "left_semi").dropDuplicates(["_row"]), window).distinct())
-    told = disclosing_terms(near, d, threshold, min_support)
-    terms = near.join(told, ["entity", "term"]).select("_row", "doc_id", F.lit("term").alias("kind"), "start", "end").distinct()
-    clear = terms.join(found.select(F.col("_row").alias("_r"), F.col("start").alias("_s"), F.col("end").alias("_e")), (F.col("_row") == F.col("_r")) & (F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s")), "left_anti")
-    spans = found.select("_row", "doc_id", "kind", "start", "end").union(clear)
+    hits = cut(d.filter(holds_entity(F.col("text"))).select("_row", "text").dropDuplicates(["_row"]))
+    found = cut(entities(hits))
+    told = cut(disclosing_terms(cut(entity_keys(found)), hits, d, threshold))
+    base = found.select("_row", "kind", "start", "end", F.lit(None).cast("string").alias("general"))
+    spans = base.unionByName(term_spans(told, hits, found).withColumn("kind", F.lit("term")))
     rank = F.array_position(F.array(*[F.lit(k) for k in (*KINDS, "term")]), F.col("kind")).cast("int")
-    spans = spans.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "start", "end", "kind"))).alias("found"))
-    empty = F.array().cast("array<struct<rank:int,start:int,end:int,kind:string>>")
+    spans = spans.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "start", "end", "kind", "general"))).alias("found"))
+    empty = F.array().cast("array<struct<rank:int,start:int,end:int,kind:string,general:string>>")
     return d.join(spans, "_row", "left").select("doc_id", "text", F.coalesce("found", empty).alias("found"))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, text with every span replaced by its kind in brackets, and found. Terms are removed that way as well."""
+    """doc_id, text without what is private, and found.
+
+    Each span is replaced by its kind in brackets; a term by what it tells of ([affiliation], [network], [issuer], [place], [name]), or,
+    where it tells of one entity, by [term]. Spans that overlap are replaced together, by the first one's name.
+    """
     out = find_private(docs, **options)
-    order = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))))
-    text = F.col("text")
-    built = F.aggregate(
-        order,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda a, x: F.when(x["s"] < a["at"], a).otherwise(
-            F.struct(x["e"].alias("at"), F.concat(a["parts"], F.array(F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.concat(F.lit("["), x["k"], F.lit("]")))).alias("parts"))
-        ),
-        lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    return out.select("doc_id", F.when(F.size("found") > 0, built).otherwise(text).alias("text"), "found")
+    spans = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), F.coalesce(x["general"], x["kind"]).alias("k"))))
+    rows = out.select("*", F.monotonically_increasing_id().alias("_id"))
+    rows = cut(rows)  # so that the ids stay
+    along = Window.partitionBy("_id").orderBy("s", "e", "k")
+    parts = rows.select("_id", F.inline(spans)).withColumn("_top", F.max("e").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    parts = parts.withColumn("_n", F.sum(F.when(F.col("s") < F.col("_top"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = parts.groupBy("_id", "_n").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("k", F.struct("s", "e")).alias("k"))
+    parts = parts.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "k"))).alias("_p"))
+    text, begins = F.col("text"), F.concat(F.array(F.lit(0)), F.transform("_p", lambda x: x["e"]))
+    pieces = F.zip_with("_p", F.slice(begins, F.lit(1), F.size("_p")), lambda x, b: F.concat(F.substring(text, b + 1, x["s"] - b), F.lit("["), x["k"], F.lit("]")))
+    built = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(begins, -1) + 1, F.length(text)))
+    return rows.join(parts, "_id", "left").select("doc_id", F.when(F.col("_p").isNotNull(), built).otherwise(text).alias("text"), "found")
 
 
 def _digest(found: Column) -> Column:
