@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,36 +42,58 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.5, start: float = 0.9, least: float = 0.6, rounds: int = 200) -> np.ndarray:
-    """Each rule's accuracy: the chance that its vote, if it casts one, is right.
+#: What rules are held to do before any document is seen, as so many documents of each class: (BAD, ABSTAIN, GOOD) on bad and on good ones.
+STRENGTH = 10.0
+EXPECTED = np.array([[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]])
+
+
+@dataclass(frozen=True)
+class Voters:
+    """The share of good documents, and how often each rule casts each vote on bad and on good ones (class, rule, vote)."""
+
+    prior: float
+    rates: np.ndarray
+
+    @property
+    def weights(self) -> np.ndarray:
+        """(rule, vote): what a vote adds to the log odds that a document is good; an abstention adds nothing."""
+        w = np.log(self.rates[1]) - np.log(self.rates[0])
+        w[:, ABSTAIN] = 0
+        return w
 
-    `patterns`: vote patterns, a row each; `counts`: how many documents show them. Expectation-maximisation
-    from accuracies of `start`, which also weighs as ten documents; rules are held to be better than a
-    coin (`least`) and never sure (0.99). The share of good documents is given (`prior`), not fitted: most
-    documents are good, and a fitted share would outvote any single rule.
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """The probability that a document with these votes is good."""
+        said = self.weights[np.arange(patterns.shape[1]), patterns].sum(axis=1)
+        return 1 / (1 + np.exp(-(np.log(self.prior / (1 - self.prior)) + said)))
+
+
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> Voters:
+    """The prior and each rule's rates by expectation-maximisation, two-sided: a rule may be right about bad documents and blind to good ones.
+
+    `patterns`: vote patterns, a row each; `counts`: how many documents show them. It begins with the balance of the votes. Each rule's
+    rates are smoothed by STRENGTH documents of EXPECTED, of the votes that it ever casts. Without a document the prior is a half.
     """
-    accuracy = np.full(patterns.shape[1], start)
+    n_rules = patterns.shape[1]
+    cast = np.stack([patterns == v for v in (BAD, ABSTAIN, GOOD)], axis=2).astype(np.float64)
+    known = np.einsum("p,pkv->kv", counts, cast) > 0
+    known[~known.any(axis=1)] = True
+    good = 1 / (1 + np.exp(-2.0 * (patterns - ABSTAIN).sum(axis=1)))
+    voters = Voters(0.5, np.repeat(EXPECTED[:, None, :], n_rules, axis=1))
     for _ in range(rounds):
-        good = posterior(patterns, prior, accuracy)
-        right = counts @ ((patterns == GOOD) * good[:, None] + (patterns == BAD) * (1 - good)[:, None])
-        new = np.clip((right + 10 * start) / (counts @ (patterns != ABSTAIN) + 10), least, 0.99)
-        done, accuracy = np.abs(new - accuracy).max(initial=0) < 1e-9, new
+        seen = np.stack([np.einsum("p,pkv->kv", counts * w, cast) for w in (1 - good, good)]) + STRENGTH * EXPECTED[:, None, :] * known + 1e-9
+        voters = Voters(float((counts @ good + STRENGTH / 2) / (counts.sum() + STRENGTH)), seen / seen.sum(axis=2, keepdims=True))
+        new = voters.posterior(patterns)
+        done, good = np.abs(new - good).max(initial=0) < 1e-9, new
         if done:
             break
-    return accuracy
-
-
-def posterior(patterns: np.ndarray, prior: float, accuracy: np.ndarray) -> np.ndarray:
-    """The probability that a document with these votes is good."""
-    weight = np.log(accuracy / (1 - accuracy))
-    return 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + (patterns - ABSTAIN) @ weight)))
+    return voters
 
 
-def judge(docs: DataFrame, min_quality: float = 0.5, prior: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, min_quality: float = 0.5) -> DataFrame:
     """A row for each row of `docs` (doc_id, text): doc_id, the counts of text_stats, base_failed, quality, kept.
 
     base_failed: under 20 words, or over 30% of the words in repeated windows. quality is the posterior of
-    the rules' votes, `prior` where all abstain; kept asks for `min_quality` and not base_failed. Null and empty texts have counts
+    the rules' votes, the fitted prior where all abstain; kept asks for `min_quality` and not base_failed. Null and empty texts have counts
     of zero (and one line) and fail. Repeated rows count each. Other columns are ignored. An empty
     table gives an empty one.
 
@@ -81,12 +105,12 @@ def judge(docs: DataFrame, min_quality: float = 0.5, prior: float = 0.5) -> Data
     stats = stats.withColumn("_votes", code.cast("int"))
     seen = np.array([tuple(r) for r in stats.groupBy("_votes").count().orderBy("_votes").collect()], np.int64).reshape(-1, 2)  # at most 3 to the number of rules
     patterns = seen[:, :1] // 3 ** np.arange(len(votes)) % 3
-    accuracy = fit_votes(patterns, seen[:, 1].astype(np.float64), prior)
-    quality = F.lit(float(np.log(prior / (1 - prior))))
-    for weight, vote in zip(np.log(accuracy / (1 - accuracy)), votes.values(), strict=True):
-        quality = quality + (vote - ABSTAIN) * float(weight)
+    voters = fit_votes(patterns, seen[:, 1].astype(np.float64))
+    odds = F.lit(float(np.log(voters.prior / (1 - voters.prior))))
+    for weight, vote in zip(voters.weights, votes.values(), strict=True):
+        odds = odds + F.when(vote == BAD, float(weight[BAD])).when(vote == GOOD, float(weight[GOOD])).otherwise(0.0)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = stats.drop("_votes").withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-quality)))
+    judged = stats.drop("_votes").withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= min_quality))
 
 

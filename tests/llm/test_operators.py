@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -303,12 +304,58 @@ def test_quality_rules(mixed_quality, odd, none):
 def test_votes_are_weighed():
     r = np.random.default_rng(1)
     good = r.random(5000) < 0.8
-    right = [0.95, 0.9, 0.7]
-    votes = np.stack([np.where(r.random(5000) < 0.3, 1, np.where((r.random(5000) < a) == good, 2, 0)) for a in right], axis=1)
+    right = [(0.95, 0.7), (0.9, 0.8), (0.7, 0.9)]  # on good documents and on bad ones
+    votes = np.stack([np.where(r.random(5000) < 0.3, 1, np.where(r.random(5000) < np.where(good, g, b), 2 * good, 2 * ~good)) for g, b in right], axis=1)
     patterns, n = np.unique(votes, axis=0, return_counts=True)
-    accuracy = quality_rules.fit_votes(patterns, n.astype(float), prior=0.8)
-    assert np.abs(accuracy - right).max() < 0.06
-    assert ((quality_rules.posterior(votes, 0.8, accuracy) > 0.5) == good).mean() > 0.9
+    voters = quality_rules.fit_votes(patterns, n.astype(float))
+    assert abs(voters.prior - 0.8) < 0.06
+    assert all(abs(voters.rates[1, k, 2] - 0.7 * g) < 0.05 and abs(voters.rates[0, k, 0] - 0.7 * b) < 0.12 for k, (g, b) in enumerate(right))
+    assert ((voters.posterior(votes) > 0.5) == good).mean() > 0.9
+    none = quality_rules.fit_votes(patterns[:0], n[:0].astype(float))
+    assert none.prior == 0.5 and none.posterior(patterns).min() < 0.5 < none.posterior(patterns).max()
+
+
+def slow_voters(votes, rounds=500):
+    """Expectation-maximisation document by document."""
+    good = [1 / (1 + math.exp(-2 * sum(v - 1 for v in row))) for row in votes]
+    casts = [{row[k] for row in votes} for k in range(len(votes[0]))]
+    expected = [[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]]
+    for _ in range(rounds):
+        prior = (sum(good) + 5) / (len(votes) + 10)
+        rates = []
+        for c in (0, 1):
+            rates.append([])
+            for k in range(len(votes[0])):
+                seen = [1e-9 + (10 * expected[c][v] if v in casts[k] else 0) + sum(g if c else 1 - g for g, row in zip(good, votes) if row[k] == v) for v in range(3)]
+                rates[c].append([x / sum(seen) for x in seen])
+        new = []
+        for row in votes:
+            odds = math.log(prior / (1 - prior)) + sum(math.log(rates[1][k][v] / rates[0][k][v]) for k, v in enumerate(row) if v != 1)
+            new.append(1 / (1 + math.exp(-odds)))
+        done, good = max(abs(a - b) for a, b in zip(good, new)) < 1e-9, new
+        if done:
+            break
+    return good
+
+
+def test_votes_document_by_document(spark, mixed_quality):
+    """The query's posterior and verdict against rules and EM worked off one document at a time."""
+    docs, _ = mixed_quality
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    rows, votes = [r.asDict() for r in got.values()], []
+    for c in rows:
+        at = lambda k, c=c: max(c[k], 1)
+        length, symbols, again, same = c["word_chars"] / at("n_words"), c["n_symbols"] / at("n_words"), c["n_repeat_words"] / at("n_words"), c["n_same_next"] / at("n_words")
+        distinct, dup, upper, bangs = c["n_distinct_words"] / at("n_words"), c["n_dup_lines"] / at("n_lines"), c["n_upper"] / at("n_letters"), c["n_bangs"] / at("n_words")
+        lettered, stops, enough = c["n_letters"] / at("word_chars"), c["n_punctuation"] / at("n_words"), c["n_words"] >= 20
+        say = lambda bad, good: 0 if bad else 2 if good else 1
+        votes.append([
+            say(not 2 <= length <= 25, False), say(symbols > 0.25, False), say(again > 0.25 or same > 0.15 or dup > 0.5 or (enough and distinct < 0.1), False), say(upper > 0.4 or bangs > 0.25, False), say(c["n_digits"] / at("n_chars") > 0.3, False),
+            say(enough and lettered < 0.7, enough and lettered > 0.9 and upper < 0.25 and 0.005 < stops < 0.5), say(False, enough and again < 0.15 and same < 0.05 and symbols < 0.1 and upper < 0.4),
+        ])
+    want = slow_voters(votes)
+    assert np.allclose([r["quality"] for r in rows], want, atol=1e-6)
+    assert [r["kept"] for r in rows] == [not r["base_failed"] and w >= 0.5 for r, w in zip(rows, want)]
 
 
 def test_language(spark, odd, none):
