@@ -60,7 +60,7 @@ def join_hot(df: DataFrame, other: DataFrame, key: str, counts: DataFrame) -> Da
     than HOT_PARTS keys, meet their row of `other` by a broadcast; the rest by a shuffle. Null keys match nothing.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = cut(counts.filter(F.col("n") > max(1, total // HOT_PARTS)).select(key))
+    hot = counts.filter(F.col("n") > max(1, total // HOT_PARTS)).select(key)
     if hot.isEmpty():
         return df.join(other, key)
     often = F.broadcast(other.join(F.broadcast(hot), key, "left_semi"))  # fewer than HOT_PARTS rows

@@ -1,4 +1,10 @@
-"""Language ID: averaged hashed subword embeddings, a linear softmax, calibrated rejection."""
+"""Language ID: averaged hashed subword embeddings, a linear softmax, calibrated rejection.
+
+Beside the languages the softmax has a class of noise: scrambled copies of the training examples, with other buckets at the
+same shares, as texts of a script or language that was never seen have them. The limit below which an answer is
+rejected is found by leaving languages out: models that haven't learned a language score its texts, and the limit parts
+these from held-out texts of the languages learned, of which it may reject a small share only.
+"""
 
 from __future__ import annotations
 
@@ -12,8 +18,10 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import crc32_mod, hash_share, table
 
-#: The most labelled rows that a fit looks at; with more, a share picked by a hash of the id.
-FIT_ROWS = 2_000
+#: About the most labelled rows of each language that a fit looks at; with more, a share picked by a hash of the id.
+FIT_ROWS = 500
+#: So many languages are learned at most, those of the most rows.
+MAX_LANGUAGES = 1_000
 BUCKET_BITS = 14
 ORDERS = (2, 3, 4)
 _TABLE: list[np.ndarray] = []
@@ -54,7 +62,7 @@ def subwords(text: str | None) -> np.ndarray | None:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """`table` is embeddings times softmax weights, a row of class scores for each bucket."""
+    """`table` is embeddings times softmax weights, a row of class scores for each bucket; the last class is noise."""
 
     languages: list[str]
     table: np.ndarray
@@ -71,74 +79,115 @@ class LanguageModel:
             logits = self.table[buckets].mean(axis=0)
         else:
             logits = np.bincount(buckets, minlength=len(self.table)) @ self.table / len(buckets)
-        p = _softmax((logits + self.bias) / self.temperature)
+        p = _softmax((logits + self.bias) / self.temperature)[: len(self.languages)]
         k = int(p.argmax())
         return self.languages[k], float(p[k])
 
+    def rejects(self, language: str, score: float) -> bool:
+        return language == "und" or score < self.reject_below
+
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def calibrate(logits: np.ndarray, y: np.ndarray, max_error: float) -> tuple[float, float]:
-    """The temperature of least log loss, and the lowest probability from which on at most `max_error` of the answers are wrong."""
+Example = tuple[np.ndarray, np.ndarray, str]
+
+
+def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of least log loss; 1 where there is nothing to go by."""
     if not len(y):
-        return 1.0, 0.0
-    scales = np.geomspace(0.05, 20, 121)
-    loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in scales]
-    t = float(scales[int(np.argmin(loss))])
-    p = _softmax(logits / t)
-    best, right = p.max(axis=1), p.argmax(axis=1) == y
-    order = np.argsort(-best, kind="stable")
-    wrong = np.cumsum(~right[order]) / np.arange(1, len(y) + 1)
-    fine = np.flatnonzero(wrong <= max_error)
-    return t, 1.0 if not len(fine) else 0.0 if fine[-1] == len(y) - 1 else float(best[order][fine[-1]])
-
-
-def fit_language(examples: list[tuple[np.ndarray, np.ndarray, str]], width: int = 16, epochs: int = 6, rate: float = 1.0, max_error: float = 0.02, seed: int = 5) -> LanguageModel:
-    """Train on (buckets, shares, language); every fifth example only calibrates."""
-    languages = sorted({x[2] for x in examples})
+        return 1.0
+    scales = np.geomspace(0.25, 20, 121)
+    return float(scales[int(np.argmin([-np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in scales]))])
+
+
+def rejection_limit(known: np.ndarray, unknown: np.ndarray, max_lost: float) -> float:
+    """The score that parts `known` from `unknown` best, with at most `max_lost` of the known below it, midway to the next; 0 where one of them is empty."""
+    if not len(known) or not len(unknown):
+        return 0.0
+    limits = np.unique(np.concatenate([[0.0], known, unknown]))
+    lost = np.searchsorted(np.sort(known), limits) / len(known)
+    caught = np.searchsorted(np.sort(unknown), limits) / len(unknown)
+    gain = np.where(lost <= max_lost, caught - lost, -1.0)
+    k = int(gain.argmax())
+    return float(limits[k] + limits[max(0, k - 1)]) / 2
+
+
+def _train(examples: list[Example], languages: list[str], width: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket scores and bias of the languages and of noise, by stochastic gradient descent; every (k + 1)-th step is on a scrambled example."""
     rng, k = np.random.default_rng(seed), len(languages)
-    emb, w, bias = rng.normal(0, 0.1, (1 << BUCKET_BITS, width)), rng.normal(0, 0.3, (width, k)), np.zeros(k)
-    if not k:
-        return LanguageModel([], emb[:, :0], bias, 1.0, 0.0)
-    y = np.array([languages.index(x[2]) for x in examples])
-    train = [i for i in range(len(examples)) if i % 5 or len(examples) < 50]
-    held = [i for i in range(len(examples)) if not (i % 5 or len(examples) < 50)]
-    step, steps = 0, epochs * len(train)
+    emb, w, bias = rng.normal(0, 0.1, (1 << BUCKET_BITS, width)), rng.normal(0, 0.3, (width, k + 1)), np.zeros(k + 1)
+    y = [languages.index(x[2]) for x in examples]
+    step, steps = 0, max(1, epochs * len(examples))
     for _ in range(epochs):
-        for i in rng.permutation(train):
-            buckets, shares, _ = examples[i]
+        for turn, i in enumerate(rng.permutation(len(examples))):
             lr = rate * (1 - step / steps)
             step += 1
-            mean = shares @ emb[buckets]
-            g = _softmax(mean @ w + bias)
-            g[y[i]] -= 1
-            back = w @ g
-            w -= lr * np.outer(mean, g)
-            bias -= 0.1 * lr * g
-            # Shares are small (1 / n-grams): each bucket's step is scaled up to the weight of the text.
-            emb[buckets] -= lr * np.outer(shares / np.sqrt((shares**2).sum()), back)
-    classes = emb @ w
-    logits = np.array([examples[i][1] @ classes[examples[i][0]] + bias for i in held]).reshape(-1, k)
-    t, reject = calibrate(logits, y[held], max_error)
-    return LanguageModel(languages, classes, bias, t, reject)
+            todo = [(examples[i][0], y[i])]
+            if turn % k == 0:
+                todo.append(((examples[i][0] * np.uint32(2 * rng.integers(1 << 12) + 1) + np.uint32(rng.integers(1 << BUCKET_BITS))) & np.uint32((1 << BUCKET_BITS) - 1), k))
+            shares = examples[i][1]
+            scale = shares / np.sqrt((shares**2).sum())  # shares are small (1 / n-grams): each bucket's step is scaled up to the weight of the text
+            for buckets, label in todo:
+                mean = shares @ emb[buckets]
+                g = _softmax(mean @ w + bias)
+                g[label] -= 1
+                back = w @ g
+                w -= lr * np.outer(mean, g)
+                bias -= 0.1 * lr * g
+                emb[buckets] -= lr * np.outer(scale, back)
+    return emb @ w, bias
+
+
+def fit_language(examples: list[Example], width: int = 16, epochs: int = 6, rate: float = 1.0, max_lost: float = 0.002, seed: int = 5, left_out: int = 5) -> LanguageModel:
+    """Train on (buckets, shares, language); every fifth example of a language only calibrates.
+
+    Languages are dealt to at most `left_out` groups; for each, a model of the other languages scores what it has never learned.
+    With fewer than five examples of every language nothing is held out: the temperature is 1 and only texts without a letter
+    are rejected. With one language, scrambled held-out texts alone are what is unknown.
+    """
+    languages = sorted({x[2] for x in examples})
+    if not languages:
+        return LanguageModel([], np.zeros((1 << BUCKET_BITS, 1)), np.zeros(1), 1.0, 0.0)
+    turn, train, held = dict.fromkeys(languages, 0), [], []
+    for x in examples:
+        turn[x[2]] += 1
+        (train if turn[x[2]] % 5 else held).append(x)
+
+    def best(table: np.ndarray, bias: np.ndarray, t: float, rows: list[Example]) -> np.ndarray:
+        return np.array([_softmax((x[1] @ table[x[0]] + bias) / t)[:-1].max() for x in rows])
+
+    table, bias = _train(train, languages, width, epochs, rate, seed)
+    logits = np.array([x[1] @ table[x[0]] + bias for x in held]).reshape(-1, len(languages) + 1)
+    t = calibrate(logits, np.array([languages.index(x[2]) for x in held], np.int64))
+    rng = np.random.default_rng(seed)
+    unknown = [best(table, bias, t, [(rng.permutation(1 << BUCKET_BITS)[x[0]], x[1], x[2]) for x in held])] if held else []
+    groups = min(left_out, len(languages)) if len(languages) > 1 and held else 0
+    for g in range(groups):
+        out = set(languages[g::groups])
+        rest = [n for n in languages if n not in out]
+        part = _train([x for x in train if x[2] not in out], rest, width, max(1, epochs // 3), rate, seed)
+        unknown.append(best(*part, t, [x for x in held if x[2] in out]))
+    limit = rejection_limit(best(table, bias, t, held), np.concatenate(unknown) if unknown else np.empty(0), max_lost)
+    return LanguageModel(languages, table, bias, t, limit)
 
 
 def train_languages(docs: DataFrame, folds: int = 4, held_fold: int = 2, fit_rows: int = FIT_ROWS) -> LanguageModel:
-    """A model from text and lang of `docs` (doc_id, text, lang) outside the held-out fold; about `fit_rows` rows at most.
+    """A model from text and lang of `docs` (doc_id, text, lang) outside the held-out fold; about `fit_rows` rows of each language at most.
 
-    Executors send bucket counts, at most 2^14 for a text however long.
+    Rows are counted by language first, so rare languages keep all their rows. Executors send bucket counts, at most 2^14 for a text however long.
     """
     known = docs.filter(F.col("lang").isNotNull() & (crc32_mod(F.col("doc_id"), folds) != held_fold)).select("doc_id", "text", "lang")
-    share = min(1.0, fit_rows / max(1, known.select("doc_id", "lang").count()))
-    known = known.filter(hash_share(F.col("doc_id"), share, "language"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MAX_LANGUAGES)
+    known = known.join(F.broadcast(counts), "lang")  # at most MAX_LANGUAGES rows
+    known = known.filter(hash_share(F.col("doc_id"), F.lit(float(fit_rows)) / F.col("_n"), "language")).drop("_n")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, buckets, shares, langs = [], [], [], []
-            for doc_id, text, lang in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for doc_id, text, lang in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("lang").to_pylist(), strict=True):
                 if (found := subwords(text.as_py())) is not None:
                     b, n = np.unique(found, return_counts=True)
                     ids.append(doc_id)
@@ -147,7 +196,7 @@ def train_languages(docs: DataFrame, folds: int = 4, held_fold: int = 2, fit_row
                     langs.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary()), pa.array(langs, pa.string())], ["doc_id", "b", "s", "lang"])
 
-    rows = known.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(count, "doc_id bigint, b binary, s binary, lang string").collect()
+    rows = known.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(count, "doc_id bigint, b binary, s binary, lang string").collect()  # bounded by MAX_LANGUAGES x fit_rows
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], bytes(r["b"])))
     return fit_language([(np.frombuffer(r["b"], "<u4"), np.frombuffer(r["s"], "<f4").astype(np.float64), r["lang"]) for r in rows])
 
@@ -167,7 +216,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
         m = shared.value
         for batch in batches:
             said = [m.predict(t.as_py()) for t in batch.column(len(keep))]
-            cols = [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64()), pa.array([s[0] == "und" or s[1] < m.reject_below for s in said], pa.bool_())]
+            cols = [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64()), pa.array([m.rejects(*s) for s in said], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *cols], [*[f"_{i}" for i in range(len(keep))], "_lang", "_score", "_rejected"])
 
     out = inner.mapInArrow(run, schema)
@@ -181,7 +230,7 @@ def known_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said = [shared.value.predict(t.as_py()) for t in batch.column(at)]
-            yield batch.filter(pa.array([lang != "und" and score >= shared.value.reject_below for lang, score in said], pa.bool_()))
+            yield batch.filter(pa.array([not shared.value.rejects(*s) for s in said], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

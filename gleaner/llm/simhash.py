@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, table
+from gleaner.llm.common import cut, join_hot, table
 from gleaner.llm.components import connected_components
 
 SEED = 42
@@ -35,20 +35,29 @@ BROADCAST_CELLS = 1_000_000
 
 def fingerprint(text: str | None, words_in_shingle: int = 4) -> int:
     """The fingerprint as a signed 64-bit integer: a bit is 1 if set in over half the shingles' hashes."""
+    return majority(hashes) if len(hashes := shingle_hashes(text, words_in_shingle)) else 0
+
+
+def majority(hashes: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def shingle_hashes(text: str | None, words_in_shingle: int) -> np.ndarray:
+    """XXH64 of each shingle in turn, repeats included; none of a text without a word."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - words_in_shingle + 1)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[:n].tolist()
     stops = ends[min(words_in_shingle, len(words)) - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + (1 << 16)], stops[k : k + (1 << 16)], strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
 
 
 def fingerprints(docs: DataFrame, words_in_shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -206,22 +215,32 @@ def simhash_components(docs: DataFrame, max_bits: int = 4, words_in_shingle: int
     zero and are linked like any other. Repeated rows are linked as copies. Other columns are ignored.
     """
     d = cut(fingerprints(docs, words_in_shingle, keep))
-    classes = cut(d.groupBy("fp").agg(F.min("doc_id").alias("_least")))
+    classes = cut(d.groupBy("fp").agg(F.min("doc_id").alias("_least"), F.count("*").alias("n")))
     roots = connected_components(fingerprint_links(classes.select("fp"), max_bits, bands))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return d.join(rooted.join(least, "_root").select("fp", "component_id", F.col("_root").alias("root")), "fp").select(*keep, "fp", "component_id", "root")
+    rooted = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("root")))
+    least = cut(rooted.groupBy("root").agg(F.min("_least").alias("component_id"), F.count("*").alias("n")))
+    parts = join_hot(rooted.select("fp", "root"), least.select("root", "component_id"), "root", least)
+    return join_hot(d, parts, "fp", classes).select(*keep, "fp", "component_id", "root")
 
 
-def without_near_copies(docs: DataFrame, **options) -> DataFrame:
+def without_near_copies(docs: DataFrame, max_bits: int = 4, words_in_shingle: int = 4, similarity: float | None = None) -> DataFrame:
     """The rows of `docs` (doc_id, text and others) that stand first in their component: one of each.
 
     First is the smallest doc_id, null ids last; among rows that share it, the least hash of id and text; of wholly
-    repeated rows any one.
+    repeated rows any one. Null texts and texts without a word are copies of each other.
+
+    With a `similarity`, texts are linked whose sets of shingles have that Jaccard similarity or more: links of fingerprints are
+    verified by it, and those that lie further apart than `max_bits` are found by `shingle_join`.
     """
+    from gleaner.llm.shingle_join import similar_components
+
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))  # so that no column of theirs can clash
     d = whole.withColumn("_row", F.xxhash64("doc.doc_id", "doc.text"))
-    parts = simhash_components(d.select("doc.doc_id", "doc.text", "_row"), keep=("doc_id", "_row"), **options)
+    texts = d.select("_row", "doc.doc_id", "doc.text")
+    if similarity is None:
+        parts = simhash_components(texts, max_bits, words_in_shingle, keep=("doc_id", "_row"))
+    else:
+        parts = similar_components(texts, words_in_shingle, similarity, max_bits)
     first = parts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first"))
     first = first.select(F.col("_first._row").alias("_row")).distinct()
     return d.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select("doc.*")

@@ -282,6 +282,21 @@ def test_quality_trees(spark, mixed_quality, odd, none):
     assert quality_trees.score_quality(none, labels).count() == 0
 
 
+def test_scores_against_slow_trees():
+    """All rows down all trees at once against one row down one tree at a time."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(600, 4))
+    trees = quality_trees.fit_trees(x, (x[:, 1] > x[:, 2]).astype(float), n_trees=12, depth=3)
+    for row, got in zip(x[:100], trees.score(x[:100])):
+        raw = trees.base
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            raw += leaf[node - len(feature)]
+        assert got == pytest.approx(1 / (1 + math.exp(-raw)))
+
+
 def test_trees_fit():
     r = np.random.default_rng(0)
     x = r.normal(size=(2000, 5))
@@ -359,7 +374,7 @@ def test_votes_document_by_document(spark, mixed_quality):
 
 
 def test_language(spark, odd, none):
-    sets = {"en": "the of and thing with river stone", "de": "der und straße über schön nicht", "fr": "le être où garçon les dans"}
+    sets = {"en": " ".join(WORDS), "de": "der und straße über schön nicht", "fr": "le être où garçon les dans"}
     rows = [(k, " ".join(random.Random(k).choices(sets[s].split(), k=3 + k % 60)), s) for k, s in enumerate(list(sets) * 100)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = language_id.train_languages(docs)
@@ -373,7 +388,34 @@ def test_language(spark, odd, none):
     assert known.columns == odd.columns and {r["score"] for r in known.collect()} == {"clash"} and known.count() == sum(not r["rejected"] for r in out)
     unlearned = language_id.train_languages(none)
     assert {(r["lang_pred"], r["score"]) for r in language_id.identify(odd, unlearned, ["doc_id"]).collect()} == {("und", 0.0)}
-    assert language_id.LanguageModel(["a"], np.zeros((1 << 14, 1)), np.zeros(1), 1.0, 0.0).predict("𐌰")[0] == "a"
+    assert language_id.LanguageModel(["a"], np.zeros((1 << 14, 2)), np.zeros(2), 1.0, 0.0).predict("𐌰")[0] == "a"
+
+
+SYLLABLES = {"one": "ba ke li mo nu", "two": "tra gre schi pflo dru", "three": "quoi eau ille ouve ache", "four": "shi ngu mbe yo wa", "five": "ská tří žlu měď čo"}
+
+
+def invented(language, seed, n):
+    r = random.Random(f"{language}{seed}")
+    return " ".join("".join(r.choices(SYLLABLES[language].split(), k=r.randint(1, 4))) for _ in range(n))
+
+
+def test_unlearned_languages_are_rejected(spark):
+    """Of languages that aren't learned most texts are rejected; of learned ones few; rare ones are learned in full."""
+    rows = [(k, invented(s, k, 8 + k % 50), s) for k, s in enumerate(["one", "two", "three"] * 120)] + [(1000 + k, invented("four", k, 30), "four") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train_languages(docs, fit_rows=60)
+    assert model.languages == ["four", "one", "three", "two"] and 0 < model.reject_below < 1
+    said = lambda language, n: [model.predict(invented(language, 10_000 + k, n)) for k in range(200)]
+    for language in ("one", "two", "three"):
+        assert np.mean([model.rejects(*s) for s in said(language, 30)]) <= 0.02
+    assert np.mean([model.rejects(*s) for s in said("five", 30)]) > 0.9
+    assert all(model.rejects(*model.predict(t)) for t in ("これは日本語の文章です。", "Это предложение на русском языке"))
+
+
+def test_few_examples():
+    few = [(np.array([1, 2], np.uint32), np.array([0.5, 0.5]), "a"), (np.array([3], np.uint32), np.array([1.0]), "b")]
+    model = language_id.fit_language(few)
+    assert (model.temperature, model.reject_below) == (1.0, 0.0) and model.languages == ["a", "b"]
 
 
 def test_calibration():
@@ -381,10 +423,32 @@ def test_calibration():
     y = r.integers(0, 3, 4000)
     z = r.normal(size=(4000, 3)) * 2
     z[np.arange(4000), y] += 2
-    t, limit = language_id.calibrate(3 * z, y, 0.05)
-    p = language_id._softmax(3 * z / t)
-    kept = p.max(axis=1) >= limit
-    assert 0 < limit < 1 and (p.argmax(axis=1) != y)[kept].mean() <= 0.05 and abs(p.max(axis=1).mean() - (p.argmax(axis=1) == y).mean()) < 0.05
+    p = language_id._softmax(3 * z / language_id.calibrate(3 * z, y))
+    assert abs(p.max(axis=1).mean() - (p.argmax(axis=1) == y).mean()) < 0.05 and language_id.calibrate(z[:0], y[:0]) == 1.0
+    known, unknown = np.array([0.2, 0.8, 0.9, 0.95]), np.array([0.1, 0.3, 0.85])
+    assert language_id.rejection_limit(known, unknown, 0.5) == pytest.approx(0.875) and language_id.rejection_limit(known, unknown, 0.3) == pytest.approx(0.55)
+    assert language_id.rejection_limit(known, unknown, 0.0) == pytest.approx(0.15) and language_id.rejection_limit(known, unknown[:0], 0.5) == 0.0
+
+
+def test_scores_against_a_slow_softmax():
+    """A bucket's row of `table` is its embedding times the weights: the score is the softmax of the mean embedding."""
+    r = np.random.default_rng(3)
+    emb, w, bias = r.normal(size=(1 << 14, 4)), r.normal(size=(4, 3)), r.normal(size=3)
+    model = language_id.LanguageModel(["a", "b"], emb @ w, bias, 1.7, 0.0)
+    for text in ("Some words, and MORE words.", "é", "x" * 50_000 + " " + prose(1, 30_000)):
+        low = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+        low = " " + re.sub(" +", " ", low).lstrip(" ") + " "
+        grams = []
+        for n in (2, 3, 4):
+            for i in range(len(low) - n + 1):
+                h = ord(low[i])
+                for c in low[i + 1 : i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+                grams.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> 18)
+        z = (np.mean([emb[g] for g in grams], axis=0) @ w + bias) / 1.7
+        p = [math.exp(x) / sum(math.exp(y) for y in z) for x in z]
+        lang, score = model.predict(text)
+        assert lang == ["a", "b"][int(np.argmax(p[:2]))] and score == pytest.approx(max(p[:2]))
 
 
 def slow_alignment(a, b):
