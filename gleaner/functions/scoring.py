@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What makes a text sensitive, and the points of a match of each category.
@@ -26,23 +29,46 @@ SIMPLE = ["list", "get", "retrieve", "fetch", "find", "create", "add", "insert",
 COMPLEX = ["calculate", "compute", "process", "validate", "analyze", "transform", "aggregate", "optimize", "generate", "predict", "classify", "recommend"]
 
 
-def any_of(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
+def found(low: Column, pattern: str) -> Column:
+    """Whether a text in lower case has the pattern, without regard to case. Plain words need no regular expression, and ASCII ones no flags."""
+    if re.fullmatch(r"[\w /@-]+", pattern):
+        return F.contains(low, F.lit(pattern.lower()))
+    plain = pattern == pattern.lower() and not re.search(r"\\[a-z]", pattern)
+    return low.rlike(pattern if plain else "(?iU)" + pattern)
+
+
+def any_of(low: Column, patterns: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [found(low, p) for p in patterns])
+
+
+def with_flags(df: DataFrame, text: Column, groups: dict[str, list[str]] = SENSITIVE, private: list[str] = PRIVATE, public: list[str] = PUBLIC) -> DataFrame:
+    """`df` with `_flags`, which the functions below read: a bit for PUBLIC, one for PRIVATE, one for each pattern of `groups`.
+
+    Each pattern is looked for once; as one number the bits stay one projection, which the optimiser doesn't repeat for every use.
+    """
+    df = df.withColumn("_low", F.lower(F.coalesce(text, F.lit(""))))
+    hits = [any_of(F.col("_low"), public), any_of(F.col("_low"), private), *[found(F.col("_low"), p) for ps in groups.values() for p in ps]]
+    return df.withColumn("_flags", reduce(lambda a, b: a + b, [F.when(h, F.lit(1 << k)).otherwise(F.lit(0)) for k, h in enumerate(hits)])).drop("_low")
+
+
+def _bit(flags: Column, k: int) -> Column:
+    return flags.bitwiseAND(F.lit(1 << k)) != 0
 
 
-def auth_status(text: Column, given: Column | None = None, private: list[str] = PRIVATE, public: list[str] = PUBLIC) -> Column:
+def auth_status(flags: Column, given: Column | None = None) -> Column:
     """PUBLIC beats PRIVATE; a given status other than UNKNOWN stays."""
-    found = F.when(any_of(text, public), "PUBLIC").when(any_of(text, private), "PRIVATE").otherwise("UNKNOWN")
-    return found if given is None else F.when(given != "UNKNOWN", given).otherwise(found)
+    seen = F.when(_bit(flags, 0), "PUBLIC").when(_bit(flags, 1), "PRIVATE").otherwise("UNKNOWN")
+    return seen if given is None else F.when(given != "UNKNOWN", given).otherwise(seen)
 
 
-def base_score(text: Column, groups: dict[str, list[str]] = SENSITIVE, points: dict[str, int] = POINTS) -> Column:
+def base_score(flags: Column, groups: dict[str, list[str]] = SENSITIVE, points: dict[str, int] = POINTS) -> Column:
     """Points for each pattern that is found."""
-    return sum((F.when(any_of(text, [p]), points[c]).otherwise(0) for c, ps in groups.items() for p in ps), F.lit(0))
+    worth = [points[c] for c, ps in groups.items() for _ in ps]
+    return sum((F.when(_bit(flags, k), w).otherwise(0) for k, w in enumerate(worth, 2)), F.lit(0))
 
 
-def risk_score(text: Column, method: Column, auth: Column, groups: dict[str, list[str]] = SENSITIVE, points: dict[str, int] = POINTS) -> Column:
-    score = base_score(text, groups, points) + F.when(method.isin("DELETE", "PUT", "PATCH"), 1).otherwise(0) + F.when(auth == "UNKNOWN", 1).otherwise(0)
+def risk_score(flags: Column, method: Column, auth: Column, groups: dict[str, list[str]] = SENSITIVE, points: dict[str, int] = POINTS) -> Column:
+    score = base_score(flags, groups, points) + F.when(method.isin("DELETE", "PUT", "PATCH"), 1).otherwise(0) + F.when(auth == "UNKNOWN", 1).otherwise(0)
     return score + F.when((auth == "PUBLIC") & (score > 2), 2).otherwise(0)
 
 
@@ -50,11 +76,12 @@ def risk_level(score: Column) -> Column:
     return F.when(score >= 8, "CRITICAL").when(score >= 5, "HIGH").when(score >= 3, "MEDIUM").when(score >= 1, "LOW").otherwise("INFO")
 
 
-def risk_reasons(text: Column, method: Column, auth: Column, groups: dict[str, list[str]] = SENSITIVE, points: dict[str, int] = POINTS) -> Column:
-    found = [F.when(any_of(text, [p]), F.lit(f"{c}: {p}")) for c, ps in groups.items() for p in ps]
+def risk_reasons(flags: Column, method: Column, auth: Column, groups: dict[str, list[str]] = SENSITIVE, points: dict[str, int] = POINTS) -> Column:
+    names = [f"{c}: {p}" for c, ps in groups.items() for p in ps]
+    told = [F.when(_bit(flags, k), F.lit(n)) for k, n in enumerate(names, 2)]
     mutation = F.when(method.isin("DELETE", "PUT", "PATCH"), F.concat(F.lit("Mutation: "), method))
-    before = base_score(text, groups, points) + F.when(method.isin("DELETE", "PUT", "PATCH"), 1).otherwise(0)
-    return F.array_compact(F.array(*found, mutation, F.when(auth == "UNKNOWN", "Shadow API"), F.when((auth == "PUBLIC") & (before > 2), "Sensitive PUBLIC")))
+    before = base_score(flags, groups, points) + F.when(method.isin("DELETE", "PUT", "PATCH"), 1).otherwise(0)
+    return F.array_compact(F.array(*told, mutation, F.when(auth == "UNKNOWN", "Shadow API"), F.when((auth == "PUBLIC") & (before > 2), "Sensitive PUBLIC")))
 
 
 def rank(level: Column) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from gleaner.functions import scoring
-from gleaner.operators.matching import PREFIXED, language_of, match_all, match_heuristics, match_prefixed
+from gleaner.operators.catalog import CATALOG, EXTENSIONS
+from gleaner.operators.matching import Patterns, extract, with_prefixes
 
 
 def first_per(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
@@ -18,11 +19,16 @@ def first_per(df: DataFrame, keys: list[Column | str], order: list[Column | str]
 
 
 def enrich(matches: DataFrame) -> DataFrame:
-    """auth_status, risk_score, risk_level and risk_reasons beside the columns of `matches` (context, route, raw_match, method)."""
-    text = F.lower(F.concat_ws(" ", "context", "route", "raw_match"))
-    scored = matches.withColumn("_text", text).withColumn("auth_status", scoring.auth_status(F.col("_text")))
-    scored = scored.withColumn("risk_score", scoring.risk_score(F.col("_text"), F.col("method"), F.col("auth_status")))
-    return scored.withColumn("risk_level", scoring.risk_level(F.col("risk_score"))).withColumn("risk_reasons", scoring.risk_reasons(F.col("_text"), F.col("method"), F.col("auth_status"))).drop("_text")
+    """auth_status, risk_score, risk_level and risk_reasons beside the columns of `matches` (context, route, raw_match, method).
+
+    An auth_status that `matches` has, other than null and UNKNOWN, stays. The patterns are looked for once, in `_flags`.
+    """
+    text = F.lower(F.concat_ws(" ", F.concat_ws("\n", "context"), "route", "raw_match"))
+    given = F.coalesce(F.col("auth_status"), F.lit("UNKNOWN")) if "auth_status" in matches.columns else F.lit("UNKNOWN")
+    scored = scoring.with_flags(matches.withColumn("_given", given).withColumn("_text", text), F.col("_text"))
+    scored = scored.withColumn("auth_status", scoring.auth_status(F.col("_flags"), F.col("_given"))).withColumn("risk_score", scoring.risk_score(F.col("_flags"), F.col("method"), F.col("auth_status")))
+    scored = scored.withColumn("risk_level", scoring.risk_level(F.col("risk_score"))).withColumn("risk_reasons", scoring.risk_reasons(F.col("_flags"), F.col("method"), F.col("auth_status")))
+    return scored.drop("_text", "_flags", "_given")
 
 
 def deduplicate(endpoints: DataFrame) -> DataFrame:
@@ -31,16 +37,18 @@ def deduplicate(endpoints: DataFrame) -> DataFrame:
     return first_per(endpoints, ["path", "line", F.when(route == "", "/").otherwise(route), "method"], ["pattern", "match", "framework"])
 
 
-def scan(files: DataFrame, languages: list[str] | None = None) -> DataFrame:
-    """Endpoints of `files` (path, content): patterns, heuristics and prefix joins, scored and deduplicated.
+def scan(files: DataFrame, languages: list[str] | None = None, patterns: Patterns = CATALOG, extensions: dict[str, str] = EXTENSIONS) -> DataFrame:
+    """Endpoints of `files` (path, content): structure first, then patterns, prefixes and heuristics, deduplicated and scored.
 
-    `languages` says which files to look at, all by default. Contents don't cross a shuffle: only what is extracted does.
+    `languages` says which files to look at, all by default; `patterns` and `extensions` may be the caller's own. Each file is
+    read once, contents don't cross a shuffle, and what is extracted crosses one, by path.
     """
-    routed = files.withColumn("_l", language_of(F.col("path")))
-    parts = [match_all(files, languages), *[match_prefixed(routed.filter(F.col("_l") == k), k) for k in PREFIXED if languages is None or k in languages]]
-    if languages is None or "python" in languages:
-        parts.append(match_heuristics(files))
-    return deduplicate(enrich(reduce(DataFrame.unionByName, parts)))
+    return enrich(deduplicate(with_prefixes(extract(files, languages, patterns, extensions))))
+
+
+def language_counts(rows: DataFrame) -> DataFrame:
+    """(language, n) of what was extracted (`matching.with_prefixes`), before deduplication."""
+    return rows.groupBy("language").agg(F.count("*").alias("n"))
 
 
 def summary(endpoints: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -72,14 +80,25 @@ def default_policies() -> list[tuple[str, str, Column]]:
     ]
 
 
+def conditions(policies: list[tuple[str, str, Column | str]] | None = None) -> list[tuple[str, str, Column]]:
+    """Policies with their conditions as columns; the default ones where none are given."""
+    return [(n, s, F.expr(c) if isinstance(c, str) else c) for n, s, c in (default_policies() if policies is None else policies)]
+
+
+def read_policies(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """(name, severity, condition) of a JSON policy file, {"policies": [{name, severity, condition}]}; conditions are SQL expressions. A file of a few policies."""
+    rows = spark.read.option("multiLine", True).schema("policies array<struct<name:string,severity:string,condition:string>>").json(path)
+    return [(r["name"], r["severity"], r["condition"]) for r in rows.select(F.inline("policies")).filter("name IS NOT NULL AND condition IS NOT NULL").collect()]
+
+
 def violations(endpoints: DataFrame, policies: list[tuple[str, str, Column | str]] | None = None) -> DataFrame:
     """A row for each endpoint and policy that it breaks: policy, severity and the endpoint's columns.
 
     Conditions are columns or SQL expressions. They are evaluated side by side and exploded, so there is no join.
     """
-    policies = default_policies() if policies is None else policies
-    hits = [F.when(F.expr(c) if isinstance(c, str) else c, F.struct(F.lit(n).alias("policy"), F.lit(s).alias("severity"))) for n, s, c in policies]
-    return endpoints.select("*", F.explode(F.array_compact(F.array(*hits))).alias("_v")).select("_v.policy", "_v.severity", *endpoints.columns)
+    hits = [F.when(c, F.struct(F.lit(n).alias("policy"), F.lit(s).alias("severity"))) for n, s, c in conditions(policies)]
+    # Outer, and filtered after: from an inner explode the optimiser infers a filter that evaluates all of it a second time.
+    return endpoints.select("*", F.explode_outer(F.array_compact(F.array(*hits))).alias("_v")).filter(F.col("_v").isNotNull()).select("_v.policy", "_v.severity", *endpoints.columns)
 
 
 def sort_by_risk(endpoints: DataFrame) -> DataFrame:

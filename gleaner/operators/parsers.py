@@ -32,7 +32,8 @@ def combine(base: str, own: str) -> str:
     return "/" + "/".join(x.strip("/") for x in (base, own) if x.strip("/"))
 
 
-def _csharp(text: str) -> Iterator[tuple]:
+def csharp_actions(text: str) -> Iterator[tuple]:
+    """(line, controller, action, method, route, auth, raw match) of C# controllers."""
     for c in re.finditer(r"class\s+(\w+)Controller\b[^{]*\{", text):
         before, name = text[max(0, c.start() - 500) : c.start()], c.group(1)
         base = (re.findall(r'\[Route(?:Prefix)?\(\s*"([^"]*)"', before) or [""])[-1].replace("[controller]", name)
@@ -46,10 +47,11 @@ def _csharp(text: str) -> Iterator[tuple]:
             auth = "PUBLIC" if "[AllowAnonymous" in around else "PRIVATE" if re.search(r"\[(Api)?Authorize", around + before) else "UNKNOWN"
             own = m.group(2) or next(iter(re.findall(r'^\s*\[Route\(\s*"([^"]*)"', after)), "")
             route = combine(base, own).replace("[action]", action.group(1) if action else "")
-            yield text.count("\n", 0, m.start()) + 1, name, action.group(1) if action else None, m.group(1).upper(), route, auth
+            yield text.count("\n", 0, m.start()) + 1, name, action.group(1) if action else None, m.group(1).upper(), route, auth, m.group(0)
 
 
-def _spring(text: str) -> Iterator[tuple]:
+def spring_actions(text: str) -> Iterator[tuple]:
+    """(line, controller, action, method, route, auth, raw match) of Spring controllers."""
     for c in re.finditer(r"@(?:Rest)?Controller\b.*?\bclass\s+(\w+)[^{]*\{", text, re.S):
         base = (re.findall(r'@RequestMapping\(\s*(?:value\s*=\s*|path\s*=\s*)?"([^"]*)"', text[max(0, c.start() - 500) : c.end()]) or [""])[-1]
         end = block_end(text, c.end() - 1)
@@ -57,7 +59,56 @@ def _spring(text: str) -> Iterator[tuple]:
             at = c.end() + m.start()
             action = re.search(r"\b(\w+)\s*\(", re.sub(r"@\w+(\([^)]*\))?", "", text[c.end() + m.end() : c.end() + m.end() + 500]))
             auth = "PRIVATE" if re.search(r"@(PreAuthorize|Secured|RolesAllowed)", text[max(0, at - 200) : at + 200]) else "UNKNOWN"
-            yield text.count("\n", 0, at) + 1, c.group(1), action.group(1) if action else None, m.group(1).upper(), combine(base, (m.group(2) or "").lstrip("/")), auth
+            yield text.count("\n", 0, at) + 1, c.group(1), action.group(1) if action else None, m.group(1).upper(), combine(base, (m.group(2) or "").lstrip("/")), auth, m.group(0)
+
+
+VERBS = ["get", "post", "put", "delete", "patch", "options", "head", "trace"]
+
+
+def sdl_fields(text: str) -> Iterator[tuple[int, str, str, str]]:
+    """(line, Query or Mutation, field, raw match) of GraphQL SDL."""
+    for block in re.finditer(r"\btype\s+(Query|Mutation)\s*\{([^}]*)\}", text, re.I):
+        for m in re.finditer(r"^[ \t]*(\w+)\s*(?:\([^)]*\))?\s*:", block[2], re.M):
+            yield text.count("\n", 0, block.start(2) + m.start(1)) + 1, block[1].capitalize(), m[1], m[0]
+
+
+def _spec(path: str, text: str):
+    """A spec as Python values; ValueError where it can't be read as a whole."""
+    if path.lower().endswith(".json"):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError:
+        raise ValueError("no YAML library") from None
+    try:
+        return yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise ValueError(str(e)) from None
+
+
+def spec_paths(path: str, text: str) -> Iterator[tuple[int, str, str]]:
+    """(line, route, method) of an OpenAPI or Swagger spec: the line where the route stands first; ANY for a path without a verb.
+
+    What can't be read as a whole is gone through line by line: a verb belongs to the last path above it, with the verb's line.
+    """
+    if not re.search(r"[\"']?\b(openapi|swagger|paths)[\"']?\s*:", text, re.I):
+        return
+    try:
+        spec = _spec(path, text)
+    except (ValueError, RecursionError):
+        route = None
+        for n, line in enumerate(text.split("\n"), 1):
+            if m := re.match(r"\s*[\"']?(/[^\s\"':]*)[\"']?\s*:", line):
+                route = m[1]
+            elif route and (m := re.match(rf"\s+[\"']?({'|'.join(VERBS)})[\"']?\s*:", line)):
+                yield n, route, m[1].upper()
+        return
+    paths = spec.get("paths") if isinstance(spec, dict) else None
+    for route, verbs in (paths.items() if isinstance(paths, dict) else ()):
+        if isinstance(verbs, dict):
+            line = text.count("\n", 0, max(0, text.find(str(route)))) + 1
+            for verb in [v for v in verbs if str(v).lower() in VERBS] or ["any"]:
+                yield line, str(route), str(verb).upper()
 
 
 def controllers(files: DataFrame) -> DataFrame:
@@ -65,7 +116,7 @@ def controllers(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, *r) for p, t in zip(pdf["path"], pdf["content"], strict=True) if t for r in (_csharp(t) if p.endswith(".cs") else _spring(t))]
+            rows = [(p, *r[:-1]) for p, t in zip(pdf["path"], pdf["content"], strict=True) if t for r in (csharp_actions(t) if p.endswith(".cs") else spring_actions(t))]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in ROUTES.split(", ")])
 
     return files.select("path", "content").filter(F.col("path").rlike(r"\.(cs|java)$")).mapInPandas(run, ROUTES)

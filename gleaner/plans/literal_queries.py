@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import responses, routes
 from gleaner.operators import endpoints as ep
 from gleaner.operators import enrichment, matching, parsers
+from gleaner.operators.catalog import CATALOG, COMMENTS, EXTENSIONS
 from gleaner.plans import sinks
-from gleaner.plans.query import query, values
+from gleaner.plans.query import query, quoted, values
 from gleaner.sources import files
 
 PY = '''from fastapi import FastAPI, APIRouter
@@ -103,6 +106,72 @@ HANDLER = """class UserHandler(Base):
 app.register_blueprint(admin, url_prefix="/adm")
 app.register_blueprint(shop)
 """
+#: Lines in the manner of many frameworks; each language's patterns are tried on all of them.
+CATALOG_TEXT = """@app.route('/flask', methods=['GET'])
+@router.get("/fast/{id}")
+@api.post('/fast')
+path('django/', views.index)
+re_path(r'^old/$', views.old)
+url(r'^older/$', views.older)
+class ItemView(APIView):
+class ItemSet(viewsets.ModelViewSet):
+@action(detail=True, methods=['post'])
+router.register(r'items', ItemSet)
+app.add_url_rule('/rule', 'rule', rule)
+app.router.add_get('/aio', handle)
+(r"/tornado", MainHandler),
+config.add_route('home', '/pyramid')
+@mcp.tool()
+@app.task
+uvicorn.run(app)
+app.run(host='0.0.0.0')
+http.HandleFunc("/go", handler)
+r.GET("/gin/:id", get)
+e.POST("/echo", post)
+r.HandleFunc("/mux", h).Methods("GET")
+app.Get("/fiber", h)
+http.ListenAndServe(":8080", nil)
+app.get('/express/:id', (req, res) => {})
+router.delete("/express", f)
+fastify.put('/fastify', f)
+@Controller('nest')
+@Get('all')
+@Post()
+app.listen(3000)
+server.route({ method: 'GET', path: '/hapi' })
+@GetMapping("/spring/{id}")
+@PostMapping(value = "/spring")
+@RequestMapping("/base")
+@Path("/jaxrs")
+@GET
+get("/spark", (q, s) -> "x");
+app.MapGet("/minimal", () => 1);
+endpoints.MapPost("/endpoints", f);
+app.MapHub<ChatHub>("/chat");
+app.MapGrpcService<Greeter>();
+app.MapHealthChecks("/healthz");
+Route::get('/laravel', [C::class, 'i']);
+$app->post('/slim', f);
+#[Route('/symfony', methods: ['GET'])]
+get '/sinatra' do
+  resources :photos, only: [:index]
+  namespace :admin do
+#[get("/rocket/<id>")]
+.route("/actix", web::get().to(index))
+.route("/axum", get(handler))
+warp::path("warp")
+get("/ktor") { call.respond(1) }
+routing { route("/nested") { } }
+app.get("/vapor") { req in 1 }
+app.get("hello", "vapor") { req in 1 }
+GET     /play/:id    controllers.Items.show(id: Long)
+path("akka" / Segment) { id => get { complete(id) } }
+get "/phoenix", PageController, :index
+  scope "/api", AppWeb do
+    resources "/users", UserController
+live "/live", HomeLive
+get "/kemal" do |env|
+"""
 SOURCES = [("app/main.py", PY), ("web/server.js", JS), ("svc/main.go", GO), ("src/Orders.cs", CS), ("src/Shop.java", JAVA), ("spec/pets.yaml", YAML), ("spec/a.json", JSON), ("s/schema.graphql", SDL), ("web/handlers/users.py", HANDLER)]
 ROUTES = [("GET", "/api/v1/users/{id:int}"), ("PUT", "/files/<uuid:key>/parts/<name>"), ("DELETE", "/x/:item_id/:is_ok"), ("POST", "plain/new"), ("PATCH", "/"), ("GET", "/api/v2")]
 
@@ -120,8 +189,7 @@ def route_rows(spark: SparkSession) -> DataFrame:
 ]))
 def prefix_join_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes below the prefix of their variable; the last prefix counts."""
-    found = [matching.match_prefixed(code(spark).filter(matching.language_of(F.col("path")) == k), k) for k in ("python", "javascript", "go")]
-    return found[0].union(found[1]).union(found[2]).select("path", "line", "method", "route", "framework")
+    return matching.with_prefixes(matching.extract(code(spark), ["python", "javascript", "go"], steps=("prefixes",))).select("path", "line", "method", "route", "framework")
 
 
 @query(values("path, line, method, route, framework", [
@@ -132,6 +200,48 @@ def python_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_heuristics(code(spark)).select("path", "line", "method", "route", "framework")
 
 
+def _catalog_text(language: str) -> str:
+    """The sample without lines that are comments in the language."""
+    return "".join(x for x in CATALOG_TEXT.splitlines(True) if not x.lstrip().startswith(COMMENTS[language]))
+
+
+#: The one pattern that DuckDB can't run (it looks ahead), and how often it is found.
+_BEYOND_SQL = [(k, i) for k, rows in CATALOG.items() for i, r in enumerate(rows) if "(?!" in r[5]]
+_TRIED = ", ".join(f"({quoted(k)}, {i}, {quoted(r[5])}, {quoted(_catalog_text(k))})" for k, rows in CATALOG.items() for i, r in enumerate(rows) if (k, i) not in _BEYOND_SQL)
+
+
+@query(f"SELECT language, pattern, n FROM (SELECT language, pattern, CAST(len(regexp_extract_all(t, '(?im)' || rx)) AS BIGINT) AS n FROM (VALUES {_TRIED}) AS v(language, pattern, rx, t)) WHERE n > 0")
+def catalog_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each of the catalog's patterns is found, in one pass over a file of each language."""
+    extension = {language: e for e, language in reversed(EXTENSIONS.items())}
+    rows = [(f"sample{extension[k]}", _catalog_text(k)) for k in CATALOG]
+    found = matching.extract(spark.createDataFrame(rows, "path string, content string"), steps=("patterns",))
+    beyond = [(F.col("language") == k) & (F.col("pattern") == i) for k, i in _BEYOND_SQL]
+    return found.filter(~reduce(lambda a, b: a | b, beyond, F.lit(False))).groupBy("language", "pattern").agg(F.count("*").alias("n"))
+
+
+@query(values("path, line, framework, method, route, auth_status", [
+    ("src/Orders.cs", 4, "ASP.NET", "GET", "/api/Orders/{id}", "PRIVATE"), ("src/Orders.cs", 7, "ASP.NET", "POST", "/api/Orders", "PRIVATE"),
+    ("src/Shop.java", 4, "Spring", "GET", "/shop/items/{id}", "PRIVATE"), ("src/Shop.java", 6, "Spring", "POST", "/shop", "PRIVATE"),
+    ("spec/a.json", 1, "OpenAPI-Spec", "GET", "/a", "UNKNOWN"), ("spec/a.json", 1, "OpenAPI-Spec", "POST", "/a", "UNKNOWN"), ("spec/a.json", 1, "OpenAPI-Spec", "ANY", "/b", "UNKNOWN"),
+    ("spec/pets.yaml", None, "OpenAPI-Spec", "GET", "/pets", "UNKNOWN"), ("spec/pets.yaml", None, "OpenAPI-Spec", "POST", "/pets", "UNKNOWN"), ("spec/pets.yaml", None, "OpenAPI-Spec", "DELETE", "/pets/{id}", "UNKNOWN"),
+    ("s/schema.graphql", 2, "GraphQL-Schema", "QUERY", "Query.users", "UNKNOWN"), ("s/schema.graphql", 3, "GraphQL-Schema", "QUERY", "Query.me", "UNKNOWN"), ("s/schema.graphql", 6, "GraphQL-Schema", "MUTATION", "Mutation.addUser", "UNKNOWN"),
+    ("web/server.js", 3, "Express", "GET", "/v2/list", "UNKNOWN"), ("web/server.js", 4, "Express", "POST", "/v2/add", "UNKNOWN"), ("svc/main.go", 3, "Gin", "GET", "/api/ping", "PUBLIC"),
+]))
+def scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan over files of all kinds: what controllers, specs, SDL and prefixes give (a pattern's bare routes left aside)."""
+    e = ep.scan(code(spark)).filter((F.col("pattern") == -1) | ((F.col("pattern") == 1000) & (F.col("language") != "python")))
+    line = F.when(~F.endswith("path", F.lit(".yaml")), F.col("line"))  # a YAML library gives the path's line, without one the verb's counts
+    return e.select("path", line.alias("line"), "framework", "method", "route", "auth_status")
+
+
+@query(values("language, n", [("dotnet", 2), ("java", 6), ("unknown", 9)]))
+def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was extracted by language, before anything is deduplicated."""
+    rows = matching.with_prefixes(matching.extract(code(spark), ["dotnet", "java", "spec"]))
+    return ep.language_counts(rows)
+
+
 @query(values("path, line, method, route, auth_status", [
     ("app/main.py", 7, "GET", "/users/{user_id}", "UNKNOWN"), ("app/main.py", 18, "DELETE", "/users/{user_id}/token", "PRIVATE"), ("app/main.py", 23, "POST", "/api/orders/new", "UNKNOWN"),
 ]))

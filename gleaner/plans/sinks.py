@@ -11,14 +11,20 @@ from gleaner.functions.detect import real_route
 from gleaner.functions.routes import normalise, operation_id, params, param_type
 
 
-def sarif_results(endpoints: DataFrame, broken: DataFrame) -> DataFrame:
-    """(rule, level, message, uri, line): high risks (API002), endpoints without known authentication (API001), policy violations (API004)."""
-    uri = F.replace("path", F.lit("\\"), F.lit("/"))
-    risk = F.when(F.col("risk_level").isin("CRITICAL", "HIGH"), F.struct(F.lit("API002").alias("rule"), F.when(F.col("risk_level") == "CRITICAL", "error").otherwise("warning").alias("level"), F.concat_ws(" ", F.col("risk_level"), F.lit("risk:"), "method", "route").alias("message")))
-    shadow = F.when(F.col("auth_status") == "UNKNOWN", F.struct(F.lit("API001").alias("rule"), F.lit("warning").alias("level"), F.concat_ws(" ", F.lit("No authentication found:"), "method", "route").alias("message")))
-    own = endpoints.select(F.explode(F.array_compact(F.array(risk, shadow))).alias("r"), uri.alias("uri"), "line").select("r.*", "uri", "line")
-    policy = broken.select(F.lit("API004").alias("rule"), F.when(F.col("severity") == "CRITICAL", "error").otherwise("warning").alias("level"), F.concat_ws(" ", F.col("policy"), F.lit("broken by"), "method", "route").alias("message"), uri.alias("uri"), "line")
-    return own.unionByName(policy)
+def sarif_results(endpoints: DataFrame, policies: list | None = None) -> DataFrame:
+    """(rule, level, message, uri, line): high risks (API002), endpoints without known authentication (API001), violations of `policies` (API004).
+
+    All results of an endpoint come from one pass over it.
+    """
+    from gleaner.operators.endpoints import conditions
+
+    result = lambda rule, level, *words: F.struct(F.lit(rule).alias("rule"), level.alias("level"), F.concat_ws(" ", *words, "method", "route").alias("message"))
+    grave = lambda c: F.when(c, F.lit("error")).otherwise("warning")
+    risk = F.when(F.col("risk_level").isin("CRITICAL", "HIGH"), result("API002", grave(F.col("risk_level") == "CRITICAL"), F.col("risk_level"), F.lit("risk:")))
+    shadow = F.when(F.col("auth_status") == "UNKNOWN", result("API001", F.lit("warning"), F.lit("No authentication found:")))
+    broken = [F.when(c, result("API004", grave(F.lit(s == "CRITICAL")), F.lit(n), F.lit("broken by"))) for n, s, c in conditions(policies)]
+    rows = endpoints.select(F.explode_outer(F.array_compact(F.array(risk, shadow, *broken))).alias("r"), F.replace("path", F.lit("\\"), F.lit("/")).alias("uri"), "line")
+    return rows.filter(F.col("r").isNotNull()).select("r.*", "uri", "line")
 
 
 def sarif_document(results: DataFrame) -> DataFrame:

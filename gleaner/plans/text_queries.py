@@ -31,8 +31,8 @@ def doc_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("docs/"), "doc_id").alias("path"), F.lit(1).alias("line"), routes.lookup(F.col("lang"), METHODS, F.lit("ANY")).alias("method"),
         F.concat(F.lit("/"), F.coalesce("source", F.lit("none"))).alias("route"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    d = d.withColumn("auth_status", scoring.auth_status(F.col("text"), private=PRIVATE, public=PUBLIC))
-    d = d.withColumn("risk_score", scoring.risk_score(F.col("text"), F.col("method"), F.col("auth_status"), GROUPS, POINTS))
+    d = scoring.with_flags(d, F.col("text"), GROUPS, PRIVATE, PUBLIC).withColumn("auth_status", scoring.auth_status(F.col("_flags")))
+    d = d.withColumn("risk_score", scoring.risk_score(F.col("_flags"), F.col("method"), F.col("auth_status"), GROUPS, POINTS))
     return d.select("path", "line", "method", "route", "auth_status", "risk_score", scoring.risk_level(F.col("risk_score")).alias("risk_level"))
 
 
@@ -139,7 +139,7 @@ UNION ALL SELECT 'API001', 'warning', 'No authentication found: ' || method || '
 UNION ALL SELECT 'API004', CASE severity WHEN 'CRITICAL' THEN 'error' ELSE 'warning' END, policy || ' broken by ' || method || ' ' || route, path, line FROM v""")
 def sarif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = doc_endpoints(spark, sf_dir)
-    return sinks.sarif_results(e, ep.violations(e, doc_policies()))
+    return sinks.sarif_results(e, doc_policies())
 
 
 @query(EP + _VIOLATIONS + "SELECT (SELECT count(*) FROM ep) + (SELECT count(*) FROM v) AS tests, (SELECT count(*) FROM ep WHERE risk_level IN ('CRITICAL', 'HIGH')) + (SELECT count(*) FROM v) AS failures")
@@ -231,6 +231,6 @@ def hybrid_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT category, count(*) AS n, CAST(sum(n_found) AS BIGINT) AS n_found FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS category, {' + '.join(f'CASE WHEN {_any([p])} THEN 1 ELSE 0 END' for p in ps)} AS n_found FROM documents" for c, ps in GROUPS.items()) + ") WHERE n_found > 0 GROUP BY category")
 def risk_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents each category marks, and by how many reasons."""
-    reasons = scoring.risk_reasons(F.col("text"), F.lit("GET"), F.lit("PRIVATE"), GROUPS, POINTS)
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(reasons, lambda r: F.substring_index(r, ":", 1))).alias("category"))
+    reasons = scoring.risk_reasons(F.col("_flags"), F.lit("GET"), F.lit("PRIVATE"), GROUPS, POINTS)
+    d = scoring.with_flags(table(spark, sf_dir, "documents"), F.col("text"), GROUPS).select("doc_id", F.explode(F.transform(reasons, lambda r: F.substring_index(r, ":", 1))).alias("category"))
     return d.groupBy("doc_id", "category").agg(F.count("*").alias("n_found")).groupBy("category").agg(F.count("*").alias("n"), F.sum("n_found").alias("n_found"))

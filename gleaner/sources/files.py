@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.catalog import IGNORED_DIRS
 from gleaner.operators.matching import find_all, language_of
-
-VERBS = ["get", "post", "put", "delete", "patch", "options", "head", "trace"]
+from gleaner.operators.parsers import VERBS
 
 
 def allowed(relative: Column) -> Column:

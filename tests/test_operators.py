@@ -21,13 +21,13 @@ def brute_matches(text, language):
     for k, (framework, kind, method, route, label, rx) in enumerate(CATALOG[language]):
         for n, m in enumerate(re.finditer(rx, text, re.M | re.I), 1):
             line = text.count("\n", 0, m.start()) + 1
-            if not lines[line - 1].lstrip(" ").startswith(COMMENTS[language]):
+            if not lines[line - 1].lstrip().startswith(COMMENTS[language]):
                 yield line, framework, kind, ((m.group(method) if method else None) or "ANY").upper(), (m.group(route) if route else None) or label or framework, m.group(0)[:150], k, n
 
 
-@pytest.mark.parametrize("language", ["python", "javascript"])
+@pytest.mark.parametrize("language", sorted(CATALOG))
 def test_patterns_match_as_python_does(spark, language):
-    texts = [t for p, t in literal_queries.SOURCES if p.endswith(".py" if language == "python" else ".js")] + ["", '# @app.get("/x")\n@app.route("/é", methods=["GET"])\n\n"/health"', "router.get('/a/:b', f)\n\t// app.get('/c')"]
+    texts = [t for _, t in literal_queries.SOURCES] + [literal_queries.CATALOG_TEXT, "", '# @app.get("/x")\n@app.route("/é", methods=["GET"])\n\n"/health"', "router.get('/a/:b', f)\n\t// app.get('/c')"]
     df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)] + [("none", None)], "path string, content string")
     got = sorted(tuple(r) for r in matching.match_language(df, language).select("path", "line", "framework", "kind", "method", "route", "raw_match", "pattern", "match").collect())
     assert got == sorted((str(k), *m) for k, t in enumerate(texts) for m in brute_matches(t, language))
@@ -74,8 +74,9 @@ def test_policies_may_be_sql(spark):
 
 def test_scores(spark):
     rows = [("password token /health", "GET"), ("", "DELETE"), ("nothing", "GET")]
-    d = spark.createDataFrame(rows, "t string, m string").withColumn("a", scoring.auth_status(F.col("t")))
-    d = d.select("a", scoring.risk_score(F.col("t"), F.col("m"), F.col("a")).alias("s"), scoring.risk_level(scoring.risk_score(F.col("t"), F.col("m"), F.col("a"))).alias("l"), F.size(scoring.risk_reasons(F.col("t"), F.col("m"), F.col("a"))).alias("n"))
+    d = scoring.with_flags(spark.createDataFrame(rows, "t string, m string"), F.col("t")).withColumn("a", scoring.auth_status(F.col("_flags")))
+    d = d.withColumn("s", scoring.risk_score(F.col("_flags"), F.col("m"), F.col("a")))
+    d = d.select("a", "s", scoring.risk_level(F.col("s")).alias("l"), F.size(scoring.risk_reasons(F.col("_flags"), F.col("m"), F.col("a"))).alias("n"))
     assert [tuple(r) for r in d.collect()] == [("PUBLIC", 8, "CRITICAL", 3), ("UNKNOWN", 2, "LOW", 2), ("UNKNOWN", 1, "LOW", 1)]
 
 
@@ -126,7 +127,7 @@ def test_docstrings(text, summary, found):
 def test_reports_are_whole(spark):
     e = spark.createDataFrame([("a\\b.py", 3, "GET", '/x"<1>', "UNKNOWN", "HIGH", "ENDPOINT"), ("c.py", 1, "POST", "/y", "PUBLIC", "CRITICAL", "ENDPOINT")], "path string, line int, method string, route string, auth_status string, risk_level string, kind string")
     v = ep.violations(e)
-    doc = json.loads(sinks.sarif_document(sinks.sarif_results(e, v)).first().value)
+    doc = json.loads(sinks.sarif_document(sinks.sarif_results(e)).first().value)
     assert doc["version"] == "2.1.0" and len(doc["runs"][0]["results"]) == 4 and {r["ruleId"] for r in doc["runs"][0]["results"]} == {"API001", "API002", "API004"}
     assert doc["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] in ("a/b.py", "c.py")
     assert all("<1>" not in r.value for r in sinks.junit_cases(e, v).collect())
