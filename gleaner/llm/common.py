@@ -46,6 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 500_000
 #: A key with over 1/HOT_PARTS of all rows is hot; there are fewer than HOT_PARTS of them.
 HOT_PARTS = 2_048
+SALTS = 256
 
 
 def sized(df: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
@@ -53,18 +54,21 @@ def sized(df: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
-def join_hot(df: DataFrame, other: DataFrame, key: str, counts: DataFrame) -> DataFrame:
-    """The inner join of `df` and `other` (one row for each key), without a task for the rows of a hot key.
+def join_hot(df: DataFrame, other: DataFrame, keys: str | list[str], counts: DataFrame) -> DataFrame:
+    """The inner join of `df` and `other` (one row for each key), with hot keys salted, so that no task has all rows of one.
 
-    `counts` (key, n; checkpointed) says how many rows of `df` have a key. Rows of hot keys, over 1/HOT_PARTS of all each and so fewer
-    than HOT_PARTS keys, meet their row of `other` by a broadcast; the rest by a shuffle. Null keys match nothing.
+    `counts` (keys, n; checkpointed) says how many rows of `df` have a key. Keys of over 1/HOT_PARTS of all rows, fewer than HOT_PARTS
+    of them, are marked by a broadcast; their rows of `df` are dealt to SALTS parts by a hash, their row of `other` goes to each. Null keys match nothing.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = counts.filter(F.col("n") > max(1, total // HOT_PARTS)).select(key)
+    hot = counts.filter(F.col("n") > max(1, total // HOT_PARTS)).select(*keys, F.lit(True).alias("_hot"))
     if hot.isEmpty():
-        return df.join(other, key)
-    often = F.broadcast(other.join(F.broadcast(hot), key, "left_semi"))  # fewer than HOT_PARTS rows
-    return df.join(often, key).unionByName(df.join(F.broadcast(hot), key, "left_anti").join(other, key))
+        return df.join(other, keys)
+    hot = F.broadcast(hot)  # fewer than HOT_PARTS rows
+    left = df.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    right = other.join(hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
 def ascii_lower(c: Column) -> Column:

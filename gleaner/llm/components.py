@@ -22,8 +22,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b) but the roots; root is the least node that it reaches.
 
     Edges with nulls or of a node to itself don't count. Each step is cut off in the checkpoint folder.
-    Neighbour minima are aggregated before they are shuffled, and those of hot nodes, as the root of a large component is one, are
-    broadcast; no node's neighbours meet in one task.
+    Neighbour minima are aggregated before they are shuffled, and hot nodes, as the root of a large component is
+    one, are salted; no node's neighbours meet in one task.
     """
     e = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, before = cut(e), None

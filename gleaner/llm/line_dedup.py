@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import SPACE_CHARS, UPPER, ascii_lower, strip, table
+from gleaner.llm.common import SPACE_CHARS, UPPER, ascii_lower, cut, join_hot, strip, table
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -18,7 +18,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     Repeated rows each come back. Other columns of `docs` are ignored.
 
     Only hashes of lines (two of 64 bits) and line positions are shuffled for counting; texts move
-    once, to meet the positions of their dropped lines.
+    once, to meet the positions of their dropped lines. The hashes of shared lines are written to the checkpoint folder; those of very common
+    lines are salted.
     """
     d = docs.select(
         F.col("doc_id"),
@@ -33,17 +34,18 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .filter(F.length("_key") >= min_chars)
         .select("doc_id", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("line"), "_key").alias("_h2"))
     )
-    shared = (
+    shared = cut(
         lines.groupBy("_h1", "_h2")
         .agg(
             (F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("long"))).alias("_n"),
             F.max("doc_id").alias("_keeper"),
+            F.count("*").alias("n"),
         )
         .filter(F.col("_n") >= min_docs)
         .drop("_n")
     )
     dropped = (
-        lines.join(shared, ["_h1", "_h2"])
+        join_hot(lines, shared.drop("n"), ["_h1", "_h2"], shared)
         .filter(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
         .groupBy(F.col("doc_id").alias("_doc"), F.col("_row").alias("_row2"))
         .agg(F.collect_set("_pos").alias("_drop"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from gleaner.llm.common import cut, new_folder, table
+from gleaner.llm.common import cut, join_hot, new_folder, table
 from gleaner.llm.token_files import open_store
 
 DICTIONARY_FRAME = 0x184D2A5D  # skippable frame that holds a dictionary
@@ -134,12 +134,13 @@ def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """page_id, url, html and `refers_to`: the largest page_id with an equal payload of at least `min_bytes` bytes.
 
     Null for that page itself, for smaller or single payloads, and for null ids. Only digests are
-    grouped and joined; the pages move once, by page_id.
+    grouped and joined, those of a page that is everywhere salted; the pages move once, by page_id.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     large = pages.filter(F.octet_length("html") >= min_bytes).filter(F.col("page_id").isNotNull()).select("page_id", F.sha1(F.col("html").cast("binary")).alias("_digest"))
-    groups = large.groupBy("_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_least")).filter(F.col("refers_to") > F.col("_least"))
-    repeats = large.join(groups, "_digest").filter(F.col("page_id") < F.col("refers_to"))
+    groups = large.groupBy("_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_least"), F.count("*").alias("n"))
+    groups = cut(groups.filter(F.col("refers_to") > F.col("_least")).drop("_least"))
+    repeats = join_hot(large, groups.drop("n"), "_digest", groups).filter(F.col("page_id") < F.col("refers_to"))
     repeats = repeats.select(F.col("page_id").alias("_page"), F.col("_digest"), "refers_to").distinct()
     keyed = pages.withColumn("_sha1", F.sha1(F.col("html").cast("binary")))
     return keyed.join(repeats, (keyed["page_id"] == repeats["_page"]) & (keyed["_sha1"] == repeats["_digest"]), "left").select("page_id", "url", "html", "_sha1", "refers_to")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import math
 import random
 import re
@@ -11,9 +12,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, language_id, line_dedup, mixing, privacy, quality_rules, quality_trees, simhash, text_stats, token_files, warc
+from gleaner.llm import common, decontamination, language_id, line_dedup, mixing, privacy, quality_rules, quality_trees, simhash, text_stats, token_files, warc
 from gleaner.llm.components import connected_components
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -78,6 +80,18 @@ def test_line_dedup(odd, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [2, 2_048])
+def test_hot_keys(spark, monkeypatch, parts):
+    """Salted joins give what plain ones do."""
+    monkeypatch.setattr(common, "HOT_PARTS", parts)
+    rows = [(k, "hot" if k % 3 else f"k{k}") for k in range(90)] + [(90, None)]
+    df = spark.createDataFrame(rows, "n1 int, key string")
+    counts = df.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"))
+    other = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "key string, value int")
+    got = sorted(tuple(r) for r in common.join_hot(df, other, "key", common.cut(counts)).select("n1", "key", "value").collect())
+    assert got == sorted((n, k, {"hot": 1, "k3": 2}[k]) for n, k in rows if k in ("hot", "k3"))
+
+
 def test_mix(spark, odd, none):
     docs = odd.withColumn("size", mixing.n_words(F.col("text")))
     rows = mixing.mix(docs, rows_per_bucket=2).collect()
@@ -139,6 +153,14 @@ def test_warc(spark, tmp_path):
     heads = [p.read_bytes()[:4] for p in (tmp_path / "w").glob("*.warc.zst")]
     assert bytes.fromhex("5d2a4d18") in heads
     assert warc.warc_round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+    for path in (tmp_path / "w").glob("*.warc.zst"):  # without its dictionary no record of a file that has one can be read
+        data = path.read_bytes()
+        if data[:4] == bytes.fromhex("5d2a4d18"):
+            rest = data[8 + int.from_bytes(data[4:8], "little") :]
+            with pytest.raises(zstandard.ZstdError):
+                list(warc.read_records(io.BytesIO(rest)))
+    few = warc.warc_round_trip(pages.limit(3).coalesce(1), f"file://{tmp_path}/few")  # too few to learn a dictionary from
+    assert few.count() == 3 and all(p.read_bytes()[:4] == bytes.fromhex("28b52ffd") for p in (tmp_path / "few").glob("*.warc.zst"))
     record = warc.build_record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None)
     with pytest.raises(ValueError):
         warc.parse_record(record.replace(b"abc", b"abd"))
@@ -491,6 +513,46 @@ def test_leaks(spark, odd, none, block_words):
         assert decontamination.find_leaks(odd, bench).count() == 0 and decontamination.find_leaks(none, bench).count() == 0 and decontamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_and_unspaced_items(spark):
+    """Items of under four words are found as whole lines; scripts without spaces by their characters."""
+    items = [(0, "Two words"), (1, "Yes."), (2, "昨日の夜に大きな犬が庭で静かに眠っていました"), (3, "two words"), (4, "...")]
+    rows = [(0, "before\n  two WORDS!\nafter"), (1, "here are two words in a row, yes"), (2, "序文です。昨日の夜に大きな猫が庭で静かに眠っていました。終わり"), (3, "Yes"), (4, None), (5, "昨日"), (6, "...")]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((x["doc_id"], x["item_id"], x["word"]) for x in decontamination.find_leaks(docs, bench).collect())
+    assert [x[:2] for x in got] == [(0, 0), (0, 3), (2, 2), (3, 1)] and got[0][2] == 1
+
+
+def test_recall_of_edited_items():
+    """Against alignment without seeds: items with changed, left out and inserted words that reach a similarity of 0.5."""
+    r = random.Random(9)
+    for size, rate in ((10, 0.3), (15, 0.3), (25, 0.35), (40, 0.35), (30, "third"), (30, "fourth")):
+        found = reached = 0
+        for _ in range(60):
+            item = [f"w{r.randrange(5000)}" for _ in range(size)]
+            if isinstance(rate, str):
+                copy = edited(" ".join(item), {"third": 3, "fourth": 4}[rate]).split()
+            else:
+                copy = [x for w in item for x in ([w] if r.random() > rate else r.choice([["new"], ["new"], ["new"], [], [w, "new"]]))]
+            text = [f"v{r.randrange(5000)}" for _ in range(40)] + copy + [f"v{r.randrange(5000)}" for _ in range(40)]
+            if slow_alignment(item, text) >= size:
+                items = decontamination.Items.of([(1, " ".join(item))])
+                w, at, seed = items.look_up(" ".join(text))
+                reached += 1
+                found += any(s >= 0.5 for _, s, _ in decontamination.align(items, w, at, seed, 0.5)) if len(seed) else 0
+        assert reached > 20 and found >= 0.9 * reached, (size, rate, found, reached)
+
+
+def test_long_items_in_bounded_memory():
+    r = np.random.default_rng(5)
+    item = r.integers(0, 50_000, 6000).astype(str)
+    items = decontamination.Items.of([(1, " ".join(item))])
+    copy = item.copy()
+    copy[::7] = "new"
+    w, at, seed = items.look_up(" ".join([*item[:3], *copy]))
+    (hit,) = decontamination.align(items, w, at, seed, 0.5)
+    assert 0.75 < hit[1] < 0.82
+
+
 def luhn(digits):
     v = [int(c) for c in digits][::-1]
     return sum(v[::2] + [sum(divmod(2 * c, 10)) for c in v[1::2]]) % 10 == 0
