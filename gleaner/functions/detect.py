@@ -117,3 +117,28 @@ def decision(confidence: Column, simple: Column, complex_: Column, tasks: Column
         F.when(sure & simple, told(False, "simple", none)).when(sure & ~complex_, told(False, "documented", none)).when(sure, told(True, "complex", F.array(F.lit("description_enhancement"))))
         .when(complex_, told(True, "complex_and_incomplete", tasks)).otherwise(told(True, "incomplete", tasks))
     )
+
+
+#: What speaks for JavaScript, for C#, for a body in braces and for Python.
+SCRIPT_SIGNS = ["function(", "const ", "let ", "var ", ") {", "};", "async function", "module.exports", "router.", "app.use("]
+CSHARP_SIGNS = ["public ", "private ", "protected ", " Task<", "IActionResult", "[Route", "[Http", "namespace ", "using System"]
+BRACE_SIGNS = ["function ", ") {", "if (", "for ("]
+PYTHON_SIGNS = ["def ", "class ", "import ", "from ", "__init__", "self.", "@", ":"]
+
+
+def is_python(code: Column) -> Column:
+    """Whether code looks like Python: signs of it, and not two of another language, nor bodies in braces."""
+    count = lambda signs: sum((F.contains(code, F.lit(x)).cast("int") for x in signs), F.lit(0))
+    braces = F.contains(code, F.lit("{")) & F.contains(code, F.lit("}")) & (count(BRACE_SIGNS) > 0)
+    return F.coalesce((count(SCRIPT_SIGNS) < 2) & (count(CSHARP_SIGNS) < 2) & ~braces & (count(PYTHON_SIGNS) > 0), F.lit(False))
+
+
+#: The field that each kind of template is tried on first.
+FIRST_FIELD = {
+    "sql_injection": "username", "xss": "name", "command_injection": "filename", "path_traversal": "file", "nosql_injection": "username", "ldap_injection": "username", "header_injection": "redirect_url", "ssrf": "url",
+    "template_injection": "template", "xxe": "xml",
+}
+
+
+def likely_field(category: Column) -> Column:
+    return lookup(category, FIRST_FIELD, F.lit("input"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampType
 
 from gleaner.functions import scoring
 from gleaner.operators.catalog import CATALOG, EXTENSIONS
@@ -147,36 +149,82 @@ def set_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFra
     return met.select(*keys, F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").otherwise("unchanged").alias("side"))
 
 
-def batches(df: DataFrame, group: list[str], order: list[str], size: int, parts: int = 64) -> DataFrame:
-    """`batch`: the number of the row's chunk of at most `size` rows within its group, from 0.
+def _as_number(df: DataFrame, column: str) -> Column:
+    """A number that never falls as the column rises: the column itself, or of anything else the first seven bytes of its text."""
+    if isinstance(df.schema[column].dataType, NumericType):
+        return F.col(column)
+    kind = df.schema[column].dataType
+    if isinstance(kind, (TimestampType, DateType)):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    if isinstance(kind, StringType):
+        return F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(column), "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
+    return F.lit(0)
 
-    Groups may be few and huge: where the first column of `order` is a number, groups are cut at `parts` approximate
-    quantiles of it, rows are numbered within a cut, and counts of the cuts before are added. The numbers are
+
+def batches(df: DataFrame, group: list[str], order: list[str], size: int, parts: int = 64, largest: int | None = None) -> DataFrame:
+    """`batch`: the number of the row's chunk of at most `size` rows (within 1 and `largest`) within its group, from 0.
+
+    Groups may be few and huge: they are cut at `parts` approximate quantiles of the first column of `order` (of texts, their first seven
+    bytes; times as numbers), rows are numbered within a cut, and counts of the cuts before are added. The numbers are
     exact wherever the cuts fall.
     """
-    size, first = max(1, size), order[0]
-    if not isinstance(df.schema[first].dataType, NumericType):
-        n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-        return df.withColumn("batch", F.floor((n - 1) / size).cast("long"))
-    cuts = df.agg(F.percentile_approx(first, [k / parts for k in range(1, parts)]).alias("_cuts"))  # one row
-    cut = df.join(F.broadcast(cuts)).withColumn("_cut", F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < F.col(first)))).drop("_cuts")
+    size = max(1, size if largest is None else min(size, largest))
+    df = df.withColumn("_key", _as_number(df, order[0]))
+    cuts = df.agg(F.percentile_approx("_key", [k / parts for k in range(1, parts)]).alias("_cuts"))  # one row
+    cut = df.join(F.broadcast(cuts)).withColumn("_cut", F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < F.col("_key")))).drop("_cuts")
     counts = cut.groupBy(*group, "_cut").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_cut").alias("_c"), before.alias("_before"))
     met = cut.join(counts, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_cut") == F.col("_c")])
     n = F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_cut").orderBy(*order))
-    return met.withColumn("batch", F.floor((n - 1) / size).cast("long")).select(*df.columns, "batch")
+    return met.withColumn("batch", F.floor((n - 1) / size).cast("long")).select(*[c for c in df.columns if c != "_key"], "batch")
 
 
 def cache_lookup(wanted: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     """`wanted` (key) with hit and value: entries of `cache` (key, value, created_at) no older than the limit."""
-    fresh = cache.filter(F.col("created_at") + F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS") >= now).select(F.col("key").alias("_k"), F.col("value"))
-    return wanted.join(fresh, wanted["key"] == F.col("_k"), "left").withColumn("hit", F.col("_k").isNotNull()).drop("_k")
+    entries = fresh(cache, now, ttl_seconds).select(F.col("key").alias("_k"), F.col("value"))
+    return wanted.join(entries, wanted["key"] == F.col("_k"), "left").withColumn("hit", F.col("_k").isNotNull()).drop("_k")
+
+
+def fresh(cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
+    """`cache` (created_at) without expired entries."""
+    return cache.filter(F.col("created_at") + F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS") >= now)
+
+
+def cache_read(cache: DataFrame, wanted: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
+    """The cache (key, value, created_at, accessed_at, access_count) after `wanted` (key) was looked up: expired entries are gone, those found are marked as read once more."""
+    keys = wanted.select(F.col("key").alias("_k")).filter(F.col("_k").isNotNull()).distinct()
+    met = fresh(cache, now, ttl_seconds).join(keys, F.col("key") == F.col("_k"), "left")
+    read = F.col("_k").isNotNull()
+    return met.withColumn("accessed_at", F.when(read, now).otherwise(F.col("accessed_at"))).withColumn("access_count", F.col("access_count") + read.cast("int")).select(*cache.columns)
+
+
+def cache_upsert(cache: DataFrame, new: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Entries of `new` replace those of `cache` with the same key; of several in `new` the last by `order` (created_at, if it is there, and then all columns)."""
+    order = order or [*[c for c in ("created_at",) if c in new.columns], *[c for c in new.columns if c not in ("key", "created_at")]]
+    last = first_per(new, ["key"], [F.desc(c) for c in order])
+    return cache.join(last.select("key"), "key", "left_anti").unionByName(last)
+
+
+def write_baseline(files: DataFrame, endpoints: DataFrame, folder: str) -> None:
+    """Keep what a later scan starts from: (path, md5) of the files and the endpoints. The folder must be a new one: a baseline that is read is never overwritten."""
+    files.select("path", "md5").write.parquet(f"{folder}/files")
+    endpoints.write.parquet(f"{folder}/endpoints")
+
+
+def read_baseline(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The files and endpoints of a baseline; empty tables where there is none."""
+    try:
+        return spark.read.parquet(f"{folder}/files"), spark.read.parquet(f"{folder}/endpoints")
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, md5 string"), spark.createDataFrame([], "path string, line int, method string, route string, auth_status string, risk_level string")
 
 
-def cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """Entries of `new` replace those of `cache` with the same key."""
-    return cache.join(new.select("key").distinct(), "key", "left_anti").unionByName(new)
+def incremental_scan(files: DataFrame, baseline: tuple[DataFrame, DataFrame], scan_files: Callable[[DataFrame], DataFrame] = scan) -> DataFrame:
+    """Endpoints of `files` (path, content, md5): only files that are new or changed are scanned; the others' come from the baseline."""
+    old_files, old = baseline
+    same = unchanged_files(files.select("path", "md5"), old_files).select("path")
+    return scan_files(changed_files(files, old_files)).unionByName(old.join(same, "path", "left_semi"), allowMissingColumns=True)
 
 
 def cache_key(*parts: Column) -> Column:

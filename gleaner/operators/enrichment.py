@@ -10,15 +10,83 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from gleaner.functions import detect, routes, scoring
 from gleaner.functions.routes import surrounding
+from gleaner.operators import parsers
 from gleaner.operators.endpoints import cache_lookup
 
 
+#: So many paths with their lines are broadcast at most; more meet their files by a shuffle.
+BROADCAST_PATHS = 200_000
+
+
 def with_code(endpoints: DataFrame, files: DataFrame, around: int = 25) -> DataFrame:
-    """`endpoints` (path, line) with the code near them; endpoints without a file have an empty one."""
-    code = files.groupBy(F.col("path").alias("_p")).agg(F.first("content").alias("_c"))
-    lines = F.split(F.coalesce("_c", F.lit("")), "\n", -1)
-    return endpoints.join(code, endpoints["path"] == F.col("_p"), "left").withColumn("code", F.array_join(surrounding(lines, F.col("line"), around), "\n")).drop("_p", "_c")
+    """`endpoints` (path, line) with the code near them; endpoints without a file have an empty one.
+
+    The lines that are wanted go to the files, not contents to the endpoints: only code around them is joined. Of a path that is there twice the
+    least code counts.
+    """
+    wanted = endpoints.groupBy(F.col("path").alias("_p")).agg(F.collect_set("line").alias("_ls"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_PATHS else wanted
+    near = F.array_join(surrounding(F.split(F.coalesce("content", F.lit("")), "\n", -1), F.col("_l"), around), "\n")
+    code = files.join(wanted, F.col("path") == F.col("_p")).select("_p", "content", F.explode("_ls").alias("_l")).groupBy("_p", "_l").agg(F.min(near).alias("code"))
+    met = endpoints.join(code, (F.col("path") == F.col("_p")) & (F.col("line") == F.col("_l")), "left")
+    return met.withColumn("code", F.coalesce("code", F.lit(""))).drop("_p", "_l")
+
+
+def function_window(content: Column, line: Column, above: int = 50, most: int = 100) -> Column:
+    """The code of the function at a line number: from the nearest line above it, at most `above` lines up, that begins one, to the next that does, at most `most` lines."""
+    lines = F.split(content, "\n", -1)
+    starts = lambda x: x.rlike("def |function |async |public |private ")
+    before = F.slice(lines, F.greatest(F.lit(1), line - above + 1), F.least(F.lit(above), line))
+    up = F.array_position(F.transform(F.reverse(before), starts), True)
+    first = F.when(up > 0, line - up + 1).otherwise(line).cast("int")
+    rest = F.slice(lines, first + 1, F.lit(most - 1))
+    down = F.array_position(F.transform(rest, lambda x: x.rlike("def |function |class ")), True)
+    body = F.when(down > 0, F.slice(rest, F.lit(1), down.cast("int"))).otherwise(rest)
+    return F.when((line < 1) | (line > F.size(lines)), F.lit("")).otherwise(F.array_join(F.concat(F.slice(lines, first, F.lit(1)), body), "\n"))
+
+
+def described_endpoints(endpoints: DataFrame, files: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Endpoints (path, line, method, route, code) with all that is known of them without a model, and whether and for what one is asked.
+
+    Columns beside theirs: parameters (name, type, format, description), codes, summary, hints, scheme, confidence, asks, reason, tasks, savings. A Python
+    endpoint's function is the nearest one that begins at its line or below, within three lines of decorators.
+    """
+    functions = parsers.python_functions(files)
+    schemes = parsers.auth_schemes(functions).groupBy("path", "function").agg(F.min("scheme").alias("scheme"))
+    f = functions.filter(F.col("bases").isNull()).join(schemes, ["path", "function"], "left")
+    f = f.select(F.col("path").alias("_fp"), F.col("line").alias("_fl"), F.struct("summary", "hints", "scheme", "answer", "parameters").alias("_f"))
+    near = f.select("_fp", "_fl", "_f", F.explode(F.sequence(F.col("_fl") - 4, F.col("_fl"))).alias("_at"))
+    first = near.groupBy("_fp", "_at").agg(F.min_by("_f", "_fl").alias("_f"))
+    e = endpoints.join(first, (F.col("path") == F.col("_fp")) & (F.col("line") == F.col("_at")), "left").drop("_fp", "_at")
+    named = F.transform(routes.params(F.col("route")), lambda p: F.struct(p["name"].alias("name"), routes.param_type(p["name"], p["hint"]).alias("type"), routes.param_format(p["name"], p["hint"]).alias("format"), routes.param_description(p["name"], routes.param_type(p["name"], p["hint"])).alias("description")))
+    e = e.withColumn("parameters", named).withColumn("codes", routes.status_codes(F.col("code"))).withColumn("summary", F.col("_f.summary")).withColumn("hints", F.col("_f.hints"))
+    e = e.withColumn("scheme", F.coalesce("_f.scheme", detect.security_dependency(F.col("code"))))
+    told = lambda c: F.coalesce(c, F.lit(False))
+    flags = {
+        "has_parameters": F.size("parameters") > 0, "has_type_hints": told(F.col("hints") != "{}"), "has_docstring": told(F.col("summary") != ""), "has_auth": F.col("scheme").isNotNull(),
+        "has_responses": F.size("codes") > 0, "has_method_info": F.col("method").isin("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"),
+    }
+    e = e.withColumn("confidence", scoring.coverage_confidence(flags, F.col("scheme").isNotNull()))
+    described = told(F.col("_f.parameters") != "{}")
+    decided = detect.decision(F.col("confidence"), scoring.is_simple(F.col("route"), F.col("code")), scoring.is_complex(F.col("route"), F.col("code")), detect.model_tasks(flags, described), threshold)
+    e = e.withColumn("_d", decided).select("*", "_d.asks", "_d.reason", "_d.tasks").withColumn("savings", scoring.savings(F.col("confidence"), F.col("asks")))
+    return e.drop("_f", "_d")
+
+
+def with_answers(endpoints: DataFrame, answers: DataFrame) -> DataFrame:
+    """`endpoints` with the answers (method, route and others) that were given for their method and route; endpoints alike share one, those without have nulls."""
+    own = answers.select(F.col("method").alias("_m"), F.col("route").alias("_r"), *[c for c in answers.columns if c not in ("method", "route")])
+    return endpoints.join(own.dropDuplicates(["_m", "_r"]), (F.col("method") == F.col("_m")) & (F.col("route") == F.col("_r")), "left").drop("_m", "_r")
+
+
+def shared_prompt(endpoints: DataFrame, most: int = 100) -> DataFrame:
+    """One row: n (all endpoints), sample (the first `most` as `METHOD route`, in order) and the resources that several of them share: what one question about the whole is asked of."""
+    signature = F.concat_ws(" ", "method", "route")
+    first = endpoints.select(signature.alias("s")).distinct().orderBy("s").limit(most).agg(F.array_sort(F.collect_list("s")).alias("sample"))  # the limit is what a prompt holds
+    shared = endpoints.groupBy(detect.shared_resource(F.col("route")).alias("r")).agg(F.count("*").alias("n")).filter("r IS NOT NULL AND n > 1").orderBy(F.desc("n"), "r").limit(most).agg(F.array_sort(F.collect_list("r")).alias("resources"))
+    return endpoints.agg(F.count("*").alias("n")).join(F.broadcast(first)).join(F.broadcast(shared))  # a row each
 
 
 def ask_in_batches(rows: DataFrame, ask: Callable[[list[str]], list[str | None]], size: int = 20, tries: int = 3, wait: float = 0.0) -> DataFrame:

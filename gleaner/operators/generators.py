@@ -54,13 +54,15 @@ def missing_required(fields: DataFrame, key: list[str]) -> DataFrame:
 def with_templates(endpoints: DataFrame, templates: DataFrame, per_category: int | None = 2) -> DataFrame:
     """Each endpoint with the first `per_category` templates (category, ordinal, payload) of each category, or with all.
 
-    Templates are cut before they meet the endpoints: a table of categories times `per_category` rows, given by the caller.
+    Endpoints are exploded by category and joined with its templates: an equi-join, of which Spark broadcasts the templates while they are few.
     """
     first = templates.withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy("ordinal")))
     if per_category is not None:
         first = first.filter(F.col("_n") <= per_category)
-    packed = first.agg(F.array_sort(F.collect_list(F.struct("category", F.col("_n").alias("n"), "payload"))).alias("_t"))
-    return endpoints.join(packed).select(*endpoints.columns, F.inline("_t")).withColumn("name", F.concat_ws("_", "category", "n"))
+    named = first.select("category", F.concat_ws("_", "category", "_n").alias("name"), "payload")
+    categories = first.agg(F.collect_set("category").alias("_cs"))  # one row: the categories
+    wide = endpoints.join(F.broadcast(categories)).select(*endpoints.columns, F.explode("_cs").alias("category"))
+    return wide.join(named, "category")
 
 
 def ownership_violations(fields: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import inspect
 import json
 import re
 from collections.abc import Iterator
@@ -10,9 +11,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-ROUTES = "path string, line int, controller string, action string, method string, route string, auth_status string"
-FUNCTIONS = "path string, function string, line int, decorators string, hints string, returns string, summary string, parameters string, constraints string, bases string"
+from gleaner.functions.routes import json_text
+from gleaner.sources.shared import cut
+
+ROUTES = "path string, line int, controller string, action string, method string, route string, auth_status string, returns string"
+FUNCTIONS = "path string, function string, line int, decorators string, hints string, returns string, summary string, parameters string, constraints string, bases string, description string, answer string, raises string, schemas string"
 
 
 def block_end(text: str, start: int) -> int:
@@ -33,7 +38,7 @@ def combine(base: str, own: str) -> str:
 
 
 def csharp_actions(text: str) -> Iterator[tuple]:
-    """(line, controller, action, method, route, auth, raw match) of C# controllers."""
+    """(line, controller, action, method, route, auth, raw match, response type) of C# controllers."""
     for c in re.finditer(r"class\s+(\w+)Controller\b[^{]*\{", text):
         before, name = text[max(0, c.start() - 500) : c.start()], c.group(1)
         base = (re.findall(r'\[Route(?:Prefix)?\(\s*"([^"]*)"', before) or [""])[-1].replace("[controller]", name)
@@ -42,16 +47,18 @@ def csharp_actions(text: str) -> Iterator[tuple]:
             if m.start() < c.end():
                 continue
             after = text[m.end() : min(end, m.end() + 500)]
-            action = re.search(r"\b(\w+)\s*\(", re.sub(r"\[[^\]]*\]", "", after))
+            signature = re.sub(r"\[[^\]]*\]", "", after)
+            action = re.search(r"\b(\w+)\s*\(", signature)
+            returns = re.search(r"(?:ActionResult|Task)<(?:ActionResult<)?(?:I?List<|IEnumerable<)?(\w+)", signature[: action.start()] if action else "")
             around = text[max(0, m.start() - 200) : m.end() + 200]
             auth = "PUBLIC" if "[AllowAnonymous" in around else "PRIVATE" if re.search(r"\[(Api)?Authorize", around + before) else "UNKNOWN"
             own = m.group(2) or next(iter(re.findall(r'^\s*\[Route\(\s*"([^"]*)"', after)), "")
             route = combine(base, own).replace("[action]", action.group(1) if action else "")
-            yield text.count("\n", 0, m.start()) + 1, name, action.group(1) if action else None, m.group(1).upper(), route, auth, m.group(0)
+            yield text.count("\n", 0, m.start()) + 1, name, action.group(1) if action else None, m.group(1).upper(), route, auth, m.group(0), returns.group(1) if returns else None
 
 
 def spring_actions(text: str) -> Iterator[tuple]:
-    """(line, controller, action, method, route, auth, raw match) of Spring controllers."""
+    """(line, controller, action, method, route, auth, raw match, response type) of Spring controllers; the type is not looked for."""
     for c in re.finditer(r"@(?:Rest)?Controller\b.*?\bclass\s+(\w+)[^{]*\{", text, re.S):
         base = (re.findall(r'@RequestMapping\(\s*(?:value\s*=\s*|path\s*=\s*)?"([^"]*)"', text[max(0, c.start() - 500) : c.end()]) or [""])[-1]
         end = block_end(text, c.end() - 1)
@@ -59,7 +66,7 @@ def spring_actions(text: str) -> Iterator[tuple]:
             at = c.end() + m.start()
             action = re.search(r"\b(\w+)\s*\(", re.sub(r"@\w+(\([^)]*\))?", "", text[c.end() + m.end() : c.end() + m.end() + 500]))
             auth = "PRIVATE" if re.search(r"@(PreAuthorize|Secured|RolesAllowed)", text[max(0, at - 200) : at + 200]) else "UNKNOWN"
-            yield text.count("\n", 0, at) + 1, c.group(1), action.group(1) if action else None, m.group(1).upper(), combine(base, (m.group(2) or "").lstrip("/")), auth, m.group(0)
+            yield text.count("\n", 0, at) + 1, c.group(1), action.group(1) if action else None, m.group(1).upper(), combine(base, (m.group(2) or "").lstrip("/")), auth, m.group(0), None
 
 
 VERBS = ["get", "post", "put", "delete", "patch", "options", "head", "trace"]
@@ -112,26 +119,100 @@ def spec_paths(path: str, text: str) -> Iterator[tuple[int, str, str]]:
 
 
 def controllers(files: DataFrame) -> DataFrame:
-    """Routes of C# and Spring controllers in `files` (path, content): a row for each action with a verb."""
+    """Routes of C# and Spring controllers in `files` (path, content): a row for each action with a verb.
+
+    Columns: path, line, controller, action, method, route, auth_status, returns (the class that a C# action answers with).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, *r[:-1]) for p, t in zip(pdf["path"], pdf["content"], strict=True) if t for r in (csharp_actions(t) if p.endswith(".cs") else spring_actions(t))]
+            rows = [(p, *r[:6], r[7]) for p, t in zip(pdf["path"], pdf["content"], strict=True) if t for r in (csharp_actions(t) if p.endswith(".cs") else spring_actions(t))]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in ROUTES.split(", ")])
 
     return files.select("path", "content").filter(F.col("path").rlike(r"\.(cs|java)$")).mapInPandas(run, ROUTES)
 
 
+_GOOGLE = r"^[ \t]*(?:{})[ \t]*:[ \t]*\n((?:[ \t]+\S.*\n?|[ \t]*\n)+)"
+_NUMPY = r"^[ \t]*(?:{})[ \t]*\n[ \t]*-{{3,}}[ \t]*\n(.*?)(?=\n[ \t]*\n|\n[ \t]*\w+[ \t]*\n[ \t]*-{{3,}}|\Z)"
+
+
+def _section(text: str, names: str) -> tuple[str, str]:
+    """The body of a section in the manner of Google, and of NumPy; empty where there is none."""
+    g, n = re.search(_GOOGLE.format(names), text + "\n", re.M), re.search(_NUMPY.format(names), text, re.M | re.S)
+    return g[1] if g and not n else "", n[1] if n else ""
+
+
+def docstring_sections(text: str | None) -> dict:
+    """summary, description, parameters, returns and raises of a Google, NumPy, Sphinx or plain docstring."""
+    text = inspect.cleandoc(text or "")
+    google, numpy = _section(text, "Args|Arguments|Parameters")
+    parameters = dict(re.findall(r":param\s+(?:\w+\s+)?(\w+)\s*:\s*(.+)", text))
+    parameters |= {k: d.strip() for k, d in re.findall(r"^\s+(\w+)\s*(?:\([^)]*\))?\s*:\s*(.+)$", google, re.M)}
+    parameters |= {k: d.strip() for k, d in re.findall(r"^\s*(\w+)\s*:\s*[^\n]*\n\s+(.+)$", numpy, re.M)}
+    google, numpy = _section(text, "Returns?|Yields?")
+    returns = " ".join(google.split()) or " ".join(numpy.split("\n", 1)[-1].split())
+    if m := re.search(r":returns?:\s*(.+)", text):
+        returns = m[1].strip()
+    google, numpy = _section(text, "Raises")
+    raises = dict(re.findall(r":raises?\s+(\w+)\s*:\s*(.+)", text)) | {k: d.strip() for k, d in re.findall(r"^\s+(\w+)\s*:\s*(.+)$", google, re.M)}
+    raises |= {k: d.strip() for k, d in re.findall(r"^(\w+)[ \t]*\n[ \t]+(.+)$", numpy, re.M)}
+    head = re.split(r"^\s*(?::\w+|(?:Args|Arguments|Parameters|Returns?|Yields?|Raises|Examples?|Notes?)\s*(?::\s*$|\n\s*-{3,}))", text, maxsplit=1, flags=re.M)[0].strip()
+    summary, _, description = head.partition("\n")
+    return {"summary": summary.strip(), "description": " ".join(description.split()), "parameters": parameters, "returns": returns, "raises": raises}
+
+
 def docstring(text: str | None) -> tuple[str, dict[str, str]]:
-    """The summary and the parameters' descriptions of a Google, NumPy, Sphinx or plain docstring."""
-    if not text:
-        return "", {}
-    found = dict(re.findall(r":param\s+(?:\w+\s+)?(\w+)\s*:\s*(.+)", text))
-    if m := re.search(r"^\s*(?:Args|Arguments|Parameters):\s*\n((?:[ \t]+\S.*\n?)+)", text, re.M):
-        found |= {k: d.strip() for k, d in re.findall(r"^\s+(\w+)\s*(?:\([^)]*\))?\s*:\s*(.+)$", m.group(1), re.M)}
-    if m := re.search(r"^\s*Parameters\s*\n\s*-{3,}\s*\n(.*?)(?:\n\s*\n|\n\s*\w+\s*\n\s*-{3,}|\Z)", text, re.M | re.S):
-        found |= {k: d.strip() for k, d in re.findall(r"^\s*(\w+)\s*:\s*[^\n]*\n\s+(.+)$", m.group(1), re.M)}
-    return text.strip().split("\n")[0].strip(), found
+    """The summary and the parameters' descriptions."""
+    found = docstring_sections(text)
+    return found["summary"], found["parameters"]
+
+
+#: JSON types of Python types.
+PYTHON_TYPES = {"int": "integer", "float": "number", "str": "string", "bool": "boolean", "list": "array", "dict": "object", "bytes": "string", "None": "null", "Any": "object", "tuple": "array", "set": "array"}
+_FORMATS = {"UUID": "uuid", "datetime": "date-time", "date": "date", "time": "time", "bytes": "binary", "EmailStr": "email", "AnyUrl": "uri", "HttpUrl": "uri"}
+
+
+def annotation_schema(node: ast.AST | None) -> dict:
+    """The JSON schema of a type annotation; classes are references."""
+    if node is None or (isinstance(node, ast.Constant) and node.value is None):
+        return {"type": "null"}
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        try:
+            return annotation_schema(ast.parse(node.value, mode="eval").body)
+        except SyntaxError:
+            return {"type": "string"}
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
+        return _union([annotation_schema(node.left), annotation_schema(node.right)])
+    if isinstance(node, ast.Subscript):
+        kind = getattr(node.value, "id", getattr(node.value, "attr", ""))
+        parts = node.slice.elts if isinstance(node.slice, ast.Tuple) else [node.slice]
+        if kind in ("Optional", "Union"):
+            return _union([annotation_schema(p) for p in parts] + ([{"type": "null"}] if kind == "Optional" else []))
+        if kind == "Literal":
+            return {"enum": [p.value for p in parts if isinstance(p, ast.Constant)]}
+        if kind == "Annotated":
+            return annotation_schema(parts[0])
+        if kind in ("Dict", "dict", "Mapping"):
+            return {"type": "object", "additionalProperties": annotation_schema(parts[-1])}
+        if kind in ("List", "list", "Set", "set", "Sequence", "Iterable", "Tuple", "tuple", "FrozenSet", "frozenset"):
+            return {"type": "array", "items": annotation_schema(parts[0])}
+        return annotation_schema(node.value)
+    name = getattr(node, "id", getattr(node, "attr", ""))
+    if name in _FORMATS:
+        return {"type": "string", "format": _FORMATS[name]}
+    if name in PYTHON_TYPES:
+        return {"type": PYTHON_TYPES[name]}
+    lists = {"List": "array", "Dict": "object", "Tuple": "array", "Set": "array"}
+    return {"type": lists[name]} if name in lists else {"$ref": f"#/components/schemas/{name}"}
+
+
+def _union(parts: list[dict]) -> dict:
+    """oneOf, flat and each once; a null makes it nullable."""
+    flat = [q for p in parts for q in (p["oneOf"] if "oneOf" in p else [{k: v for k, v in p.items() if k != "nullable"}])]
+    nullable = any(p == {"type": "null"} or p.get("nullable") for p in parts)
+    flat = [p for k, p in enumerate(flat) if p != {"type": "null"} and p not in flat[:k]]
+    out = flat[0] if len(flat) == 1 else {"oneOf": flat} if flat else {"type": "null"}
+    return {**out, "nullable": True} if nullable and flat else out
 
 
 _OPPOSITE = {ast.Lt: "ge", ast.LtE: "gt", ast.Gt: "le", ast.GtE: "lt"}
@@ -189,13 +270,15 @@ def _python(text: str) -> Iterator[tuple]:
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             is_class = isinstance(n, ast.ClassDef)
             hints = {s.target.id: ast.unparse(s.annotation) for s in n.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name)} if is_class else {a.arg: ast.unparse(a.annotation) for a in n.args.args if a.annotation}
-            summary, described = docstring(ast.get_docstring(n))
+            told = docstring_sections(ast.get_docstring(n))
+            typed = {s.target.id: s.annotation for s in n.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name)} if is_class else {a.arg: a.annotation for a in n.args.args if a.annotation}
+            schemas = {k: annotation_schema(v) for k, v in typed.items()} | ({"return": annotation_schema(n.returns)} if not is_class and n.returns else {})
             returns = None if is_class or n.returns is None else ast.unparse(n.returns)
-            yield n.name, n.lineno, json.dumps([ast.unparse(d) for d in n.decorator_list]), json.dumps(hints), returns, summary, json.dumps(described), json.dumps(_constraints(n), sort_keys=True), json.dumps([ast.unparse(b) for b in n.bases]) if is_class else None
+            yield n.name, n.lineno, json.dumps([ast.unparse(d) for d in n.decorator_list]), json.dumps(hints), returns, told["summary"], json.dumps(told["parameters"]), json.dumps(_constraints(n), sort_keys=True), json.dumps([ast.unparse(b) for b in n.bases]) if is_class else None, told["description"], told["returns"], json.dumps(told["raises"]), json.dumps(schemas)
 
 
 def python_functions(files: DataFrame) -> DataFrame:
-    """Functions and classes of Python files: decorators, type hints, docstring and constraints, the maps as JSON.
+    """Functions and classes of Python files: decorators, type hints, docstring sections, constraints and the hints' JSON schemas, the maps as JSON.
 
     Each file is parsed once; files that are not Python give nothing.
     """
@@ -213,13 +296,17 @@ AUTH_DECORATORS = {"login_required": "session", "jwt_required": "bearer", "token
 
 
 def auth_schemes(functions: DataFrame) -> DataFrame:
-    """(path, function, scheme) for each decorator of `python_functions` that asks for authentication."""
+    """(path, function, scheme, permission) for each decorator of `python_functions` (of functions and classes) that asks for authentication.
+
+    permission is the first argument in quotes of a decorator that speaks of a permission or of roles, else null.
+    """
     d = functions.select("path", "function", F.explode(F.from_json("decorators", "array<string>")).alias("_d"))
     name = F.regexp_extract("_d", r"(\w+)\s*(?:\(.*)?$", 1)
     scheme = F.when(F.lit(False), F.lit(None))
     for k, v in AUTH_DECORATORS.items():
         scheme = scheme.when(name == k, v)
-    return d.withColumn("scheme", scheme).filter(F.col("scheme").isNotNull()).drop("_d")
+    asked = F.when(name.rlike("(?i)permission|role"), F.nullif(F.regexp_extract("_d", r"\(\s*[\"']([^\"']*)[\"']", 1), F.lit("")))
+    return d.withColumn("scheme", scheme).withColumn("permission", asked).filter(F.col("scheme").isNotNull()).drop("_d")
 
 
 def model_classes(functions: DataFrame) -> DataFrame:
@@ -243,13 +330,47 @@ def body_types(functions: DataFrame) -> DataFrame:
     return found.filter(F.col("body").isNotNull())
 
 
-def robust_json(text):
-    """Valid JSON of a text that holds some: as it is, within a fence, or with comments and final commas left out; else null."""
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
-    clean = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_extract(c, r"(?s)(\{.*\}|\[.*\])", 1), r"(?m)(^|\s)//[^\n]*", "$1"), r",\s*([}\]])", "$1")
-    missing = lambda c: F.regexp_replace(clean(c), r"([\"\d}\]el])\s*\n(\s*\")", "$1,\n$2")
-    return F.coalesce(valid(text), valid(fenced), valid(clean(F.coalesce(fenced, text))), valid(missing(F.coalesce(fenced, text))))
+_STRING = r'"(?:\\.|[^"\\])*"'
+
+
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
+def _balanced(text: str) -> str:
+    """From the first brace or bracket to the one that closes it; strings don't count. All the rest where none does."""
+    start, depth = re.search(r"[{\[]", text), 0
+    if not start:
+        return ""
+    for m in re.compile(rf"{_STRING}|[{{}}\[\]]", re.S).finditer(text, start.start()):
+        depth += (m[0] in "{[") - (m[0] in "}]")
+        if depth == 0:
+            return text[start.start() : m.end()]
+    return text[start.start() :]
+
+
+def mended_json(text: str | None) -> str | None:
+    """JSON of a text that holds some: as it is, in a fence, the first balanced object or array, that without comments and final commas, or with the commas that lines lack; else null."""
+    if text is None:
+        return None
+    parts = [text, *re.findall(r"```(?:\w+)?[ \t]*\n?(.*?)```", text, re.S)]
+    outside = lambda rx, t: re.sub(rf"({_STRING})|{rx}", lambda m: m[1] or "", t, flags=re.S)
+    tries = [p.strip() for p in parts]
+    for p in reversed(parts):
+        bare = _balanced(outside(r"//[^\n]*|/\*.*?\*/", p))
+        neat = outside(r",(?=\s*[}\]])", bare)
+        tries += [_balanced(p), bare, neat, re.sub(r"([\"\d}\]el])([ \t]*\n\s*)(?=[\"{\[])", r"\1,\2", neat)]
+    return next((t for t in tries if t and _is_json(t)), None)
+
+
+@F.pandas_udf(StringType())
+def robust_json(text: pd.Series) -> pd.Series:
+    """`mended_json` of each text."""
+    return text.map(lambda t: mended_json(t) if isinstance(t, str) else None)
 
 
 #: JSON type and format of C# types, by name in lower case.
@@ -330,11 +451,41 @@ def dto_properties(files: DataFrame) -> DataFrame:
     return _per_file(files, ".cs", "path string, class string, property string, json_type string, format string, nullable boolean, required boolean, ref string", _properties)
 
 
-def reachable_classes(properties: DataFrame, wanted: DataFrame, depth: int = 8) -> DataFrame:
-    """(class) of `wanted` and all that they refer to, at most `depth` references away: one join a level, none seen twice."""
-    refs = properties.filter(F.col("ref").isNotNull()).select("class", "ref").distinct()
-    seen = frontier = wanted.select("class").distinct()
-    for _ in range(depth):
-        frontier = refs.join(frontier, "class", "left_semi").select(F.col("ref").alias("class")).distinct().join(seen, "class", "left_anti")
-        seen = seen.union(frontier)
+def reachable_classes(properties: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class) of `wanted` and all that they refer to, however far: a join a level, none seen twice, each level cut off in the checkpoint folder."""
+    refs = cut(properties.filter(F.col("ref").isNotNull()).select("class", "ref").distinct())
+    seen = frontier = cut(wanted.select("class").distinct())
+    while not frontier.isEmpty():
+        frontier = cut(refs.join(frontier, "class", "left_semi").select(F.col("ref").alias("class")).distinct().join(seen, "class", "left_anti"))
+        seen = cut(seen.union(frontier))
     return seen
+
+
+def dto_schemas(properties: DataFrame) -> DataFrame:
+    """(class, schema) of `dto_properties`: a JSON schema for each class, and a stub for each class that is referred to but not there.
+
+    Of a class in several files the first path counts. Properties stand in order of their names.
+    """
+    first = properties.groupBy("class").agg(F.min("path").alias("path"))
+    own = properties.join(first, ["class", "path"])
+    ref = F.concat(F.lit('{"$ref":"#/components/schemas/'), F.col("ref"), F.lit('"}'))
+    plain = F.to_json(F.struct(F.col("json_type").alias("type"), "format", F.when(F.col("nullable"), F.lit(True)).alias("nullable")))
+    kind = F.when((F.col("json_type") == "array") & F.col("ref").isNotNull(), F.concat(F.lit('{"type":"array","items":'), ref, F.lit("}"))).when(F.col("ref").isNotNull(), ref).otherwise(plain)
+    pair = F.struct("property", F.concat(json_text(F.col("property")), F.lit(":"), kind).alias("p"))
+    needed = F.array_sort(F.collect_set(F.when(F.col("required"), json_text(F.col("property")))))
+    whole = own.groupBy("class").agg(F.array_sort(F.collect_set(pair)).alias("_p"), needed.alias("_r"))
+    body = F.concat(F.lit('{"type":"object","properties":{'), F.array_join(F.transform("_p", lambda x: x["p"]), ","), F.lit("}"), F.when(F.size("_r") > 0, F.concat(F.lit(',"required":['), F.array_join("_r", ","), F.lit("]"))).otherwise(""), F.lit("}"))
+    known = whole.select("class", body.alias("schema"))
+    missing = properties.filter(F.col("ref").isNotNull()).select(F.col("ref").alias("class")).distinct().join(known.select("class"), "class", "left_anti")
+    return known.union(missing.select("class", F.lit('{"type":"object"}')))
+
+
+def action_details(controllers: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(path, line, query, body, returns) of C# actions: what `controllers` and `action_parameters` tell for an OpenAPI operation.
+
+    query is an array of (name, type, required), sorted; body and returns name classes. An action's name stands for all its overloads in a file.
+    """
+    told = parameters.groupBy("path", "action").agg(
+        F.array_sort(F.collect_set(F.when(F.col("place") == "query", F.struct("name", F.col("json_type").alias("type"), "required")))).alias("query"), F.min(F.when(F.col("place") == "body", F.col("type"))).alias("body")
+    )
+    return controllers.filter(F.endswith("path", F.lit(".cs"))).select("path", "line", "action", "returns").join(told, ["path", "action"], "left").drop("action")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import responses, routes
+from gleaner.functions import detect, responses, routes
 from gleaner.operators import endpoints as ep
 from gleaner.operators import enrichment, matching, parsers
 from gleaner.operators.catalog import CATALOG, COMMENTS, EXTENSIONS
@@ -255,7 +255,7 @@ def scan_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("src/Shop.java", 4, "ShopController", "find", "GET", "/shop/items/{id}", "PRIVATE"), ("src/Shop.java", 6, "ShopController", "add", "POST", "/shop", "PRIVATE"),
 ]))
 def controller_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsers.controllers(code(spark))
+    return parsers.controllers(code(spark)).drop("returns")
 
 
 @query(values("path, action, position, name, type, place, required", [
@@ -361,10 +361,116 @@ def operations_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.repaired_operations(spark.createDataFrame(rows, "n int, operation string")).select("n", "status", "error", "repaired")
 
 
+_REST = '"400":{"description":"Bad request"},"401":{"description":"Unauthorized"},"404":{"description":"Not found"},"500":{"description":"Internal server error"}}'
+_OK = '"responses":{"200":{"description":"Successful response"},' + _REST
+_ORDER = '{"application/json":{"schema":{"$ref":"#/components/schemas/OrderDto"}}}'
+
+
 @query(values("route, method, operation", [
-    ("/users/{id}", "get", '{"operationId":"get_users_id","parameters":[{"name":"id","in":"path","required":true,"schema":{"type":"string"}}],"x-risk-level":"LOW","responses":{"200":{"description":"OK"}}}'),
-    ("/login", "post", '{"operationId":"post_login","parameters":[],"x-risk-level":"HIGH","responses":{"200":{"description":"OK"}}}'),
+    ("/users/{id}", "get", '{"operationId":"get_users_id","tags":["",""],"parameters":[{"name":"id","in":"path","required":true,"schema":{"type":"string"}}],' + _OK + ',"x-source-file":"a.py","x-source-line":1,"x-risk-level":"LOW"}'),
+    ("/login", "post", '{"operationId":"post_login","tags":["",""],"requestBody":{"content":{"application/json":{"schema":{"type":"object"}}}},' + _OK + ',"x-source-file":"b.py","x-source-line":2,"x-risk-level":"HIGH"}'),
 ]))
 def openapi_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("a.py", 1, "GET", "users/:id", "ENDPOINT", "LOW"), ("b.py", 1, "GET", "/users/{id}", "ENDPOINT", "HIGH"), ("b.py", 2, "MUTATION", "/login", "ENDPOINT", "HIGH"), ("b.py", 3, "ANY", "/", "ENDPOINT", "LOW"), ("b.py", 4, "ANY", "/x", "CONFIG", "LOW")]
-    return sinks.openapi_operations(spark.createDataFrame(rows, "path string, line int, method string, route string, kind string, risk_level string"))
+    return sinks.openapi_operations(spark.createDataFrame(rows, "path string, line int, method string, route string, kind string, risk_level string")).select("route", "method", "operation")
+
+
+def controller_operations(spark: SparkSession) -> DataFrame:
+    cs = code(spark).filter(F.endswith("path", F.lit(".cs")))
+    return sinks.openapi_operations(ep.scan(cs), parsers.action_details(parsers.controllers(cs), parsers.action_parameters(cs)))
+
+
+@query(values("route, method, operation, body, returns", [
+    ("/api/Orders/{id}", "get", '{"operationId":"get_api_Orders_id","tags":["ASP.NET","dotnet"],"parameters":[{"name":"id","in":"path","required":true,"schema":{"type":"string"}}],' + _OK + ',"security":[{"bearerAuth":[]},{"apiKeyAuth":[]}],"x-source-file":"src/Orders.cs","x-source-line":4,"x-risk-level":"INFO","x-auth-status":"PRIVATE"}', None, None),
+    ("/api/Orders", "post", '{"operationId":"post_api_Orders","tags":["ASP.NET","dotnet"],"parameters":[{"name":"copies","in":"query","required":false,"schema":{"type":"integer"}}],"requestBody":{"required":true,"content":' + _ORDER + '},"responses":{"200":{"description":"Successful response","content":' + _ORDER + "}," + _REST + ',"security":[{"bearerAuth":[]},{"apiKeyAuth":[]}],"x-source-file":"src/Orders.cs","x-source-line":7,"x-risk-level":"INFO","x-auth-status":"PRIVATE"}', "OrderDto", "OrderDto"),
+]))
+def openapi_controllers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of C# actions: path and query parameters, body and answer by reference, security."""
+    return controller_operations(spark)
+
+
+_SCHEMA = '{"type":"object","properties":{"count":{"type":"integer","format":"int32","nullable":true},"lines":{"type":"array","items":{"$ref":"#/components/schemas/LineDto"}},"name":{"type":"string"},"when":{"type":"string","format":"date-time"}},"required":["name"]}'
+
+
+@query(values("class, schema", [("OrderDto", _SCHEMA), ("LineDto", '{"type":"object"}')]))
+def dto_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsers.dto_schemas(parsers.dto_properties(code(spark)))
+
+
+@query(values("kind, name", [("path", "/api/Orders"), ("path", "/api/Orders/{id}"), ("schema", "LineDto"), ("schema", "OrderDto")]))
+def openapi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the document's lines hold: routes, and schemas that operations refer to, directly or through others."""
+    lines = sinks.openapi_document(controller_operations(spark), schemas=parsers.dto_schemas(parsers.dto_properties(code(spark))))
+    name = F.regexp_extract("value", r'^,?"([^"]*)":', 1)
+    return lines.select(F.when(F.startswith(name, F.lit("/")), "path").otherwise("schema").alias("kind"), name.alias("name")).filter("name != ''")
+
+
+@query(values("n, found", [
+    (1, '{"a":1}'), (2, '{"a":"x // y"}'), (3, '{"a":1}'), (4, '{"a": [1,2]}'), (5, None), (6, '{"a":{"b":"}"}}'), (7, None), (8, "[1]"), (9, None),
+]))
+def robust_json_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON in texts with more around it, comments, braces in strings, and none at all."""
+    texts = ['{"a":1} and then {"b":2}', 'note {"a":"x // y"} end', '// see {x}\n{"a":1,}', 'Here:\n```json\n{"a": [1,2,],}\n```\n', "no", '{"a":{"b":"}"}} tail', '{"a":1', "[1]", None]
+    d = spark.createDataFrame(list(enumerate(texts, 1)), "n int, t string")
+    return d.select("n", parsers.robust_json(F.col("t")).alias("found"))
+
+
+_TYPED = '''
+@permission_required("orders.read")
+class Shop:
+    pass
+
+def f(a: Optional[int], b: Union[int, str], c: List[Item], d: Dict[str, float], e: "UUID" = None) -> Item | None:
+    """Sum up.
+
+    More of it.
+
+    Args:
+        a: first
+
+    Returns:
+        The sum.
+
+    Raises:
+        ValueError: when bad
+    """
+'''
+
+
+@query(values("function, schemas, summary, description, parameters, answer, raises", [
+    ("f", '{"a": {"type": "integer", "nullable": true}, "b": {"oneOf": [{"type": "integer"}, {"type": "string"}]}, "c": {"type": "array", "items": {"$ref": "#/components/schemas/Item"}}, "d": {"type": "object", "additionalProperties": {"type": "number"}}, "e": {"type": "string", "format": "uuid"}, "return": {"$ref": "#/components/schemas/Item", "nullable": true}}',
+     "Sum up.", "More of it.", '{"a": "first"}', "The sum.", '{"ValueError": "when bad"}'),
+]))
+def annotation_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([("t.py", _TYPED)], "path string, content string")
+    return parsers.python_functions(d).filter("bases IS NULL").select("function", "schemas", "summary", "description", "parameters", "answer", "raises")
+
+
+@query(values("function, scheme, permission", [("Shop", "session", "orders.read")]))
+def class_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsers.auth_schemes(parsers.python_functions(spark.createDataFrame([("t.py", _TYPED)], "path string, content string"))).drop("path")
+
+
+@query(values("path, python", [("app/main.py", True), ("web/server.js", False), ("src/Orders.cs", False), ("src/Shop.java", False), ("web/handlers/users.py", True)]))
+def python_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether code looks like Python, without parsing it."""
+    return code(spark).filter(F.col("path").rlike(r"\.(py|js|cs|java)$")).select("path", detect.is_python(F.col("content")).alias("python"))
+
+
+@query(values("line, first, n_lines", [(7, "def read_user(user_id: int) -> dict:", 13), (14, "def read_user(user_id: int) -> dict:", 13), (20, "def drop_token(user_id: int, scope: Literal[\"all\", \"own\"] = \"own\"):", 5)]))
+def function_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of the function at a line: from where it begins to the next one."""
+    d = code(spark).filter(F.col("path") == "app/main.py").select("content", F.explode(F.array(F.lit(8), F.lit(14), F.lit(20))).alias("line"))
+    w = F.split(enrichment.function_window(F.col("content"), F.col("line")), "\n", -1)
+    return d.select(F.when(F.col("line") == 8, 7).otherwise(F.col("line")).alias("line"), w[0].alias("first"), F.size(w).alias("n_lines"))
+
+
+@query(values("path, line, method, route, summary, scheme, confidence, asks", [
+    ("app/main.py", 7, "GET", "/users/{user_id}", "Find a user.", None, 0.8, False), ("app/main.py", 18, "DELETE", "/users/{user_id}/token", "", "session", 0.7, False), ("app/main.py", 23, "POST", "/api/orders/new", "", None, 0.45, True),
+]))
+def described_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain without a model: code, function, parameters, codes, authentication, confidence, decision."""
+    files_ = code(spark).filter(F.col("path") == "app/main.py")
+    e = ep.scan(files_, ["python"]).filter((F.col("kind") == "ENDPOINT") & F.startswith("route", F.lit("/")))
+    known = enrichment.described_endpoints(enrichment.with_code(e, files_, 3), files_)
+    return known.select("path", "line", "method", "route", "summary", "scheme", "confidence", "asks")

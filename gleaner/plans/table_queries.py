@@ -96,6 +96,28 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ep.cache_upsert(old, new)
 
 
+@query(f"""WITH l AS (SELECT event_id AS key, value, ts AS created_at, ts AS accessed_at, CAST(user_id AS BIGINT) AS access_count FROM events WHERE ts + INTERVAL {_TTL} SECOND >= TIMESTAMP '{_NOW}')
+SELECT key, value, created_at, CASE WHEN key IN (SELECT o_orderkey FROM orders) THEN TIMESTAMP '{_NOW}' ELSE accessed_at END AS accessed_at, access_count + CASE WHEN key IN (SELECT o_orderkey FROM orders) THEN 1 ELSE 0 END AS access_count FROM l""")
+def cache_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a cache, read by the keys of orders: expired entries go, those found count one access more."""
+    cache = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), "value", F.col("ts").alias("created_at"), F.col("ts").alias("accessed_at"), F.col("user_id").cast("long").alias("access_count"))
+    return ep.cache_read(cache, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), F.lit(_NOW).cast("timestamp_ntz"), _TTL)
+
+
+@query("SELECT o_custkey AS key, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS value FROM orders GROUP BY o_custkey UNION ALL SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def cache_upsert_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with many new ones for a key: the last by price wins."""
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("long").alias("value"), F.lit(0.0).alias("price"))
+    new = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"), F.col("o_totalprice").alias("price"))
+    return ep.cache_upsert(old, new, ["price", "value"]).select("key", "value")
+
+
+@query("SELECT p_partkey, CAST((row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) - 1) // 7 AS BIGINT) AS batch FROM part")
+def batch_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of seven parts of a brand in order of their names: groups are cut by the names' first bytes."""
+    return ep.batches(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name"), ["p_brand"], ["p_name", "p_partkey"], 50, largest=7).select("p_partkey", "batch")
+
+
 @query("SELECT n_nationkey, rtrim('/' || r_name || '/', '/') || '/' || ltrim('/' || n_name, '/') AS route FROM nation JOIN region ON r_regionkey = n_regionkey")
 def prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations below the prefix of their region."""

@@ -26,15 +26,19 @@ def decode(content: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+def below(path: Column, root: str) -> Column:
+    """A file's path relative to the folder that was read."""
+    base = root.rstrip("/").split("://")[-1]
+    return F.regexp_replace(F.regexp_replace(path, "^[a-z]+:/*", "/"), "^.*?" + re.escape(base) + "/", "")
+
+
 def source_files(spark: SparkSession, root: str, max_bytes: int = 10 << 20) -> DataFrame:
     """(path, content, length, md5) of the files of known extensions below `root`, without folders left out and large files.
 
     Paths are relative to `root`, so a root below a folder named `tests` is scanned. Bytes that are not UTF-8 are left out.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= max_bytes)
-    base = root.rstrip("/").split("://")[-1]
-    relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^.*?" + re.escape(base) + "/", "")
-    out = df.select(relative.alias("path"), F.col("content").alias("_raw"), "length").filter(allowed(F.col("path")) & language_of(F.col("path")).isNotNull())
+    out = df.select(below(F.col("path"), root).alias("path"), F.col("content").alias("_raw"), "length").filter(allowed(F.col("path")) & language_of(F.col("path")).isNotNull())
     return out.select("path", decode(F.col("_raw")).alias("content"), "length", F.md5("_raw").alias("md5"))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions import responses, routes, scoring
+from gleaner.functions import detect, responses, routes, scoring
 from gleaner.operators import endpoints as ep
 from gleaner.operators import enrichment, generators, matching, parsers
 from gleaner.operators.catalog import CATALOG, COMMENTS
@@ -107,8 +107,9 @@ def test_code_around_endpoints(spark):
 
 
 def test_reachable_classes_end_in_cycles(spark):
-    p = spark.createDataFrame([("A", "B"), ("B", "A"), ("B", "C"), ("D", "A"), ("C", None)], "class string, ref string")
-    assert sorted(r[0] for r in parsers.reachable_classes(p, spark.createDataFrame([("A",)], "class string")).collect()) == ["A", "B", "C"]
+    chain = [(f"K{k}", f"K{k + 1}") for k in range(12)]  # further than any fixed depth
+    p = spark.createDataFrame([("A", "B"), ("B", "A"), ("B", "C"), ("D", "A"), ("C", None), ("C", "K0"), *chain], "class string, ref string")
+    assert sorted(r[0] for r in parsers.reachable_classes(p, spark.createDataFrame([("A",)], "class string")).collect()) == sorted(["A", "B", "C", *[f"K{k}" for k in range(13)]])
 
 
 def test_broken_files_give_nothing(spark):
@@ -127,16 +128,79 @@ def test_docstrings(text, summary, found):
 def test_reports_are_whole(spark):
     e = spark.createDataFrame([("a\\b.py", 3, "GET", '/x"<1>', "UNKNOWN", "HIGH", "ENDPOINT"), ("c.py", 1, "POST", "/y", "PUBLIC", "CRITICAL", "ENDPOINT")], "path string, line int, method string, route string, auth_status string, risk_level string, kind string")
     v = ep.violations(e)
-    doc = json.loads(sinks.sarif_document(sinks.sarif_results(e)).first().value)
+    whole = lambda df: json.loads("\n".join(r.value for r in df.collect()))
+    doc = whole(sinks.sarif_document(sinks.sarif_results(e)))
     assert doc["version"] == "2.1.0" and len(doc["runs"][0]["results"]) == 4 and {r["ruleId"] for r in doc["runs"][0]["results"]} == {"API001", "API002", "API004"}
     assert doc["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] in ("a/b.py", "c.py")
     assert all("<1>" not in r.value for r in sinks.junit_cases(e, v).collect())
-    spec = json.loads(sinks.openapi_document(sinks.openapi_operations(e)).first().value)
+    assert whole(sinks.sarif_document(sinks.sarif_results(e.limit(0))))["runs"][0]["results"] == []
+    spec = whole(sinks.openapi_document(sinks.openapi_operations(e), title='A "B"'))
     assert sorted(spec["paths"]) == ['/x"<1>', "/y"] and "post" in spec["paths"]["/y"]
     assert json.loads(sinks.series(ep.counters(e), F.lit(5), ["t:1"]).first().value) == {"metric": "api_scan.total", "points": [[5.0, 2.0]], "tags": ["t:1"], "type": "gauge"}
     lines = [json.loads(r.value) for r in sinks.audit_lines("s", F.lit("now"), critical=e.limit(1), broken=v).collect()]
     assert {x["event_type"] for x in lines} == {"CRITICAL_FINDING", "POLICY_VIOLATION"} and all(x["scan_id"] == "s" for x in lines)
     assert sinks.report(e, ep.summary(e, ["method", "risk_level"])).count() == 6
+    report = whole(sinks.report_document(e, v, {"scan_id": "s", "version": "1"}))
+    assert report["scan_id"] == "s" and report["summary"]["total"] == 2 and report["summary"]["by_risk"] == {"CRITICAL": 1, "HIGH": 1} and len(report["endpoints"]) == 2 and len(report["policy_violations"]) == v.count()
+    empty = whole(sinks.report_document(e.limit(0), v.limit(0), {"scan_id": "s"}))
+    assert empty["endpoints"] == empty["policy_violations"] == [] and empty["summary"]["total"] == 0
+    assert json.loads(sinks.metrics(ep.counters(e), {"scan_id": "s"}).first().value) == {"scan_id": "s", "total": 2, "shadow": 1, "critical": 2}
+    started = sinks.audit_lines("s", F.lit("now"), started=spark.createDataFrame([("t", "u")], "target string, user string")).first().value
+    assert json.loads(started)["event_type"] == "SCAN_STARTED" and json.loads(started)["scan"] == {"target": "t", "user": "u"}
+
+
+def test_openapi_with_components_and_answers(spark):
+    ops = literal_queries.controller_operations(spark)
+    doc = json.loads("\n".join(r.value for r in sinks.openapi_document(ops, schemas=parsers.dto_schemas(parsers.dto_properties(literal_queries.code(spark)))).collect()))
+    assert set(doc["components"]["schemas"]) == {"OrderDto", "LineDto"} and doc["components"]["schemas"]["OrderDto"]["required"] == ["name"]
+    assert doc["paths"]["/api/Orders"]["post"]["requestBody"]["required"] is True
+    answers = spark.createDataFrame([("POST", "/api/Orders", '{"summary":"Order","operationId":"mine","responses":{"201":{"description":"Made"}}}'), ("GET", "/none", "{}")], "method string, route string, repaired string")
+    got = {r.method: json.loads(r.operation) for r in sinks.enriched_operations(ops, answers).collect()}
+    assert got["post"]["summary"] == "Order" and got["post"]["operationId"] == "post_api_Orders" and got["post"]["x-source-line"] == 7 and list(got["post"]["responses"]) == ["201"]
+    assert "summary" not in got["get"] and got["get"]["responses"]["200"]
+
+
+def test_baseline_and_cache(spark, tmp_path):
+    files_, old = ep.read_baseline(spark, str(tmp_path / "none"))
+    assert files_.count() == old.count() == 0
+    now = spark.createDataFrame([("a.py", "@app.get('/a')", "1"), ("b.py", "@app.get('/b')", "2"), ("c.py", None, "3")], "path string, content string, md5 string")
+    first = ep.incremental_scan(now, (files_, old))
+    ep.write_baseline(now, first, str(tmp_path / "base"))
+    assert {r.route for r in first.filter("kind = 'ENDPOINT'").collect()} == {"/a", "/b"}
+    later = spark.createDataFrame([("a.py", "@app.get('/new')", "9"), ("b.py", "unread", "2")], "path string, content string, md5 string")
+    again = ep.incremental_scan(later, ep.read_baseline(spark, str(tmp_path / "base")))
+    assert {(r.path, r.route) for r in again.filter("kind = 'ENDPOINT'").collect()} == {("a.py", "/new"), ("b.py", "/b")}
+    new = spark.createDataFrame([("k", 1), ("k", 3), ("k", 2), (None, 5)], "key string, value int")
+    assert sorted(map(tuple, ep.cache_upsert(new.limit(0), new).collect()), key=str) == [("k", 3), (None, 5)]
+
+
+def test_code_and_answers_are_joined(spark):
+    e = spark.createDataFrame([("a.py", 2, "GET", "/x"), ("a.py", 1, "GET", "/x"), ("b.py", 9, "PUT", "/y")], "path string, line int, method string, route string")
+    code = enrichment.with_code(e, spark.createDataFrame([("a.py", "1\n2\n3\n4"), ("a.py", "1\n2\n3\n5")], "path string, content string"), 1)
+    assert sorted((r.path, r.line, r.code) for r in code.collect()) == [("a.py", 1, "1\n2"), ("a.py", 2, "1\n2\n3"), ("b.py", 9, "")]
+    answers = spark.createDataFrame([("GET", "/x", "told")], "method string, route string, answer string")
+    assert sorted((r.line, r.answer) for r in enrichment.with_answers(e, answers).collect()) == [(1, "told"), (2, "told"), (9, None)]
+    asked = enrichment.shared_prompt(e).first()
+    assert (asked.n, asked["sample"]) == (3, ["GET /x", "PUT /y"])
+
+
+def test_own_patterns(spark):
+    rows = [("x.lua", "route('/l', get)"), ("a.py", "@app.get('/a')")]
+    own = {"lua": [("Lapis", "ENDPOINT", None, 1, None, r"route\('([^']*)'")]}
+    got = ep.scan(spark.createDataFrame(rows, "path string, content string"), patterns=own, extensions={".lua": "lua"}).collect()
+    assert [(r.path, r.framework, r.route, r.language) for r in got] == [("x.lua", "Lapis", "/l", "lua")]
+
+
+def test_policy_file(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"policies": [{"name": "n", "severity": "LOW", "condition": "method = \'POST\'"}, {"name": "broken"}]}')
+    policies = ep.read_policies(spark, str(tmp_path / "p.json"))
+    e = spark.createDataFrame([("GET", "/a", None), ("POST", "/b", "UNKNOWN")], "method string, route string, auth_status string")
+    assert policies == [("n", "LOW", "method = 'POST'")] and [r.route for r in ep.violations(e, policies).collect()] == ["/b"]
+
+
+def test_likely_fields(spark):
+    d = spark.createDataFrame([("ssrf",), ("other",)], "c string")
+    assert [r[0] for r in d.select(detect.likely_field(F.col("c"))).collect()] == ["url", "input"]
 
 
 def test_files_and_the_stream(spark, tmp_path):
@@ -146,11 +210,14 @@ def test_files_and_the_stream(spark, tmp_path):
         p.write_bytes(text.encode())
     got = files.source_files(spark, str(tmp_path / "tests/app"), max_bytes=100).collect()
     assert [(r.path, r.content.count("\r"), r.length) for r in got] == [("main.py", 0, 30)]
-    out = str(tmp_path / "out")
-    extract = lambda df: matching.find_all(F.col("content"), r"@app\.get\('([^']*)'", [1])
-    q = incremental.scan_stream(incremental.stream_files(spark, str(tmp_path / "tests")), out, str(tmp_path / "ckpt"), lambda df: df.select(F.explode(extract(df)).alias("m")).select("m.line", "m.g0"))
-    q.awaitTermination(120)
-    assert [tuple(r)[:2] for r in spark.read.parquet(out).collect()] == [(1, "/a")]
+    out, root = str(tmp_path / "out"), str(tmp_path / "tests/app")
+    run = lambda: incremental.scan_stream(incremental.stream_files(spark, root), out, str(tmp_path / "ckpt")).awaitTermination(120)
+    run()
+    routes_of = lambda: sorted((r.path, r.route) for r in incremental.merged(spark, out).filter("kind = 'ENDPOINT'").collect())
+    assert routes_of() == [("main.py", "/a")]
+    (tmp_path / "tests/app/other.py").write_text("@app.get('/o')")
+    run()
+    assert routes_of() == [("main.py", "/a"), ("other.py", "/o")]
 
 
 def test_generators_skip_what_has_no_bound(spark):
