@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.sources.shared import cut, shared_dir
+
 #: White space of every operator contract: space and the code points 9 to 13.
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -19,27 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one, in local mode alone."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if set_to is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        set_to = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(set_to)
-    return set_to.replace("file:/", "file:///", 1) if set_to.startswith("file:/") and not set_to.startswith("file://") else set_to
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and written to the checkpoint folder, so that losing an executor loses nothing of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Rows that a task of a small intermediate table takes.
+ROWS_A_TASK = 250_000
+
+
+def cut_small(df: DataFrame) -> DataFrame:
+    """`cut` for tables that are mostly small: read again by a task for each ROWS_A_TASK rows (four at least), so that what is shuffled next is few files."""
+    out = cut(df)
+    return out.coalesce(max(4, -(-out.count() // ROWS_A_TASK)))
 
 
 #: So many rows are broadcast at most where a table's size isn't known beforehand.

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, join_hot
+from gleaner.llm.common import cut_small, join_hot
 
 
 def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     """One step. `pairs` (u, v): for a large star all neighbours v of u, for a small one those below u."""
-    least = cut(pairs.groupBy("u").agg(F.min("v").alias("_m"), F.count("*").alias("n")))
+    least = cut_small(pairs.groupBy("u").agg(F.min("v").alias("_m"), F.count("*").alias("n")))
     met = join_hot(pairs, least.select("u", "_m"), "u", least).withColumn("_m", F.least("_m", "u"))
     if large:
         return met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("_m").alias("b")).distinct()
@@ -26,12 +26,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     one, are salted; no node's neighbours meet in one task.
     """
     e = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = cut(e), None
+    e, before = cut_small(e), None
     while True:
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(now) == before or now[0] == 0:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = tuple(now)
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        e = cut(_stars(both, True))
-        e = cut(_stars(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False))
+        e = cut_small(_stars(both, True))
+        e = cut_small(_stars(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False))

@@ -20,6 +20,8 @@ from gleaner.llm.common import crc32_mod, hash_share, table
 
 #: About the most labelled rows of each language that a fit looks at; with more, a share picked by a hash of the id.
 FIT_ROWS = 500
+#: The highest limit: an answer more likely right than wrong is never rejected.
+MOST = 0.5
 #: So many languages are learned at most, those of the most rows.
 MAX_LANGUAGES = 1_000
 BUCKET_BITS = 14
@@ -171,7 +173,7 @@ def fit_language(examples: list[Example], width: int = 16, epochs: int = 6, rate
         part = _train([x for x in train if x[2] not in out], rest, width, max(1, epochs // 3), rate, seed)
         unknown.append(best(*part, t, [x for x in held if x[2] in out]))
     limit = rejection_limit(best(table, bias, t, held), np.concatenate(unknown) if unknown else np.empty(0), max_lost)
-    return LanguageModel(languages, table, bias, t, limit)
+    return LanguageModel(languages, table, bias, t, min(limit, MOST))
 
 
 def train_languages(docs: DataFrame, folds: int = 4, held_fold: int = 2, fit_rows: int = FIT_ROWS) -> LanguageModel:
