@@ -153,8 +153,8 @@ class WordEncoder:
     """Encodes texts as the tokenizer does, remembering the ids of what stands between blanks.
 
     For tokenizers whose tokens never span a space or a line feed, and that drop these: the ids of a
-    text are then those of its pieces in turn. `splits` tells whether the tokenizer at hand is so; else
-    whole texts are encoded. Where the tokenizer ignores case, Latin texts are remembered in lower case; where it
+    text are then those of its pieces in turn. `splits` tells whether the tokenizer at hand is so, by a probe and then by the first texts of
+    each worker; else whole texts are encoded. Where the tokenizer ignores case, Latin texts are remembered in lower case; where it
     parts a word from a stop after it (`stops`), the word is remembered once for all stops. Texts that hold an added token's string are encoded whole as well.
 
     Memory: words are remembered in two generations of `memo_words` / 2. When the new one is full, it takes the place
@@ -173,6 +173,7 @@ class WordEncoder:
         self.splits = self._ids(probe) == b"".join(self._ids(w) for w in probe.replace("\n", " ").split(" "))
         self.lower = self._ids("AB Cd ÉÄÑ Ğ") == self._ids("ab cd éäñ ğ")
         self.stops = self.splits and all(self._ids(w + p) == self._ids(w) + self._ids(p) for w in ("ab", "xyzé", "it's") for p in STOPS)
+        self.unchecked = CHECKED_TEXTS
         self.memo_words = memo_words
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -181,6 +182,15 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
+        """The ids of a text, little-endian. The first texts are held against the tokenizer: where one differs, all go to it whole from then on."""
+        if not text or not self.splits or not self.unchecked:
+            return self._encode(text)
+        self.unchecked -= 1
+        whole = self._ids(text)
+        self.splits = self._encode(text) == whole
+        return whole
+
+    def _encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.splits or any(a in text for a in self.added):
@@ -214,16 +224,20 @@ def encoder(path: str, memo_words: int = MEMO_WORDS) -> WordEncoder:
     return _ENCODERS[path, memo_words]
 
 
-MANIFEST = "part bigint, file string, n_docs bigint, n_ids bigint"
+MANIFEST = "part bigint, roll bigint, file string, n_docs bigint, n_ids bigint"
+#: A task goes on to a new file when one has so many ids or documents.
+FILE_IDS, FILE_DOCS = 1 << 28, 1 << 22
+#: So many texts of a task are encoded whole as well, to hold the remembered words against the tokenizer.
+CHECKED_TEXTS = 8
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, partitions: int | None = None, memo_words: int = MEMO_WORDS) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, partitions: int | None = None, memo_words: int = MEMO_WORDS, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode `docs` (doc_id, text) into files below `folder`, in ascending doc_id order; returns the manifest.
 
-    Manifest rows: part (files in this order hold ascending doc_ids), file, n_docs, n_ids. Null texts are
+    Manifest rows: part and roll (files in this order hold ascending doc_ids), file, n_docs, n_ids. Null texts are
     empty ones; null ids come first; rows with the same id are ordered by text. Each document ends with
-    `end_id`. Other columns are ignored. A task writes under a name of its own and renames it when done, so a
-    task that runs again, or twice at once, leaves the same file. An empty table gives no files.
+    `end_id`. Other columns are ignored. A task begins a new file when one has `file_ids` ids. It writes under names of its own and renames
+    files when they are done, so a task that runs again, or twice at once, leaves the same files. An empty table gives no files.
     """
     spark = docs.sparkSession
     bits = min_bits(max(encoder(tokenizer_path, memo_words).vocabulary, end_id + 1))
@@ -234,16 +248,25 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         part = TaskContext.get().partitionId()
         store, place = open_store(folder)
         store.create_dir(place, recursive=True)
-        final, passing = posixpath.join(place, f"part-{part:08d}.tok"), posixpath.join(place, f"_{part:08d}-{uuid.uuid4().hex}")
-        writer, codec = None, encoder(tokenizer_path, memo_words)
+        writer, passing, roll, codec = None, "", 0, encoder(tokenizer_path, memo_words)
+
+        def done() -> pa.RecordBatch:
+            writer.close()
+            name = f"part-{part:08d}-{roll:05d}.tok"
+            store.move(passing, posixpath.join(place, name))
+            return pa.RecordBatch.from_pydict({"part": [part], "roll": [roll], "file": [name], "n_docs": [len(writer.doc_ids)], "n_ids": [writer.starts[-1]]})
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                writer = writer or TokenFileWriter(store.open_output_stream(passing, compression=None), bits)
+                if writer is None:
+                    passing = posixpath.join(place, f"_{part:08d}-{uuid.uuid4().hex}")
+                    writer = TokenFileWriter(store.open_output_stream(passing, compression=None), bits)
                 writer.add(doc_id, codec.encode(text.as_py()) + end)
+                if writer.starts[-1] >= file_ids or len(writer.doc_ids) >= FILE_DOCS:
+                    yield done()
+                    writer, roll = None, roll + 1
         if writer:
-            writer.close()
-            store.move(passing, final)
-            yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"part-{part:08d}.tok"], "n_docs": [len(writer.doc_ids)], "n_ids": [writer.starts[-1]]})
+            yield done()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(write, MANIFEST)
@@ -255,7 +278,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     `start` counts the ids of all documents before it, in all files; ids_crc32 is over its ids as
     little-endian unsigned 32-bit integers. A task reads blocks, never a whole file.
     """
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    before = Window.orderBy("part", "roll").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +296,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     })
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(n, "part").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.repartition(n, "file").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None, memo_words: int = MEMO_WORDS) -> DataFrame:

@@ -146,30 +146,44 @@ def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     return keyed.join(repeats, (keyed["page_id"] == repeats["_page"]) & (keyed["_sha1"] == repeats["_digest"]), "left").select("page_id", "url", "html", "_sha1", "refers_to")
 
 
-def write_warc(pages: DataFrame, folder: str, min_bytes: int = 1000, dictionary_size: int = 64 << 10, sample_bytes: int = 4 << 20, level: int = 3) -> DataFrame:
+#: A task goes on to a new archive when one has so many bytes of records, before compression.
+ARCHIVE_BYTES = 1 << 30
+
+
+def write_warc(pages: DataFrame, folder: str, min_bytes: int = 1000, dictionary_size: int = 64 << 10, sample_bytes: int = 4 << 20, level: int = 3, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write `pages` (page_id, url, html) as .warc.zst files below `folder`; returns (file, n_records).
 
     Null html is an empty payload; null ids get record ids from the digest and are always responses; a null url leaves
     the target out. Rows that repeat a page_id each get a record. Other columns are ignored.
     An empty table gives no files. A file's dictionary comes from its first `sample_bytes` of records;
-    rows are dealt by a hash, so these are a fair sample. Tasks rename their file when it is whole.
+    rows are dealt by a hash, so these are a fair sample. A task begins a new file at `archive_bytes`, and renames files when they are whole.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         store, place = open_store(folder)
         store.create_dir(place, recursive=True)
-        name, passing = f"part-{part:08d}.warc.zst", posixpath.join(place, f"_{part:08d}-{uuid.uuid4().hex}")
-        writer, n = None, 0
+        writer, passing, roll, n, size = None, "", 0, 0, 0
+
+        def done() -> pa.RecordBatch:
+            writer.close()
+            name = f"part-{part:08d}-{roll:05d}.warc.zst"
+            store.move(passing, posixpath.join(place, name))
+            return pa.RecordBatch.from_pydict({"file": [name], "n_records": [n]})
+
         for batch in batches:
             for page_id, url, html, digest, refers_to in zip(*(batch.column(i) for i in range(5)), strict=True):
-                writer = writer or WarcWriter(store.open_output_stream(passing, compression=None), dictionary_size, sample_bytes, level)
-                writer.add(build_record(page_id.as_py(), url.as_py(), html.as_py().encode(), digest.as_py(), refers_to.as_py()))
-                n += 1
+                if writer is None:
+                    passing = posixpath.join(place, f"_{part:08d}-{uuid.uuid4().hex}")
+                    writer = WarcWriter(store.open_output_stream(passing, compression=None), dictionary_size, sample_bytes, level)
+                record = build_record(page_id.as_py(), url.as_py(), html.as_py().encode(), digest.as_py(), refers_to.as_py())
+                writer.add(record)
+                n, size = n + 1, size + len(record)
+                if size >= archive_bytes:
+                    yield done()
+                    writer, roll, n, size = None, roll + 1, 0, 0
         if writer:
-            writer.close()
-            store.move(passing, posixpath.join(place, name))
-            yield pa.RecordBatch.from_pydict({"file": [name], "n_records": [n]})
+            yield done()
 
     return with_revisits(pages, min_bytes).mapInArrow(write, "file string, n_records bigint")
 

@@ -159,6 +159,8 @@ def test_warc(spark, tmp_path):
             rest = data[8 + int.from_bytes(data[4:8], "little") :]
             with pytest.raises(zstandard.ZstdError):
                 list(warc.read_records(io.BytesIO(rest)))
+    rolled = common.cut(warc.write_warc(pages, f"{folder}-r", archive_bytes=50_000))
+    assert rolled.filter("file NOT LIKE '%-00000.warc.zst'").count() and warc.read_warc(rolled, f"{folder}-r").count() == len(rows)
     few = warc.warc_round_trip(pages.limit(3).coalesce(1), f"file://{tmp_path}/few")  # too few to learn a dictionary from
     assert few.count() == 3 and all(p.read_bytes()[:4] == bytes.fromhex("28b52ffd") for p in (tmp_path / "few").glob("*.warc.zst"))
     record = warc.build_record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None)
@@ -188,9 +190,23 @@ def test_token_files(spark, odd, none, tmp_path):
         want.append((known, d, start, len(ids(x)), zlib.crc32(ids(x).tobytes())))
         start += len(ids(x))
     assert got == want
+    rolled = token_files.write_token_files(docs, f"{folder}-r", TOKENIZER, file_ids=100)
+    manifest = common.cut(rolled)
+    assert manifest.filter("roll > 0").count() and manifest.agg(F.sum("n_docs")).first()[0] == len(want)
+    again = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(manifest, f"{folder}-r").collect()), key=lambda r: r[2])
+    assert again == want
     assert token_files.token_output(none, TOKENIZER).count() == 0
 
 
+def test_encoder_is_held_against_the_tokenizer():
+    """A tokenizer that the probe takes for one that splits, and isn't, is found out by the first text."""
+    e = token_files.WordEncoder(TOKENIZER)
+    assert e.splits
+    plain, e._ids = e._ids, lambda text: plain(text) + (b"\0\0\0\0" if "river stone" in text else b"")
+    assert e.encode("river stone") == plain("river stone") + b"\0\0\0\0" and not e.splits
+    assert e.encode("a river stone") == plain("a river stone") + b"\0\0\0\0"
+
+
 def test_token_file_access(tmp_path):
     with open(tmp_path / "f", "wb") as sink:
         w, docs = token_files.TokenFileWriter(sink, 11, block=64), [np.random.default_rng(k).integers(0, 2048, k * 7 % 150).astype("<u4") for k in range(40)]
