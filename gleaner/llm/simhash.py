@@ -29,6 +29,8 @@ PAIRS = 0x5555555555555555
 SMALL_CELL = 48
 #: Cells with more points than this are no task's work; their points meet at centres.
 LARGE_CELL = 1 << 16
+#: About so many rows of cells go to a task at most.
+ROWS_IN_TASK = 8_000_000
 #: So many large cells (8 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_CELLS = 1_000_000
 
@@ -173,8 +175,9 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, bands: int | None
     fingerprints do. Copies have one fingerprint and are gone before; a cell holds distinct fingerprints only.
     Cells of more than `large_cell` points are left to `ball_links`, so no task holds more points than that at once.
     """
-    masks = cell_masks(bands or bands_for(distinct.count()), max_bits)
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_points = distinct.count()
+    masks = cell_masks(bands or bands_for(n_points), max_bits)
+    n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_points * len(masks) // ROWS_IN_TASK))
     v = segment_counts(F.col("fp"))
     keys = F.array(*[F.xxhash64(F.lit(k), v.bitwiseAND(F.lit(m))) for k, m in enumerate(masks)])
     cells = distinct.select("fp", F.explode(keys).alias("cell"))
