@@ -47,11 +47,11 @@ def sized(df: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
-def join_hot(df: DataFrame, other: DataFrame, keys: str | list[str], counts: DataFrame) -> DataFrame:
+def join_hot(df: DataFrame, other: DataFrame, keys: str | list[str], counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The inner join of `df` and `other` (one row for each key), with hot keys salted, so that no task has all rows of one.
 
     `counts` (keys, n; checkpointed) says how many rows of `df` have a key. Keys of over 1/HOT_PARTS of all rows, fewer than HOT_PARTS
-    of them, are marked by a broadcast; their rows of `df` are dealt to SALTS parts by a hash, their row of `other` goes to each. Null keys match nothing.
+    of them, are marked by a broadcast; their rows of `df` are dealt to SALTS parts by a hash (of the columns `by`), their row of `other` goes to each. Null keys match nothing.
     """
     keys = [keys] if isinstance(keys, str) else keys
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -59,7 +59,7 @@ def join_hot(df: DataFrame, other: DataFrame, keys: str | list[str], counts: Dat
     if hot.isEmpty():
         return df.join(other, keys)
     hot = F.broadcast(hot)  # fewer than HOT_PARTS rows
-    left = df.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    left = df.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*(by or df.columns)), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
     right = other.join(hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
