@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut_small, join_hot
+from gleaner.llm.common import cut_small
 
 
 def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     """One step. `pairs` (u, v): for a large star all neighbours v of u, for a small one those below u."""
-    least = cut_small(pairs.groupBy("u").agg(F.min("v").alias("_m"), F.count("*").alias("n")))
-    met = join_hot(pairs, least.select("u", "_m"), "u", least).withColumn("_m", F.least("_m", "u"))
+    least = cut_small(pairs.groupBy("u").agg(F.min("v").alias("_m")))  # cut, so that both sides are plain shuffles and AQE splits a hot node's partition
+    met = pairs.join(least, "u").withColumn("_m", F.least("_m", "u"))
     if large:
         return met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("_m").alias("b")).distinct()
     out = met.select(F.col("v").alias("a"), F.col("_m").alias("b")).union(met.select(F.col("u").alias("a"), F.col("_m").alias("b")))
@@ -22,8 +22,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b) but the roots; root is the least node that it reaches.
 
     Edges with nulls or of a node to itself don't count. Each step is cut off in the checkpoint folder.
-    Neighbour minima are aggregated before they are shuffled, and hot nodes, as the root of a large component is
-    one, are salted; no node's neighbours meet in one task.
+    Neighbour minima are aggregated before they are shuffled, and a hot node's, as the root of a large
+    component is one, are split by the adaptive skew join; no node's neighbours meet in one task's memory.
     """
     e = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, before = cut_small(e), None
