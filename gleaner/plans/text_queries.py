@@ -54,7 +54,7 @@ SELECT doc_id, n AS line, found, row_number() OVER (PARTITION BY doc_id ORDER BY
 QUALIFY NOT (ltrim(l) LIKE '#%' OR ltrim(l) LIKE '//%')""")
 def pattern_match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each match in each document with its line; matches on comment lines don't count."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").filter(F.lower("text").rlike(_PATTERN))  # most texts are done with so
     found = d.select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode(find_all(F.col("text"), _PATTERN, [])).alias("m"))
     return found.filter(not_comment(F.col("lines"), F.col("m.line"), ("#", "//"))).select("doc_id", "m.line", "m.found", F.col("m.index").alias("match"))
 
@@ -72,7 +72,7 @@ l AS (SELECT doc_id, ls, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM s
 SELECT doc_id, n AS line, array_to_string(ls[greatest(1, n - 3):n + 3], '~') AS context, len(ls[greatest(1, n - 3):n + 3]) AS n_lines FROM l WHERE regexp_matches(l, '(?i){_PATTERN}')""")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three lines before and after each line with a match."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").filter(F.lower("text").rlike(_PATTERN))  # most texts are done with so
     found = d.select("doc_id", F.split("text", "\n", -1).alias("ls"), F.explode(F.array_distinct(F.transform(find_all(F.col("text"), _PATTERN, []), lambda m: m["line"]))).alias("line"))
     around = routes.surrounding(F.col("ls"), F.col("line"), 3)
     return found.select("doc_id", "line", F.array_join(around, "~").alias("context"), F.size(around).alias("n_lines"))
