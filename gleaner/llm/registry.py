@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontamination, language_id, line_dedup, mixing, privacy, quality_rules, quality_trees, simhash, token_files, warc
+from gleaner.llm import decontamination, exact_dedup, language_id, lexical_search, line_dedup, mixing, privacy, quality_rules, quality_trees, simhash, spelling, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -19,10 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_privacy": privacy.op10_privacy,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op11_lexical_search": lexical_search.OP11_SQL,
+    "op13_exact_dedup": exact_dedup.OP13_SQL,
 }
