@@ -73,6 +73,12 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that name a row by its id and text; nulls differ from all values."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("\x00"))
+    return F.unhex(F.md5(F.concat(part(doc_id), F.lit(":"), part(text)).cast("binary")))
+
+
 def n_words(text: Column) -> Column:
     """The number of words `[^\\x20\\x09-\\x0D]+` of a text; 0 for null."""
     t = strip(F.coalesce(text, F.lit("")))

@@ -23,7 +23,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import ascii_lower, cut, sized, table
+from gleaner.llm.common import BROADCAST_ROWS, ascii_lower, cut, join_hot, row_key, sized, table
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -117,35 +117,56 @@ def _tells(n_et: Column, n_e: Column, n_t: Column, n: Column, passages: Column,
     return (n > n_e) & (discount * F.log2(n_et * n / (n_e * n_t)) >= threshold * F.log2(n / n_e))
 
 
+def _reaches(n_e: Column, n_t: Column, n: Column, threshold: float) -> Column:
+    """Whether a term in n_t documents can tell of an entity in n_e at all: PMI is at most log2(n / n_t)."""
+    return (n > n_e) & (F.log2(n / n_t) + F.lit(1e-9) >= threshold * F.log2(n / n_e))
+
+
+def _signature(*cols: str) -> list[Column]:
+    """Two sums of hashes: rows of `cols` in any order, to 128 bits."""
+    return [F.sum(F.xxhash64(F.lit(seed), *cols).cast("decimal(38,0)")).alias(name) for seed, name in ((1, "_a"), (2, "_b"))]
+
+
 def disclosing_terms(keyed: DataFrame, hits: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(_row, term, general) for the terms that disclose an entity of document _row; general is null where the term tells of one entity.
 
     `keyed` is of `entity_keys`; `hits` (_row, each once, text) has the documents with an entity, `docs` (text) all.
-    Only keys with enough different passages to reach the threshold meet the terms of their documents. How many documents hold
-    a term is counted over all of `docs`, for the terms in question.
+    All that counts of an entity is in which documents it is and where passages speak for it, and of a term in which documents it is. So entities alike in that
+    are one class, and terms, too, and only classes of a document meet: a list of a thousand addresses that recurs with the same thousand words
+    is one pair. Entities without enough passages, terms in too few documents with an entity, and terms too common to tell of the most common entity
+    are left out before. How many documents hold a term is counted over all of `docs`, for the terms in question.
     """
     least = _least_support(threshold)
+    n = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
     # A passage speaks through one document, and a document once, however many passages are in it.
     speaks = keyed.groupBy("key", "passage").agg(F.min("_row").alias("_row")).select("key", "_row", F.lit(1).alias("_p")).distinct()
     here = cut(keyed.select("_row", "key", "general").distinct().join(speaks, ["_row", "key"], "left").withColumn("_p", F.coalesce("_p", F.lit(0))))
-    per_key = cut(here.groupBy("key").agg(F.count("*").alias("n_e"), F.sum("_p").alias("_c")).filter(F.col("_c") >= least).select("key", "n_e"))
-    here = sized(here, per_key.select("key"), "key", "left_semi").select("_row", F.struct("key", "general", F.col("_p").alias("p")).alias("_k"))
-    met = hits.join(here.groupBy("_row").agg(F.collect_list("_k").alias("_ks")), "_row")
-    met = met.select("_ks", F.explode(_terms(F.col("text"))).alias("term")).filter(F.col("term") != "").select("term", F.inline("_ks"))
-    pairs = met.groupBy("key", "term").agg(F.count("*").alias("n_et"), F.sum("p").alias("c"), F.first("general").alias("general")).filter(F.col("c") >= least)
-    pairs = cut(sized(pairs, per_key, "key", "inner"))
+    per_key = here.groupBy("key").agg(F.count("*").alias("n"), F.sum("_p").alias("_c"), F.first("general").alias("general"), *_signature("_row", "_p"))
+    per_key = cut(per_key.filter(F.col("_c") >= least).withColumn("kind", F.struct("n", "_a", "_b")).select("key", "n", "general", "kind"))
+    strict = F.min(F.struct(F.col("general").isNotNull().alias("_o"), F.col("general"))).alias("_s")
+    kinds = cut(per_key.groupBy("kind").agg(strict, F.first("n").alias("n_e")))
+    entity = join_hot(here.select("_row", "key", "_p"), per_key.select("key", "kind"), "key", per_key.select("key", "n")).select("_row", "kind", "_p").distinct()
+    entity = cut(sized(entity, kinds.select("kind", "n_e"), "kind", "inner"))
+    words = hits.join(entity.select("_row").distinct(), "_row", "left_semi").select("_row", F.explode(_terms(F.col("text"))).alias("term")).filter(F.col("term") != "")
+    per_term = cut(words.groupBy("term").agg(F.count("*").alias("n_h"), *_signature("_row")).filter(F.col("n_h") >= least))
     own = cut(_own_names(hits))
-    wanted = cut(pairs.select("term").union(own.select("term")).distinct())
+    wanted = cut(per_term.select("term").union(own.select("term")).distinct())
     texts = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
-    counts = sized(texts, wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
-    counts = cut(counts.join(n))
-    told = pairs.join(counts, "term").filter(_tells(F.col("n_et"), F.col("n_e"), F.col("n_t"), F.col("n"), F.col("c"), threshold)).select("key", "term", "general")
-    told = sized(keyed.select("_row", "key").distinct(), cut(told), "key", "inner").select("_row", "term", "general")
+    counts = cut(sized(texts, wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")).join(n))
+    most = F.broadcast(kinds.agg(F.coalesce(F.max("n_e"), F.lit(0)).alias("_most")))  # one row
+    per_term = per_term.join(counts, "term").join(most).filter(_reaches(F.least("_most", F.col("n") - 1), F.col("n_t"), F.col("n"), threshold))
+    per_term = cut(per_term.withColumn("class", F.struct("n_t", "n_h", "_a", "_b")).select("term", "class", "n_t", F.col("n_h").alias("n"), F.col("n").alias("_docs")))
+    met = sized(words, per_term.select("term", "class", "n_t", "_docs"), "term", "inner") if per_term.count() <= BROADCAST_ROWS else join_hot(words, per_term.select("term", "class", "n_t", "_docs"), "term", per_term.select("term", "n"))
+    classes = cut(met.select("_row", "class", "n_t", "_docs").distinct())
+    both = entity.join(classes, "_row").filter(_reaches(F.col("n_e"), F.col("n_t"), F.col("_docs"), threshold))
+    pairs = both.groupBy("kind", "class").agg(F.count("*").alias("n_et"), F.sum("_p").alias("c"), *[F.first(x).alias(x) for x in ("n_e", "n_t", "_docs")])
+    told = pairs.filter((F.col("c") >= least) & _tells(F.col("n_et"), F.col("n_e"), F.col("n_t"), F.col("_docs"), F.col("c"), threshold)).select("kind", "class")
+    told = cut(told.join(kinds.select("kind", "_s"), "kind"))
+    told = both.select("_row", "kind", "class").join(told, ["kind", "class"]).groupBy("_row", "class").agg(F.min("_s").alias("_s"))
+    told = cut(told).join(per_term.select("class", "term"), "class").select("_row", "term", "_s.general")
     one = F.lit(1)
     names = own.join(counts, "term").filter(_tells(one, one, F.col("n_t"), F.col("n"), F.lit(OWN_SUPPORT), threshold)).select("_row", "term", F.lit("name").alias("general"))
-    strict = F.min(F.struct(F.col("general").isNotNull().alias("_o"), F.col("general")))
-    return told.union(names).groupBy("_row", "term").agg(strict.alias("_s")).select("_row", "term", "_s.general")
+    return told.union(names).groupBy("_row", "term").agg(strict).select("_row", "term", "_s.general")
 
 
 def _own_names(hits: DataFrame) -> DataFrame:
@@ -182,7 +203,7 @@ def find_private(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     An empty table gives an empty one.
     """
     d = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    d = d.withColumn("_row", F.xxhash64("doc_id", "text"))
+    d = d.withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
     hits = cut(d.filter(holds_entity(F.col("text"))).select("_row", "text").dropDuplicates(["_row"]))
     found = cut(entities(hits))
     told = cut(disclosing_terms(cut(entity_keys(found)), hits, d, threshold))
