@@ -6,10 +6,13 @@ candidates beside those of a prefix filter, which misses none.
 Under any one order of all shingles, two sets of similarity s or more share a shingle among the first n - ceil(s n) + 1 of each
 (n: a set's own size), and where the first that they share stands at places i and j, min(n - i, m - j) reaches the overlap
 that s asks for. So the candidates are exact whatever the order; it only decides how many there are. Shingles frequent
-in a sample of the documents come last, the rest go by hash.
+in a sample of the documents come last, the rest go by hash. With that order the shingles that prefixes hold are counted, exactly and over all
+documents; those that more than LIMIT texts share come last of all, whether a sample would have seen them or not, and prefixes are taken
+again. So a line that many unlike texts share, in whatever part of the corpus, brings none of them together.
 
 Of a group that shares a shingle, first each is held against one, the most central: that whose prefix meets the most others, as the
-original of edited copies does. What that leaves in different components is then held against each other, pair by pair; little is.
+original of edited copies does. What that leaves in different components shares a second shingle, too, among the first n - ceil(s n) + 2
+of each; only texts that share both are held against each other.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import cut, cut_small, join_hot
@@ -30,6 +34,10 @@ from gleaner.llm.simhash import SEED, fingerprint_links, majority, shingle_hashe
 #: The order of shingles is learned from about so many documents, and remembers so many shingles at most.
 SAMPLE_DOCS = 20_000
 COMMON = 200_000
+#: Shingles that more texts than this share in their prefixes come last; those that LIMIT times as many share come after them.
+LIMIT = 64
+#: Shingles over a limit are marked in a bitmap of so many bits, by their hash. Others whose bit is marked go last with them: that is an order as good as another.
+BITS = 1 << 26
 #: Groups of more members than this meet block by block.
 BLOCK = 4_096
 #: So many rows (8 bytes each) are broadcast at most, to pick their texts; more are joined by a shuffle.
@@ -63,12 +71,28 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """_row, doc_id, fp (the fingerprint), id (a hash of the whole set), n (its size) and keys (its prefix, in order) for each row of `texts`."""
-    shared = texts.sparkSession.sparkContext.broadcast(_common(texts, k))
+def _marks(counted: DataFrame) -> np.ndarray:
+    """A bitmap for each of the two limits that `counted` (key, n) exceeds: BITS bits each, whatever the number of keys."""
+    level = F.when(F.col("n") > LIMIT * LIMIT, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    at = F.pmod("key", F.lit(BITS))
+    words = counted.filter(F.col("n") > LIMIT).select(F.explode(level).alias("level"), F.shiftright(at, 6).cast("int").alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    rows = words.groupBy("level", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()  # 2 BITS / 64 rows at most
+    out = np.zeros((2, BITS // 64), np.uint64)
+    out[rows.column("level").to_numpy(), rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How many of the limits each hash is over: 0, 1 or 2."""
+    at = (h & np.uint64(BITS - 1)).astype(np.int64)
+    return ((marks[:, at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).sum(axis=0).astype(np.int64)
+
+
+def prefixes(texts: DataFrame, k: int, similarity: float, common: Broadcast, marks: Broadcast | None = None) -> DataFrame:
+    """_row, doc_id, fp (the fingerprint), id (128 bits of the whole set), n (its size) and keys (its prefix and one more, in order) for each row of `texts`."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, count = shared.value
+        seen, count = common.value
         for batch in batches:
             fps, ids, sizes, keys = [], [], [], []
             for t in batch.column(2):
@@ -76,18 +100,29 @@ def prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
                 fps.append(majority(h) if len(h) else 0)
                 h = np.unique(h)
                 rank = np.zeros(len(h), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    rank = np.where(common[at] == h, count[at], 0)
-                ids.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                if len(seen):
+                    at = np.minimum(np.searchsorted(seen, h), len(seen) - 1)
+                    rank = np.where(seen[at] == h, count[at], 0)
+                if marks is not None:
+                    rank += _marked(marks.value, h) << 40
+                ids.append(xxhash.xxh3_128_digest(h.tobytes(), SEED))
                 sizes.append(len(h))
-                keys.append(h[np.lexsort((h, rank))[: prefix_size(len(h), similarity)]].view(np.int64))
+                keys.append(h[np.lexsort((h, rank))[: prefix_size(len(h), similarity) + 1]].view(np.int64))
             flat = np.concatenate([*keys, np.empty(0, np.int64)])
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            cols = [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            cols = [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
             yield pa.RecordBatch.from_arrays(cols, ["_row", "doc_id", "fp", "id", "n", "keys"])
 
-    return texts.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "_row bigint, doc_id bigint, fp bigint, id bigint, n int, keys array<bigint>")
+    return texts.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "_row binary, doc_id bigint, fp bigint, id binary, n int, keys array<bigint>")
+
+
+def ordered_prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """`prefixes` in an order that puts last what many texts share: counted in a sample, then over all of them."""
+    spark = texts.sparkSession
+    common = spark.sparkContext.broadcast(_common(texts, k))
+    first = prefixes(texts, k, similarity, common)
+    marks = _marks(first.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")))
+    return prefixes(texts, k, similarity, common, spark.sparkContext.broadcast(marks) if marks.any() else None)
 
 
 def _may(n: Column, rest: Column, m: Column, other: Column, similarity: float) -> Column:
@@ -116,17 +151,23 @@ def verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, k: int, similar
     return met.select("a", "b", "_s", "_t").mapInArrow(check, "a bigint, b bigint")
 
 
-def _unresolved(met: DataFrame, roots: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Candidate pairs (a, b) of `met` in different components, but for those with the pivot of a group."""
+def _unresolved(met: DataFrame, keys: DataFrame, roots: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Candidate pairs (a, b) of `met` in different components that share a second key of `keys` (id, keys) after the first, but for those with the pivot of a group."""
     m = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "n", "rest", "pivot", F.coalesce("root", "id").alias("root"))
-    open_ = m.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count("*").alias("_n")).filter("_x != _y and _n > 2")
-    m = m.filter(F.col("id") != F.col("pivot")).join(open_.select("key", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "key")
+    open_ = m.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count("*").alias("n")).filter("_x != _y and n > 2").select("key", "n")
+    open_ = cut_small(open_)
+    m = join_hot(m.filter(F.col("id") != F.col("pivot")), open_.select("key"), "key", open_)
+    later = F.slice("keys", F.array_position("keys", F.col("key")).cast("int") + 1, F.size("keys"))
+    m = cut_small(m.join(keys, "id").select("key", F.explode(later).alias("next"), "id", "n", "rest", "root"))
+    both = m.groupBy("key", "next").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count("*").alias("n")).filter("_x != _y")
+    both = cut_small(both.select("key", "next", "n", F.ceil(F.col("n") / block).cast("int").alias("_blocks")))
+    m = join_hot(m, both.select("key", "next", "_blocks"), ["key", "next"], both.select("key", "next", "n"))
     m = m.withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    left = m.withColumn("_j", F.explode(others)).select("key", "_i", "_j", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("rest").alias("_r"), F.col("root").alias("_ra"))
-    right = m.withColumnRenamed("_i", "_j").withColumn("_i", F.explode(others)).select("key", "_i", "_j", F.col("id").alias("b"), F.col("n").alias("_m"), F.col("rest").alias("_q"), F.col("root").alias("_rb"))
+    left = m.withColumn("_j", F.explode(others)).select("key", "next", "_i", "_j", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("rest").alias("_r"), F.col("root").alias("_ra"))
+    right = m.withColumnRenamed("_i", "_j").withColumn("_i", F.explode(others)).select("key", "next", "_i", "_j", F.col("id").alias("b"), F.col("n").alias("_m"), F.col("rest").alias("_q"), F.col("root").alias("_rb"))
     near = (F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")) & _may(F.col("_n"), F.col("_r"), F.col("_m"), F.col("_q"), similarity)
-    return left.join(right, ["key", "_i", "_j"]).filter(near).select("a", "b").distinct()
+    return left.join(right, ["key", "next", "_i", "_j"]).filter(near).select("a", "b").distinct()
 
 
 def _fingerprint_pairs(ids: DataFrame, max_bits: int) -> DataFrame:
@@ -140,21 +181,25 @@ def _fingerprint_pairs(ids: DataFrame, max_bits: int) -> DataFrame:
 
 def similar_components(texts: DataFrame, k: int, similarity: float, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
     """_row, doc_id and root, alike for rows of `texts` (_row, doc_id, text) that links of `similarity` or more connect."""
-    d = cut(prefixes(texts, k, similarity))
-    one = cut_small(d.groupBy("id").agg(F.min("_row").alias("_row"), F.min("fp").alias("fp"), F.count("*").alias("n")))
-    keys = d.dropDuplicates(["id"]).select("id", "n", F.posexplode("keys").alias("_at", "key")).select("key", "id", "n", (F.col("n") - F.col("_at")).alias("rest"))
-    met = cut_small(keys.withColumn("_c", F.count("*").over(Window.partitionBy("key"))).filter(F.col("_c") > 1))
+    d = cut(ordered_prefixes(texts, k, similarity))
+    one = d.groupBy("id").agg(F.min("_row").alias("_row"), F.min("fp").alias("fp"), F.count("*").alias("n"))
+    one = cut_small(one.withColumn("number", F.monotonically_increasing_id()))
+    ids = one.select(F.col("number").alias("id"), "_row", "fp")
+    sets = d.select("_row", "n", "keys").join(ids.select("id", "_row"), "_row").dropDuplicates(["id"])
+    keys = sets.select("id", "n", F.posexplode("keys").alias("_at", "key")).filter(F.col("_at") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9)).select("key", "id", "n", (F.col("n") - F.col("_at")).alias("rest"))
+    counts = cut_small(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
+    met = cut_small(join_hot(keys, counts.select("key", F.col("n").alias("_c")), "key", counts))
     central = met.groupBy("id").agg(F.sum("_c").alias("_s"))
     pivot = met.join(central, "id").groupBy("key").agg(F.max(F.struct("_s", "id", "n", "rest")).alias("_l"))
     pivot = cut_small(pivot.select("key", F.col("_l.id").alias("pivot"), F.col("_l.n").alias("_ln"), F.col("_l.rest").alias("_lr")))
-    met = cut_small(met.drop("_c").join(pivot, "key"))
+    met = cut_small(join_hot(met.drop("_c"), pivot, "key", counts))
     stars = met.filter((F.col("id") != F.col("pivot")) & _may(F.col("n"), F.col("rest"), F.col("_ln"), F.col("_lr"), similarity)).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    close = _fingerprint_pairs(one.select("id", "fp"), max_bits)
+    close = _fingerprint_pairs(ids.select("id", "fp"), max_bits)
     pairs = stars.union(close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    first = cut_small(verified(cut_small(pairs), one, texts, k, similarity))
+    first = cut_small(verified(cut_small(pairs), ids, texts, k, similarity))
     roots = connected_components(first)
-    more = cut_small(verified(cut_small(_unresolved(met, roots, similarity, block)), one, texts, k, similarity))
+    more = cut_small(verified(cut_small(_unresolved(met, sets.select("id", "keys"), roots, similarity, block)), ids, texts, k, similarity))
     if not more.isEmpty():
         roots = connected_components(first.union(more))
-    rooted = one.join(roots, one["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"))
-    return join_hot(d.select("_row", "doc_id", "id"), rooted, "id", one).select("_row", "doc_id", "root")
+    rooted = one.join(roots, one["number"] == roots["node"], "left").select("id", F.coalesce("root", "number").alias("root"))
+    return join_hot(d.select("_row", "doc_id", "id"), rooted, "id", one.select("id", "n")).select("_row", "doc_id", "root")

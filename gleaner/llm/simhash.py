@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, join_hot, table
+from gleaner.llm.common import cut, join_hot, row_key, table
 from gleaner.llm.components import connected_components
 
 SEED = 42
@@ -63,15 +63,16 @@ def shingle_hashes(text: str | None, words_in_shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words_in_shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """fp beside the integer columns `keep` for each row of `docs` (text)."""
+    """fp beside the columns `keep`, integers or binary, for each row of `docs` (text)."""
+    kinds = {c: "binary" if docs.schema[c].dataType.simpleString() == "binary" else "bigint" for c in keep}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = pa.array([fingerprint(t.as_py(), words_in_shingle) for t in batch.column("_text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], fp], [*keep, "fp"])
 
-    whole = docs.select(*[F.col(c).cast("long").alias(c) for c in keep], F.col("text").alias("_text"))
-    return whole.mapInArrow(of, ", ".join(f"{c} bigint" for c in (*keep, "fp")))
+    whole = docs.select(*[F.col(c).cast(kinds[c]).alias(c) for c in keep], F.col("text").alias("_text"))
+    return whole.mapInArrow(of, ", ".join(f"{c} {kind}" for c, kind in (kinds | {"fp": "bigint"}).items()))
 
 
 def segment_counts(fp: Column) -> Column:
@@ -211,7 +212,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, bands: int | None
 
 
 def simhash_components(docs: DataFrame, max_bits: int = 4, words_in_shingle: int = 4, bands: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row for each row of `docs` (doc_id, text): the integer columns `keep` with doc_id, fp, component_id, root.
+    """A row for each row of `docs` (doc_id, text): the columns `keep` (integers or binary; doc_id among them), fp, component_id, root.
 
     component_id is the smallest doc_id that links reach, its own included; null ids are passed over
     (null where a component has no other); root is the component's least fingerprint. Null texts and texts without a word have fingerprint
@@ -229,7 +230,7 @@ def simhash_components(docs: DataFrame, max_bits: int = 4, words_in_shingle: int
 def without_near_copies(docs: DataFrame, max_bits: int = 4, words_in_shingle: int = 4, similarity: float | None = None) -> DataFrame:
     """The rows of `docs` (doc_id, text and others) that stand first in their component: one of each.
 
-    First is the smallest doc_id, null ids last; among rows that share it, the least hash of id and text; of wholly
+    First is the smallest doc_id, null ids last; among rows that share it, the least 128-bit hash of id and text; of wholly
     repeated rows any one. Null texts and texts without a word are copies of each other.
 
     With a `similarity`, texts are linked whose sets of shingles have that Jaccard similarity or more: links of fingerprints are
@@ -238,7 +239,7 @@ def without_near_copies(docs: DataFrame, max_bits: int = 4, words_in_shingle: in
     from gleaner.llm.shingle_join import similar_components
 
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))  # so that no column of theirs can clash
-    d = whole.withColumn("_row", F.xxhash64("doc.doc_id", "doc.text"))
+    d = whole.withColumn("_row", row_key(F.col("doc.doc_id"), F.col("doc.text")))
     texts = d.select("_row", "doc.doc_id", "doc.text")
     if similarity is None:
         parts = simhash_components(texts, max_bits, words_in_shingle, keep=("doc_id", "_row"))

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from tests.llm.test_operators import DOCS, components, prose, slow_alignment, slow_fingerprint
+from tests.llm.test_whole_job import jaccard
 
 
 def test_registered():
     names = list(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
@@ -28,11 +29,15 @@ def test_run(spark, tmp_path):
     rows = [(k, text(120 + k), "en", f"s{k % 3}", 1) for k in range(60)]
     rows += [(60, rows[5][1], "en", "s0", 1), (61, rows[5][1].upper(), "en", "s0", 1), (62, f"{text(80)} {items[1][1]} {text(50)}", "en", "s1", 1), (63, "1234 --", "en", "s1", 1), (64, None, None, None, None), (65, "", "en", "s2", 0)]
     rows += [(None, text(100), "en", "s1", 1), (70, text(3000), "en", "s2", 1)]
+    edited = rows[30][1].split()  # a similarity of 0.85 or so, with fingerprints further apart than 4 bits
+    edited[40], edited[90] = "other", "words"
+    rows.append((80, " ".join(edited), "en", "s1", 1))
+    assert 0.8 <= jaccard(rows[30][1], rows[-1][1]) < 0.9 and (slow_fingerprint(rows[30][1]) ^ slow_fingerprint(rows[-1][1])).bit_count() > 4
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     left = [x for x in rows if x[1] and any(c.isalpha() for c in x[1])]
-    part = components([slow_fingerprint(x[1]) for x in left], lambda a, b: (a ^ b).bit_count() <= 4)
+    part = components([x[1] for x in left], lambda a, b: jaccard(a, b) >= 0.8)
     left = [x for k, x in enumerate(left) if part[k] == k]
     norm = lambda t: re.findall(r"\w+", t.lower())
     left = [x for x in left if not any(slow_alignment(norm(i), norm(x[1])) >= len(norm(i)) for _, i in items)]

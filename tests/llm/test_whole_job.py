@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from gleaner.llm import decontamination, shingle_join
+from gleaner.llm import decontamination, shingle_join, simhash
 from tests.llm.test_operators import DOCS, components
 
 
@@ -55,3 +55,34 @@ def test_edited_copies_in_many_documents(spark):
     found = sorted((x["doc_id"], x["item_id"]) for x in decontamination.find_leaks(docs, bench).collect())
     assert found == sorted([(100 * k + d, k) for k in range(2) for d in range(40)] + [(300, 1)])
     assert sorted(x["doc_id"] for x in decontamination.decontaminate(docs, bench).collect()) == [301, 302]
+
+
+@pytest.mark.parametrize("limit", [shingle_join.LIMIT, 3])
+def test_a_rare_line_in_many_unlike_texts(spark, limit, monkeypatch):
+    """5,000 unlike texts share a line, among others: no pair of them is looked at, and near copies among them are still found."""
+    monkeypatch.setattr(shingle_join, "LIMIT", limit)
+    r = random.Random(13)
+    vocabulary = ["".join(r.choices("abcdefghij", k=5)) for _ in range(4000)]
+    line = r.choices(vocabulary, k=12)
+    texts = [" ".join(r.choices(vocabulary, k=30) + line) for _ in range(5000)] + [" ".join(r.choices(vocabulary, k=40)) for _ in range(3000)]
+    for k in (0, 7, 9):
+        t = texts[k].split()
+        t[20 + k] = "other"
+        texts.append(" ".join(t[1:]))
+    assert all(jaccard(texts[k], texts[8000 + i]) < 0.8 for i, k in enumerate((0, 7, 9)))
+    for k in (4999, 4998, 4998):
+        texts.append(texts[k] + " end")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    seen = []
+    real = shingle_join.verified
+    monkeypatch.setattr(shingle_join, "verified", lambda pairs, *a: (seen.append(pairs.count()), real(pairs, *a))[1])
+    got = {x["doc_id"] for x in simhash.without_near_copies(docs, words_in_shingle=5, similarity=0.8).collect()}
+    assert got == set(range(8003))
+    assert sum(seen) < 3_000
+
+
+def test_rows_of_either_key(spark):
+    """Without a similarity, rows are told apart by id and text as well."""
+    rows = [(1, "one two three four five"), (1, "one two three four five"), (1, "six seven eight nine ten"), (None, None), (None, "")]
+    got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x["doc_id"] or 0, x["text"] or "") for x in got) == [(0, ""), (1, "one two three four five"), (1, "six seven eight nine ten")]
