@@ -117,8 +117,9 @@ def build_index(docs: DataFrame, wanted: DataFrame) -> Index:
 
 
 def _kth(sums: DataFrame, k: int, name: str) -> DataFrame:
-    """(item, name): the k-th largest s of each item of `sums` (item, row, s); items with fewer rows have none."""
-    ranked = sums.select("item", "s", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("s"))).alias("_n")).filter(F.col("_n") <= k)
+    """(item, name): the k-th largest s of each item of `sums` (item, row, s and others); items with fewer rows have none."""
+    # All columns are in the order, so that none is pruned and the shuffle of `sums` is the one that its other users read.
+    ranked = sums.select("item", "s", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("s"), *[c for c in sums.columns if c not in ("item", "s")])).alias("_n")).filter(F.col("_n") <= k)
     return ranked.filter(F.col("_n") == k).select("item", F.col("s").alias(name))
 
 
@@ -144,7 +145,8 @@ def top_documents(index: Index, query: DataFrame, k: int) -> DataFrame:
     fetched = _lists(index, query).filter(F.col("c") >= F.col("t"))
     sums = fetched.groupBy("item", "row").agg(F.sum("c").alias("s"), F.sum(F.col("c") - F.col("u")).alias("v"))
     bound = query.groupBy("item").agg(F.sum("u").alias("_hidden")).join(_kth(sums, k, "tau"), "item", "left")
-    left = cut(sums.join(bound, "item").filter(F.col("v") + F.col("_hidden") >= F.coalesce("tau", F.lit(0))).select("item", "row"))
+    # s, too, is looked at on either side of this join, so that both read one shuffle.
+    left = cut(sums.filter("s > 0").join(bound, "item").filter(F.col("v") + F.col("_hidden") >= F.coalesce("tau", F.lit(0))).select("item", "row"))
     exact = sized(index.postings, left, "row", "inner").join(query.select("item", "term"), ["item", "term"])
     scores = exact.groupBy("item", "row").agg(F.sum("c").alias("score"), F.first("doc_id").alias("doc_id"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "doc_id", "row"))
