@@ -88,9 +88,3 @@ def n_words(text: Column) -> Column:
 def crc32_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
-
-
-def hash_share(doc_id: Column, share: float | Column, salt: str) -> Column:
-    """True for about `share` of all ids, the same ones in every run; all 64 bits of the hash count, so tiny shares hold."""
-    share = F.lit(float(share)) if isinstance(share, (int, float)) else share
-    return (share >= 1) | (F.xxhash64(F.lit(salt), doc_id) / F.lit(2.0**64) + 0.5 < share)

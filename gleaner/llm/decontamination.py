@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, table
+from gleaner.llm.common import cut, row_key, table
 
 _WORDS = re.compile(r"\w+")
 #: Thai, Lao, Myanmar, Khmer, Japanese syllables, Chinese characters.
@@ -182,7 +182,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int,
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.5, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row for each row of `docs` and test item that it holds: the integer columns `keep`, item_id, similarity, word.
+    """A row for each row of `docs` and test item that it holds: the columns `keep` (integers or binary), item_id, similarity, word.
 
     similarity is the Smith-Waterman score (match 2, mismatch -1, gap -1, over words in lower case) as a share of
     what the whole item would score; word is about where the passage begins. Seeds are all of an item, however frequent. An item of fewer
@@ -195,8 +195,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.
     A benchmark larger than `block_words` words is worked off in blocks, each a pass over the documents.
     """
     spark = docs.sparkSession
-    whole = docs.select(*[F.col(c).cast("long").alias(c) for c in keep], F.col("text").alias("_text"))
-    schema = ", ".join([*[f"{c} bigint" for c in keep], "item_id bigint, similarity double, word bigint"])
+    kinds = {c: "binary" if docs.schema[c].dataType.simpleString() == "binary" else "bigint" for c in keep}
+    whole = docs.select(*[F.col(c).cast(kinds[c]).alias(c) for c in keep], F.col("text").alias("_text"))
+    schema = ", ".join([*[f"{c} {kind}" for c, kind in kinds.items()], "item_id bigint, similarity double, word bigint"])
     out = None
     for rows in _blocks(benchmark, block_words):
         shared = spark.sparkContext.broadcast(Items.of(rows))
@@ -223,7 +224,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of `docs` (doc_id, text and others) that hold no test item."""
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))  # so that no column of theirs can clash
-    d = whole.withColumn("_row", F.xxhash64("doc.doc_id", "doc.text"))
+    d = whole.withColumn("_row", row_key(F.col("doc.doc_id"), F.col("doc.text")))
     bad = find_leaks(d.select("_row", "doc.text"), benchmark, keep=("_row",), **options).select("_row").distinct()
     return d.join(bad, "_row", "left_anti").select("doc.*")
 

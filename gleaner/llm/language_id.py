@@ -13,13 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import crc32_mod, hash_share, table
+from gleaner.llm.common import crc32_mod, cut, table
 
-#: About the most labelled rows of each language that a fit looks at; with more, a share picked by a hash of the id.
-FIT_ROWS = 500
+#: The most labelled rows of each language that a fit looks at, and of all languages together; of more, those of the least hashes of id and text.
+FIT_ROWS, ALL_ROWS = 500, 20_000
 #: The highest limit: an answer more likely right than wrong is never rejected.
 MOST = 0.5
 #: So many languages are learned at most, those of the most rows.
@@ -177,14 +177,18 @@ def fit_language(examples: list[Example], width: int = 16, epochs: int = 6, rate
 
 
 def train_languages(docs: DataFrame, folds: int = 4, held_fold: int = 2, fit_rows: int = FIT_ROWS) -> LanguageModel:
-    """A model from text and lang of `docs` (doc_id, text, lang) outside the held-out fold; about `fit_rows` rows of each language at most.
+    """A model from text and lang of `docs` (doc_id, text, lang) outside the held-out fold; `fit_rows` rows of each language at most, ALL_ROWS of all.
 
-    Rows are counted by language first, so rare languages keep all their rows. Executors send bucket counts, at most 2^14 for a text however long.
+    Rows are picked by a hash of id and text, so rare languages keep all their rows, and rows that share an id are picked one by one; of wholly repeated rows as many are taken as there is room for. Executors send bucket counts, at most 2^14 for a text however long.
     """
-    known = docs.filter(F.col("lang").isNotNull() & (crc32_mod(F.col("doc_id"), folds) != held_fold)).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MAX_LANGUAGES)
-    known = known.join(F.broadcast(counts), "lang")  # at most MAX_LANGUAGES rows
-    known = known.filter(hash_share(F.col("doc_id"), F.lit(float(fit_rows)) / F.col("_n"), "language")).drop("_n")
+    known = docs.filter(F.col("lang").isNotNull() & (crc32_mod(F.col("doc_id"), folds) != held_fold)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    known = known.withColumn("_h", F.xxhash64(F.lit("language"), "doc_id", "text"))
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MAX_LANGUAGES))
+    each = max(1, min(fit_rows, ALL_ROWS // max(1, counts.count())))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    last = known.select("lang", "_h", order.alias("_k")).filter(F.col("_k") <= each).groupBy("lang").agg(F.max("_h").alias("_last"))  # hashes alone are ordered
+    known = known.join(F.broadcast(cut(last.join(counts, "lang"))), "lang").filter(F.col("_h") <= F.col("_last"))  # at most MAX_LANGUAGES rows
+    known = known.withColumn("_k", order).filter(F.col("_k") <= each).select("doc_id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +202,7 @@ def train_languages(docs: DataFrame, folds: int = 4, held_fold: int = 2, fit_row
                     langs.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary()), pa.array(langs, pa.string())], ["doc_id", "b", "s", "lang"])
 
-    rows = known.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(count, "doc_id bigint, b binary, s binary, lang string").collect()  # bounded by MAX_LANGUAGES x fit_rows
+    rows = known.mapInArrow(count, "doc_id bigint, b binary, s binary, lang string").collect()  # ALL_ROWS at most
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], bytes(r["b"])))
     return fit_language([(np.frombuffer(r["b"], "<u4"), np.frombuffer(r["s"], "<f4").astype(np.float64), r["lang"]) for r in rows])
 

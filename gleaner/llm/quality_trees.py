@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import crc32_mod, cut, hash_share, table
+from gleaner.llm.common import crc32_mod, cut, table
 from gleaner.llm.text_stats import COUNTS, with_counts
 
 #: The most labelled rows that a fit looks at; with more, a share picked by a hash of the id.
@@ -90,7 +90,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold:
     """A row for each row of `docs` (doc_id, text): doc_id, held_out, score, predicted.
 
     Trees learn from `labels` (doc_id, quality) of documents whose crc32 modulo `folds` isn't
-    `held_fold`, from at most about `fit_rows` of them; held_out marks the others. Scores use statistics of
+    `held_fold`, from at most `fit_rows` rows of them, picked by a hash of the row; held_out marks the others. Scores use statistics of
     the whole text only. Null or empty texts are scored as empty ones; a null id is hashed as the empty
     text and never labelled. Null qualities don't count; of several for one id the largest does. Without
     labels every score is 0.5. Other columns are ignored.
@@ -99,9 +99,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold:
     stats = cut(with_counts(docs))
     known = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("_y"))
     known = known.filter(crc32_mod(F.col("doc_id"), folds) != held_fold)
-    share = min(1.0, fit_rows / max(1, known.count()))
-    rows = stats.join(known.filter(hash_share(F.col("doc_id"), share, "quality")), "doc_id").select("doc_id", "_y", *COUNTS)
-    sample = np.array([tuple(r) for r in rows.collect()], np.int64).reshape(-1, len(COUNTS) + 2)  # at most about fit_rows rows of counts
+    rows = stats.join(known, "doc_id").select("doc_id", "_y", *COUNTS)
+    rows = rows.withColumn("_h", F.xxhash64(F.lit("quality"), *rows.columns))
+    last = rows.select("_h").orderBy("_h").limit(fit_rows).agg(F.max("_h")).first()[0]  # numbers alone are ordered; of repeated rows as many are taken as there is room for
+    rows = rows.filter(F.col("_h") <= F.lit(last)).orderBy("_h").limit(fit_rows).drop("_h")
+    sample = np.array([tuple(r) for r in rows.collect()], np.int64).reshape(-1, len(COUNTS) + 2)  # at most fit_rows rows of counts
     sample = sample[np.lexsort(sample.T[::-1])]
     trees = spark.sparkContext.broadcast(fit_trees(features(sample[:, 2:]), (sample[:, 1] > 0).astype(np.float64)))
 

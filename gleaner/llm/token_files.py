@@ -11,6 +11,7 @@ A file is, all integers little-endian:
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import re
@@ -146,6 +147,29 @@ class TokenFile:
             k = to
 
 
+#: Pre-tokenizers that part texts at all blanks, drop these, and look at nothing beyond.
+_AT_BLANKS = ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+#: Alternatives of a pattern of pieces that match no blank and look at nothing beyond: a run or one of letters, of numbers, of all else; and an apostrophe with letters.
+_PIECES = ("[\\p{L}]+", "\\p{L}+", "[\\p{N}]", "\\p{N}", "[\\p{N}]+", "\\p{N}+", "[^\\s\\p{L}\\p{N}]+")
+
+
+def local_rules(settings: dict) -> tuple[bool, bool, bool]:
+    """(splits, lower, stops) of a tokenizer's settings: whether what stands between blanks is encoded on its own, case is ignored, and a word is parted from a stop after it.
+
+    Normalizers must be the canonical composition, lower case, or blanks made one: none of them looks past a blank. The pre-tokenizer must begin with a
+    step that parts at all blanks: one of those known to, or the matches alone of a pattern of `_PIECES`. Anything else is taken to look further.
+    """
+    steps = lambda x, name: [] if x is None else x[name] if x["type"] == "Sequence" else [x]
+    norms, first = steps(settings["normalizer"], "normalizers"), (steps(settings["pre_tokenizer"], "pretokenizers") or [{"type": None}])[0]
+    blanks = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    known = all(n["type"] in ("NFC", "Lowercase") or n == blanks for n in norms) and not settings["truncation"] and not settings["padding"]
+    pieces = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex", "").split("|")
+    of_pieces = bool(pieces) and all(x in _PIECES or re.fullmatch("'[a-z]+", x) for x in pieces)
+    splits = known and (of_pieces or first["type"] in _AT_BLANKS)
+    stops = splits and of_pieces and any(x in _PIECES[:2] for x in pieces) and _PIECES[-1] in pieces
+    return splits, splits and any(n["type"] == "Lowercase" for n in norms), stops
+
+
 _ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 
 
@@ -153,8 +177,8 @@ class WordEncoder:
     """Encodes texts as the tokenizer does, remembering the ids of what stands between blanks.
 
     For tokenizers whose tokens never span a space or a line feed, and that drop these: the ids of a
-    text are then those of its pieces in turn. `splits` tells whether the tokenizer at hand is so, by a probe and then by the first texts of
-    each worker; else whole texts are encoded. Where the tokenizer ignores case, Latin texts are remembered in lower case; where it
+    text are then those of its pieces in turn. `local_rules` proves it from the tokenizer's own normalizer and pre-tokenizer; of any other tokenizer
+    whole texts are encoded. Where the tokenizer ignores case, Latin texts are remembered in lower case; where it
     parts a word from a stop after it (`stops`), the word is remembered once for all stops. Texts that hold an added token's string are encoded whole as well.
 
     Memory: words are remembered in two generations of `memo_words` / 2. When the new one is full, it takes the place
@@ -169,11 +193,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        probe = "Ab c,\n \n'd Éf. 12 \n x"
-        self.splits = self._ids(probe) == b"".join(self._ids(w) for w in probe.replace("\n", " ").split(" "))
-        self.lower = self._ids("AB Cd ÉÄÑ Ğ") == self._ids("ab cd éäñ ğ")
-        self.stops = self.splits and all(self._ids(w + p) == self._ids(w) + self._ids(p) for w in ("ab", "xyzé", "it's") for p in STOPS)
-        self.unchecked = CHECKED_TEXTS
+        self.splits, self.lower, self.stops = local_rules(json.loads(self.tokenizer.to_str()))
         self.memo_words = memo_words
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -182,15 +202,7 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of a text, little-endian. The first texts are held against the tokenizer: where one differs, all go to it whole from then on."""
-        if not text or not self.splits or not self.unchecked:
-            return self._encode(text)
-        self.unchecked -= 1
-        whole = self._ids(text)
-        self.splits = self._encode(text) == whole
-        return whole
-
-    def _encode(self, text: str | None) -> bytes:
+        """The ids of a text, little-endian."""
         if not text:
             return b""
         if not self.splits or any(a in text for a in self.added):
@@ -227,8 +239,6 @@ def encoder(path: str, memo_words: int = MEMO_WORDS) -> WordEncoder:
 MANIFEST = "part bigint, roll bigint, file string, n_docs bigint, n_ids bigint"
 #: A task goes on to a new file when one has so many ids or documents.
 FILE_IDS, FILE_DOCS = 1 << 28, 1 << 22
-#: So many texts of a task are encoded whole as well, to hold the remembered words against the tokenizer.
-CHECKED_TEXTS = 8
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, partitions: int | None = None, memo_words: int = MEMO_WORDS, file_ids: int = FILE_IDS) -> DataFrame:

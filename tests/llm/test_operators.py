@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import json
 import math
 import random
 import re
@@ -198,13 +199,23 @@ def test_token_files(spark, odd, none, tmp_path):
     assert token_files.token_output(none, TOKENIZER).count() == 0
 
 
-def test_encoder_is_held_against_the_tokenizer():
-    """A tokenizer that the probe takes for one that splits, and isn't, is found out by the first text."""
-    e = token_files.WordEncoder(TOKENIZER)
-    assert e.splits
-    plain, e._ids = e._ids, lambda text: plain(text) + (b"\0\0\0\0" if "river stone" in text else b"")
-    assert e.encode("river stone") == plain("river stone") + b"\0\0\0\0" and not e.splits
-    assert e.encode("a river stone") == plain("a river stone") + b"\0\0\0\0"
+def test_encoder_by_the_tokenizers_settings(tmp_path):
+    """Words are remembered only where the settings prove that pieces between blanks are encoded on their own; ids are the tokenizer's either way."""
+    settings = json.load(open(TOKENIZER))
+    texts = [prose(1, 30), "Ab c,\n \n'd Éf. 12 \n x", "it's. we'll, \t\u00a0 no\u2028 break 3,5 ½ İ Σς ǅ", "e\u0301 \u0301 a", "<|endoftext|> x", "漢字 😀! ?", "a" * 3000 + "."]
+    found = {}
+    for name, change in {
+        "as it is": {}, "no normalizer": {"normalizer": None}, "strip": {"normalizer": {"type": "Strip", "strip_left": True, "strip_right": True}}, "prefix": {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+        "spans blanks": {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": "[\\p{L}]+( [\\p{L}]+)?"}, "behavior": "Removed", "invert": True}}, "cut off": {"truncation": {"direction": "Right", "max_length": 5, "strategy": "LongestFirst", "stride": 0}},
+    }.items():
+        path = str(tmp_path / f"{name}.json")
+        json.dump(settings | change, open(path, "w"))
+        e = token_files.WordEncoder(path)
+        found[name] = (e.splits, e.lower, e.stops)
+        for t in texts * 2:
+            assert e.encode(t) == e._ids(t), (name, t)
+    assert found["as it is"] == (True, True, True) and found["no normalizer"] == (True, False, True)
+    assert not any(found[n][0] for n in ("strip", "prefix", "spans blanks", "cut off"))
 
 
 def test_token_file_access(tmp_path):
