@@ -1,4 +1,4 @@
-"""Queries over small pieces of source code and routes, given as literal rows here and in their SQL."""
+"""Cases over small pieces of source code and routes, given as literal rows here and in their SQL."""
 
 from __future__ import annotations
 
@@ -12,8 +12,9 @@ from gleaner.operators import endpoints as ep
 from gleaner.operators import enrichment, matching, parsers
 from gleaner.operators.catalog import CATALOG, COMMENTS, EXTENSIONS
 from gleaner.plans import sinks
-from gleaner.plans.query import query, quoted, values
+from gleaner.plans.query import quoted, values
 from gleaner.sources import files
+from tests.literal_registry import query
 
 PY = '''from fastapi import FastAPI, APIRouter
 app = FastAPI()

@@ -11,7 +11,8 @@ from gleaner.functions import detect, responses, routes, scoring
 from gleaner.operators import endpoints as ep
 from gleaner.operators import enrichment, generators, matching, parsers
 from gleaner.operators.catalog import CATALOG, COMMENTS
-from gleaner.plans import literal_queries, sinks
+from gleaner.plans import sinks
+from tests import literal_cases
 from gleaner.sources import files
 from gleaner.streaming import incremental
 
@@ -27,7 +28,7 @@ def brute_matches(text, language):
 
 @pytest.mark.parametrize("language", sorted(CATALOG))
 def test_patterns_match_as_python_does(spark, language):
-    texts = [t for _, t in literal_queries.SOURCES] + [literal_queries.CATALOG_TEXT, "", '# @app.get("/x")\n@app.route("/é", methods=["GET"])\n\n"/health"', "router.get('/a/:b', f)\n\t// app.get('/c')"]
+    texts = [t for _, t in literal_cases.SOURCES] + [literal_cases.CATALOG_TEXT, "", '# @app.get("/x")\n@app.route("/é", methods=["GET"])\n\n"/health"', "router.get('/a/:b', f)\n\t// app.get('/c')"]
     df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)] + [("none", None)], "path string, content string")
     got = sorted(tuple(r) for r in matching.match_language(df, language).select("path", "line", "framework", "kind", "method", "route", "raw_match", "pattern", "match").collect())
     assert got == sorted((str(k), *m) for k, t in enumerate(texts) for m in brute_matches(t, language))
@@ -150,8 +151,8 @@ def test_reports_are_whole(spark):
 
 
 def test_openapi_with_components_and_answers(spark):
-    ops = literal_queries.controller_operations(spark)
-    doc = json.loads("\n".join(r.value for r in sinks.openapi_document(ops, schemas=parsers.dto_schemas(parsers.dto_properties(literal_queries.code(spark)))).collect()))
+    ops = literal_cases.controller_operations(spark)
+    doc = json.loads("\n".join(r.value for r in sinks.openapi_document(ops, schemas=parsers.dto_schemas(parsers.dto_properties(literal_cases.code(spark)))).collect()))
     assert set(doc["components"]["schemas"]) == {"OrderDto", "LineDto"} and doc["components"]["schemas"]["OrderDto"]["required"] == ["name"]
     assert doc["paths"]["/api/Orders"]["post"]["requestBody"]["required"] is True
     answers = spark.createDataFrame([("POST", "/api/Orders", '{"summary":"Order","operationId":"mine","responses":{"201":{"description":"Made"}}}'), ("GET", "/none", "{}")], "method string, route string, repaired string")
