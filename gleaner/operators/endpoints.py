@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, StringType, TimestampType
 
 from gleaner.functions import scoring
 from gleaner.operators.catalog import CATALOG, EXTENSIONS
 from gleaner.operators.matching import Patterns, extract, with_prefixes
+from gleaner.sources.shared import cut
 
 
 def first_per(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
@@ -93,6 +92,34 @@ def read_policies(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
     return [(r["name"], r["severity"], r["condition"]) for r in rows.select(F.inline("policies")).filter("name IS NOT NULL AND condition IS NOT NULL").collect()]
 
 
+def policy_violations(endpoints: DataFrame, policies: DataFrame, route: str = "route", number: str = "score", width: float = 10.0) -> DataFrame:
+    """A row for each endpoint and policy of a table that it breaks: policy, severity and the endpoint's columns.
+
+    `policies` (policy, severity, prefix, low, high): broken by endpoints whose route begins with prefix and whose `number` is at least low and below high; null
+    bounds bound nothing, a null prefix is the empty one. Routes and numbers come in segments and bins of `width`: a policy goes to
+    the bins that it covers, an endpoint to its own, and they meet by equality of the first segment and the bin; conditions are checked then. A policy
+    open at an end, or over more than 256 bins, goes by its prefix alone. There is no nested loop, so thousands of policies are fine; but policies with neither a whole segment nor bounds, which are about everything, meet all endpoints. Endpoints with a null route or number break none.
+    """
+    segment = lambda c: F.substring_index(F.substring_index(F.ltrim(c, F.lit("/")), "/", 1), "?", 1)
+    p = policies.select("policy", "severity", F.coalesce("prefix", F.lit("")).alias("_prefix"), F.col("low").cast("double").alias("_low"), F.col("high").cast("double").alias("_high"))
+    p = p.filter(F.col("_low").isNull() | F.col("_high").isNull() | (F.col("_low") < F.col("_high")))
+    whole = F.ltrim("_prefix", F.lit("/")).contains("/")  # else the prefix may end within a segment
+    bins = F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))
+    narrow = F.coalesce((F.col("_high") - F.col("_low")) / width <= 256, F.lit(False))
+    p = p.withColumn("_segment", F.when(whole, segment(F.col("_prefix")))).withColumn("_bin", F.explode(F.when(narrow, bins).otherwise(F.array(F.lit(None).cast("long")))))
+    e = endpoints.select(F.struct(*endpoints.columns).alias("_e"), F.col(route).alias("_route"), F.col(number).cast("double").alias("_n")).filter(F.col("_route").isNotNull() & F.col("_n").isNotNull())
+    e = e.withColumn("_s", segment(F.col("_route"))).withColumn("_b", F.floor(F.col("_n") / width))
+    holds = F.startswith("_route", F.col("_prefix")) & (F.coalesce("_low", F.col("_n")) <= F.col("_n")) & (F.col("_high").isNull() | (F.col("_n") < F.col("_high")))
+    # A policy has a segment or none, a bin or none; each kind has its own key. A policy with neither is about all endpoints.
+    kinds = [(F.col("_segment").isNotNull(), F.col("_bin").isNotNull(), [F.col("_s") == F.col("_segment"), F.col("_b") == F.col("_bin")]), (F.col("_segment").isNotNull(), F.col("_bin").isNull(), [F.col("_s") == F.col("_segment")]), (F.col("_segment").isNull(), F.col("_bin").isNotNull(), [F.col("_b") == F.col("_bin")])]
+    met = [e.join(p.filter(a & b), on) for a, b, on in kinds]
+    loose = p.filter(F.col("_segment").isNull() & F.col("_bin").isNull())
+    if not loose.isEmpty():  # these are for all endpoints, in one row each
+        met.append(e.crossJoin(F.broadcast(loose)))
+    same = [m.filter(holds).select("policy", "severity", "_e.*") for m in met]
+    return reduce(DataFrame.unionAll, same)
+
+
 def violations(endpoints: DataFrame, policies: list[tuple[str, str, Column | str]] | None = None) -> DataFrame:
     """A row for each endpoint and policy that it breaks: policy, severity and the endpoint's columns.
 
@@ -149,35 +176,27 @@ def set_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFra
     return met.select(*keys, F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").otherwise("unchanged").alias("side"))
 
 
-def _as_number(df: DataFrame, column: str) -> Column:
-    """A number that never falls as the column rises: the column itself, or of anything else the first seven bytes of its text."""
-    if isinstance(df.schema[column].dataType, NumericType):
-        return F.col(column)
-    kind = df.schema[column].dataType
-    if isinstance(kind, (TimestampType, DateType)):
-        return F.unix_micros(F.col(column).cast("timestamp"))
-    if isinstance(kind, StringType):
-        return F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(column), "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
-    return F.lit(0)
-
+def ranked(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """`df` with `rank`, from 1: the exact place of a row in its group by `order`, whatever the sizes of groups and however alike their keys begin.
 
-def batches(df: DataFrame, group: list[str], order: list[str], size: int, parts: int = 64, largest: int | None = None) -> DataFrame:
-    """`batch`: the number of the row's chunk of at most `size` rows (within 1 and `largest`) within its group, from 0.
-
-    Groups may be few and huge: they are cut at `parts` approximate quantiles of the first column of `order` (of texts, their first seven
-    bytes; times as numbers), rows are numbered within a cut, and counts of the cuts before are added. The numbers are
-    exact wherever the cuts fall.
+    Rows are dealt to ranges of the whole order (group first), sorted, numbered in their range and written once; a range begins where sampled
+    rows say, so a group of any size is spread over ranges. What a group has in the ranges before, a row for each group and range, is added. Rows
+    equal in `order` are ranked in any order. Null groups are groups.
     """
+    taken = {"_at": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}  # the second rises with the place in the range
+    placed = cut(df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).select("*", *[c.alias(n) for n, c in taken.items()]))
+    counts = placed.groupBy(*group, "_at").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = cut(counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_at").alias("_p"), (before - F.col("_first") + 1).alias("_add")))
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_PATHS else counts
+    met = placed.join(counts, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_at") == F.col("_p")])
+    return met.select(*df.columns, (F.col("_i") + F.col("_add")).alias("rank"))
+
+
+def batches(df: DataFrame, group: list[str], order: list[str], size: int, largest: int | None = None) -> DataFrame:
+    """`batch`: the number of the row's chunk of at most `size` rows (within 1 and `largest`) within its group, from 0, by `ranked`."""
     size = max(1, size if largest is None else min(size, largest))
-    df = df.withColumn("_key", _as_number(df, order[0]))
-    cuts = df.agg(F.percentile_approx("_key", [k / parts for k in range(1, parts)]).alias("_cuts"))  # one row
-    cut = df.join(F.broadcast(cuts)).withColumn("_cut", F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < F.col("_key")))).drop("_cuts")
-    counts = cut.groupBy(*group, "_cut").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_cut").alias("_c"), before.alias("_before"))
-    met = cut.join(counts, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_cut") == F.col("_c")])
-    n = F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_cut").orderBy(*order))
-    return met.withColumn("batch", F.floor((n - 1) / size).cast("long")).select(*[c for c in df.columns if c != "_key"], "batch")
+    return ranked(df, group, order).select(*df.columns, F.floor((F.col("rank") - 1) / size).cast("long").alias("batch"))
 
 
 def cache_lookup(wanted: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
@@ -206,25 +225,25 @@ def cache_upsert(cache: DataFrame, new: DataFrame, order: list[str] | None = Non
     return cache.join(last.select("key"), "key", "left_anti").unionByName(last)
 
 
-def write_baseline(files: DataFrame, endpoints: DataFrame, folder: str) -> None:
-    """Keep what a later scan starts from: (path, md5) of the files and the endpoints. The folder must be a new one: a baseline that is read is never overwritten."""
-    files.select("path", "md5").write.parquet(f"{folder}/files")
-    endpoints.write.parquet(f"{folder}/endpoints")
-
-
-def read_baseline(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The files and endpoints of a baseline; empty tables where there is none."""
-    try:
-        return spark.read.parquet(f"{folder}/files"), spark.read.parquet(f"{folder}/endpoints")
-    except AnalysisException:
-        return spark.createDataFrame([], "path string, md5 string"), spark.createDataFrame([], "path string, line int, method string, route string, auth_status string, risk_level string")
+#: So many paths are broadcast at most.
+BROADCAST_PATHS = 500_000
 
 
 def incremental_scan(files: DataFrame, baseline: tuple[DataFrame, DataFrame], scan_files: Callable[[DataFrame], DataFrame] = scan) -> DataFrame:
-    """Endpoints of `files` (path, content, md5): only files that are new or changed are scanned; the others' come from the baseline."""
+    """Endpoints of `files` (path, content, md5): only files that are new or changed are scanned; the others' come from the baseline.
+
+    Which those are is found from paths and hashes alone, and written. Then they pick the files: by a broadcast of up to BROADCAST_PATHS of them,
+    so no content crosses a shuffle; more of them mean a scan of much, and pick by a join. For baselines of any size see `snapshots`, where
+    neither side is shuffled. Of a path that is there twice all rows count, if one of them is new.
+    """
     old_files, old = baseline
-    same = unchanged_files(files.select("path", "md5"), old_files).select("path")
-    return scan_files(changed_files(files, old_files)).unionByName(old.join(same, "path", "left_semi"), allowMissingColumns=True)
+    names = files.select("path", "md5")
+    changed = cut(changed_files(names, old_files).select(F.col("path").alias("_p")).distinct())
+    same = unchanged_files(names, old_files).select("path")
+    wanted = F.broadcast(changed) if changed.count() <= BROADCAST_PATHS else changed
+    fresh_files = files.join(wanted, F.col("path") == F.col("_p"), "left_semi")
+    kept = old.join(same, "path", "left_semi").join(changed, F.col("path") == F.col("_p"), "left_anti")
+    return scan_files(fresh_files).unionByName(kept, allowMissingColumns=True)
 
 
 def cache_key(*parts: Column) -> Column:

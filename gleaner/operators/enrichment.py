@@ -13,7 +13,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from gleaner.functions import detect, routes, scoring
 from gleaner.functions.routes import surrounding
 from gleaner.operators import parsers
-from gleaner.operators.endpoints import cache_lookup
+from gleaner.operators.endpoints import cache_lookup, first_per
+from gleaner.sources.shared import cut
 
 
 #: So many paths with their lines are broadcast at most; more meet their files by a shuffle.
@@ -26,7 +27,7 @@ def with_code(endpoints: DataFrame, files: DataFrame, around: int = 25) -> DataF
     The lines that are wanted go to the files, not contents to the endpoints: only code around them is joined. Of a path that is there twice the
     least code counts.
     """
-    wanted = endpoints.groupBy(F.col("path").alias("_p")).agg(F.collect_set("line").alias("_ls"))
+    wanted = cut(endpoints.groupBy(F.col("path").alias("_p")).agg(F.collect_set("line").alias("_ls")))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_PATHS else wanted
     near = F.array_join(surrounding(F.split(F.coalesce("content", F.lit("")), "\n", -1), F.col("_l"), around), "\n")
     code = files.join(wanted, F.col("path") == F.col("_p")).select("_p", "content", F.explode("_ls").alias("_l")).groupBy("_p", "_l").agg(F.min(near).alias("code"))
@@ -76,9 +77,10 @@ def described_endpoints(endpoints: DataFrame, files: DataFrame, threshold: float
 
 
 def with_answers(endpoints: DataFrame, answers: DataFrame) -> DataFrame:
-    """`endpoints` with the answers (method, route and others) that were given for their method and route; endpoints alike share one, those without have nulls."""
-    own = answers.select(F.col("method").alias("_m"), F.col("route").alias("_r"), *[c for c in answers.columns if c not in ("method", "route")])
-    return endpoints.join(own.dropDuplicates(["_m", "_r"]), (F.col("method") == F.col("_m")) & (F.col("route") == F.col("_r")), "left").drop("_m", "_r")
+    """`endpoints` with the answers (method, route and others) that were given for their method and route; endpoints alike share one, those without have nulls. Of several answers the first in order of all their columns counts."""
+    others = [c for c in answers.columns if c not in ("method", "route")]
+    own = first_per(answers.select(F.col("method").alias("_m"), F.col("route").alias("_r"), *others), ["_m", "_r"], [F.asc_nulls_last(c) for c in others] or ["_m"])
+    return endpoints.join(own, (F.col("method") == F.col("_m")) & (F.col("route") == F.col("_r")), "left").drop("_m", "_r")
 
 
 def shared_prompt(endpoints: DataFrame, most: int = 100) -> DataFrame:
@@ -119,8 +121,15 @@ def ask_in_batches(rows: DataFrame, ask: Callable[[list[str]], list[str | None]]
     return rows.mapInPandas(run, schema)
 
 
+def _rest(json_text: Column, known: list[str]) -> Column:
+    """The members of a JSON object other than `known`, as text without braces; null if there are none."""
+    rest = F.map_filter(F.from_json(json_text, "map<string,variant>"), lambda k, v: ~k.isin(known))
+    text = F.to_json(rest)
+    return F.when(F.size(rest) > 0, F.substring(text, F.lit(2), F.length(text) - 2))
+
+
 def repaired_operations(operations: DataFrame) -> DataFrame:
-    """`operations` (operation, JSON) with status, error and the operation repaired.
+    """`operations` (operation, JSON) with status, error and the operation repaired: mended in place, all else that it has stays.
 
     Missing responses, summaries and bodies' contents get defaults; empty parameters and bodies go. What is
     no object, or has parameters without a name or a known place, is FAILED.
@@ -136,14 +145,15 @@ def repaired_operations(operations: DataFrame) -> DataFrame:
         .when(~empty(o["requestBody"]) & ~F.startswith(o["requestBody"], F.lit("{")), "requestBody")
         .when(o["responses"].isNotNull() & ~F.startswith(o["responses"], F.lit("{")), "responses")
     )
-    body = F.when(F.get_json_object(o["requestBody"], "$.content").isNotNull(), o["requestBody"]).otherwise('{"content":{"application/json":{"schema":{"type":"object"}}}}')
+    joined = lambda *parts: F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
+    content = F.lit('"content":{"application/json":{"schema":{"type":"object"}}}')
+    body = F.when(F.get_json_object(o["requestBody"], "$.content").isNotNull(), o["requestBody"]).otherwise(joined(content, _rest(o["requestBody"], ["content"])))
     part = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
-    parts = F.array_compact(F.array(
+    fixed = joined(
         F.when(~empty(o["parameters"]), part("parameters", o["parameters"])), F.when(~empty(o["requestBody"]), part("requestBody", body)),
         part("responses", F.coalesce(o["responses"], F.lit('{"200":{"description":"Success"},"500":{"description":"Internal Server Error"}}'))),
-        part("summary", F.to_json(F.array(F.coalesce(o["summary"], F.lit("API endpoint operation")))).substr(F.lit(2), F.length(F.to_json(F.array(F.coalesce(o["summary"], F.lit("API endpoint operation"))))) - 2)),
-    ))
-    fixed = F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+        part("summary", routes.json_text(F.coalesce(o["summary"], F.lit("API endpoint operation")))), _rest(F.col("operation"), ["parameters", "requestBody", "responses", "summary"]),
+    )
     return operations.withColumn("error", error).withColumn("status", F.when(F.col("error").isNull(), "SUCCESS").otherwise("FAILED")).withColumn("repaired", F.when(F.col("error").isNull(), fixed))
 
 

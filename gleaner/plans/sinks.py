@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.detect import real_route
 from gleaner.functions.routes import json_text, normalise, operation_id, param_type, params
+from gleaner.sources.shared import cut
 
 
 def sarif_results(endpoints: DataFrame, policies: list | None = None) -> DataFrame:
@@ -31,10 +32,13 @@ def sarif_results(endpoints: DataFrame, policies: list | None = None) -> DataFra
 def as_document(rows: DataFrame, header: str, footer: str, order: list[str]) -> DataFrame:
     """(value): a document of lines, the header, the rows' `value` in order with commas between, the footer. Written as text, its parts in order are the file.
 
-    Lines are sorted over all tasks; no task or row holds the document.
+    Lines are sorted over all tasks; no task or row holds the document. Rows are numbered and written once, so that equal ones are told apart: the
+    first in order, and of equal ones that of the least number, has no comma before it. Rows whose value is null are left out.
     """
-    first = rows.agg(F.min(F.struct(*order, "value")).alias("_f"))  # one row
-    lines = rows.join(F.broadcast(first)).select(F.lit(1).alias("_n"), F.struct(*order, "value").alias("_k"), F.concat(F.when(F.struct(*order, "value") == F.col("_f"), "").otherwise(","), F.col("value")).alias("value"))
+    numbered = cut(rows.filter(F.col("value").isNotNull()).select(*order, "value", F.monotonically_increasing_id().alias("_i")))
+    key = F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate([*order, "value"])], F.col("_i"))
+    first = numbered.agg(F.min(key).alias("_f"))  # one row
+    lines = numbered.join(F.broadcast(first)).select(F.lit(1).alias("_n"), key.alias("_k"), F.concat(F.when(F.col("_i") == F.col("_f._i"), "").otherwise(","), F.col("value")).alias("value"))
     ends = lines.sparkSession.createDataFrame([(0, header), (2, footer)], "_n int, value string").select("_n", F.lit(None).cast(lines.schema["_k"].dataType).alias("_k"), "value")
     return lines.unionByName(ends).orderBy("_n", "_k").select("value")
 
@@ -118,9 +122,10 @@ def openapi_operations(endpoints: DataFrame, details: DataFrame | None = None) -
 def enriched_operations(operations: DataFrame, answers: DataFrame) -> DataFrame:
     """`openapi_operations` with a model's (method, route, repaired; see `enrichment.repaired_operations`) in their place where there is one.
 
-    What the scan knows stays: x-fields, operationId and security come from it.
+    What the scan knows stays: x-fields, operationId, tags and security come from it. Of several answers for a route the least text counts.
     """
-    own = answers.filter(F.col("repaired").isNotNull()).select(F.lower("method").alias("_m"), normalise(F.col("route")).alias("_r"), "repaired").dropDuplicates(["_m", "_r"])
+    own = answers.filter(F.col("repaired").isNotNull()).select(F.lower("method").alias("_m"), normalise(F.col("route")).alias("_r"), "repaired")
+    own = own.groupBy("_m", "_r").agg(F.min("repaired").alias("repaired"))
     met = operations.join(own, (F.col("method") == F.col("_m")) & (F.col("route") == F.col("_r")), "left")
     kind = "map<string,variant>"
     mixed = F.map_concat(F.map_filter(F.from_json("repaired", kind), lambda k, v: ~F.array_contains(F.map_keys(F.map_filter(F.from_json("operation", kind), lambda a, b: a.rlike("^(x-.*|operationId|security|tags)$"))), k)), F.map_filter(F.from_json("operation", kind), lambda k, v: k.rlike("^(x-.*|operationId|security|tags)$")))
