@@ -42,7 +42,7 @@ HOT_PARTS = 2_048
 SALTS = 256
 
 
-def sized(df: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
+def sized(df: DataFrame, small: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """`df` joined with `small`, a checkpointed table: broadcast if it has at most BROADCAST_ROWS rows, else by a shuffle."""
     return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 

@@ -137,35 +137,39 @@ def disclosing_terms(keyed: DataFrame, hits: DataFrame, docs: DataFrame, thresho
     are left out before. How many documents hold a term is counted over all of `docs`, for the terms in question.
     """
     least = _least_support(threshold)
-    n = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
+    n_docs = docs.count()
+    n = F.lit(max(1, n_docs))
     # A passage speaks through one document, and a document once, however many passages are in it.
     speaks = keyed.groupBy("key", "passage").agg(F.min("_row").alias("_row")).select("key", "_row", F.lit(1).alias("_p")).distinct()
     here = cut(keyed.select("_row", "key", "general").distinct().join(speaks, ["_row", "key"], "left").withColumn("_p", F.coalesce("_p", F.lit(0))))
-    per_key = here.groupBy("key").agg(F.count("*").alias("n"), F.sum("_p").alias("_c"), F.first("general").alias("general"), *_signature("_row", "_p"))
-    per_key = cut(per_key.filter(F.col("_c") >= least).withColumn("kind", F.struct("n", "_a", "_b")).select("key", "n", "general", "kind"))
     strict = F.min(F.struct(F.col("general").isNotNull().alias("_o"), F.col("general"))).alias("_s")
-    kinds = cut(per_key.groupBy("kind").agg(strict, F.first("n").alias("n_e")))
-    entity = join_hot(here.select("_row", "key", "_p"), per_key.select("key", "kind"), "key", per_key.select("key", "n")).select("_row", "kind", "_p").distinct()
-    entity = cut(sized(entity, kinds.select("kind", "n_e"), "kind", "inner"))
-    words = hits.join(entity.select("_row").distinct(), "_row", "left_semi").select("_row", F.explode(_terms(F.col("text"))).alias("term")).filter(F.col("term") != "")
+    per_key = cut(here.groupBy("key").agg(F.count("*").alias("n"), F.sum("_p").alias("_c"), F.first("general").alias("general"), *_signature("_row", "_p")).filter(F.col("_c") >= least))
+    kinds = cut(per_key.groupBy("n", "_a", "_b").agg(strict).select(F.monotonically_increasing_id().alias("kind"), F.col("n").alias("n_e"), "_a", "_b", "_s"))
+    per_key = cut(per_key.join(kinds.select("kind", F.col("n_e").alias("n"), "_a", "_b"), ["n", "_a", "_b"]).select("key", "n", "kind"))
+    entity = join_hot(here.select("_row", "key", "_p"), per_key.select("key", "kind", F.col("n").alias("n_e")), "key", per_key.select("key", "n"))
+    entity = cut(entity.groupBy("_row").agg(F.collect_set(F.struct("kind", "n_e", F.col("_p").alias("p"))).alias("_kinds")))  # what one document holds
+    words = hits.join(entity.select("_row"), "_row", "left_semi").select("_row", F.explode(_terms(F.col("text"))).alias("term")).filter(F.col("term") != "")
     per_term = cut(words.groupBy("term").agg(F.count("*").alias("n_h"), *_signature("_row")).filter(F.col("n_h") >= least))
     own = cut(_own_names(hits))
     wanted = cut(per_term.select("term").union(own.select("term")).distinct())
     texts = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
-    counts = cut(sized(texts, wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")).join(n))
-    most = F.broadcast(kinds.agg(F.coalesce(F.max("n_e"), F.lit(0)).alias("_most")))  # one row
-    per_term = per_term.join(counts, "term").join(most).filter(_reaches(F.least("_most", F.col("n") - 1), F.col("n_t"), F.col("n"), threshold))
-    per_term = cut(per_term.withColumn("class", F.struct("n_t", "n_h", "_a", "_b")).select("term", "class", "n_t", F.col("n_h").alias("n"), F.col("n").alias("_docs")))
-    met = sized(words, per_term.select("term", "class", "n_t", "_docs"), "term", "inner") if per_term.count() <= BROADCAST_ROWS else join_hot(words, per_term.select("term", "class", "n_t", "_docs"), "term", per_term.select("term", "n"))
-    classes = cut(met.select("_row", "class", "n_t", "_docs").distinct())
-    both = entity.join(classes, "_row").filter(_reaches(F.col("n_e"), F.col("n_t"), F.col("_docs"), threshold))
-    pairs = both.groupBy("kind", "class").agg(F.count("*").alias("n_et"), F.sum("_p").alias("c"), *[F.first(x).alias(x) for x in ("n_e", "n_t", "_docs")])
-    told = pairs.filter((F.col("c") >= least) & _tells(F.col("n_et"), F.col("n_e"), F.col("n_t"), F.col("_docs"), F.col("c"), threshold)).select("kind", "class")
-    told = cut(told.join(kinds.select("kind", "_s"), "kind"))
-    told = both.select("_row", "kind", "class").join(told, ["kind", "class"]).groupBy("_row", "class").agg(F.min("_s").alias("_s"))
+    counts = cut(sized(texts, wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")))
+    most = kinds.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0]
+    per_term = cut(per_term.join(counts, "term").filter(_reaches(F.lit(max(1, min(most, n_docs - 1))), F.col("n_t"), n, threshold)))
+    classes = cut(per_term.groupBy("n_t", "n_h", "_a", "_b").agg(F.lit(1).alias("_1")).select(F.monotonically_increasing_id().alias("class"), "n_t", "n_h", "_a", "_b"))
+    per_term = cut(per_term.join(classes, ["n_t", "n_h", "_a", "_b"]).select("term", "class", "n_t", F.col("n_h").alias("n")))
+    narrow = per_term.select("term", "class", "n_t")
+    met = words.join(F.broadcast(narrow), "term") if per_term.count() <= BROADCAST_ROWS else join_hot(words, narrow, "term", per_term.select("term", "n"))
+    # Classes of a document in one array, made before they are shuffled: a document's terms are in one task.
+    both = cut(met.groupBy("_row").agg(F.collect_set(F.struct("class", "n_t")).alias("_classes")).join(entity, "_row"))
+    both = both.select("_row", "_classes", F.inline("_kinds")).select("_row", "kind", "n_e", "p", F.inline("_classes")).filter(_reaches(F.col("n_e"), F.col("n_t"), n, threshold))
+    pairs = both.groupBy("kind", "class").agg(F.count("*").alias("n_et"), F.sum("p").alias("c")).filter(F.col("c") >= least)
+    pairs = sized(sized(cut(pairs), kinds.select("kind", "n_e", "_s"), "kind", "inner"), classes.select("class", "n_t"), "class", "inner")
+    told = cut(pairs.filter(_tells(F.col("n_et"), F.col("n_e"), F.col("n_t"), n, F.col("c"), threshold)).select("kind", "class", "_s"))
+    told = sized(both.select("_row", "kind", "class"), told, ["kind", "class"], "inner").groupBy("_row", "class").agg(F.min("_s").alias("_s"))
     told = cut(told).join(per_term.select("class", "term"), "class").select("_row", "term", "_s.general")
     one = F.lit(1)
-    names = own.join(counts, "term").filter(_tells(one, one, F.col("n_t"), F.col("n"), F.lit(OWN_SUPPORT), threshold)).select("_row", "term", F.lit("name").alias("general"))
+    names = own.join(counts, "term").filter(_tells(one, one, F.col("n_t"), n, F.lit(OWN_SUPPORT), threshold)).select("_row", "term", F.lit("name").alias("general"))
     return told.union(names).groupBy("_row", "term").agg(strict).select("_row", "term", "_s.general")
 
 
