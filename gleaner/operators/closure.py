@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.sources.shared import cut
 
 
+#: So many steps are taken in a round, each from what the one before it met; what is new is told apart at its end.
+HOPS = 6
+#: So many rounds' results lie side by side before they become one table.
+PARTS = 12
+
+
 def closure(edges: DataFrame, start: DataFrame, most_steps: int | None = None) -> DataFrame:
     """(origin, node, steps): every node that `edges` (a, b) lead to from each node of `start` (node), itself with 0 steps, and the fewest steps to it.
 
-    Each round follows the newly found alone, and what was found before is left out, so cycles end; rounds are written, so no plan grows. Null ends of
+    Each round goes on from what is newly found alone, and what was found before is left out, so cycles end; rounds are written, so no plan grows. Null ends of
     edges are none, repeated edges and starts count once. `most_steps` is where to stop, if anywhere.
     """
     e = cut(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b").distinct())
     found = cut(start.filter(F.col("node").isNotNull()).select(F.col("node").alias("origin"), "node", F.lit(0).alias("steps")).distinct())
-    new, steps = found, 0
+    parts, new, steps = [found], found, 0
     while (most_steps is None or steps < most_steps) and not new.isEmpty():
-        steps += 1
-        met = new.join(e, F.col("node") == F.col("a")).select("origin", F.col("b").alias("node")).distinct()
-        new = cut(met.join(found.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("steps", F.lit(steps)))
-        found = cut(found.unionByName(new))
-    return found
+        hops, met = [], new.select("origin", "node")
+        for _ in range(HOPS if most_steps is None else min(HOPS, most_steps - steps)):
+            steps += 1
+            met = met.join(e, F.col("node") == F.col("a")).select("origin", F.col("b").alias("node")).distinct()
+            hops.append(met.withColumn("steps", F.lit(steps)))
+        least = reduce(DataFrame.unionByName, hops).groupBy("origin", "node").agg(F.min("steps").alias("steps"))
+        parts.append(cut(least.join(reduce(DataFrame.unionByName, parts).select("origin", "node"), ["origin", "node"], "left_anti")))
+        new = parts[-1].filter(F.col("steps") == steps)
+        if len(parts) > PARTS:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
+    return reduce(DataFrame.unionByName, parts)
