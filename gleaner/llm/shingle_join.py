@@ -11,8 +11,8 @@ documents; those that more than LIMIT texts share come last of all, whether a sa
 again. So a line that many unlike texts share, in whatever part of the corpus, brings none of them together.
 
 Of a group that shares a shingle, first each is held against one, the most central: that whose prefix meets the most others, as the
-original of edited copies does. What that leaves in different components shares a second shingle, too, among the first n - ceil(s n) + 2
-of each; only texts that share both are held against each other.
+original of edited copies does. What that leaves in different components is held against each other; in groups of many only texts that share a
+second shingle, too, among the first n - ceil(s n) + 2 of each, as similar sets do.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ COMMON = 200_000
 LIMIT = 64
 #: Shingles over a limit are marked in a bitmap of so many bits, by their hash. Others whose bit is marked go last with them: that is an order as good as another.
 BITS = 1 << 26
+#: Groups of more members than this, in different components still, share a second shingle.
+MANY = 4 * LIMIT
 #: Groups of more members than this meet block by block.
 BLOCK = 4_096
 #: So many rows (8 bytes each) are broadcast at most, to pick their texts; more are joined by a shuffle.
@@ -151,23 +153,34 @@ def verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, k: int, similar
     return met.select("a", "b", "_s", "_t").mapInArrow(check, "a bigint, b bigint")
 
 
-def _unresolved(met: DataFrame, keys: DataFrame, roots: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Candidate pairs (a, b) of `met` in different components that share a second key of `keys` (id, keys) after the first, but for those with the pivot of a group."""
-    m = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "n", "rest", "pivot", F.coalesce("root", "id").alias("root"))
-    open_ = m.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count("*").alias("n")).filter("_x != _y and n > 2").select("key", "n")
-    open_ = cut_small(open_)
-    m = join_hot(m.filter(F.col("id") != F.col("pivot")), open_.select("key"), "key", open_)
-    later = F.slice("keys", F.array_position("keys", F.col("key")).cast("int") + 1, F.size("keys"))
-    m = cut_small(m.join(keys, "id").select("key", F.explode(later).alias("next"), "id", "n", "rest", "root"))
-    both = m.groupBy("key", "next").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count("*").alias("n")).filter("_x != _y")
-    both = cut_small(both.select("key", "next", "n", F.ceil(F.col("n") / block).cast("int").alias("_blocks")))
-    m = join_hot(m, both.select("key", "next", "_blocks"), ["key", "next"], both.select("key", "next", "n"))
+def _met_in_blocks(m: DataFrame, on: list[str], groups: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Candidate pairs (a, b) of rows of `m` (on, id, n, rest, root) with different roots in the same of `groups` (on, n), block by block."""
+    m = join_hot(m, groups.select(*on, F.ceil(F.col("n") / block).cast("int").alias("_blocks")), on, groups)
     m = m.withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    left = m.withColumn("_j", F.explode(others)).select("key", "next", "_i", "_j", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("rest").alias("_r"), F.col("root").alias("_ra"))
-    right = m.withColumnRenamed("_i", "_j").withColumn("_i", F.explode(others)).select("key", "next", "_i", "_j", F.col("id").alias("b"), F.col("n").alias("_m"), F.col("rest").alias("_q"), F.col("root").alias("_rb"))
+    left = m.withColumn("_j", F.explode(others)).select(*on, "_i", "_j", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("rest").alias("_r"), F.col("root").alias("_ra"))
+    right = m.withColumnRenamed("_i", "_j").withColumn("_i", F.explode(others)).select(*on, "_i", "_j", F.col("id").alias("b"), F.col("n").alias("_m"), F.col("rest").alias("_q"), F.col("root").alias("_rb"))
     near = (F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")) & _may(F.col("_n"), F.col("_r"), F.col("_m"), F.col("_q"), similarity)
-    return left.join(right, ["key", "next", "_i", "_j"]).filter(near).select("a", "b").distinct()
+    return left.join(right, [*on, "_i", "_j"]).filter(near).select("a", "b")
+
+
+def _unresolved(met: DataFrame, keys: DataFrame, roots: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Candidate pairs (a, b) of `met` in different components, but for those with the pivot of a group.
+
+    In groups of over MANY members they share a second key of `keys` (id, keys) after the first, too: so similar sets do.
+    """
+    m = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "n", "rest", "pivot", F.coalesce("root", "id").alias("root"))
+    apart = lambda df, on: df.groupBy(*on).agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count("*").alias("n")).filter("_x != _y").select(*on, "n")
+    open_ = cut_small(apart(m, ["key"]).filter("n > 2"))
+    m = m.filter(F.col("id") != F.col("pivot")).drop("pivot")
+    few, many = (open_.filter(F.col("n") <= MANY), open_.filter(F.col("n") > MANY))
+    pairs = _met_in_blocks(m, ["key"], few, similarity, block)
+    if not many.isEmpty():
+        m = join_hot(m, many.select("key"), "key", many)
+        later = F.slice("keys", F.array_position("keys", F.col("key")).cast("int") + 1, F.size("keys"))
+        m = cut_small(m.join(keys, "id").select("key", F.explode(later).alias("next"), "id", "n", "rest", "root"))
+        pairs = pairs.union(_met_in_blocks(m, ["key", "next"], cut_small(apart(m, ["key", "next"])), similarity, block))
+    return pairs.distinct()
 
 
 def _fingerprint_pairs(ids: DataFrame, max_bits: int) -> DataFrame:
