@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, cut_small, join_hot
+from gleaner.llm.common import cut, cut_small, join_hot, sized
 from gleaner.llm.components import connected_components
 from gleaner.llm.simhash import SEED, fingerprint_links, majority, shingle_hashes
 
@@ -73,19 +73,19 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _marks(counted: DataFrame) -> np.ndarray:
-    """A bitmap for each of the two limits that `counted` (key, n) exceeds: BITS bits each, whatever the number of keys."""
-    level = F.when(F.col("n") > LIMIT * LIMIT, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+def _marks(counted: DataFrame, limits: list[int]) -> np.ndarray:
+    """A bitmap for each of `limits`: the keys that `counted` (key, n) has more than so often. BITS bits each, whatever the number of keys."""
+    level = F.array_compact(F.array(*[F.when(F.col("n") > limit, F.lit(k)) for k, limit in enumerate(limits)]))
     at = F.pmod("key", F.lit(BITS))
-    words = counted.filter(F.col("n") > LIMIT).select(F.explode(level).alias("level"), F.shiftright(at, 6).cast("int").alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-    rows = words.groupBy("level", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()  # 2 BITS / 64 rows at most
-    out = np.zeros((2, BITS // 64), np.uint64)
+    words = counted.filter(F.col("n") > min(limits)).select(F.explode(level).alias("level"), F.shiftright(at, 6).cast("int").alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    rows = words.groupBy("level", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()  # BITS / 64 rows for each limit at most
+    out = np.zeros((len(limits), BITS // 64), np.uint64)
     out[rows.column("level").to_numpy(), rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def _marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """How many of the limits each hash is over: 0, 1 or 2."""
+    """How many of the bitmaps have each hash."""
     at = (h & np.uint64(BITS - 1)).astype(np.int64)
     return ((marks[:, at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).sum(axis=0).astype(np.int64)
 
@@ -123,7 +123,7 @@ def ordered_prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(_common(texts, k))
     first = prefixes(texts, k, similarity, common)
-    marks = _marks(first.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")))
+    marks = _marks(first.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")), [LIMIT, LIMIT * LIMIT])
     return prefixes(texts, k, similarity, common, spark.sparkContext.broadcast(marks) if marks.any() else None)
 
 
@@ -192,16 +192,37 @@ def _fingerprint_pairs(ids: DataFrame, max_bits: int) -> DataFrame:
     return same.union(links.join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
+def _shared_keys(sets: DataFrame, similarity: float, counts: DataFrame) -> DataFrame:
+    """key, id, n and rest of the prefixes of `sets` (id, n, keys) for keys that `counts` (key, n) may have: a bitmap of them leaves out nearly all others before anything is shuffled."""
+    shared = sets.sparkSession.sparkContext.broadcast(_marks(counts, [1]))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n").to_numpy()
+            found, rest, which = [], [], []
+            for i, keys in enumerate(batch.column("keys")):
+                h = keys.values.to_numpy()[: prefix_size(int(sizes[i]), similarity)]
+                at = np.flatnonzero(_marked(shared.value, h.view(np.uint64)))
+                found.append(h[at])
+                rest.append(sizes[i] - at)
+                which.append(np.full(len(at), i))
+            row = pa.array(np.concatenate([*which, np.empty(0, np.int64)]).astype(np.int64))
+            cols = [pa.array(np.concatenate([*found, np.empty(0, np.int64)])), batch.column("id").take(row), batch.column("n").take(row), pa.array(np.concatenate([*rest, np.empty(0, np.int64)]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "id", "n", "rest"])
+
+    return sets.select("id", "n", "keys").mapInArrow(of, "key bigint, id bigint, n int, rest int")
+
+
 def similar_components(texts: DataFrame, k: int, similarity: float, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
     """_row, doc_id and root, alike for rows of `texts` (_row, doc_id, text) that links of `similarity` or more connect."""
-    d = cut(ordered_prefixes(texts, k, similarity))
-    one = d.groupBy("id").agg(F.min("_row").alias("_row"), F.min("fp").alias("fp"), F.count("*").alias("n"))
+    d = cut(ordered_prefixes(texts, k, similarity)).withColumn("_u", F.monotonically_increasing_id())  # of a checkpointed table: the same whenever it is read
+    one = d.groupBy("id").agg(F.min("_u").alias("_u"), F.min_by("_row", "_u").alias("_row"), F.min("fp").alias("fp"), F.count("*").alias("n"))
     one = cut_small(one.withColumn("number", F.monotonically_increasing_id()))
     ids = one.select(F.col("number").alias("id"), "_row", "fp")
-    sets = d.select("_row", "n", "keys").join(ids.select("id", "_row"), "_row").dropDuplicates(["id"])
-    keys = sets.select("id", "n", F.posexplode("keys").alias("_at", "key")).filter(F.col("_at") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9)).select("key", "id", "n", (F.col("n") - F.col("_at")).alias("rest"))
-    counts = cut_small(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
-    met = cut_small(join_hot(keys, counts.select("key", F.col("n").alias("_c")), "key", counts))
+    sets = cut(sized(d.select("_u", "n", "keys"), one.select(F.col("number").alias("id"), "_u"), "_u", "inner").select("id", "n", "keys"))
+    inside = F.slice("keys", F.lit(1), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1)
+    counts = cut_small(sets.select(F.explode(inside).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
+    met = cut_small(join_hot(_shared_keys(sets, similarity, counts), counts.select("key", F.col("n").alias("_c")), "key", counts))
     central = met.groupBy("id").agg(F.sum("_c").alias("_s"))
     pivot = met.join(central, "id").groupBy("key").agg(F.max(F.struct("_s", "id", "n", "rest")).alias("_l"))
     pivot = cut_small(pivot.select("key", F.col("_l.id").alias("pivot"), F.col("_l.n").alias("_ln"), F.col("_l.rest").alias("_lr")))
