@@ -11,11 +11,11 @@ import re._constants as kinds
 import re._parser as regex
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.catalog import CATALOG, COMMENTS
-from gleaner.operators.matching import FLAGS, Patterns
+from gleaner.operators.matching import FLAGS, Patterns, match_rows
 
 INDEX = "also array<array<string>>, set int, language string, pattern int, framework string, kind string, method int, route int, label string, rx string"
 
@@ -60,25 +60,6 @@ def pattern_index(spark: SparkSession, patterns: Patterns = CATALOG) -> tuple[Da
     return spark.createDataFrame(rows, INDEX), sets
 
 
-def match_rows(df: DataFrame, text: str, rx: Column, groups: dict[str, Column], keep: list[str]) -> DataFrame:
-    """A row for each match of `rx` in the column `text`: `keep`, index (from 1), line, found, lead (the first two characters of its line, blanks left out) and `groups` (name: number of the group), null where they are empty.
-
-    Texts alternate with matches, so a match's line is counted by running sums over rows; a text with very many matches takes linear
-    time. Null texts have none.
-    """
-    gaps, found = F.split(F.col(text), rx, -1), F.regexp_extract_all(F.col(text), rx, F.lit(0))
-    groups = {f"_group_{n}": g for n, g in groups.items()}
-    rows = df.select(*keep, F.monotonically_increasing_id().alias("_id"), gaps.alias("_g"), found.alias("_m"), *[F.regexp_extract_all(F.col(text), rx, g).alias(n) for n, g in groups.items()]).filter(F.size("_m") > 0)
-    zipped = F.arrays_zip(F.col("_g"), F.col("_m"), F.concat(F.array(F.lit("")), F.col("_m")).alias("_p"), *[F.col(n) for n in groups])
-    rows = rows.select(*keep, "_id", F.posexplode(zipped).alias("_i", "_x")).filter(F.col("_x._m").isNotNull())
-    before = F.concat("_x._p", "_x._g")
-    feeds = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-    lead = F.when((F.col("_i") == 0) | (feeds > 0), F.left(F.ltrim(F.concat(F.substring_index(before, "\n", -1), F.col("_x._m"))), F.lit(2)))
-    rows = rows.select(*keep, "_id", "_i", feeds.alias("_feeds"), lead.alias("_lead"), F.col("_x._m").alias("found"), *[F.nullif(F.col(f"_x.{n}"), F.lit("")).alias(n[7:]) for n in groups])
-    along = Window.partitionBy("_id").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(*keep, (F.col("_i") + 1).alias("index"), (F.sum("_feeds").over(along) + 1).cast("int").alias("line"), F.last("_lead", ignorenulls=True).over(along).alias("lead"), "found", *[n[7:] for n in groups])
-
-
 def candidates(texts: DataFrame, text: str, index: DataFrame, sets: dict[tuple[str, ...], int]) -> DataFrame:
     """`texts` beside each row of `index` whose literals they hold, the set -1 beside all."""
     low = F.lower(F.replace(F.col(text), F.lit("ſ"), F.lit("s")))  # the long s is an s to a pattern without case

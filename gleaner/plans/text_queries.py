@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import routes, scoring
 from gleaner.operators import endpoints as ep
 from gleaner.operators.catalog import IGNORED_DIRS
-from gleaner.operators.matching import find_all, not_comment
+from gleaner.operators.matching import FLAGS, lines_with, match_rows
 from gleaner.plans import sinks
 from gleaner.plans.query import query, quoted, table
 from gleaner.sources.files import allowed
@@ -55,16 +55,16 @@ QUALIFY NOT (ltrim(l) LIKE '#%' OR ltrim(l) LIKE '//%')""")
 def pattern_match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each match in each document with its line; matches on comment lines don't count."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text").filter(F.lower("text").rlike(_PATTERN))  # most texts are done with so
-    found = d.select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode(find_all(F.col("text"), _PATTERN, [])).alias("m"))
-    return found.filter(not_comment(F.col("lines"), F.col("m.line"), ("#", "//"))).select("doc_id", "m.line", "m.found", F.col("m.index").alias("match"))
+    found = match_rows(d, "text", F.lit(FLAGS + _PATTERN), {}, ["doc_id"])
+    return found.filter(~(F.startswith("lead", F.lit("#")) | F.startswith("lead", F.lit("//")))).select("doc_id", "line", "found", F.col("index").alias("match"))
 
 
 @query("""SELECT page_id, k AS match, coalesce(nullif(r, ''), 'link') AS route FROM
 (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS r, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS k FROM pages)""")
 def pattern_match_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of every page: a group of each match, a label where it is empty."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.explode(find_all(F.col("html"), 'href="([^"]*)"', [1])).alias("m"))
-    return p.select("page_id", F.col("m.index").alias("match"), F.coalesce("m.g0", F.lit("link")).alias("route"))
+    p = match_rows(table(spark, sf_dir, "pages"), "html", F.lit(FLAGS + 'href="([^"]*)"'), {"link": F.lit(1)}, ["page_id"])
+    return p.select("page_id", F.col("index").alias("match"), F.coalesce("link", F.lit("link")).alias("route"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -73,7 +73,7 @@ SELECT doc_id, n AS line, array_to_string(ls[greatest(1, n - 3):n + 3], '~') AS
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three lines before and after each line with a match."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text").filter(F.lower("text").rlike(_PATTERN))  # most texts are done with so
-    found = d.select("doc_id", F.split("text", "\n", -1).alias("ls"), F.explode(F.array_distinct(F.transform(find_all(F.col("text"), _PATTERN, []), lambda m: m["line"]))).alias("line"))
+    found = d.select("doc_id", F.split("text", "\n", -1).alias("ls")).select("doc_id", "ls", F.explode(lines_with(F.col("ls"), FLAGS + _PATTERN)).alias("line"))
     around = routes.surrounding(F.col("ls"), F.col("line"), 3)
     return found.select("doc_id", "line", F.array_join(around, "~").alias("context"), F.size(around).alias("n_lines"))
 

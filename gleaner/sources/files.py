@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.catalog import IGNORED_DIRS
-from gleaner.operators.matching import find_all, language_of
+from gleaner.operators.matching import FLAGS, language_of, match_rows
 from gleaner.operators.parsers import VERBS
 
 
@@ -82,8 +82,8 @@ def yaml_documents(files: DataFrame) -> DataFrame:
 
 def graphql(files: DataFrame) -> DataFrame:
     """(path, operation, field) of the Query and Mutation types of SDL files."""
-    blocks = files.select("path", F.explode(find_all(F.col("content"), r"\btype\s+(Query|Mutation)\s*\{([^}]*)\}", [1, 2])).alias("m"))
-    fields = blocks.select("path", F.lower("m.g0").alias("operation"), F.explode(F.regexp_extract_all("m.g1", F.lit(r"(?m)^\s*(\w+)\s*(?:\([^)]*\))?\s*:"), F.lit(1))).alias("field"))
+    blocks = match_rows(files, "content", F.lit(FLAGS + r"\btype\s+(Query|Mutation)\s*\{([^}]*)\}"), {"operation": F.lit(1), "body": F.lit(2)}, ["path"])
+    fields = blocks.select("path", F.lower("operation").alias("operation"), F.explode(F.regexp_extract_all("body", F.lit(r"(?m)^\s*(\w+)\s*(?:\([^)]*\))?\s*:"), F.lit(1))).alias("field"))
     return fields
 
 

@@ -59,6 +59,16 @@ class Snapshots:
         return self.spark.table(table)
 
 
+    def baseline(self) -> tuple[DataFrame, DataFrame]:
+        """The files and endpoints of the current version, as `endpoints.incremental_scan` takes them; empty tables where there is none."""
+        files, ends = self.read("files"), self.read("endpoints")
+        if files is None:
+            files = self.spark.createDataFrame([], "path string, md5 string")
+        if ends is None:
+            ends = self.spark.createDataFrame([], "path string, line int, method string, route string, auth_status string, risk_level string")
+        return files, ends
+
+
 def changed_between(now: DataFrame, before: DataFrame) -> DataFrame:
     """The rows of `now` (path, md5 and others) that are new or differ from `before`, with `state`: new or changed. Of two versions with as many buckets neither is shuffled."""
     b = before.select(F.col("path").alias("_p"), F.col("md5").alias("_m"))

@@ -12,6 +12,7 @@ from gleaner.operators import endpoints as ep
 from gleaner.operators import enrichment, generators, matching, parsers
 from gleaner.operators.catalog import CATALOG, COMMENTS
 from gleaner.plans import sinks
+from gleaner.sources.snapshots import Snapshots
 from tests import literal_cases
 from gleaner.sources import files
 from gleaner.streaming import incremental
@@ -43,7 +44,7 @@ def test_batches_are_exact_in_a_hot_group(spark, size):
     pdf = pd.DataFrame({"g": ["hot"] * 900 + [None] * 50 + ["b"] * 3, "x": [(k * 7919) % 953 for k in range(953)]})
     pdf["x"] = pdf["x"].where(pdf["x"] != 11)
     df = spark.createDataFrame([(g, None if x != x else int(x)) for g, x in pdf.itertuples(index=False)], "g string, x int")
-    got = {(r.g, r.x): r.batch for r in ep.batches(df, ["g"], ["x"], size, parts=16).collect()}
+    got = {(r.g, r.x): r.batch for r in ep.batches(df, ["g"], ["x"], size).collect()}
     want = {}
     for g in ("hot", None, "b"):
         xs = sorted((r.x for r in df.collect() if r.g == g), key=lambda v: (v is not None, v or 0))
@@ -162,14 +163,15 @@ def test_openapi_with_components_and_answers(spark):
 
 
 def test_baseline_and_cache(spark, tmp_path):
-    files_, old = ep.read_baseline(spark, str(tmp_path / "none"))
+    kept = Snapshots(spark, str(tmp_path / "base"), buckets=2)
+    files_, old = kept.baseline()
     assert files_.count() == old.count() == 0
     now = spark.createDataFrame([("a.py", "@app.get('/a')", "1"), ("b.py", "@app.get('/b')", "2"), ("c.py", None, "3")], "path string, content string, md5 string")
     first = ep.incremental_scan(now, (files_, old))
-    ep.write_baseline(now, first, str(tmp_path / "base"))
+    kept.save(now.select("path", "md5"), first)
     assert {r.route for r in first.filter("kind = 'ENDPOINT'").collect()} == {"/a", "/b"}
     later = spark.createDataFrame([("a.py", "@app.get('/new')", "9"), ("b.py", "unread", "2")], "path string, content string, md5 string")
-    again = ep.incremental_scan(later, ep.read_baseline(spark, str(tmp_path / "base")))
+    again = ep.incremental_scan(later, kept.baseline())
     assert {(r.path, r.route) for r in again.filter("kind = 'ENDPOINT'").collect()} == {("a.py", "/new"), ("b.py", "/b")}
     new = spark.createDataFrame([("k", 1), ("k", 3), ("k", 2), (None, 5)], "key string, value int")
     assert sorted(map(tuple, ep.cache_upsert(new.limit(0), new).collect()), key=str) == [("k", 3), (None, 5)]
