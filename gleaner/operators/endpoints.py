@@ -62,6 +62,11 @@ def summary(endpoints: DataFrame, dimensions: list[str]) -> DataFrame:
     return sets.select(names.alias("dimension"), value.alias("value"), "n")
 
 
+def counts_where(rows: DataFrame, by: list[str], where: dict[str, Column], any_of: dict[str, Column] | None = None) -> DataFrame:
+    """`by`, n (all rows), for each of `where` how many rows it holds for, and for each of `any_of` whether it holds for any; one pass."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(c).alias(n) for n, c in where.items()], *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in (any_of or {}).items()])
+
+
 def counters(endpoints: DataFrame) -> DataFrame:
     """One row: total, shadow and critical endpoints."""
     return endpoints.agg(F.count("*").alias("total"), F.count_if(F.col("auth_status") == "UNKNOWN").alias("shadow"), F.count_if(F.col("risk_level").isin("CRITICAL", "HIGH")).alias("critical"))
@@ -210,6 +215,24 @@ def fresh(cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     return cache.filter(F.col("created_at") + F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS") >= now)
 
 
+def cache_stats(cache: DataFrame, value: str, now: Column, ttl_seconds: int) -> DataFrame:
+    """One row: entries, size (characters of their values) and hit_rate, the share that is no older than the limit (null without entries)."""
+    alive = F.col("created_at") + F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS") >= now
+    return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.length(value)), F.lit(0)).alias("size"), F.round(F.try_divide(F.count_if(alive), F.count("*")), 6).alias("hit_rate"))
+
+
+def batch_summary(rows: DataFrame, group: str) -> DataFrame:
+    """(summary): one text, `group: n` for each value of a column with few, in order. Nulls are left out."""
+    counts = rows.groupBy(group).agg(F.count("*").alias("n")).filter(F.col(group).isNotNull())
+    return counts.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col(group).cast("string"), F.lit(": "), F.col("n").cast("string")))), ", ").alias("summary"))
+
+
+def forward_filled(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """`rows` with `name`: of the rows up to each within its keys, by `order`, the last value that isn't null."""
+    above = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn(name, F.last(value, ignorenulls=True).over(above))
+
+
 def cache_read(cache: DataFrame, wanted: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     """The cache (key, value, created_at, accessed_at, access_count) after `wanted` (key) was looked up: expired entries are gone, those found are marked as read once more."""
     keys = wanted.select(F.col("key").alias("_k")).filter(F.col("_k").isNotNull()).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import responses, scoring
@@ -11,6 +11,7 @@ from gleaner.operators import endpoints as ep
 from gleaner.operators import generators
 from gleaner.operators.parsers import robust_json
 from gleaner.plans.query import query, table
+from gleaner.sources.files import json_members
 
 _SIGNALS = {"click": "literal_type", "view": "type_hint_only", "error": "inline_validation", "signup": "path_param_id", "purchase": "field_name_inference"}
 _CASE = lambda col, d: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in d.items()) + " END"
@@ -24,9 +25,8 @@ def summary_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 10) AS n_high, count(*) FILTER (WHERE user_id < 10) AS n_first, bool_or(value > 100) AS any_huge FROM events GROUP BY event_type")
 def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.count_if(F.col("value") > 10).alias("n_high"), F.count_if(F.col("user_id") < 10).alias("n_first"), F.bool_or(F.col("value") > 100).alias("any_huge")
-    )
+    where = {"n_high": F.col("value") > 10, "n_first": F.col("user_id") < 10}
+    return ep.counts_where(table(spark, sf_dir, "events"), ["event_type"], where, {"any_huge": F.col("value") > 100})
 
 
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,7 @@ def ttl_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT count(*) AS entries, CAST(sum(length(props)) AS BIGINT) AS size, round(count(*) FILTER (WHERE ts + INTERVAL {_TTL} SECOND >= TIMESTAMP '{_NOW}') / count(*), 6) AS hit_rate FROM events")
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fresh = F.col("ts") + F.expr(f"INTERVAL {_TTL} SECONDS") >= F.lit(_NOW).cast("timestamp_ntz")
-    return table(spark, sf_dir, "events").agg(F.count("*").alias("entries"), F.sum(F.length("props")).alias("size"), F.round(F.count_if(fresh) / F.count("*"), 6).alias("hit_rate"))
+    return ep.cache_stats(table(spark, sf_dir, "events").withColumnRenamed("ts", "created_at"), "props", F.lit(_NOW).cast("timestamp_ntz"), _TTL)
 
 
 @query("""SELECT o_custkey AS key, max(o_orderkey) AS value FROM orders GROUP BY o_custkey
@@ -129,13 +128,13 @@ def prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, last_value(CASE role WHEN 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS asked_at FROM conversations")
 def line_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each turn the last one before it, or itself, that a user took."""
-    above = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(above).alias("asked_at"))
+    asked = F.when(F.col("role") == "user", F.col("turn"))
+    return ep.forward_filled(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role", "text"], asked, "asked_at").select("conv_id", "turn", "asked_at")
 
 
 @query("SELECT event_id, k AS key, CAST(json_extract_string(props, '$.' || k) AS INT) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def json_props_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,int>")).alias("key", "value"))
+    return json_members(table(spark, sf_dir, "events").select("event_id", "props"), "props", "int")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type <> 'error' AS readable FROM events WHERE event_type <> 'error' UNION ALL SELECT event_id, NULL, false FROM events WHERE event_type = 'error'")
@@ -158,8 +157,7 @@ def batch_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT string_agg(event_type || ': ' || n, ', ' ORDER BY event_type) AS summary FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)")
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many events there are of each type, in one text."""
-    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return counts.agg(F.array_join(F.array_sort(F.collect_list(F.concat("event_type", F.lit(": "), F.col("n").cast("string")))), ", ").alias("summary"))
+    return ep.batch_summary(table(spark, sf_dir, "events"), "event_type")
 
 
 @query(f"SELECT user_id, CAST(least(1.0, round(sum({_CASE('event_type', {k: scoring.SIGNALS[v] for k, v in _SIGNALS.items()})}), 2)) AS DOUBLE) AS confidence FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id")

@@ -195,7 +195,8 @@ _CODES = "[^0-9]([1-5][0-9][0-9])[^0-9]"
 def status_codes_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct three-digit codes of every document."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_CODES), F.lit(1)))).alias("code")).select("doc_id", F.col("code").cast("int").alias("code"))
+    named = F.array_join(F.transform(F.regexp_extract_all("text", F.lit(_CODES), F.lit(1)), lambda c: F.concat(F.lit("status_code="), c)), "\n")  # as code would have them
+    return d.select("doc_id", F.explode(routes.status_codes(named)).alias("code"))
 
 
 @query(f"""WITH c AS (SELECT CAST(unnest(regexp_extract_all(text, '{_CODES}', 1)) AS INT) AS code FROM documents)

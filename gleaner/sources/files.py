@@ -7,10 +7,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.catalog import IGNORED_DIRS
+from gleaner.operators.endpoints import forward_filled
 from gleaner.operators.matching import FLAGS, language_of, match_rows
 from gleaner.operators.parsers import VERBS
 
@@ -50,13 +51,18 @@ def spec_json(files: DataFrame) -> DataFrame:
     return paths.select("path", "route", F.explode(F.when(F.size(methods) > 0, methods).otherwise(F.array(F.lit("any")))).alias("_m")).select("path", "route", F.upper("_m").alias("method"))
 
 
+def json_members(rows: DataFrame, text: str, kind: str = "string") -> DataFrame:
+    """`rows` with a row for each member of the JSON object in a column: key and value (of type `kind`) in the column's place. What is no object has none."""
+    rest = [c for c in rows.columns if c not in (text, "key", "value")]
+    return rows.select(*rest, F.explode(F.from_json(text, f"map<string,{kind}>")).alias("key", "value"))
+
+
 def spec_lines(files: DataFrame) -> DataFrame:
     """(path, line, route, method) of YAML specs, line by line: a verb belongs to the last path line above it."""
     lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("_i", "_l"))
     route = F.nullif(F.regexp_extract("_l", r"^\s*[\"']?(/[^\s\"':]*)[\"']?\s*:\s*$", 1), F.lit(""))
     verb = F.nullif(F.regexp_extract("_l", rf"^\s+({'|'.join(VERBS)})\s*:", 1), F.lit(""))
-    above = Window.partitionBy("path").orderBy("_i")
-    filled = lines.select("path", (F.col("_i") + 1).alias("line"), F.last(route, ignorenulls=True).over(above).alias("route"), verb.alias("_v"))
+    filled = forward_filled(lines, ["path"], ["_i"], route, "route").select("path", (F.col("_i") + 1).alias("line"), "route", verb.alias("_v"))
     return filled.filter(F.col("_v").isNotNull() & F.col("route").isNotNull()).select("path", "line", "route", F.upper("_v").alias("method"))
 
 
