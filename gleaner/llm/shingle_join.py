@@ -7,8 +7,8 @@ Under any one order of all shingles, two sets of similarity s or more share a sh
 (n: a set's own size), and where the first that they share stands at places i and j, min(n - i, m - j) reaches the overlap
 that s asks for. So the candidates are exact whatever the order; it only decides how many there are. Shingles frequent
 in a sample of the documents come last, the rest go by hash. With that order the shingles that prefixes hold are counted, exactly and over all
-documents; those that more than LIMIT texts share come last of all, whether a sample would have seen them or not, and prefixes are taken
-again. So a line that many unlike texts share, in whatever part of the corpus, brings none of them together.
+documents. Where those that more than LIMIT texts share, and that the sample hasn't put last, have more than a share of UNFORESEEN of all places in
+prefixes, they come last as well, and prefixes are taken again. So a line that many unlike texts share, in whatever part of the corpus, brings none of them together.
 
 Of a group that shares a shingle, first each is held against one, the most central: that whose prefix meets the most others, as the
 original of edited copies does. What that leaves in different components is held against each other; in groups of many only texts that share a
@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, cut_small, join_hot, sized
+from gleaner.llm.common import cut, cut_small, join_hot
 from gleaner.llm.components import connected_components
 from gleaner.llm.simhash import SEED, fingerprint_links, majority, shingle_hashes
 
@@ -36,6 +36,8 @@ SAMPLE_DOCS = 20_000
 COMMON = 200_000
 #: Shingles that more texts than this share in their prefixes come last; those that LIMIT times as many share come after them.
 LIMIT = 64
+#: See above; the result is the same either way.
+UNFORESEEN = 0.005
 #: Shingles over a limit are marked in a bitmap of so many bits, by their hash. Others whose bit is marked go last with them: that is an order as good as another.
 BITS = 1 << 26
 #: Groups of more members than this, in different components still, share a second shingle.
@@ -56,8 +58,8 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes found in several documents of a sample, sorted, and in how many."""
+def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Hashes found in several documents of a sample, sorted, in how many, and the sample's share."""
     share = SAMPLE_DOCS / max(1, texts.count())
     sample = texts if share >= 1 else texts.filter(F.xxhash64(F.lit("sample"), "_row") < int((2 * share - 1) * 2**63))
 
@@ -70,7 +72,7 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     rows = counted.orderBy(F.col("n").desc(), "h").limit(COMMON).toArrow()
     h, n = rows.column("h").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(h)
-    return h[order], n[order]
+    return h[order], n[order], min(1.0, share)
 
 
 def _marks(counted: DataFrame, limits: list[int]) -> np.ndarray:
@@ -94,19 +96,22 @@ def prefixes(texts: DataFrame, k: int, similarity: float, common: Broadcast, mar
     """_row, doc_id, fp (the fingerprint), id (128 bits of the whole set), n (its size) and keys (its prefix and one more, in order) for each row of `texts`."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, count = common.value
+        seen, count, share = common.value
+        level = (count / share > LIMIT).astype(np.int64) + (count / share > LIMIT * LIMIT)
         for batch in batches:
             fps, ids, sizes, keys = [], [], [], []
             for t in batch.column(2):
                 h = shingle_hashes(t.as_py(), k)
                 fps.append(majority(h) if len(h) else 0)
                 h = np.unique(h)
-                rank = np.zeros(len(h), np.int64)
+                rank, over = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
                 if len(seen):
                     at = np.minimum(np.searchsorted(seen, h), len(seen) - 1)
-                    rank = np.where(seen[at] == h, count[at], 0)
-                if marks is not None:
-                    rank += _marked(marks.value, h) << 40
+                    known = seen[at] == h
+                    rank, over = np.where(known, count[at], 0), np.where(known, level[at], 0)
+                if marks is not None:  # what the sample says and what was counted in prefixes, which hold few of what the sample has put last
+                    over = np.maximum(over, _marked(marks.value, h))
+                rank += over << 40
                 ids.append(xxhash.xxh3_128_digest(h.tobytes(), SEED))
                 sizes.append(len(h))
                 keys.append(h[np.lexsort((h, rank))[: prefix_size(len(h), similarity) + 1]].view(np.int64))
@@ -118,13 +123,32 @@ def prefixes(texts: DataFrame, k: int, similarity: float, common: Broadcast, mar
     return texts.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "_row binary, doc_id bigint, fp bigint, id binary, n int, keys array<bigint>")
 
 
-def ordered_prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """`prefixes` in an order that puts last what many texts share: counted in a sample, then over all of them."""
-    spark = texts.sparkSession
-    common = spark.sparkContext.broadcast(_common(texts, k))
-    first = prefixes(texts, k, similarity, common)
-    marks = _marks(first.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")), [LIMIT, LIMIT * LIMIT])
-    return prefixes(texts, k, similarity, common, spark.sparkContext.broadcast(marks) if marks.any() else None)
+def _unforeseen(counts: DataFrame, common: Broadcast) -> int:
+    """How many places in prefixes the keys of `counts` (key, n) have that more than LIMIT texts share and that the sample didn't put last."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, count, share = common.value
+        last = seen[count / share > LIMIT]
+        for batch in batches:
+            new = ~np.isin(batch.column("key").to_numpy().view(np.uint64), last)
+            yield pa.RecordBatch.from_arrays([pa.array([int(batch.column("n").to_numpy()[new].sum())], pa.int64())], ["n"])
+
+    hot = counts.filter(F.col("n") > LIMIT).select("key", "n").mapInArrow(of, "n bigint")
+    return hot.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _sets(texts: DataFrame, k: int, similarity: float, common: Broadcast, marks: Broadcast | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The prefixes of `texts`; one (id, _u, _row, fp, n, number), a row for each set; sets (id: the number, n, keys); and counts (key, n) of the keys that several sets have in their prefixes."""
+    d = cut(prefixes(texts, k, similarity, common, marks)).withColumn("_u", F.monotonically_increasing_id())  # of a checkpointed table: the same whenever it is read
+    one = d.groupBy("id").agg(F.min("_u").alias("_u"), F.min_by("_row", "_u").alias("_row"), F.min("fp").alias("fp"), F.count("*").alias("n"))
+    one = cut_small(one.withColumn("number", F.monotonically_increasing_id()))
+    few = one.count() <= BROADCAST_ROWS
+    first = one.select(F.col("number").alias("id"), "_u")
+    sets = d.select("_u", "n", "keys").join(F.broadcast(first) if few else first, "_u").select("id", "n", "keys")
+    sets = sets if few else cut(sets)
+    inside = F.slice("keys", F.lit(1), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1)
+    counts = cut_small(sets.select(F.explode(inside).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
+    return d, one, sets, counts
 
 
 def _may(n: Column, rest: Column, m: Column, other: Column, similarity: float) -> Column:
@@ -215,13 +239,14 @@ def _shared_keys(sets: DataFrame, similarity: float, counts: DataFrame) -> DataF
 
 def similar_components(texts: DataFrame, k: int, similarity: float, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
     """_row, doc_id and root, alike for rows of `texts` (_row, doc_id, text) that links of `similarity` or more connect."""
-    d = cut(ordered_prefixes(texts, k, similarity)).withColumn("_u", F.monotonically_increasing_id())  # of a checkpointed table: the same whenever it is read
-    one = d.groupBy("id").agg(F.min("_u").alias("_u"), F.min_by("_row", "_u").alias("_row"), F.min("fp").alias("fp"), F.count("*").alias("n"))
-    one = cut_small(one.withColumn("number", F.monotonically_increasing_id()))
+    spark = texts.sparkSession
+    common = spark.sparkContext.broadcast(_common(texts, k))
+    d, one, sets, counts = _sets(texts, k, similarity, common, None)
+    places = d.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    if _unforeseen(counts, common) > UNFORESEEN * places:
+        marks = spark.sparkContext.broadcast(_marks(counts, [LIMIT, LIMIT * LIMIT]))
+        d, one, sets, counts = _sets(texts, k, similarity, common, marks)
     ids = one.select(F.col("number").alias("id"), "_row", "fp")
-    sets = cut(sized(d.select("_u", "n", "keys"), one.select(F.col("number").alias("id"), "_u"), "_u", "inner").select("id", "n", "keys"))
-    inside = F.slice("keys", F.lit(1), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1)
-    counts = cut_small(sets.select(F.explode(inside).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
     met = cut_small(join_hot(_shared_keys(sets, similarity, counts), counts.select("key", F.col("n").alias("_c")), "key", counts))
     central = met.groupBy("id").agg(F.sum("_c").alias("_s"))
     pivot = met.join(central, "id").groupBy("key").agg(F.max(F.struct("_s", "id", "n", "rest")).alias("_l"))

@@ -62,6 +62,7 @@ def test_edited_copies_in_many_documents(spark):
 def test_a_rare_line_in_many_unlike_texts(spark, limit, monkeypatch):
     """5,000 unlike texts share a line, among others: no pair of them is looked at, and near copies among them are still found."""
     monkeypatch.setattr(shingle_join, "LIMIT", limit)
+    monkeypatch.setattr(shingle_join, "SAMPLE_DOCS", 40)  # the sample sees too little of the line
     r = random.Random(13)
     vocabulary = ["".join(r.choices("abcdefghij", k=5)) for _ in range(4000)]
     line = r.choices(vocabulary, k=12)
