@@ -38,7 +38,7 @@ COMMON = 200_000
 LIMIT = 64
 #: See above; the result is the same either way.
 UNFORESEEN = 0.005
-#: Shingles over a limit are marked in a bitmap of so many bits, by their hash. Others whose bit is marked go last with them: that is an order as good as another.
+#: Shingles over a limit are marked in a bitmap, by their hash: 16 bits for each, BITS at most. Others whose bit is marked go last with them: that is an order as good as another.
 BITS = 1 << 26
 #: Groups of more members than this, in different components still, share a second shingle.
 MANY = 4 * LIMIT
@@ -76,19 +76,20 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, float]:
 
 
 def _marks(counted: DataFrame, limits: list[int]) -> np.ndarray:
-    """A bitmap for each of `limits`: the keys that `counted` (key, n) has more than so often. BITS bits each, whatever the number of keys."""
+    """A bitmap for each of `limits`: the keys that `counted` (key, n) has more than so often. BITS bits each at most, whatever the number of keys."""
+    n_bits = min(BITS, 1 << max(10, (16 * counted.filter(F.col("n") > min(limits)).count()).bit_length()))
     level = F.array_compact(F.array(*[F.when(F.col("n") > limit, F.lit(k)) for k, limit in enumerate(limits)]))
-    at = F.pmod("key", F.lit(BITS))
+    at = F.pmod("key", F.lit(n_bits))
     words = counted.filter(F.col("n") > min(limits)).select(F.explode(level).alias("level"), F.shiftright(at, 6).cast("int").alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
     rows = words.groupBy("level", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()  # BITS / 64 rows for each limit at most
-    out = np.zeros((len(limits), BITS // 64), np.uint64)
+    out = np.zeros((len(limits), n_bits // 64), np.uint64)
     out[rows.column("level").to_numpy(), rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def _marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
     """How many of the bitmaps have each hash."""
-    at = (h & np.uint64(BITS - 1)).astype(np.int64)
+    at = (h & np.uint64(64 * marks.shape[1] - 1)).astype(np.int64)
     return ((marks[:, at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).sum(axis=0).astype(np.int64)
 
 
