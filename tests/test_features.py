@@ -170,3 +170,18 @@ def test_first_seen_goes_on_after_a_stop(spark, tmp_path):
     assert run() == [("a", 1), ("b", 4)]
     add(2, [("a", 0, 9), ("c", 7, 9)])
     assert run() == [("a", 1), ("b", 4), ("c", 7)]
+
+
+def test_references_take_few_rounds(spark, monkeypatch):
+    """A chain of 300 and a cycle: the rounds that are written grow as the logarithm of the steps; where walks would multiply, they stay single steps and results are the same."""
+    from gleaner.operators import closure as module
+
+    cuts, real = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: cuts.append(1) or real(df))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(300, 290)], "a int, b int")
+    got = {(r.origin, r.node): r.steps for r in closure(edges, spark.createDataFrame([(0,), (295,)], "node int")).collect()}
+    assert got == {(0, k): k for k in range(301)} | {(295, 290 + (5 + k) % 11): k for k in range(11)}
+    assert len(cuts) < 30
+    full = [(a, b) for a in range(12) for b in range(12)] + [(11, 12), (12, 13)]
+    got = {(r.origin, r.node): r.steps for r in closure(spark.createDataFrame(full, "a int, b int"), spark.createDataFrame([(0,)], "node int")).collect()}
+    assert got == {(0, 0): 0} | {(0, k): 1 for k in range(1, 12)} | {(0, 12): 2, (0, 13): 3}
