@@ -185,3 +185,16 @@ def test_references_take_few_rounds(spark, monkeypatch):
     full = [(a, b) for a in range(12) for b in range(12)] + [(11, 12), (12, 13)]
     got = {(r.origin, r.node): r.steps for r in closure(spark.createDataFrame(full, "a int, b int"), spark.createDataFrame([(0,)], "node int")).collect()}
     assert got == {(0, 0): 0} | {(0, k): 1 for k in range(1, 12)} | {(0, 12): 2, (0, 13): 3}
+
+
+def test_policies_meet_few_endpoints_in_vain(spark):
+    """Endpoints that no number of a policy without an upper bound fits don't meet it; numbers without an end, wide bounds and prefixes that end within a segment are right."""
+    inf, nan = float("inf"), float("nan")
+    e = spark.createDataFrame([(f"/a/{k % 3}", float(k)) for k in range(1_000)] + [("/a/0", inf), ("/a/1", -inf), ("/b", nan), ("/b", 9e7)], "route string, score double")
+    rows = [("top", "LOW", "/a/", 990.0, None), ("low", "LOW", "/a/1", None, 4.0), ("wide", "LOW", "/", -1e9, 9e8), ("any", "LOW", "", None, None), ("none", "LOW", "/a/012345", None, None), ("high", "LOW", None, 1e8, None)]
+    p = spark.createDataFrame(rows, "policy string, severity string, prefix string, low double, high double")
+    holds = "startswith(route, coalesce(prefix, '')) AND (low IS NULL OR low <= score) AND (high IS NULL OR score < high)"
+    key = lambda df: sorted(map(str, df.select("policy", "route", "score").collect()))
+    assert key(ep.policy_violations(e, p)) == key(e.crossJoin(p).filter(holds))
+    met = plan(ep.policy_violations(e, p))
+    assert "NestedLoop" not in met and "Cartesian" not in met
