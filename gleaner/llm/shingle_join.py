@@ -13,6 +13,8 @@ prefixes, they come last as well, and prefixes are taken again. So a line that m
 Of a group that shares a shingle, first each is held against one, the most central: that whose prefix meets the most others, as the
 original of edited copies does. What that leaves in different components is held against each other; in groups of many only texts that share a
 second shingle, too, among the first n - ceil(s n) + 2 of each, as similar sets do.
+
+Before texts are fetched, the prefixes of a pair are held against each other as a whole: they, too, must share enough.
 """
 
 from __future__ import annotations
@@ -157,6 +159,18 @@ def _may(n: Column, rest: Column, m: Column, other: Column, similarity: float) -
     return F.least(rest, other) >= F.lit(similarity / (1 + similarity)) * (n + m) - F.lit(1e-6)
 
 
+def _close_prefixes(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b) of ids of `sets` (id, n, keys) that may have that similarity by all keys they share among the first of each.
+
+    Of what two sets share, all but what one of them has after its own first keys is among the first keys of both; and after the last key that both have there, each has so many left.
+    """
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("keys").alias("_s")), "a").join(sets.select(F.col("id").alias("b"), F.col("n").alias("_m"), F.col("keys").alias("_t")), "b")
+    met = met.withColumn("_both", F.array_intersect("_s", "_t")).withColumn("_last", F.try_element_at("_both", F.lit(-1)))
+    left = F.least(F.col("_n") - F.array_position("_s", F.col("_last")), F.col("_m") - F.array_position("_t", F.col("_last")))
+    most = F.size("_both") + F.least(F.greatest(F.col("_n") - F.size("_s"), F.col("_m") - F.size("_t")), F.coalesce(left, F.lit(0)))
+    return met.filter(most >= F.lit(similarity / (1 + similarity)) * (F.col("_n") + F.col("_m")) - F.lit(1e-6)).select("a", "b")
+
+
 def verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """The `pairs` (a, b) of ids whose texts have that similarity, by their shingles themselves; `one` (id, _row) names a row of `texts` for each id."""
     rows = cut_small(one.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "_row"))
@@ -256,10 +270,11 @@ def similar_components(texts: DataFrame, k: int, similarity: float, max_bits: in
     stars = met.filter((F.col("id") != F.col("pivot")) & _may(F.col("n"), F.col("rest"), F.col("_ln"), F.col("_lr"), similarity)).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     close = _fingerprint_pairs(ids.select("id", "fp"), max_bits)
     pairs = stars.union(close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    first = cut_small(verified(cut_small(pairs), ids, texts, k, similarity))
+    near = lambda p: cut_small(verified(cut_small(_close_prefixes(p, sets, similarity)), ids, texts, k, similarity))
+    first = near(pairs)
     roots = connected_components(first)
-    more = cut_small(verified(cut_small(_unresolved(met, sets.select("id", "keys"), roots, similarity, block)), ids, texts, k, similarity))
+    more = near(_unresolved(met, sets.select("id", "keys"), roots, similarity, block))
     if not more.isEmpty():
-        roots = connected_components(first.union(more))
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     rooted = one.join(roots, one["number"] == roots["node"], "left").select("id", F.coalesce("root", "number").alias("root"))
     return join_hot(d.select("_row", "doc_id", "id"), rooted, "id", one.select("id", "n")).select("_row", "doc_id", "root")
