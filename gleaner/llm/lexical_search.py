@@ -28,12 +28,18 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import BROADCAST_ROWS, HOT_PARTS, UPPER, cut, join_hot, new_folder, sized, table
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans(UPPER, UPPER.lower())
+#: Each byte of UTF-8: A-Z in lower case, what is in no term a space.
+_BYTES = bytes(ord(c) if TERM.match(c := chr(k).lower()) else 32 for k in range(128)) + bytes(range(128, 256))
+
+
+def _terms(text: bytes | None) -> list[bytes]:
+    """The terms of a text in UTF-8."""
+    return (text or b"").translate(_BYTES).split()
 
 
 def terms(text: str | None) -> list[str]:
     """The terms of a text, in order, with repeats: runs of digits, letters and all that isn't ASCII; only A-Z are lower-cased."""
-    return TERM.findall((text or "").translate(_LOWER))
+    return [t.decode() for t in _terms((text or "").encode())]
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -49,9 +55,9 @@ def item_terms(items: DataFrame) -> DataFrame:
     return rows.mapInArrow(split, f"item bigint, item_id {rows.schema['item_id'].dataType.simpleString()}, term string")
 
 
-def _known(wanted: DataFrame) -> set[str] | None:
+def _known(wanted: DataFrame) -> set[bytes] | None:
     """The terms of a checkpointed table, if they are few enough to be broadcast; those of others are joined later."""
-    return {r[0] for r in wanted.collect()} if wanted.count() <= BROADCAST_ROWS else None
+    return {r[0].encode() for r in wanted.collect()} if wanted.count() <= BROADCAST_ROWS else None
 
 
 def term_counts(docs: DataFrame, wanted: DataFrame) -> tuple[int, int, DataFrame]:
@@ -61,13 +67,13 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> tuple[int, int, DataFrame
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = known.value
         for batch in batches:
-            df: Counter[str] = Counter()
+            df: Counter[bytes] = Counter()
             n = total = 0
-            for t in batch.column(0):
-                found = terms(t.as_py())
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                found = _terms(t)
                 n, total = n + bool(found), total + len(found)
                 df.update(set(found) if keep is None else keep.intersection(found))
-            yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.string()), pa.array([n, *df.values()], pa.int64()), pa.array([total] + [0] * len(df), pa.int64())], ["term", "n", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.binary()).cast(pa.string()), pa.array([n, *df.values()], pa.int64()), pa.array([total] + [0] * len(df), pa.int64())], ["term", "n", "total"])
 
     counts = docs.select("text").mapInArrow(count, "term string, n bigint, total bigint")
     if known.value is None:
@@ -95,15 +101,15 @@ def build_index(docs: DataFrame, wanted: DataFrame) -> Index:
         keep = known.value
         for batch in batches:
             sizes, found_in, found, tfs = [], [], [], []
-            for i, t in enumerate(batch.column(2)):
-                words = terms(t.as_py())
+            for i, t in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
+                words = _terms(t)
                 sizes.append(len(words))
                 tf = Counter(words if keep is None else filter(keep.__contains__, words))
                 found_in += [i] * len(tf)
                 found += tf
                 tfs += tf.values()
             at = pa.array(found_in, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes, pa.int64()).take(at), pa.array(found, pa.string()), pa.array(tfs, pa.int64())], ["row", "doc_id", "n", "term", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes, pa.int64()).take(at), pa.array(found, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int64())], ["row", "doc_id", "n", "term", "tf"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, "row bigint, doc_id bigint, n bigint, term string, tf bigint")
     total = df.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
