@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut_small
+from gleaner.llm.common import cut_counted, cut_small
 
 
 def _stars(pairs: DataFrame, large: bool) -> DataFrame:
@@ -18,6 +18,12 @@ def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
+def _is_forest(e: DataFrame) -> bool:
+    """Whether `e` (a, b) are stars: each a has one b, which is no a. Steps leave those as they are, and nothing else."""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter(F.col("up") + F.col("down") > 1).isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b) but the roots; root is the least node that it reaches.
 
@@ -26,12 +32,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     component is one, are split by the adaptive skew join; no node's neighbours meet in one task's memory.
     """
     e = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = cut_small(e), None
-    while True:
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(now) == before or now[0] == 0:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = tuple(now)
+    e, n = cut_counted(e)
+    while n and not _is_forest(e):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         e = cut_small(_stars(both, True))
         e = cut_small(_stars(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False))
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -130,7 +130,7 @@ def _train(examples: list[Example], languages: list[str], width: int, epochs: in
             todo = [(examples[i][0], y[i])]
             if turn % k == 0:
                 todo.append(((examples[i][0] * np.uint32(2 * rng.integers(1 << 12) + 1) + np.uint32(rng.integers(1 << BUCKET_BITS))) & np.uint32((1 << BUCKET_BITS) - 1), k))
-            shares = examples[i][1]
+            shares = examples[i][1].astype(np.float64)  # kept as they came, in half the memory
             scale = shares / np.sqrt((shares**2).sum())  # shares are small (1 / n-grams): each bucket's step is scaled up to the weight of the text
             for buckets, label in todo:
                 mean = shares @ emb[buckets]
@@ -204,7 +204,7 @@ def train_languages(docs: DataFrame, folds: int = 4, held_fold: int = 2, fit_row
 
     rows = known.mapInArrow(count, "doc_id bigint, b binary, s binary, lang string").collect()  # ALL_ROWS at most
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], bytes(r["b"])))
-    return fit_language([(np.frombuffer(r["b"], "<u4"), np.frombuffer(r["s"], "<f4").astype(np.float64), r["lang"]) for r in rows])
+    return fit_language([(np.frombuffer(r["b"], "<u4"), np.frombuffer(r["s"], "<f4"), r["lang"]) for r in rows])
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:

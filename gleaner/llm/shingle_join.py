@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, cut_small, join_hot
+from gleaner.llm.common import cut, cut_counted, cut_small, join_hot
 from gleaner.llm.components import connected_components
 from gleaner.llm.simhash import SEED, fingerprint_links, majority, shingle_hashes
 
@@ -46,8 +46,8 @@ BITS = 1 << 26
 MANY = 4 * LIMIT
 #: Groups of more members than this meet block by block.
 BLOCK = 4_096
-#: So many rows (8 bytes each) are broadcast at most, to pick their texts; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: So many rows (some 70 to 100 bytes each there) are broadcast at most, to pick texts or leave out copies; more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def shingles(text: str | None, k: int) -> set[bytes]:
@@ -140,18 +140,20 @@ def _unforeseen(counts: DataFrame, common: Broadcast) -> int:
     return hot.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _sets(texts: DataFrame, k: int, similarity: float, common: Broadcast, marks: Broadcast | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The prefixes of `texts`; one (id, _u, _row, fp, n, number), a row for each set; sets (id: the number, n, keys); and counts (key, n) of the keys that several sets have in their prefixes."""
-    d = cut(prefixes(texts, k, similarity, common, marks)).withColumn("_u", F.monotonically_increasing_id())  # of a checkpointed table: the same whenever it is read
-    one = d.groupBy("id").agg(F.min("_u").alias("_u"), F.min_by("_row", "_u").alias("_row"), F.min("fp").alias("fp"), F.count("*").alias("n"))
-    one = cut_small(one.withColumn("number", F.monotonically_increasing_id()))
-    few = one.count() <= BROADCAST_ROWS
-    first = one.select(F.col("number").alias("id"), "_u")
-    sets = d.select("_u", "n", "keys").join(F.broadcast(first) if few else first, "_u").select("id", "n", "keys")
+def _sets(texts: DataFrame, k: int, similarity: float, common: Broadcast, marks: Broadcast | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """The prefixes of `texts`; one (id, number, _row, fp, n), a row for each set; sets (id: the number, n, keys); counts (key, n) of the keys that several sets have in their prefixes; and how many places all prefixes have."""
+    seen = Observation()
+    d = prefixes(texts, k, similarity, common, marks).observe(seen, F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("places"))
+    d = cut(d).withColumn("_u", F.monotonically_increasing_id())  # of a checkpointed table: the same whenever it is read
+    one = cut_small(d.groupBy("id").agg(F.min("_u").alias("number"), F.min_by("_row", "_u").alias("_row"), F.min("fp").alias("fp"), F.count("*").alias("n")))
+    several = one.filter("n > 1")
+    again, n_again = cut_counted(join_hot(d.select("id", "_u"), several.select("id", "number"), "id", several.select("id", "n")).filter("_u != number").select("_u"))
+    few = n_again <= BROADCAST_ROWS  # copies are left out by a broadcast, not sets picked by one: these are nearly all
+    sets = d.join(F.broadcast(again) if few else again, "_u", "left_anti").select(F.col("_u").alias("id"), "n", "keys")
     sets = sets if few else cut(sets)
     inside = F.slice("keys", F.lit(1), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1)
     counts = cut_small(sets.select(F.explode(inside).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
-    return d, one, sets, counts
+    return d, one, sets, counts, seen.get["places"]
 
 
 def _may(n: Column, rest: Column, m: Column, other: Column, similarity: float) -> Column:
@@ -173,9 +175,8 @@ def _close_prefixes(pairs: DataFrame, sets: DataFrame, similarity: float) -> Dat
 
 def verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """The `pairs` (a, b) of ids whose texts have that similarity, by their shingles themselves; `one` (id, _row) names a row of `texts` for each id."""
-    rows = cut_small(one.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "_row"))
-    few = rows.count() <= BROADCAST_ROWS
-    t = texts.select("_row", "text").join(F.broadcast(rows) if few else rows, "_row").dropDuplicates(["id"]).select("id", "text")
+    rows, n = cut_counted(one.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "_row"))
+    t = texts.select("_row", "text").join(F.broadcast(rows) if n <= BROADCAST_ROWS else rows, "_row").dropDuplicates(["id"]).select("id", "text")
     # The pivot of a large group is in a pair with each of it. Texts are cut, so that both sides are plain shuffles and AQE splits such a partition.
     t = cut(t)
     met = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("_s")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("_t")), "b")
@@ -256,11 +257,10 @@ def similar_components(texts: DataFrame, k: int, similarity: float, max_bits: in
     """_row, doc_id and root, alike for rows of `texts` (_row, doc_id, text) that links of `similarity` or more connect."""
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(_common(texts, k))
-    d, one, sets, counts = _sets(texts, k, similarity, common, None)
-    places = d.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    d, one, sets, counts, places = _sets(texts, k, similarity, common, None)
     if _unforeseen(counts, common) > UNFORESEEN * places:
         marks = spark.sparkContext.broadcast(_marks(counts, [LIMIT, LIMIT * LIMIT]))
-        d, one, sets, counts = _sets(texts, k, similarity, common, marks)
+        d, one, sets, counts, _ = _sets(texts, k, similarity, common, marks)
     ids = one.select(F.col("number").alias("id"), "_row", "fp")
     met = cut_small(join_hot(_shared_keys(sets, similarity, counts), counts.select("key", F.col("n").alias("_c")), "key", counts))
     central = met.groupBy("id").agg(F.sum("_c").alias("_s"))
