@@ -65,11 +65,23 @@ def candidates(texts: DataFrame, text: str, index: DataFrame, sets: dict[tuple[s
     low = F.lower(F.replace(F.col(text), F.lit("ſ"), F.lit("s")))  # the long s is an s to a pattern without case
     holds = lambda literals: reduce(lambda a, b: a | b, [F.contains(F.col("_low"), F.lit(x)) for x in literals])
     found = F.array_compact(F.array(*[F.when(holds(literals) if literals else F.lit(True), F.lit(number)) for literals, number in sets.items()]))
-    met = texts.filter(F.col(text).isNotNull()).withColumn("_low", low).select("*", F.explode(found).alias("set"))
+    # A plain explode would have Spark filter texts by the size of the array first, and so look through them, each time lowered anew, twice. A null set meets nothing.
+    met = texts.filter(F.col(text).isNotNull()).withColumn("_low", low).select("*", F.explode_outer(found).alias("set"))
     met = met.join(F.broadcast(index), "set")  # the catalog, a few hundred rows
     return met.filter(F.forall("also", lambda s: F.exists(s, lambda x: F.contains(F.col("_low"), x)))).drop("set", "also", "_low")
 
 
+def count_catalog(texts: DataFrame, text: str, patterns: Patterns = CATALOG) -> DataFrame:
+    """How many matches each pattern has in the column `text`: the other columns of `texts`, language, pattern and n, for each row and pattern with one.
+
+    As many as `scan_catalog` has rows without `comments`, but a text is gone through once for a candidate, and nothing is shuffled.
+    """
+    index, sets = pattern_index(texts.sparkSession, patterns)
+    keep = [c for c in texts.columns if c not in (text, "language", "pattern", "n", "rx", "set")]
+    met = candidates(texts.select(*keep, F.col(text).alias("_text")), "_text", index.select("also", "set", "language", "pattern", "rx"), sets)
+    return met.select(*keep, "language", "pattern", F.regexp_count("_text", F.col("rx")).cast("long").alias("n")).filter(F.col("n") > 0)
+
+
 def scan_catalog(texts: DataFrame, text: str, patterns: Patterns = CATALOG, language: str | None = None, comments: dict[str, tuple[str, ...]] = COMMENTS) -> DataFrame:
     """Matches of all patterns in the column `text`: the other columns of `texts`, language, pattern (its number in its language), framework, kind, method, route, index, line, found.
 

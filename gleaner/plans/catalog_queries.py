@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.routes import lookup
 from gleaner.operators.catalog import CATALOG, COMMENTS
-from gleaner.operators.catalog_scan import scan_catalog
+from gleaner.operators.catalog_scan import count_catalog, scan_catalog
 from gleaner.operators.endpoints import deduplicate, summary
 from gleaner.plans.query import query, quoted, table
 
@@ -57,7 +57,7 @@ def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.lit("documents").alias("part"), F.col("doc_id").alias("id"), "text")
     texts = texts.unionByName(table(spark, sf_dir, "pages").select(F.lit("pages").alias("part"), F.col("page_id").alias("id"), F.col("html").alias("text")))
     texts = texts.unionByName(linked_code(spark, sf_dir).select(F.lit("code").alias("part"), F.col("page_id").alias("id"), F.col("code").alias("text")))
-    hits = scan_catalog(texts, "text", comments={}).groupBy("part", "id", "language", "pattern").agg(F.count("*").alias("n"))
+    hits = count_catalog(texts, "text").groupBy("part", "id", "language", "pattern").agg(F.sum("n").alias("n"))
     return hits.groupBy("part", "language", "pattern").agg(F.sum("n").alias("n"), F.count("*").alias("n_texts"))
 
 
