@@ -198,3 +198,20 @@ def test_policies_meet_few_endpoints_in_vain(spark):
     assert key(ep.policy_violations(e, p)) == key(e.crossJoin(p).filter(holds))
     met = plan(ep.policy_violations(e, p))
     assert "NestedLoop" not in met and "Cartesian" not in met
+
+
+def test_many_policies_stay_away_from_the_driver(spark, tmp_path):
+    """A small file of policies over many bins makes many rows: they are not broadcast, whatever Spark makes of the file's size. A few policies are."""
+    n = F.col("id")
+    made = spark.range(3_000).select(F.concat(F.lit("p"), n % 7).alias("policy"), F.lit("LOW").alias("severity"), F.concat(F.lit("/"), n % 3).alias("prefix"), F.when(n % 2 == 0, n % 5).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    made.write.parquet(str(tmp_path / "p"))
+    e = spark.range(40).select(F.concat(F.lit("/"), n % 4, F.lit("/x")).alias("route"), (n * 60).cast("double").alias("score"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    holds = "startswith(route, prefix) AND (low IS NULL OR low <= score)"
+    met = ep.policy_violations(e, p)
+    rows = lambda df: sorted((r["policy"], r["route"], r["score"], r["count"]) for r in df.groupBy("policy", "route", "score").count().collect())
+    assert rows(met) == rows(e.crossJoin(p).filter(holds))
+    last = lambda df: plan(df).split("Initial Plan")[-1].split("Join")[0]
+    assert "SortMerge" in last(met) and "BroadcastHash" not in last(met)
+    few = ep.policy_violations(e, p.distinct())
+    assert rows(few) == rows(e.crossJoin(p.distinct()).filter(holds)) and "BroadcastHash" in last(few)
